@@ -128,21 +128,31 @@ def bounded_ancestry(start: str, memories: DataFrame, derived_from: DataFrame,
 
 
 def bounded_ancestry_all(memories: DataFrame, derived_from: DataFrame, limit: int = 200) -> DataFrame:
-    """Full closure per start with the cap applied in depth, id display order.
+    """The same bound for every memory: (start, memory_id, depth, position, truncated).
 
-    Exact for every start whose closure fits the cap; a larger closure is
-    flagged and its kept rows come from ``bounded_ancestry``.
+    A closure that fits the limit is taken whole, whatever the order. Only
+    starts with a larger closure are walked in id order, all of them together:
+    each round takes the smallest open id of every start.
     """
     starts = memories.filter("sealed").select(F.col("id").alias("start"), F.col("id").alias("memory_id"))
-    closure = ancestor_closure(starts, derived_from, max_depth(memories))
+    closure = durable(ancestor_closure(starts, derived_from, max_depth(memories)))
     sizes = closure.groupBy("start").agg(F.count("*").alias("n"))
-    small = closure.join(sizes, "start")
-    known = memories.select(F.col("id").alias("memory_id"), "depth")
+    large = durable(sizes.filter(F.col("n") > limit).select("start"))
+    kept = closure.join(large, "start", "left_anti").withColumn("truncated", F.lit(False))
+    if not large.isEmpty():
+        edges = derived_from.select(F.col("child_id").alias("memory_id"), "parent_id")
+        state = large.select("start", F.col("start").alias("memory_id"), F.lit(False).alias("taken"))
+        for _ in range(limit):
+            chosen = (state.filter(~F.col("taken")).groupBy("start")
+                      .agg(F.min("memory_id").alias("memory_id")))
+            grown = (chosen.join(edges, "memory_id")
+                     .select("start", F.col("parent_id").alias("memory_id"), F.lit(False).alias("taken")))
+            state = durable(state.unionByName(chosen.withColumn("taken", F.lit(True))).unionByName(grown)
+                            .groupBy("start", "memory_id").agg(F.max("taken").alias("taken")))
+        kept = kept.unionByName(state.filter("taken").select("start", "memory_id", F.lit(True).alias("truncated")))
     order = Window.partitionBy("start").orderBy(F.desc("depth"), "memory_id")
-    return (small.join(known, "memory_id")
-            .withColumn("position", F.row_number().over(order))
-            .withColumn("truncated", F.col("n") > limit)
-            .filter(F.col("position") <= limit).drop("n"))
+    return (kept.join(memories.select(F.col("id").alias("memory_id"), "depth"), "memory_id")
+            .withColumn("position", F.row_number().over(order)))
 
 
 def component_roots(operations: DataFrame) -> DataFrame:

@@ -7,23 +7,10 @@ from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..functions import scalars as S
-from ..session import broadcast_if_small
 
 
 # ---- snapshots ------------------------------------------------------------
 
-def snapshot_memories(memories: DataFrame, runs: DataFrame | None = None) -> DataFrame:
-    """Sealed memories per run up to its high-water mark; one view when unbounded.
-
-    With runs the result is keyed by ``run_id``: all frozen views in one job.
-    """
-    sealed = memories.filter("sealed")
-    if runs is None:
-        return sealed
-    marks = broadcast_if_small(runs.select(F.col("id").alias("run_id"), "memory_high_water"))
-    return sealed.join(marks, F.col("seq") <= F.col("memory_high_water")).drop("memory_high_water")
-
-
 def snapshot_one(memories: DataFrame, relations: DataFrame, recalls: DataFrame,
                  run: dict | None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The three frozen tables of a single run; literal bounds reach the scan."""
