@@ -74,13 +74,24 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
-    """Hint a broadcast only when the optimizer's size bound proves it fits.
+    """Hint a broadcast when the optimizer's size bound fits a quarter of the limit.
 
-    Beyond the limit the frame stays unhinted, so the join is shuffled and
-    adaptive execution splits its skewed partitions.
+    Meant for plain scans and aggregates, whose bound is their input size; the
+    quarter leaves room for compressed columns. Beyond it the frame stays
+    unhinted: the join is shuffled and adaptive execution splits skew.
     """
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
-    return F.broadcast(df) if size <= limit else df
+    return F.broadcast(df) if size <= limit // 4 else df
+
+
+def broadcast_measured(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
+    """Write the frame, measure its real volume, hint a broadcast if it fits.
+
+    For frames whose volume the optimizer cannot bound, such as exploded terms.
+    """
+    written = durable(df)
+    volume = written.agg(F.sum(F.octet_length(F.to_json(F.struct(*written.columns))))).first()[0] or 0
+    return F.broadcast(written) if volume <= limit else written
 
 
 def ranked(df: DataFrame, partition: list[str], order: list[Column], name: str = "rank") -> DataFrame:
@@ -106,3 +117,21 @@ def dense_position(df: DataFrame, order: list[str], buckets: list[Column], name:
             .join(broadcast_if_small(offsets), keys)
             .withColumn(name, (F.col("__offset") + F.col("__r")).cast("long"))
             .drop(*keys, "__r", "__offset"))
+
+
+def prefix_sums(df: DataFrame, keys: list[str], slot: Column, order: list[Column], value: Column, name: str) -> DataFrame:
+    """Sum of ``value`` over all earlier rows of the same key, the row excluded.
+
+    The key is split by ``slot``, a leading part of the order, so a key that
+    holds a third of all rows is still summed by many tasks.
+    """
+    from pyspark.sql import Window
+    tagged = df.withColumn("__slot", slot).withColumn("__v", value)
+    totals = tagged.groupBy(*keys, "__slot").agg(F.sum("__v").alias("__t"))
+    earlier = Window.partitionBy(*keys).orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = totals.select(*keys, "__slot", F.coalesce(F.sum("__t").over(earlier), F.lit(0)).alias("__shift"))
+    inside = Window.partitionBy(*keys, "__slot").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return (tagged.withColumn("__before", F.coalesce(F.sum("__v").over(inside), F.lit(0)))
+            .join(broadcast_if_small(shifts), [*keys, "__slot"])
+            .withColumn(name, F.col("__shift") + F.col("__before"))
+            .drop("__slot", "__v", "__before", "__shift"))
