@@ -63,7 +63,7 @@ def nearest_rank(values: DataFrame, group: list[str], value: str) -> DataFrame:
     running = Window.partitionBy(*group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*group)
     placed = counts.withColumn("upto", F.sum("c").over(running)).withColumn("n", F.sum("c").over(whole))
-    at = lambda p: F.min(F.when(F.col("upto") * 10 >= F.ceil(F.col("n") * p / 10) * 10, F.col(value)))
+    at = lambda p: F.min(F.when(F.col("upto") >= F.ceil(F.col("n") * p / 10), F.col(value)))
     return placed.groupBy(*group).agg(F.max("n").alias("n"), at(5).alias("p50"), at(9).alias("p90"), F.max(value).alias("max"))
 
 
