@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..schemas import USAGE, USD
-from ..session import broadcast_if_small, prefix_sums
+from ..session import prefix_sums
 
 
 def _sum(value: Column) -> Column:
@@ -97,7 +97,7 @@ def root_counts(roots: DataFrame) -> DataFrame:
 
 
 def memory_run_kind(memories: DataFrame, runs: DataFrame) -> DataFrame:
-    kinds = broadcast_if_small(runs.select(F.col("id").alias("dream_revision"), F.col("kind").alias("run_kind")))
+    kinds = runs.select(F.col("id").alias("dream_revision"), F.col("kind").alias("run_kind"))
     return memories.filter("depth > 0").join(kinds, "dream_revision")
 
 
@@ -154,7 +154,7 @@ def run_summary(runs: DataFrame, run_work: DataFrame, rejected: DataFrame, calls
 def pruning_summary(run_work: DataFrame, runs: DataFrame, calls: DataFrame, memories: DataFrame) -> DataFrame:
     """Consolidation work of daily runs: total, skipped, empty and created."""
     from ..schemas import PROPOSAL
-    dream = broadcast_if_small(runs.filter("kind = 'dream'").select(F.col("id").alias("run_id")))
+    dream = runs.filter("kind = 'dream'").select(F.col("id").alias("run_id"))
     proposal = F.from_json("proposal_json", PROPOSAL)
     work = (run_work.filter("phase = 'consolidation'").join(dream, "run_id").agg(
         F.count("*").alias("consolidation_work"),
@@ -194,7 +194,7 @@ def stopped_run_rollup(sources: DataFrame, memories: DataFrame, relations: DataF
                 .select("corpus_id", F.lit(section).alias("section"), "key", "n", none.alias("settled_usd"), none.alias("reserved_usd")))
 
     kinds = runs.select("corpus_id", F.col("id").alias("dream_revision"), F.col("kind").alias("run_kind"))
-    outputs = memories.filter("sealed and depth > 0").join(broadcast_if_small(kinds), ["corpus_id", "dream_revision"])
+    outputs = memories.filter("sealed and depth > 0").join(kinds, ["corpus_id", "dream_revision"])
     spent = (calls.rollup("operation", "corpus_id").agg(
         F.grouping("operation").alias("g"), F.count("*").alias("n"), _sum(F.col("actual_usd")).alias("settled_usd"),
         _sum(F.when(F.col("actual_usd").isNull(), F.col("reserved_usd"))).alias("reserved_usd"))

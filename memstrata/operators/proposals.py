@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..functions import scalars as S
-from ..session import broadcast_if_small
 
 PROPOSAL_KEY = ["run_id", "work_key", "proposal_index"]
 
@@ -40,7 +39,7 @@ def validate_abstractions(proposals: DataFrame, memories: DataFrame, roots: Data
         .when(S.utf16_length(F.col("content")) > config.max_memory_characters, "Memory content is too long.")
         .when((parents_n < config.root_base) | (F.size(F.array_distinct("derived_from")) != parents_n),
               "Abstraction requires at least B distinct parents."))
-    run = broadcast_if_small(runs.select(F.col("id").alias("run_id"), "memory_high_water"))
+    run = runs.select(F.col("id").alias("run_id"), "memory_high_water")
     known = memories.filter("sealed").select(
         F.col("id").alias("parent_id"), "seq", "depth", F.col("dream_revision").alias("revision"))
     parents = (base.filter(F.col("early").isNull()).join(run, "run_id")
@@ -79,7 +78,7 @@ def apply_abstractions(verdicts: DataFrame, memories: DataFrame, roots: DataFram
     Applying again adds nothing, because the origin key identifies the output.
     A daily run accepts index 0 only; finished runs accept nothing.
     """
-    run = broadcast_if_small(runs.select(F.col("id").alias("run_id"), "kind", F.col("status").alias("run_status")))
+    run = runs.select(F.col("id").alias("run_id"), "kind", F.col("status").alias("run_status"))
     keyed = (verdicts.join(run, "run_id")
              .withColumn("origin_key", S.run_origin_key(F.col("run_id"), F.col("work_key"), F.col("proposal_index"))))
     todo = keyed.join(memories.select("origin_key"), "origin_key", "left_anti")
@@ -125,7 +124,7 @@ def apply_relations(verdicts: DataFrame, memories: DataFrame, relations: DataFra
     later and already stored ones exist already. ``verdicts`` carries
     ``ordinal`` and ``at``. Outcomes recorded earlier are never changed.
     """
-    run = broadcast_if_small(runs.select(F.col("id").alias("run_id"), "memory_high_water"))
+    run = runs.select(F.col("id").alias("run_id"), "memory_high_water")
     ends = memories.filter("sealed").select("id", "seq", F.col("dream_revision").alias("revision"))
     owner = ends.select(F.col("id").alias("memory_id"), F.col("seq").alias("o_seq"), F.col("revision").alias("o_rev"))
     target = ends.select(F.col("id").alias("related_memory_id"), F.col("seq").alias("t_seq"), F.col("revision").alias("t_rev"))

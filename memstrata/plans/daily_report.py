@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import graph
 from ..schemas import USAGE, USD
-from ..session import broadcast_if_small
 
 
 def on_date(df: DataFrame, at: str, zone: str) -> DataFrame:
@@ -289,5 +288,5 @@ def report_frame(dates: DataFrame, **sections: DataFrame) -> DataFrame:
     out = dates
     for name, frame in sections.items():
         renamed = frame.select("date", *[F.col(c).alias(f"{name}_{c}") for c in frame.columns if c != "date"])
-        out = out.join(broadcast_if_small(renamed), "date", "left")
+        out = out.join(renamed, "date", "left")
     return out

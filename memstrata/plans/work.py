@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..session import broadcast_if_small, prefix_sums
+from ..session import prefix_sums
 
 WORK_COLUMNS = ("run_id", "work_key", "phase", "memory_id", "ordinal")
 
@@ -73,7 +73,7 @@ def in_run_period(df: DataFrame, at: str, runs: DataFrame) -> DataFrame:
         F.col("id").alias("run_id"), "period_start", "period_end", "memory_high_water",
         "relation_high_water", "recall_high_water",
         F.explode(F.sequence(F.to_date("period_start"), F.to_date("period_end"))).alias("day"))
-    return (df.withColumn("day", F.to_date(at)).join(broadcast_if_small(by_day), "day")
+    return (df.withColumn("day", F.to_date(at)).join(by_day, "day")
             .filter(S.in_period(F.col(at), F.col("period_start"), F.col("period_end"))).drop("day"))
 
 
@@ -164,7 +164,7 @@ def carry_work(run_work: DataFrame, runs: DataFrame, memories: DataFrame, target
         F.col("id").alias("origin_run"), "memory_high_water")
     left = (run_work.filter((F.col("status") != "complete") & ~F.col("work_key").startswith("carry:"))
             .select(F.col("run_id").alias("origin_run"), "work_key", "memory_id")
-            .join(broadcast_if_small(origin), "origin_run"))
+            .join(origin, "origin_run"))
     kept = (left.join(memories.filter("sealed").select(F.col("id").alias("memory_id"), "seq"), "memory_id")
             .filter(F.col("seq") <= F.col("memory_high_water")))
     # every (origin, later run) pair is listed before the join, so the work
@@ -172,7 +172,7 @@ def carry_work(run_work: DataFrame, runs: DataFrame, memories: DataFrame, target
     pairs = (origin.select("origin_run", F.lit(1).alias("one"))
              .join(targets.select("run_id", F.lit(1).alias("one")), "one")
              .filter(F.col("origin_run") < F.col("run_id")).select("origin_run", "run_id"))
-    return kept.join(broadcast_if_small(pairs), "origin_run").select(
+    return kept.join(pairs, "origin_run").select(
         "run_id", F.concat(F.lit("carry:"), F.col("origin_run"), F.lit(":"), F.col("work_key")).alias("work_key"),
         F.lit("carry").alias("phase"), "memory_id")
 

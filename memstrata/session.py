@@ -73,21 +73,13 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
-    """Hint a broadcast when the optimizer's size bound fits a quarter of the limit.
-
-    Meant for plain scans and aggregates, whose bound is their input size; the
-    quarter leaves room for compressed columns. Beyond it the frame stays
-    unhinted: the join is shuffled and adaptive execution splits skew.
-    """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
-    return F.broadcast(df) if size <= limit // 4 else df
-
-
 def broadcast_measured(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
     """Write the frame, measure its real volume, hint a broadcast if it fits.
 
-    For frames whose volume the optimizer cannot bound, such as exploded terms.
+    Plain small tables are left to the optimizer, which knows their file size.
+    This is for frames whose volume it cannot bound, such as exploded terms,
+    joined with a side too large to shuffle. Beyond the limit the frame stays
+    unhinted: the join is shuffled and adaptive execution splits skew.
     """
     written = durable(df)
     volume = written.agg(F.sum(F.octet_length(F.to_json(F.struct(*written.columns))))).first()[0] or 0
@@ -114,7 +106,7 @@ def dense_position(df: DataFrame, order: list[str], buckets: list[Column], name:
     offsets = counts.select(*keys, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
     inside = Window.partitionBy(*keys).orderBy(*order)
     return (tagged.withColumn("__r", F.row_number().over(inside))
-            .join(broadcast_if_small(offsets), keys)
+            .join(offsets, keys)
             .withColumn(name, (F.col("__offset") + F.col("__r")).cast("long"))
             .drop(*keys, "__r", "__offset"))
 
@@ -132,6 +124,6 @@ def prefix_sums(df: DataFrame, keys: list[str], slot: Column, order: list[Column
     shifts = totals.select(*keys, "__slot", F.coalesce(F.sum("__t").over(earlier), F.lit(0)).alias("__shift"))
     inside = Window.partitionBy(*keys, "__slot").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return (tagged.withColumn("__before", F.coalesce(F.sum("__v").over(inside), F.lit(0)))
-            .join(broadcast_if_small(shifts), [*keys, "__slot"])
+            .join(shifts, [*keys, "__slot"])
             .withColumn(name, F.col("__shift") + F.col("__before"))
             .drop("__slot", "__v", "__before", "__shift"))

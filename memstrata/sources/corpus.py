@@ -361,7 +361,7 @@ class Corpus:
                 F.col("id").alias("memory_id"), "depth",
                 F.when(F.col("depth") == 0, F.col("seq") - 1).otherwise(F.col("seq") % n).alias("vec_id"))
             return owners.join(vectors, "vec_id").select(
-                "memory_id", F.lit(SPACE).alias("space"), F.size("vector").alias("dimensions"), "vector", "depth")
+                "memory_id", F.lit(SPACE).alias("space"), F.size("vector").alias("dimensions"), "vector", "depth", "vec_id")
         return self.space.table("embeddings", build)
 
     @property

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,20 +21,19 @@ def parse_json_columns(df: DataFrame) -> DataFrame:
     return out
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The stored table with its declared schema, empty when it is not there."""
+    try:
+        return spark.read.schema(schema(name)).parquet(f"{folder}/{name}")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema(name))
 
 
 def scan_ledger(spark: SparkSession, folder: str, tables: tuple[str, ...] = REPORT_TABLES) -> dict[str, DataFrame]:
     """Declared-schema frames of a stored corpus; an absent table is an empty one."""
-    out = {}
-    for name in tables:
-        path = f"{folder}/{name}"
-        frame = (spark.read.schema(schema(name)).parquet(path) if _exists(spark, path)
-                 else spark.createDataFrame([], schema(name)))
-        out[name] = parse_json_columns(frame)
-    return out
+    return {name: parse_json_columns(read_table(spark, folder, name)) for name in tables}
 
 
 def late_content(ids: DataFrame, memories: DataFrame) -> DataFrame:
