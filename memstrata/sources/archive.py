@@ -57,6 +57,30 @@ def archive_text(sources_with_raw: DataFrame) -> DataFrame:
     ).alias("text"))
 
 
+def write_archive(archived: DataFrame, folder: str) -> None:
+    """One Markdown file per source below the shared folder.
+
+    ``archived(relative_path, text)``. The path holds the content digest, so a
+    repeated task writes the same bytes to the same place.
+    """
+    def write(rows) -> None:
+        import posixpath
+
+        from pyarrow import fs
+        target, root = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+        made: set[str] = set()
+        for row in rows:
+            path = f"{root}/{row.relative_path}"
+            parent = posixpath.dirname(path)
+            if parent not in made:
+                target.create_dir(parent, recursive=True)
+                made.add(parent)
+            with target.open_output_stream(path) as out:
+                out.write(row.text.encode("utf-8"))
+
+    archived.select("relative_path", "text").foreachPartition(write)
+
+
 def artifact_status(sources: DataFrame, archive: DataFrame, corpus_prefix: str = "sources/") -> DataFrame:
     """Classify registered sources against the archive; sizes only when available."""
     held = archive.select(

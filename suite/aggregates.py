@@ -126,7 +126,7 @@ with {CORPORA}, k as (select * from (select corpus_id, count(*) filter (status =
     join (select corpus_id, {USAGE} from a group by 1) using (corpus_id))
 select corpus_id, sum(completed_sources)::bigint completed_sources, sum(depth0)::bigint depth0, sum(higher_depth)::bigint higher_depth,
     sum(completed_dreams)::bigint completed_dreams, sum(finished_meditations)::bigint finished_meditations, sum(calls)::bigint calls,
-    round(sum(settled_usd), 6) settled_usd, round(sum(reserved_usd), 6) reserved_usd, sum(input_tokens)::bigint input_tokens, sum(output_tokens)::bigint output_tokens
+    round(sum(settled_usd), 9) settled_usd, round(sum(reserved_usd), 9) reserved_usd, sum(input_tokens)::bigint input_tokens, sum(output_tokens)::bigint output_tokens
 from k group by rollup (corpus_id)""")
 def _(c):
     return accounting.execution_status(
@@ -240,8 +240,8 @@ w as (select date, count(distinct (run_id, work_key)) works from c_opsd where ki
 @query("daily_cost_summary", f"""
 with {COST} select cast(date as varchar) date, api_calls, {usd('actual_usd')} actual_usd, {usd('unsettled_reserved_usd')} unsettled_reserved_usd, unsettled_calls, unattributed_calls,
     {usd('unattributed_actual_usd')} unattributed_actual_usd, {usd('assimilation_actual_usd')} assimilation_actual_usd, coalesce(new_sources, 0) new_sources, coalesce(works, 0) works,
-    case when coalesce(new_sources, 0) > 0 then round(cast(actual_usd as double) / new_sources, 6) end actual_usd_per_new_source,
-    case when coalesce(works, 0) > 0 then round(cast(assimilation_actual_usd as double) / works, 6) end actual_usd_per_assimilation_work
+    case when coalesce(new_sources, 0) > 0 then round(cast(actual_usd as double) / new_sources, 9) end actual_usd_per_new_source,
+    case when coalesce(works, 0) > 0 then round(cast(assimilation_actual_usd as double) / works, 9) end actual_usd_per_assimilation_work
 from k left join s using (date) left join w using (date)""")
 def _(c):
     return report.cost_summary(attributed(c), c.operations, source_details(c), ZONE)
@@ -294,14 +294,14 @@ k as (select *, cast(item_id % 7 + 1 as decimal(10, 0)) * 0.001 shared_usd, cast
 
 
 @query("benchmark_condition_summary", f"""
-with {COSTED} select condition, count(*) questions, count(*) filter (hit) hits, round(count(*) filter (hit) / count(*)::double, 6) recall_at_5,
-    count(*) filter (correct) correct_answers, round(count(*) filter (correct) / count(*)::double, 6) accuracy,
+with {COSTED} select condition, count(*) questions, count(*) filter (hit) hits, round(count(*) filter (hit) / count(*)::double, 9) recall_at_5,
+    count(*) filter (correct) correct_answers, round(count(*) filter (correct) / count(*)::double, 9) accuracy,
     {usd('sum(shared_usd + condition_usd)')} attributed_usd, {usd('sum(shared_reserved + condition_reserved)')} reserved_usd, {usd('sum(condition_usd)')} condition_usd,
-    sum(recall_tokens)::bigint recall_tokens, round(sum(recall_tokens) / count(*)::double, 6) mean_recall_tokens,
+    sum(recall_tokens)::bigint recall_tokens, round(sum(recall_tokens) / count(*)::double, 9) mean_recall_tokens,
     count(*) filter (candidate_failure) candidate_failures, count(*) filter (selection_failure) selection_failures, count(*) filter (answer_failure) answer_failures,
     sum(sources)::bigint sources, sum(depth0)::bigint depth0, sum(b * (item_id % 4))::bigint depth1, sum(b * (item_id % 2))::bigint depth2_plus,
     sum(b * (item_id % 9))::bigint positive_relations, sum(b * (item_id % 3))::bigint negative_relations, sum(b * (item_id % 4))::bigint dream_memories,
-    sum(b * (item_id % 2))::bigint meditation_memories, round(sum(depth0) / sum(sources)::double, 6) depth0_per_source from k group by 1""")
+    sum(b * (item_id % 2))::bigint meditation_memories, round(sum(depth0) / sum(sources)::double, 9) depth0_per_source from k group by 1""")
 def _(c):
     return evaluation.condition_summary(metrics(c))
 
@@ -312,16 +312,16 @@ with {COSTED}, p as (select query_id, bool_or(hit) filter (condition = 'A') a, b
 select count(*) completed_questions, count(*) filter (query_id not in (select query_id from c_gold)) no_gold, count(*) filter (contains(query_id, '_abs')) abstentions,
     count(*) filter (not a and b) gains, count(*) filter (a and not b) regressions, {usd('sum(shared_usd)')} shared_usd, {usd('sum(shared_usd + cu)')} actual_usd,
     {usd('sum(shared_reserved + cr)')} reserved_usd, 500 expected_questions, count(*) = 500 complete,
-    round(100 * (count(*) filter (b) - count(*) filter (a)) / count(*)::double, 6) difference_pp,
+    round(100 * (count(*) filter (b) - count(*) filter (a)) / count(*)::double, 9) difference_pp,
     case when count(*) = 500 then 100 * (count(*) filter (b) - count(*) filter (a)) >= 3 * count(*) end meets_threshold from p""")
 def _(c):
     return evaluation.benchmark_summary(metrics(c), c.gold, 500)
 
 
 @query("category_metrics", """
-select question_type, count(distinct query_id) questions, round(count(*) filter (condition = 'A' and hit) / count(distinct query_id)::double, 6) first_recall,
-    round(count(*) filter (condition = 'B' and hit) / count(distinct query_id)::double, 6) second_recall,
-    round(100 * (count(*) filter (condition = 'B' and hit) - count(*) filter (condition = 'A' and hit)) / count(distinct query_id)::double, 6) difference_pp,
+select question_type, count(distinct query_id) questions, round(count(*) filter (condition = 'A' and hit) / count(distinct query_id)::double, 9) first_recall,
+    round(count(*) filter (condition = 'B' and hit) / count(distinct query_id)::double, 9) second_recall,
+    round(100 * (count(*) filter (condition = 'B' and hit) - count(*) filter (condition = 'A' and hit)) / count(distinct query_id)::double, 9) difference_pp,
     100 * (count(*) filter (condition = 'B' and hit) - count(*) filter (condition = 'A' and hit)) <= -5 * count(distinct query_id) investigate
 from c_flags group by 1""")
 def _(c):

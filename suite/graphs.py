@@ -1 +1,212 @@
-"""To be filled."""
+"""Graph and provenance operators."""
+
+from pyspark.sql import functions as F
+
+from memstrata.config import EngineConfig
+from memstrata.operators import audits, graph, neighbourhoods
+from memstrata.plans import daily_report as report
+from memstrata.plans import work
+
+from .aggregates import ZONE, attributed, day_runs, linked_operations
+from .joins import NEAREST, nearest_same_depth
+from .registry import query
+
+CONFIG = EngineConfig()
+
+
+@query("trace_provenance", """
+with recursive_paths as (select 1),
+p(start, memory_id, path) as (select id, id, [id] from c_mem union all select p.start, d.parent_id, list_append(p.path, d.parent_id) from p join c_df d on d.child_id = p.memory_id),
+f as (select start, memory_id, min(path) path from p group by 1, 2)
+select start, memory_id, row_number() over (partition by start order by path) visit, false broken from f""".replace("with recursive_paths as (select 1),\np(", "with p("))
+def _(c):
+    starts = c.memories.select(F.col("id").alias("start"))
+    return graph.trace_provenance(starts, c.memories, c.derived_from).select("start", "memory_id", "visit", "broken")
+
+
+@query("trace_sources", "select memory_id as start, source_id from c_roots")
+def _(c):
+    starts = c.memories.select(F.col("id").alias("start"))
+    return graph.trace_sources(graph.trace_provenance(starts, c.memories, c.derived_from))
+
+
+@query("bounded_ancestry", """
+select a.start, a.memory_id, m.depth, false truncated, row_number() over (partition by a.start order by m.depth desc, m.id) as position
+from c_anc a join c_mem m on m.id = a.memory_id""")
+def _(c):
+    return graph.bounded_ancestry_all(c.memories, c.derived_from)
+
+
+@query("source_roots", "select memory_id, source_id from c_roots")
+def _(c):
+    return graph.source_roots(c.memories, c.derived_from)
+
+
+@query("frontier_union", "select distinct memory_id from c_anc where starts_with(start, 'mem_d2_')")
+def _(c):
+    starts = c.memories.filter("depth = 2").select(F.lit("all").alias("start"), F.col("id").alias("memory_id"))
+    return graph.ancestor_closure(starts, c.derived_from, 2).select("memory_id")
+
+
+@query("abstraction_feasibility", """
+with m as (select 'a' || d.child_id set_id, d.parent_id memory_id from c_df d union all select 'b' || child_id, parent_id from (
+        select *, row_number() over (partition by child_id order by parent_id) n from c_df) where n <= 2
+    union all select 'c' || source_ref, id from c_mem where depth = 0),
+x as (select m.set_id, b.depth, count(distinct m.memory_id) n, (select count(distinct r.source_id) from m k join c_roots r on r.memory_id = k.memory_id join c_mem z on z.id = k.memory_id
+        where k.set_id = m.set_id and z.depth = b.depth) s from m join c_mem b on b.id = m.memory_id group by 1, 2)
+select set_id, bool_or(n >= 3 and s >= pow(3, depth + 1)) feasible from x group by 1""")
+def _(c):
+    from pyspark.sql import Window
+    d = c.derived_from
+    two = d.withColumn("n", F.row_number().over(Window.partitionBy("child_id").orderBy("parent_id"))).filter("n <= 2")
+    sets = (d.select(F.concat(F.lit("a"), "child_id").alias("set_id"), F.col("parent_id").alias("memory_id"))
+            .unionByName(two.select(F.concat(F.lit("b"), "child_id").alias("set_id"), F.col("parent_id").alias("memory_id")))
+            .unionByName(c.memories.filter("depth = 0").select(F.concat(F.lit("c"), "source_ref").alias("set_id"), F.col("id").alias("memory_id"))))
+    return neighbourhoods.abstraction_feasibility(sets, c.memories, c.roots, CONFIG.root_base)
+
+
+ASSEMBLE = f"""{NEAREST},
+o as (select memory_id seed_id, related_memory_id memory_id, min(seq) place, bool_or(target_depth = owner_depth) same from c_edges group by 1, 2),
+sd as (select memory_id seed_id from c_emb),
+fresh as (select n.seed_id, n.memory_id, n.rank, row_number() over (partition by n.seed_id order by n.rank) k from near n
+    left join o on o.seed_id = n.seed_id and o.memory_id = n.memory_id and o.same where o.seed_id is null),
+listed as (select seed_id, seed_id memory_id, 0 stage, 0 place from sd union all select o.seed_id, o.memory_id, 1, place from o join sd using (seed_id) where same
+    union all select seed_id, memory_id, 2, rank from fresh f where k <= 2 - coalesce((select count(*) from o where o.seed_id = f.seed_id and same), 0)
+    union all select o.seed_id, o.memory_id, 3, place from o join sd using (seed_id) union all select seed_id, memory_id, 4, rank from near),
+first_place as (select seed_id, memory_id, min((stage, place)) p from listed group by 1, 2),
+hood as (select seed_id, memory_id, row_number() over (partition by seed_id order by p) as position from first_place qualify row_number() over (partition by seed_id order by p) <= 20)"""
+
+
+def seeds(c):
+    return c.embeddings.select(F.col("memory_id").alias("seed_id"), "depth")
+
+
+def hoods(c):
+    return c.space.table("hoods", lambda: neighbourhoods.neighbourhoods(
+        seeds(c), c.edges, nearest_same_depth(c).withColumnRenamed("query_id", "seed_id"), CONFIG))
+
+
+@query("neighbourhood_assembly", f"with {ASSEMBLE} select seed_id, memory_id, position from hood")
+def _(c):
+    return hoods(c)
+
+
+@query("outgoing_expansion")
+def _(c):
+    return neighbourhoods.expand_outgoing(hoods(c), c.derived_from, c.edges, c.memories, CONFIG.meditation_graph_limit)
+
+
+@query("source_evidence", f"""
+with {ASSEMBLE},
+l1 as (select h.seed_id, d.parent_id memory_id, min((h.position, d.parent_id)) p from hood h join c_df d on d.child_id = h.memory_id group by 1, 2),
+n1 as (select l1.seed_id, l1.memory_id, row_number() over (partition by l1.seed_id order by p) place from l1 left join hood h using (seed_id, memory_id) where h.seed_id is null),
+l2 as (select n1.seed_id, d.parent_id memory_id, min((n1.place, d.parent_id)) p from n1 join c_df d on d.child_id = n1.memory_id group by 1, 2),
+n2 as (select l2.seed_id, l2.memory_id, row_number() over (partition by l2.seed_id order by p) place from l2 left join hood h using (seed_id, memory_id)
+    left join n1 using (seed_id, memory_id) where h.seed_id is null and n1.seed_id is null),
+v as (select seed_id, memory_id, 0 lev, position place from hood union all select seed_id, memory_id, 1, place from n1 union all select seed_id, memory_id, 2, place from n2),
+s as (select v.seed_id, m.source_ref source_id, min((lev, place)) p from v join c_mem m on m.id = v.memory_id where m.source_ref is not null group by 1, 2)
+select seed_id, source_id, row_number() over (partition by seed_id order by p) as position from s qualify row_number() over (partition by seed_id order by p) <= 12""")
+def _(c):
+    return neighbourhoods.source_evidence(hoods(c), c.derived_from, c.memories, CONFIG.meditation_source_limit, 2)
+
+
+@query("assimilation_candidates", f"""
+with {NEAREST}, listed as (select memory_id seed_id, related_memory_id memory_id, 0 stage, seq place from c_edges where memory_id in (select memory_id from c_emb)
+    union all select seed_id, memory_id, 1, rank from near),
+f as (select seed_id, memory_id, min((stage, place)) p from listed where memory_id <> seed_id group by 1, 2)
+select seed_id, memory_id, row_number() over (partition by seed_id order by p) as position from f qualify row_number() over (partition by seed_id order by p) <= 30""")
+def _(c):
+    found = nearest_same_depth(c).withColumnRenamed("query_id", "seed_id")
+    return neighbourhoods.assimilation_candidates(seeds(c), c.edges, found, CONFIG.search_candidates)
+
+
+@query("session_ancestry_errors", """
+select id memory_id, 'unmapped source' problem from c_mem where depth = 0 and seq % 11 <> 0 and source_ref in (select id from c_reg where first_call_id % 29 = 0)
+union all select child_id, 'missing parent' from c_df where child_id not in ('mem_d1_1', 'mem_d2_1') and child_id in (select id from c_mem where seq % 11 <> 0) and parent_id in (select id from c_mem where seq % 11 = 0) group by 1
+union all select m.id, 'abstraction without parents' from c_mem m where m.depth > 0 and m.seq % 11 <> 0 and m.id in ('mem_d1_1', 'mem_d2_1')""")
+def _(c):
+    from memstrata.operators.evaluation import ancestry_errors
+    kept = c.memories.filter("seq % 11 <> 0")
+    mapping = c.registered.filter("first_call_id % 29 <> 0").select(F.col("id").alias("source_id"))
+    cut = c.derived_from.filter("child_id not in ('mem_d1_1', 'mem_d2_1')")
+    return ancestry_errors(kept, cut, mapping)
+
+
+@query("activity_component", "select cast(date as varchar) date, id from c_dayops")
+def _(c):
+    return report.day_operations(c.operations, attributed(c), ZONE)
+
+
+@query("report_memory_closure", """
+with o as (select d.date, o.* from c_dayops d join c_ops o on o.id = d.id),
+named as (select o.date, r.id memory_id from o join c_reflist r on r.event_id = o.event_id and r.role <> 'source'
+    union select date, seed_id from o where seed_id is not null
+    union select cast(timezone('Asia/Seoul', timezone('UTC', created_at)) as date), id from c_mem
+    union select d.date, w.memory_id from c_dayruns d join c_work w on w.run_id = d.run_id
+    union select x.date, unnest([r.memory_id, r.related_memory_id]) from c_results r join (
+        select distinct date, run_id, work_key from o where run_id is not null) x on x.run_id = r.run_id and x.work_key = r.work_key
+    union select cast(timezone('Asia/Seoul', timezone('UTC', "at")) as date), unnest([memory_id, related_memory_id]) from c_results)
+select distinct cast(n.date as varchar) date, coalesce(a.memory_id, n.memory_id) memory_id from named n left join c_anc a on a.start = n.memory_id""")
+def _(c):
+    return report.report_memories(c.activity, linked_operations(c), day_runs(c), c.run_work, c.relation_results,
+                                  c.memories, c.derived_from, ZONE)
+
+
+@query("report_sources", """
+with o as (select d.date, o.* from c_dayops d join c_ops o on o.id = d.id),
+made as (select cast(timezone('Asia/Seoul', timezone('UTC', created_at)) as date) date, id memory_id from c_mem)
+select distinct cast(date as varchar) date, source_id from (
+    select m.date, r.source_id from made m join c_roots r on r.memory_id = m.memory_id union all select date, source_id from o where source_id is not null)""")
+def _(c):
+    created = report.on_date(c.memories, "created_at", ZONE).select(F.col("date").alias("start"), F.col("id").alias("memory_id"))
+    closure = graph.ancestor_closure(created, c.derived_from, 2).withColumnRenamed("start", "date")
+    return report.report_sources(closure, linked_operations(c), c.operations, c.memories)
+
+
+@query("changed_memories", "select run_id, memory_id from c_changed")
+def _(c):
+    return work.changed_memories(c.memories, c.relations, c.runs)
+
+
+# ---- audits ---------------------------------------------------------------------
+
+@query("graph_invariant_audit", """
+select 'depth and origin disagree' as rule, id as key from c_mem where seq % 97 = 3 and depth = 0
+union all select 'blank content', id from c_mem where seq % 97 = 5
+union all select 'relation kind', seq::varchar from c_rel where seq % 41 = 0
+union all select 'self relation', seq::varchar from c_rel where seq % 43 = 0
+union all select 'source status', id from c_reg where first_call_id % 61 = 0
+union all select 'fewer than B parents', child_id from (select child_id, count(*) filter (parent_id > (select min(x.parent_id) from c_df x where x.child_id = d.child_id and starts_with(x.child_id, 'mem_d2_'))
+    or not starts_with(child_id, 'mem_d2_')) n from c_df d group by 1) where n < 3""")
+def _(c):
+    kind = F.col("seq") % 97
+    m = c.memories.withColumns({
+        "dream_revision": F.when((kind == 3) & (F.col("depth") == 0), 5).otherwise(F.col("dream_revision")),
+        "content": F.when(kind == 5, "  ").otherwise(F.col("content"))})
+    r = c.relations.withColumns({
+        "kind": F.when(F.col("seq") % 41 == 0, "neutral").otherwise(F.col("kind")),
+        "related_memory_id": F.when(F.col("seq") % 43 == 0, F.col("memory_id")).otherwise(F.col("related_memory_id"))})
+    s = c.registered.withColumn("status", F.when(F.col("first_call_id") % 61 == 0, "lost").otherwise(F.col("status")))
+    lowest = c.derived_from.filter("child_id like 'mem\\_d2\\_%'").groupBy("child_id").agg(F.min("parent_id").alias("parent_id"))
+    d = c.derived_from.join(lowest, ["child_id", "parent_id"], "left_anti")
+    return audits.graph_violations(m, d, c.roots, r, s, CONFIG)
+
+
+@query("history_immutability_audit", """
+select 'deleted memories' as rule, id as key from c_mem where seq % 53 = 1
+union all select 'changed memories', id from c_mem where seq % 53 = 2
+union all select 'unsealed memory', id from c_mem where seq % 53 = 3
+union all select 'deleted derived_from', child_id || '|' || parent_id from c_df where parent_id in (select id from c_mem where seq % 59 = 4)
+union all select 'changed relations', memory_id || '|' || related_memory_id || '|' || kind from c_rel where seq % 37 = 1
+union all select 'changed sources', id from c_reg where first_call_id % 47 = 0""")
+def _(c):
+    k = F.col("seq") % 53
+    old = {"memories": c.memories, "sources": c.registered, "derived_from": c.derived_from, "memory_roots": c.roots, "relations": c.relations}
+    hidden = c.memories.filter("seq % 59 = 4").select(F.col("id").alias("parent_id"))
+    new = dict(old)
+    new["memories"] = (c.memories.filter(k != 1).withColumn("content", F.when(k == 2, "edited").otherwise(F.col("content")))
+                       .withColumn("sealed", k != 3))
+    new["derived_from"] = c.derived_from.join(hidden, "parent_id", "left_anti")
+    new["relations"] = c.relations.withColumn("run_id", F.when(F.col("seq") % 37 == 1, 0).otherwise(F.col("run_id")))
+    new["sources"] = c.registered.withColumn("relative_path", F.when(F.col("first_call_id") % 47 == 0, "moved").otherwise(F.col("relative_path")))
+    return audits.history_violations(old, new)

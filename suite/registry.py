@@ -22,7 +22,7 @@ def present(df: DataFrame) -> DataFrame:
     for name, kind in df.dtypes:
         c = F.col(f"`{name}`")
         if kind.startswith("decimal"):
-            c = F.round(c.cast("double"), 6)
+            c = F.round(c.cast("double"), 9)
         elif kind == "date":
             c = c.cast("string")
         elif kind in ("int", "smallint", "tinyint"):
@@ -69,4 +69,4 @@ def query(name: str, sql: str | None = None):
 
 
 def usd(expr: str) -> str:
-    return f"round(cast({expr} as double), 6)"
+    return f"round(cast({expr} as double), 9)"

@@ -174,8 +174,8 @@ cov as (select query_id, count(distinct id) filter (rank <= 5) s, count(distinct
 x as (select q.query_id, coalesce(g.n, 0) n_gold, coalesce(s, 0) n_selected, coalesce(k, 0) n_candidate
     from c_q q left join g on g.query_id = q.query_id left join cov on cov.query_id = q.query_id)
 select query_id, n_gold, n_selected, n_candidate, n_selected > 0 hit, n_candidate > 0 candidate_hit,
-    case when n_gold = 0 then 0.0::double else round(n_selected::double / n_gold, 6) end selected_share,
-    case when n_gold = 0 then 0.0::double else round(n_candidate::double / n_gold, 6) end candidate_share,
+    case when n_gold = 0 then 0.0::double else round(n_selected::double / n_gold, 9) end selected_share,
+    case when n_gold = 0 then 0.0::double else round(n_candidate::double / n_gold, 9) end candidate_share,
     n_gold > 0 and n_selected = n_gold all_selected, n_gold > 0 and n_candidate = n_gold all_candidates, n_gold = 0 extraction_failure,
     n_gold > 0 and n_candidate = 0 candidate_failure, n_gold > 0 and n_candidate > 0 and n_selected = 0 selection_failure from x""")
 def _(c):
