@@ -1 +1,132 @@
-"""To be filled."""
+"""Streaming jobs run to completion over stored tables, compared with their batch meaning."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from memstrata.streaming import jobs
+
+from .planning import LIFECYCLE, status_events
+from .registry import query, usd
+
+
+def stream_of(c, table: str, frame: DataFrame) -> DataFrame:
+    """The stored table as a file stream, a bounded number of files per batch."""
+    stored = c.space.table(f"stream_{table}", lambda: frame)
+    return c.spark.readStream.schema(stored.schema).option("maxFilesPerTrigger", 1000).parquet(f"{c.space.root}/stream_{table}")
+
+
+def drain(c, frame: DataFrame, mode: str = "append", write=None) -> DataFrame | None:
+    """Run the stream over all stored data; the sink is a table in the shared folder."""
+    jobs.use_rocksdb(c.spark)
+    run = uuid.uuid4().hex[:8]
+    out = f"{c.space.root}/stream_out/{run}"
+    writer = frame.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{c.space.root}/stream_cp/{run}")
+    if write is not None:
+        writer.foreachBatch(write).start().awaitTermination()
+        return None
+    if mode == "append":
+        writer.format("parquet").option("path", out).start().awaitTermination()
+    else:
+        def put(batch: DataFrame, number: int) -> None:
+            batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(out)
+        writer.foreachBatch(put).start().awaitTermination()
+    fields = list(frame.schema.fields) + ([] if mode == "append" else [T.StructField("batch", T.IntegerType())])
+    return c.spark.read.schema(T.StructType(fields)).parquet(out)
+
+
+def latest(updates: DataFrame, keys: list[str]) -> DataFrame:
+    """The last state per key of an update-mode output."""
+    rest = [x for x in updates.columns if x not in keys and x != "batch"]
+    return (updates.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*"))
+
+
+@query("stream_source_dedup", "select id, content_hash from c_reg")
+def _(c):
+    return drain(c, jobs.source_dedup(stream_of(c, "calls", c.calls))).select("id", "content_hash")
+
+
+@query("stream_daily_metrics", """
+select cast(date as varchar) date, kind, count(*) n, count(*) filter (status = 'failed') failed from c_opsd group by 1, 2""")
+def _(c):
+    ops = stream_of(c, "operations", c.operations.select("id", "kind", "status", "started_at"))
+    return latest(drain(c, jobs.daily_metrics_by_date(ops, "Asia/Seoul"), "update"), ["date", "kind"])
+
+
+@query("stream_daily_windows", """
+select d day_start, kind, count(*) n, count(*) filter (status = 'failed') failed from (
+    select *, timezone('UTC', timezone('Asia/Seoul', date_trunc('day', timezone('Asia/Seoul', timezone('UTC', started_at))))) d from c_ops)
+where d + to_days(1) <= (select max(started_at) from c_ops) - to_days(1) group by 1, 2""")
+def _(c):
+    ops = stream_of(c, "operations", c.operations.select("id", "kind", "status", "started_at"))
+    return drain(c, jobs.daily_metrics(ops, "15 hours"))
+
+
+@query("stream_daily_costs", f"""
+select cast(date as varchar) date, count(*) api_calls, {usd('sum(actual_usd)')} actual_usd from c_attr group by 1""")
+def _(c):
+    path = f"{c.space.root}/cost_days_{uuid.uuid4().hex[:8]}"
+    c.api_calls.select("id", "created_at", "actual_usd").write.parquet(f"{path}/calls")
+    calls = c.spark.readStream.schema("id string, created_at timestamp, actual_usd decimal(38,12)").parquet(f"{path}/calls")
+    drain(c, calls, write=jobs.daily_cost_upsert(path, "Asia/Seoul"))
+    return c.spark.read.schema("date date, api_calls long, actual_usd decimal(38,12)").parquet(f"{path}/days")
+
+
+@query("stream_source_status", LIFECYCLE + " where first_call_id % 6 <> 5")
+def _(c):
+    steps = drain(c, jobs.source_status(stream_of(c, "status", status_events(c).withColumn("seq", F.col("seq").cast("long")))))
+    return steps.filter("valid").groupBy("source_id").agg(F.max_by("status", "seq").alias("status"), F.count("*").alias("n_valid"))
+
+
+@query("stream_last_recalled", "select memory_id, max(recalled_at) last_recalled_at from c_recalls group by 1")
+def _(c):
+    updates = drain(c, jobs.last_recalled(stream_of(c, "recalls", c.recall_events)), "update")
+    return latest(updates, ["memory_id"])
+
+
+@query("stream_budget_alert", f"""
+with log as (select run_id, id, ordinal, created_at t, 1 step, reserved_usd amount from c_api where run_id is not null
+    union all select run_id, id, ordinal, completed_at, 0, actual_usd - reserved_usd from c_api where run_id is not null and completed_at is not null),
+x as (select *, coalesce(sum(amount) over (partition by run_id order by t, step, ordinal rows between unbounded preceding and 1 preceding), 0) exposure from log)
+select run_id, id, {usd('exposure')} exposure_before, exposure + amount > 0.25 violates from x where step = 1""")
+def _(c):
+    reserve = c.api_calls.select("run_id", "id", "ordinal", F.col("created_at").alias("at"), F.lit(1).alias("step"), F.col("reserved_usd").alias("amount"))
+    settle = c.api_calls.filter("completed_at is not null").select(
+        "run_id", "id", "ordinal", F.col("completed_at").alias("at"), F.lit(0).alias("step"), (F.col("actual_usd") - F.col("reserved_usd")).cast("decimal(38,12)").alias("amount"))
+    log = reserve.unionByName(settle).filter("run_id is not null")
+    return drain(c, jobs.budget_alert(stream_of(c, "budget_log", log), "0.25")).select("run_id", "id", "exposure_before", "violates")
+
+
+@query("stream_weekly_changes", """
+with ch as (select memory_id, related_at "at" from c_rel union all select id, created_at from c_mem where depth >= 1)
+select w week_start, memory_id, count(*) n from (select memory_id, TIMESTAMP '2024-01-01' + to_days(cast(7 * (date_diff('day', TIMESTAMP '2024-01-01', "at") // 7) as integer)) w, "at" from ch)
+where w + to_days(7) <= (select max("at") from ch) - to_days(1) group by 1, 2""")
+def _(c):
+    changes = (c.relations.select("memory_id", F.col("related_at").alias("at"))
+               .unionByName(c.memories.filter("depth >= 1").select(F.col("id").alias("memory_id"), F.col("created_at").alias("at"))))
+    # windows count from the epoch, a Thursday; the anchor is a Monday
+    return drain(c, jobs.weekly_changes(stream_of(c, "changes", changes), "4 days"))
+
+
+@query("stream_call_settlement_join", f"""
+select id, run_id, {usd('reserved_usd')} reserved_usd, {usd('actual_usd')} actual_usd, completed_at from c_api where actual_usd is not null
+    or created_at + to_hours(2) < (select least(max(created_at), max(completed_at)) from c_api) - to_hours(3)""")
+def _(c):
+    calls = stream_of(c, "reservations", c.api_calls.select("id", "run_id", "reserved_usd", "created_at"))
+    settled = stream_of(c, "settlements", c.api_calls.filter("actual_usd is not null").select("id", "actual_usd", "completed_at"))
+    out = drain(c, jobs.call_settlement(calls, settled))
+    # unmatched calls near the end of the data wait for the watermark
+    edge = c.api_calls.agg(F.least(F.max("created_at"), F.max("completed_at")).alias("m")).first().m
+    final = F.col("created_at") + F.expr("interval 2 hours") < F.lit(edge) - F.expr("interval 3 hours")
+    return out.filter(F.col("actual_usd").isNotNull() | final).select("id", "run_id", "reserved_usd", "actual_usd", "completed_at")
+
+
+@query("stream_first_outcome", "select distinct run_id, work_key, proposal_index from c_results")
+def _(c):
+    twice = c.relation_results.unionByName(c.relation_results)
+    out = drain(c, jobs.first_outcome(stream_of(c, "outcomes", twice), "60 days"))
+    return out.select("run_id", "work_key", "proposal_index")
