@@ -300,10 +300,10 @@ def containing_texts(items: DataFrame, texts: DataFrame, words: int = 4) -> Data
     split = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
     keyed = items.select("query_id", "text", split(F.col("text")).alias("w"))
     long = keyed.filter(F.size("w") >= words + 2).select(
-        "query_id", "text", F.xxhash64(F.concat_ws(" ", F.slice("w", 2, words))).alias("key"))
+        "query_id", "text", F.xxhash64(*[F.get("w", F.lit(1 + k)) for k in range(words)]).alias("key"))
     n = F.size("w") - words
     grams = F.when(n >= 0, F.array_distinct(F.transform(
-        F.sequence(F.lit(0), n), lambda i: F.xxhash64(F.concat_ws(" ", F.slice(F.col("w"), i + 1, F.lit(words)))))))
+        F.sequence(F.lit(0), n), lambda i: F.xxhash64(*[F.get("w", i + k) for k in range(words)]))))
     pairs = (texts.select("id", split(F.col("raw")).alias("w")).select("id", F.explode(grams).alias("key"))
              .join(broadcast_measured(long.select("query_id", "key")), "key").select("query_id", "id").distinct())
     short = durable(keyed.filter((F.size("w") < words + 2) & (F.length("text") > 0)).select("query_id", "text"))

@@ -366,7 +366,11 @@ class Corpus:
 
     @property
     def postings(self) -> DataFrame:
-        return self.space.table("postings", lambda: retrieval.build_postings(self.memories))
+        return self.space.table("postings", lambda: retrieval.build_postings(self.memories), ["bucket"])
+
+    @property
+    def frequencies(self) -> DataFrame:
+        return self.space.table("frequencies", lambda: retrieval.term_frequencies(self.postings))
 
     @property
     def collection(self) -> DataFrame:
@@ -400,7 +404,8 @@ class Corpus:
     def _search(self, depth: int | None) -> tuple[DataFrame, DataFrame]:
         return retrieval.hybrid_search(
             self.questions, self.query_vectors, self.memories.select("id", "depth"),
-            self.embeddings.select("memory_id", "vector"), self.postings, self.collection, 30, depth=depth)
+            self.embeddings.select("memory_id", "vector"), self.postings, self.collection, 30, depth=depth,
+            frequencies=self.frequencies)
 
     @property
     def rankings(self) -> DataFrame:
