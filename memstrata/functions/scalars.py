@@ -146,6 +146,19 @@ def usd(value: Column) -> Column:
     return value.cast(USD)
 
 
+def usd_add(a: Column, b: Column) -> Column:
+    """a + b without losing the last digit.
+
+    The sum of two decimal(38,12) would be rounded to a smaller scale, because
+    its full precision does not fit; amounts of up to 25 integer digits do.
+    """
+    return (a.cast("decimal(37,12)") + b.cast("decimal(37,12)")).cast(USD)
+
+
+def usd_sub(a: Column, b: Column) -> Column:
+    return usd_add(a, -b.cast("decimal(37,12)"))
+
+
 def rate(numerator: Column, denominator: Column) -> Column:
     """Null when the denominator is zero."""
     return F.try_divide(numerator.cast("decimal(20,6)"), denominator.cast("decimal(20,0)"))

@@ -56,7 +56,8 @@ def usage_by_operation(calls: DataFrame) -> DataFrame:
 def usage_subtract(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     right = b.select(key, *[F.col(f).alias(f"b_{f}") for f in USAGE_FIELDS])
     return a.join(right, key, "left").select(
-        key, *[(F.col(f) - F.coalesce(f"b_{f}", F.lit(0))).alias(f) for f in USAGE_FIELDS])
+        key, *[(S.usd_sub(F.col(f), F.coalesce(f"b_{f}", F.lit(0))) if f.endswith("usd")
+                else F.col(f) - F.coalesce(f"b_{f}", F.lit(0))).alias(f) for f in USAGE_FIELDS])
 
 
 def budget_timeline(calls: DataFrame, budget: Column) -> DataFrame:
@@ -69,15 +70,15 @@ def budget_timeline(calls: DataFrame, budget: Column) -> DataFrame:
                            F.col("reserved_usd").alias("amount"))
     settle = (calls.filter(F.col("completed_at").isNotNull())
               .select("run_id", "id", "ordinal", F.col("completed_at").alias("at"), F.lit(0).alias("step"),
-                      (F.col("actual_usd") - F.col("reserved_usd")).cast(USD).alias("amount")))
+                      S.usd_sub(F.col("actual_usd"), F.col("reserved_usd")).alias("amount")))
     log = reserve.unionByName(settle).filter(F.col("run_id").isNotNull())
     timeline = prefix_sums(log, ["run_id"], F.date_trunc("hour", "at"),
                            [F.col("at"), F.col("step"), F.col("ordinal")], F.col("amount"), "exposure_before")
-    after = F.col("exposure_before") + F.col("amount")
+    after = S.usd_add(F.col("exposure_before"), F.col("amount"))
     return (timeline.filter("step = 1")
             .select("run_id", "id", "at", F.col("amount").alias("reserved_usd"),
                     F.col("exposure_before").cast(USD).alias("exposure_before"),
-                    (budget - after).cast(USD).alias("headroom"), (after > budget).alias("violates")))
+                    S.usd_sub(budget, after).alias("headroom"), (after > budget).alias("violates")))
 
 
 # ---- corpus counters ------------------------------------------------------------

@@ -153,8 +153,8 @@ def condition_summary(metrics: DataFrame) -> DataFrame:
     return metrics.groupBy("condition").agg(
         n.alias("questions"), F.count_if("hit").alias("hits"), S.rate(F.count_if("hit"), n).alias("recall_at_5"),
         F.count_if("correct").alias("correct_answers"), S.rate(F.count_if("correct"), n).alias("accuracy"),
-        total(F.col("shared_usd") + F.col("condition_usd")).alias("attributed_usd"),
-        total(F.col("shared_reserved") + F.col("condition_reserved")).alias("reserved_usd"),
+        total(S.usd_add(F.col("shared_usd"), F.col("condition_usd"))).alias("attributed_usd"),
+        total(S.usd_add(F.col("shared_reserved"), F.col("condition_reserved"))).alias("reserved_usd"),
         total("condition_usd").alias("condition_usd"),
         F.sum("recall_tokens").alias("recall_tokens"), S.rate(F.sum("recall_tokens"), n).alias("mean_recall_tokens"),
         F.count_if("candidate_failure").alias("candidate_failures"),
@@ -180,8 +180,8 @@ def benchmark_summary(metrics: DataFrame, gold: DataFrame, expected: int, full:
         F.count_if(S.abstention_flag(F.col("query_id"))).alias("abstentions"),
         F.count_if(~F.col("a") & F.col("b")).alias("gains"), F.count_if(F.col("a") & ~F.col("b")).alias("regressions"),
         F.sum("shared_usd").cast(USD).alias("shared_usd"),
-        F.sum(F.col("shared_usd") + F.col("both_usd")).cast(USD).alias("actual_usd"),
-        F.sum(F.col("shared_reserved") + F.col("both_reserved")).cast(USD).alias("reserved_usd"))
+        F.sum(S.usd_add(F.col("shared_usd"), F.col("both_usd"))).cast(USD).alias("actual_usd"),
+        F.sum(S.usd_add(F.col("shared_reserved"), F.col("both_reserved"))).cast(USD).alias("reserved_usd"))
     complete = (F.lit(expected) == full) & (F.col("completed_questions") == full)
     pp = S.percentage_points(F.col("rb") - F.col("ra"))
     return (out.withColumn("expected_questions", F.lit(expected).cast("long")).withColumn("complete", complete)

@@ -14,6 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.scalars import usd_add
+
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
 
 
@@ -123,7 +125,9 @@ def prefix_sums(df: DataFrame, keys: list[str], slot: Column, order: list[Column
     earlier = Window.partitionBy(*keys).orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
     shifts = totals.select(*keys, "__slot", F.coalesce(F.sum("__t").over(earlier), F.lit(0)).alias("__shift"))
     inside = Window.partitionBy(*keys, "__slot").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return (tagged.withColumn("__before", F.coalesce(F.sum("__v").over(inside), F.lit(0)))
-            .join(shifts, [*keys, "__slot"])
-            .withColumn(name, F.col("__shift") + F.col("__before"))
+    before = F.coalesce(F.sum("__v").over(inside), F.lit(0))
+    money = dict(tagged.dtypes)["__v"].startswith("decimal")
+    total = usd_add(F.col("__shift"), F.col("__before")) if money else F.col("__shift") + F.col("__before")
+    return (tagged.withColumn("__before", before).join(shifts, [*keys, "__slot"])
+            .withColumn(name, total)
             .drop("__slot", "__v", "__before", "__shift"))

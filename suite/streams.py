@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from memstrata.functions import scalars as S
 from memstrata.streaming import jobs
 
 from .planning import LIFECYCLE, status_events
@@ -96,7 +97,7 @@ select run_id, id, {usd('exposure')} exposure_before, exposure + amount > 0.25 v
 def _(c):
     reserve = c.api_calls.select("run_id", "id", "ordinal", F.col("created_at").alias("at"), F.lit(1).alias("step"), F.col("reserved_usd").alias("amount"))
     settle = c.api_calls.filter("completed_at is not null").select(
-        "run_id", "id", "ordinal", F.col("completed_at").alias("at"), F.lit(0).alias("step"), (F.col("actual_usd") - F.col("reserved_usd")).cast("decimal(38,12)").alias("amount"))
+        "run_id", "id", "ordinal", F.col("completed_at").alias("at"), F.lit(0).alias("step"), S.usd_sub(F.col("actual_usd"), F.col("reserved_usd")).alias("amount"))
     log = reserve.unionByName(settle).filter("run_id is not null")
     return drain(c, jobs.budget_alert(stream_of(c, "budget_log", log), "0.25")).select("run_id", "id", "exposure_before", "violates")
 
