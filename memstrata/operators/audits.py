@@ -118,7 +118,14 @@ def corpus_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return left.subtract(right).unionByName(right.subtract(left)).agg(F.count("*").alias("n"))
 
 
-def frozen_set_equality(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """equal and subset flags of two id arrays per row."""
-    return (pairs.withColumn("equal", S.set_equal(F.col(a), F.col(b)))
-            .withColumn("subset", S.is_subset(F.col(a), F.col(b))))
+def set_equality(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
+    """Per key of ``a``: does ``b`` hold exactly, or at least, the same values?
+
+    Sets of any size: both sides are matched row by row and only counted.
+    """
+    left = a.select(key, value).distinct().withColumn("in_a", F.lit(True))
+    right = b.select(key, value).distinct().withColumn("in_b", F.lit(True))
+    return (left.join(right, [key, value], "full_outer").groupBy(key)
+            .agg(F.count("in_a").alias("n"), F.count_if(F.col("in_b").isNull()).alias("only_a"),
+                 F.count_if(F.col("in_a").isNull()).alias("only_b")).filter("n > 0")
+            .select(key, ((F.col("only_a") == 0) & (F.col("only_b") == 0)).alias("equal"), (F.col("only_a") == 0).alias("subset")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..schemas import USD
-from ..session import broadcast_measured, durable
+from ..session import broadcast_measured, durable, numbered
 from . import graph
 
 TOP = 5
@@ -59,16 +59,13 @@ def overlay(*frames: DataFrame) -> DataFrame:
 
 def gold_matches(retrieved: DataFrame, memories: DataFrame, derived_from: DataFrame, gold: DataFrame,
                  depth: int) -> DataFrame:
-    """(query_id, memory_id, gold_ids sorted): gold depth-0 ancestors of each retrieved memory."""
+    """(query_id, memory_id, gold_id): gold depth-0 ancestors of each retrieved memory, itself at depth 0."""
     starts = retrieved.select(F.col("memory_id").alias("start"), "memory_id").distinct()
     closure = graph.ancestor_closure(starts, derived_from, depth).join(
         memories.filter("depth = 0").select(F.col("id").alias("memory_id")), "memory_id", "left_semi")
-    hits = (retrieved.select("query_id", F.col("memory_id").alias("start")).distinct()
-            .join(closure, "start").join(gold.select("query_id", "memory_id"), ["query_id", "memory_id"]))
-    found = hits.groupBy("query_id", F.col("start").alias("memory_id")).agg(
-        F.array_sort(F.collect_set("memory_id")).alias("gold_ids"))
-    return (retrieved.select("query_id", "memory_id").distinct().join(found, ["query_id", "memory_id"], "left")
-            .withColumn("gold_ids", F.coalesce("gold_ids", F.array().cast("array<string>"))))
+    return (retrieved.select("query_id", F.col("memory_id").alias("start")).distinct()
+            .join(closure, "start").join(gold.select("query_id", "memory_id").distinct(), ["query_id", "memory_id"])
+            .select("query_id", F.col("start").alias("memory_id"), F.col("memory_id").alias("gold_id")))
 
 
 # ---- per-question metrics -------------------------------------------------------
@@ -107,8 +104,8 @@ def paired_outcome(metrics: DataFrame, first: str = "A", second: str = "B") -> D
 
 
 def evidence_coverage(matches: DataFrame, gold: DataFrame, questions: DataFrame) -> DataFrame:
-    """Coverage per question: ``matches(query_id, scope, gold_ids)`` with scope selected or candidate."""
-    covered = (matches.select("query_id", "scope", F.explode("gold_ids").alias("memory_id")).distinct()
+    """Coverage per question: ``matches(query_id, scope, gold_id)`` with scope selected or candidate."""
+    covered = (matches.select("query_id", "scope", "gold_id").distinct()
                .groupBy("query_id").agg(F.count_if(F.col("scope") == "selected").alias("n_selected"),
                                         F.count_if(F.col("scope") == "candidate").alias("n_candidate")))
     n_gold = gold.groupBy("query_id").agg(F.countDistinct("memory_id").alias("n_gold"))
@@ -207,9 +204,9 @@ def micro_verdict(metrics: DataFrame, matches: DataFrame, expected: int) -> Data
     """Wins, losses, ties and the verdict. An abstraction win needs a selected
     memory above depth 0 that reaches gold.
 
-    ``matches(query_id, depth, gold_ids)`` are the selected memories of condition B.
+    ``matches(query_id, depth, gold_id)`` are the selected memories of condition B.
     """
-    above = (matches.filter((F.col("depth") > 0) & (F.size("gold_ids") > 0)).select("query_id").distinct()
+    above = (matches.filter(F.col("depth") > 0).select("query_id").distinct()
              .withColumn("by_abstraction", F.lit(True)))
     side = paired_outcome(metrics).join(above, "query_id", "left")
     out = side.agg(F.count("*").alias("completed"), F.count_if("gain").alias("wins"), F.count_if("regression").alias("losses"),
@@ -262,17 +259,17 @@ def even_chronological_sample(sessions: DataFrame, cap: int = 10) -> tuple[DataF
         F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda i: F.when(
             F.col("k") == 1, F.floor((F.col("n_other") - 1) / 2)).otherwise(
             F.floor(i * (F.col("n_other") - 1) / (F.col("k") - 1))).cast("long"))).alias("place"))
-    order = Window.partitionBy("question_id").orderBy("ts", "ordinal")
-    others = (sessions.filter(~F.col("is_gold")).withColumn("place", (F.row_number().over(order) - 1).cast("long"))
+    order = [F.col("ts"), F.col("ordinal")]
+    others = (numbered(sessions.filter(~F.col("is_gold")), ["question_id"], F.to_date("ts"), order, "place")
+              .withColumn("place", F.col("place") - 1)
               .join(places.distinct(), ["question_id", "place"], "left_semi").drop("place"))
     kept = (sessions.filter("is_gold").unionByName(others.select(*sessions.columns))
             .join(errors.select("question_id"), "question_id", "left_anti"))
-    return kept.withColumn("position", F.row_number().over(order)), errors
+    return numbered(kept, ["question_id"], F.to_date("ts"), order), errors
 
 
 def stable_session_order(sessions: DataFrame) -> DataFrame:
-    order = Window.partitionBy("question_id").orderBy("ts", "ordinal")
-    return sessions.withColumn("position", F.row_number().over(order))
+    return numbered(sessions, ["question_id"], F.to_date("ts"), [F.col("ts"), F.col("ordinal")])
 
 
 def evaluation_cutoff(questions: DataFrame, sessions: DataFrame) -> DataFrame:

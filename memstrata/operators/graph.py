@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import durable
+from ..session import durable, numbered
 
 ROUNDS_PER_CUT = 4
 
@@ -64,9 +64,9 @@ def trace_provenance(starts: DataFrame, memories: DataFrame, derived_from: DataF
         out = out.unionByName(level)
     reached = out.groupBy("start", "memory_id").agg(F.min("path").alias("path"))
     known = memories.select(F.col("id").alias("memory_id"), "depth", "source_ref")
-    order = Window.partitionBy("start").orderBy("path")
-    return (reached.join(known, "memory_id", "left")
-            .withColumn("visit", F.row_number().over(order))
+    # one start may reach a third of the graph: number it branch by branch
+    visits = numbered(reached, ["start"], F.slice("path", 1, 2), [F.col("path")], "visit")
+    return (visits.join(known, "memory_id", "left")
             .withColumn("broken", F.col("depth").isNull()))
 
 

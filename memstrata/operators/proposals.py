@@ -110,10 +110,14 @@ def validate_relations(proposals: DataFrame, snapshot: DataFrame) -> DataFrame:
         "sound", F.array_contains("allowed", F.col("memory_id")) & F.coalesce("visible", F.lit(False))
         & (F.col("related_memory_id") == F.col("seed_id")) & (F.col("memory_id") != F.col("seed_id"))
         & F.col("kind").isin("positive", "negative"))
-    same = Window.partitionBy("run_id", "work_key", "memory_id", "related_memory_id", "kind", "sound").orderBy("proposal_index")
-    repeated = F.row_number().over(same) > 1
-    return (tagged.withColumn("reason", F.when(~F.col("sound") | repeated, RELATION_RULE))
-            .drop("visible", "sound"))
+    # the first of equal proposals is found by a combining aggregate and marked
+    # through the proposal key, so many equal proposals never meet in one task
+    first = (tagged.filter("sound").groupBy("run_id", "work_key", "memory_id", "related_memory_id", "kind")
+             .agg(F.min("proposal_index").alias("proposal_index"))
+             .select(*PROPOSAL_KEY, F.lit(True).alias("accepted")))
+    return (tagged.join(first, PROPOSAL_KEY, "left")
+            .withColumn("reason", F.when(F.col("accepted").isNull(), RELATION_RULE))
+            .drop("visible", "sound", "accepted"))
 
 
 def apply_relations(verdicts: DataFrame, memories: DataFrame, relations: DataFrame, runs: DataFrame,
@@ -135,12 +139,13 @@ def apply_relations(verdicts: DataFrame, memories: DataFrame, relations: DataFra
         "reason", F.when(F.col("reason").isNotNull(), F.col("reason"))
         .when(~F.coalesce(inside, F.lit(False)), "Relation references a memory outside the run snapshot."))
     triple = ["memory_id", "related_memory_id", "kind"]
-    stored = relations.select(*triple).withColumn("stored", F.lit(True))
-    place = Window.partitionBy(*triple, F.col("reason").isNull()).orderBy("run_id", "ordinal", "proposal_index")
+    first = (checked.filter(F.col("reason").isNull()).groupBy(*triple)
+             .agg(F.min(F.struct("run_id", "ordinal", "work_key", "proposal_index")).alias("f"))
+             .join(relations.select(*triple), triple, "left_anti")
+             .select("f.run_id", "f.work_key", "f.proposal_index", F.lit(True).alias("won")))
     outcome = (F.when(F.col("reason").isNotNull(), "rejected")
-               .when(F.col("stored") | (F.col("place") > 1), "already_exists").otherwise("appended"))
-    judged = (checked.join(stored, triple, "left").withColumn("place", F.row_number().over(place))
-              .withColumn("stored", F.coalesce("stored", F.lit(False))).withColumn("outcome", outcome))
+               .when(F.col("won"), "appended").otherwise("already_exists"))
+    judged = checked.join(first, PROPOSAL_KEY, "left").withColumn("outcome", outcome)
     new = judged.filter("outcome = 'appended'").select(*triple, F.col("at").alias("related_at"), "run_id")
     outcomes = judged.select(*PROPOSAL_KEY, "at", "outcome", *triple, "reason")
     if recorded is not None:

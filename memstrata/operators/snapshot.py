@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
@@ -36,14 +36,15 @@ def restore_last_recalled(memories: DataFrame, recalls: DataFrame) -> DataFrame:
     return memories.drop("last_recalled_at").join(last, "id", "left")
 
 
-def relation_lists(edges: DataFrame) -> DataFrame:
-    """Ordered outgoing relation list of each owner, as the record holds it."""
-    return (edges.groupBy("memory_id")
-            .agg(F.array_sort(F.collect_list(
-                F.struct("seq", "related_memory_id", "kind", "related_at"))).alias("relations")))
+def relation_lists(edges: DataFrame, cap: int) -> DataFrame:
+    """First ``cap`` outgoing relations of each owner in order; the limit runs before the shuffle."""
+    first = Window.partitionBy("memory_id").orderBy("seq")
+    return (edges.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= cap).groupBy("memory_id")
+            .agg(F.array_sort(F.collect_list(F.struct("seq", "related_memory_id", "kind", "related_at"))).alias("relations")))
 
 
 def parent_lists(derived_from: DataFrame, children: DataFrame) -> DataFrame:
+    """Sorted parents of each child; a child has no more parents than its neighbourhood had members."""
     visible = children.select(F.col("id").alias("child_id"))
     return (derived_from.join(visible, "child_id")
             .groupBy("child_id").agg(F.array_sort(F.collect_list("parent_id")).alias("parents")))
@@ -51,11 +52,16 @@ def parent_lists(derived_from: DataFrame, children: DataFrame) -> DataFrame:
 
 def memory_records(memories: DataFrame, edges: DataFrame, derived_from: DataFrame,
                    roots: DataFrame) -> DataFrame:
-    counts = roots.groupBy(F.col("memory_id").alias("id")).agg(F.countDistinct("source_id").alias("unique_source_root_count"))
-    rel = relation_lists(edges).withColumnRenamed("memory_id", "id")
-    par = parent_lists(derived_from, memories).withColumnRenamed("child_id", "id")
-    return (memories.join(par, "id", "left").join(rel, "id", "left").join(counts, "id", "left")
-            .fillna(0, ["unique_source_root_count"]))
+    """Memories with the sizes of their parent, relation and root sets.
+
+    The sets themselves stay tables keyed by memory: a memory may own any
+    number of relations.
+    """
+    n = lambda df, key, name: df.groupBy(F.col(key).alias("id")).agg(F.count("*").alias(name))
+    return (memories.join(n(derived_from, "child_id", "n_parents"), "id", "left")
+            .join(n(edges, "memory_id", "n_relations"), "id", "left")
+            .join(n(roots.distinct(), "memory_id", "unique_source_root_count"), "id", "left")
+            .fillna(0, ["n_parents", "n_relations", "unique_source_root_count"]))
 
 
 # ---- predicates -----------------------------------------------------------
@@ -137,7 +143,6 @@ def evidence_payload(requests: DataFrame, edges: DataFrame, derived_from: DataFr
     filtered to visible targets before the cap; the rank limit runs before the
     shuffle of each group, so one owner's edges are never gathered whole.
     """
-    from pyspark.sql import Window
     visible = requests.select("request_id", F.col("memory_id").alias("related_memory_id"))
     owned = requests.join(edges, "memory_id")
     shown = owned.join(visible, ["request_id", "related_memory_id"])

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import graph
 from ..schemas import USAGE, USD
+from ..session import prefix_sums
 
 
 def on_date(df: DataFrame, at: str, zone: str) -> DataFrame:
@@ -53,17 +54,16 @@ def unattempted_work(run_work: DataFrame, operations: DataFrame) -> DataFrame:
 # ---- distributions ----------------------------------------------------------------
 
 def nearest_rank(values: DataFrame, group: list[str], value: str) -> DataFrame:
-    """n, p50, p90 and max per group by the nearest-rank rule.
+    """n, p50, p90 and max of an integer value per group by the nearest-rank rule.
 
-    Equal values are counted before the shuffle, so a group's window holds its
-    distinct values only.
+    Equal values are counted before the shuffle and the running count goes by
+    value ranges, so a group of any size is spread over many tasks.
     """
     counts = values.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("c"))
-    running = Window.partitionBy(*group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*group)
-    placed = counts.withColumn("upto", F.sum("c").over(running)).withColumn("n", F.sum("c").over(whole))
-    at = lambda p: F.min(F.when(F.col("upto") >= F.ceil(F.col("n") * p / 10), F.col(value)))
-    return placed.groupBy(*group).agg(F.max("n").alias("n"), at(5).alias("p50"), at(9).alias("p90"), F.max(value).alias("max"))
+    totals = counts.groupBy(*group).agg(F.sum("c").alias("n"), F.max(value).alias("max"))
+    upto = prefix_sums(counts, group, F.shiftright(F.col(value).cast("long"), 10), [F.col(value)], F.col("c"), "before")
+    at = lambda p: F.min(F.when(F.col("before") + F.col("c") >= F.ceil(F.col("n") * p / 10), F.col(value)))
+    return upto.join(totals, group).groupBy(*group, "n", "max").agg(at(5).alias("p50"), at(9).alias("p90"))
 
 
 def frequencies(values: DataFrame, group: list[str], value: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..session import prefix_sums
+from ..session import numbered, prefix_sums
 
 WORK_COLUMNS = ("run_id", "work_key", "phase", "memory_id", "ordinal")
 
@@ -92,10 +92,10 @@ def seed_union(memories: DataFrame, recalls: DataFrame, runs: DataFrame) -> Data
     return created.unionByName(recalled).distinct()
 
 
-def number_work(work: DataFrame, by: list[str]) -> DataFrame:
-    """0-based ordinals inside each run."""
-    order = Window.partitionBy("run_id").orderBy(*by)
-    return work.withColumn("ordinal", (F.row_number().over(order) - 1).cast("int"))
+def number_work(work: DataFrame) -> DataFrame:
+    """0-based ordinals inside each run in key order, split by the head of the key."""
+    out = prefix_sums(work, ["run_id"], F.substring("work_key", 1, 18), [F.col("work_key")], F.lit(1).cast("long"), "ordinal")
+    return out.withColumn("ordinal", F.col("ordinal").cast("int"))
 
 
 def dream_plan(memories: DataFrame, recalls: DataFrame, runs: DataFrame,
@@ -154,33 +154,28 @@ def changed_work(memories: DataFrame, relations: DataFrame, runs: DataFrame) ->
                           F.lit("consolidation").alias("phase"), "memory_id")
 
 
-def carry_work(run_work: DataFrame, runs: DataFrame, memories: DataFrame, targets: DataFrame) -> DataFrame:
+def carry_work(run_work: DataFrame, runs: DataFrame, memories: DataFrame, targets: list[int]) -> DataFrame:
     """Unfinished work of earlier budget-exhausted runs, under its own keys.
 
-    ``targets(run_id)`` are the weekly runs that pick the work up; each takes
+    ``targets`` are the weekly runs that pick the work up; each takes
     everything left by earlier runs.
     """
     origin = runs.filter("kind = 'meditation' and status = 'budget_exhausted'").select(
         F.col("id").alias("origin_run"), "memory_high_water")
     left = (run_work.filter((F.col("status") != "complete") & ~F.col("work_key").startswith("carry:"))
-            .select(F.col("run_id").alias("origin_run"), "work_key", "memory_id")
-            .join(origin, "origin_run"))
+            .select(F.col("run_id").alias("origin_run"), "work_key", "memory_id").join(origin, "origin_run"))
     kept = (left.join(memories.filter("sealed").select(F.col("id").alias("memory_id"), "seq"), "memory_id")
             .filter(F.col("seq") <= F.col("memory_high_water")))
-    # every (origin, later run) pair is listed before the join, so the work
-    # rows meet their takers by equality
-    pairs = (origin.select("origin_run", F.lit(1).alias("one"))
-             .join(targets.select("run_id", F.lit(1).alias("one")), "one")
-             .filter(F.col("origin_run") < F.col("run_id")).select("origin_run", "run_id"))
-    return kept.join(pairs, "origin_run").select(
+    takers = F.filter(F.array(*[F.lit(t).cast("long") for t in targets]), lambda t: t > F.col("origin_run"))
+    return kept.withColumn("run_id", F.explode(takers)).select(
         "run_id", F.concat(F.lit("carry:"), F.col("origin_run"), F.lit(":"), F.col("work_key")).alias("work_key"),
         F.lit("carry").alias("phase"), "memory_id")
 
 
 def meditation_candidates(memories: DataFrame, relations: DataFrame, runs: DataFrame,
-                          run_work: DataFrame, targets: DataFrame) -> DataFrame:
+                          run_work: DataFrame, targets: list[int]) -> DataFrame:
     """Changed memories and carried work, listed apart even for the same memory."""
-    chosen = runs.join(targets.select(F.col("run_id").alias("id")), "id", "left_semi")
+    chosen = runs.filter(F.col("id").isin(targets))
     return (changed_work(memories, relations, chosen)
             .unionByName(carry_work(run_work, runs, memories, targets)))
 
@@ -215,7 +210,7 @@ def close_unprioritised(candidates: DataFrame, runs: DataFrame) -> tuple[DataFra
     """
     open_runs = runs.filter("kind = 'meditation' and status = 'running' and not work_initialized")
     held = candidates.join(open_runs.select(F.col("id").alias("run_id")), "run_id", "left_semi")
-    work = number_work(held, ["work_key"]).withColumn("status", F.lit("pending"))
+    work = number_work(held).withColumn("status", F.lit("pending"))
     hit = held.select(F.col("run_id").alias("id")).distinct().withColumn("closed", F.lit(True))
     closed = (runs.join(hit, "id", "left")
               .withColumn("status", F.when(F.col("closed"), "budget_exhausted").otherwise(F.col("status")))
@@ -293,8 +288,8 @@ def replay_day_plan(sessions: DataFrame, cutoffs: DataFrame) -> DataFrame:
                          F.lit(None).cast("string").alias("session_id")))
     said = sessions.select("question_id", F.col("ts").alias("at"), F.lit(1).alias("order_class"),
                            "ordinal", F.lit("session").alias("event"), "session_id")
-    order = Window.partitionBy("question_id").orderBy("at", "order_class", "ordinal")
-    return midnights.unionByName(said).withColumn("position", F.row_number().over(order))
+    return numbered(midnights.unionByName(said), ["question_id"], F.to_date("at"),
+                    [F.col("at"), F.col("order_class"), F.col("ordinal")])
 
 
 def active_day_plan(memories: DataFrame, recalls: DataFrame, cutoff: Column) -> DataFrame:
@@ -308,7 +303,7 @@ def active_day_plan(memories: DataFrame, recalls: DataFrame, cutoff: Column) ->
 
 # ---- source lifecycle -------------------------------------------------------------
 
-def source_lifecycle(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+def source_lifecycle(events: DataFrame, slot_size: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
     """(current status, steps with validity) from ``events(source_id, seq, status)``.
 
     A claim succeeds from pending or failed, a result only from processing,
@@ -317,16 +312,19 @@ def source_lifecycle(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     follows from the event just before it, from whether a claim was ever made
     and from the first result that ended a claim with complete.
     """
-    moves = events.filter("status <> 'pending'")
-    order = Window.partitionBy("source_id").orderBy("seq")
-    tagged = (moves.withColumn("previous", F.lag("status").over(order))
-              .withColumn("claims", F.count_if(F.col("status") == "processing").over(
-                  order.rowsBetween(Window.unboundedPreceding, -1))))
-    done = F.min(F.when((F.col("status") == "complete") & (F.col("previous") == "processing"), F.col("seq"))).over(
-        order.rowsBetween(Window.unboundedPreceding, -1))
-    steps = tagged.withColumn(
-        "before", F.when(done.isNotNull(), "complete").when(F.col("previous") == "processing", "processing")
-        .when(F.coalesce("claims", F.lit(0)) > 0, "failed").otherwise("pending"))
+    moves = events.filter("status <> 'pending'").withColumn("slot", F.floor(F.col("seq") / slot_size))
+    # the previous event: inside the slot, else the last one of an earlier slot
+    ends = moves.groupBy("source_id", "slot").agg(F.max_by("status", "seq").alias("end"))
+    ends = ends.withColumn("carried", F.lag("end").over(Window.partitionBy("source_id").orderBy("slot"))).drop("end")
+    inside = Window.partitionBy("source_id", "slot").orderBy("seq")
+    tagged = (moves.withColumn("inner", F.lag("status").over(inside)).join(ends, ["source_id", "slot"])
+              .withColumn("previous", F.coalesce("inner", "carried")))
+    marks = tagged.groupBy("source_id").agg(
+        F.min(F.when(F.col("status") == "processing", F.col("seq"))).alias("first_claim"),
+        F.min(F.when((F.col("status") == "complete") & (F.col("previous") == "processing"), F.col("seq"))).alias("done"))
+    steps = tagged.join(marks, "source_id").withColumn(
+        "before", F.when(F.col("seq") > F.col("done"), "complete").when(F.col("previous") == "processing", "processing")
+        .when(F.col("seq") > F.col("first_claim"), "failed").otherwise("pending"))
     valid = (F.when(F.col("status") == "processing", F.col("before").isin("pending", "failed"))
              .when(F.col("status") == "failed", F.col("before") == "processing")
              .otherwise(F.col("before").isin("processing", "complete")))

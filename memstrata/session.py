@@ -70,7 +70,8 @@ class Workspace:
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage through a written table in the shared folder."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/memstrata/cut-{uuid.uuid4().hex}"
+    app = spark.sparkContext.applicationId
+    path = f"{shared_folder(spark).rstrip('/')}/memstrata/{app}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -88,11 +89,6 @@ def broadcast_measured(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> Dat
     return F.broadcast(written) if volume <= limit else written
 
 
-def ranked(df: DataFrame, partition: list[str], order: list[Column], name: str = "rank") -> DataFrame:
-    from pyspark.sql import Window
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*partition).orderBy(*order)))
-
-
 def dense_position(df: DataFrame, order: list[str], buckets: list[Column], name: str) -> DataFrame:
     """A global 1-based row number without a single-task window.
 
@@ -131,3 +127,9 @@ def prefix_sums(df: DataFrame, keys: list[str], slot: Column, order: list[Column
     return (tagged.withColumn("__before", before).join(shifts, [*keys, "__slot"])
             .withColumn(name, total)
             .drop("__slot", "__v", "__before", "__shift"))
+
+
+def numbered(df: DataFrame, keys: list[str], slot: Column, order: list[Column], name: str = "position") -> DataFrame:
+    """1-based position inside each key, for keys of any size; ``slot`` leads the order."""
+    out = prefix_sums(df, keys, slot, order, F.lit(1).cast("long"), name)
+    return out.withColumn(name, F.col(name) + 1)

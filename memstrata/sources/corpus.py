@@ -220,8 +220,7 @@ class Corpus:
     def run_work(self) -> DataFrame:
         def build() -> DataFrame:
             dream = work.dream_plan(self.memories, self.recall_events, self.runs)
-            weekly = work.number_work(
-                work.changed_work(self.memories, self.relations, self.runs), by=["work_key"])
+            weekly = work.number_work(work.changed_work(self.memories, self.relations, self.runs))
             planned = dream.unionByName(weekly.select(*dream.columns))
             kept = F.col("ordinal") % 3
             model = (F.when(F.col("phase") == "assimilation", "fixture-relate")

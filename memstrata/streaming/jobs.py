@@ -8,7 +8,6 @@ locations belong to the caller.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from decimal import Decimal
 from typing import Any
 
 import pandas as pd
@@ -18,6 +17,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import scalars as S
 from ..schemas import USD
+from ..session import prefix_sums
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -115,40 +115,38 @@ def last_recalled(events: DataFrame) -> DataFrame:
     return events.groupBy("memory_id").agg(F.max("recalled_at").alias("last_recalled_at"))
 
 
-class BudgetGate(StatefulProcessor):
-    """Running exposure of one run in exact decimals.
+def budget_alert(path: str, budget: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch writer of exposures and alerts per call.
 
-    A batch delivers a run's events in Arrow chunks; chunks are combined before
-    they are ordered, and a micro-batch is bounded by the source's rate option.
+    ``log(run_id, id, ordinal, at, step, amount)``: +reserved at step 1,
+    actual-reserved at step 0. Exposure inside a batch is a split running sum,
+    so one run may fill a batch; between batches only one number per run is
+    kept. Outputs are stored per batch number, so a repeated batch replaces its
+    own output and starts from the same state.
     """
+    exposure_schema = f"run_id long, exposure {USD}"
 
-    def __init__(self, budget: str) -> None:
-        self.budget = budget
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("exposure", f"exposure {USD}")
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        exposure = self.state.get()[0] if self.state.exists() else Decimal(0)
-        limit = Decimal(self.budget)
-        out = []
-        events = pd.concat(list(rows)).sort_values(["at", "step", "ordinal"])
-        for row in events.itertuples():
-            if row.step == 1:
-                out.append((key[0], row.id, row.at, exposure, exposure + row.amount > limit))
-            exposure += row.amount
-        self.state.update((exposure,))
-        yield pd.DataFrame(out, columns=["run_id", "id", "at", "exposure_before", "violates"])
-
-    def close(self) -> None:
-        pass
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch = batch.persist()
+        before = (spark.read.schema(exposure_schema).parquet(f"{path}/exposure/{number - 1}") if number
+                  else spark.createDataFrame([], exposure_schema))
+        running = prefix_sums(batch, ["run_id"], F.date_trunc("hour", "at"),
+                              [F.col("at"), F.col("step"), F.col("ordinal")], F.col("amount"), "inside")
+        start = F.coalesce("exposure", F.lit(0).cast(USD))
+        calls = (running.filter("step = 1").join(before, "run_id", "left")
+                 .withColumn("exposure_before", S.usd_add(start, F.col("inside")))
+                 .withColumn("violates", S.usd_add(F.col("exposure_before"), F.col("amount")) > F.lit(budget).cast(USD)))
+        (calls.select("run_id", "id", "at", "exposure_before", "violates")
+         .write.mode("overwrite").parquet(f"{path}/alerts/{number}"))
+        after = (batch.select("run_id", F.col("amount").alias("exposure")).unionByName(before)
+                 .groupBy("run_id").agg(F.sum("exposure").cast(USD).alias("exposure")))
+        after.write.mode("overwrite").parquet(f"{path}/exposure/{number}")
+        batch.unpersist()
+    return write
 
 
-def budget_alert(log: DataFrame, budget: str) -> DataFrame:
-    """``log(run_id, id, ordinal, at, step, amount)``: +reserved at step 1, actual-reserved at step 0."""
-    return log.groupBy("run_id").transformWithStateInPandas(
-        BudgetGate(budget), f"run_id long, id string, at timestamp, exposure_before {USD}, violates boolean",
-        "Append", "None")
+ALERT_SCHEMA = f"run_id long, id string, at timestamp, exposure_before {USD}, violates boolean"
 
 
 def weekly_changes(changes: DataFrame, anchor_offset: str, lateness: str = "1 day") -> DataFrame:

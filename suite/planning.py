@@ -9,6 +9,7 @@ from .aggregates import DATASET, dataset
 from .registry import query
 
 ZONE = "Asia/Seoul"
+WEEKLY = list(range(61, 69))
 
 
 @query("dream_work_plan", "select run_id, work_key, phase, memory_id, ordinal from c_dream where run_id % 10 <> 0")
@@ -22,13 +23,15 @@ CANDIDATES = """cw as (select run_id, work_key, phase, memory_id from c_weekly
 
 
 def weekly_candidates(c):
-    targets = c.runs.filter("kind = 'meditation'").select(F.col("id").alias("run_id"))
-    return work.meditation_candidates(c.memories, c.relations, c.runs, c.run_work, targets)
+    return work.meditation_candidates(c.memories, c.relations, c.runs, c.run_work, WEEKLY)
 
 
 def orders(c):
     """Reverse key order; run 66 repeats a key and run 67 misses one."""
-    numbered = work.number_work(weekly_candidates(c), [F.desc("work_key")]).withColumnRenamed("ordinal", "position")
+    found = weekly_candidates(c)
+    sizes = found.groupBy("run_id").agg(F.count("*").alias("n"))
+    numbered = (work.number_work(found).join(sizes, "run_id")
+                .withColumn("position", F.col("n") - 1 - F.col("ordinal")).drop("ordinal", "n"))
     given = numbered.filter("not (run_id = 67 and position = 0)").select("run_id", "position", "work_key")
     return given.unionByName(numbered.filter("run_id = 66 and position = 0").select("run_id", F.lit(100_000_000).alias("position"), "work_key"))
 
@@ -48,8 +51,7 @@ def _(c):
 @query("carry_plan", """
 select r.id run_id, 'carry:63:' || w.work_key work_key, 'carry' phase, w.memory_id from c_work w, c_runs r where w.run_id = 63 and w.status <> 'complete' and r.id > 63""")
 def _(c):
-    targets = c.runs.filter("kind = 'meditation'").select(F.col("id").alias("run_id"))
-    return work.carry_work(c.run_work, c.runs, c.memories, targets)
+    return work.carry_work(c.run_work, c.runs, c.memories, WEEKLY)
 
 
 @query("unprioritised_close", f"""

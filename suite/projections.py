@@ -28,9 +28,7 @@ left join (select memory_id, count(*) n from c_roots group by 1) s on s.memory_i
 def _(c):
     m, e, _recalls = snapshot.snapshot_one(c.memories, c.relations, c.recall_events, run_row(c, 65))
     records = snapshot.memory_records(m, e, c.derived_from, c.roots)
-    size = lambda x: F.greatest(F.coalesce(F.size(x), F.lit(0)), F.lit(0)).cast("long")
-    return records.select("id", "depth", size("parents").alias("n_parents"), size("relations").alias("n_relations"),
-                          "unique_source_root_count")
+    return records.select("id", "depth", "n_parents", "n_relations", "unique_source_root_count")
 
 
 @query("restore_last_recalled", """

@@ -132,5 +132,4 @@ def _(c):
 select 65 run_id, 'abstract:' || memory_id work_key, 'consolidation' phase, memory_id from c_changed where run_id = 65
 union all select 65, 'carry:63:' || work_key, 'carry', memory_id from c_work where run_id = 63 and status <> 'complete'""")
 def _(c):
-    targets = c.runs.filter("id = 65").select(F.col("id").alias("run_id"))
-    return work.meditation_candidates(c.memories, c.relations, c.runs, c.run_work, targets).select("run_id", "work_key", "phase", "memory_id")
+    return work.meditation_candidates(c.memories, c.relations, c.runs, c.run_work, [65]).select("run_id", "work_key", "phase", "memory_id")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from memstrata.operators import evaluation, retrieval
+from memstrata.operators.audits import set_equality
 
 
 from .registry import query
@@ -162,7 +163,7 @@ def matches(c):
         c.candidates.filter("condition = 'B'"), c.memories, c.derived_from, gold_memories(c), 2))
 
 
-@query("gold_evidence_matches", f"with {GOLDMEM}, {MATCH} select query_id, memory_id, coalesce(array_to_string(ids, ','), '') gold_ids from mt")
+@query("gold_evidence_matches", f"with {GOLDMEM}, {MATCH} select query_id, memory_id, unnest(ids) gold_id from mt")
 def _(c):
     return matches(c)
 
@@ -180,8 +181,8 @@ select query_id, n_gold, n_selected, n_candidate, n_selected > 0 hit, n_candidat
     n_gold > 0 and n_candidate = 0 candidate_failure, n_gold > 0 and n_candidate > 0 and n_selected = 0 selection_failure from x""")
 def _(c):
     ranked = c.candidates.filter("condition = 'B'").select("query_id", "memory_id", "rank").join(matches(c), ["query_id", "memory_id"])
-    scoped = (ranked.select("query_id", F.lit("candidate").alias("scope"), "gold_ids")
-              .unionByName(ranked.filter("rank <= 5").select("query_id", F.lit("selected").alias("scope"), "gold_ids")))
+    scoped = (ranked.select("query_id", F.lit("candidate").alias("scope"), "gold_id")
+              .unionByName(ranked.filter("rank <= 5").select("query_id", F.lit("selected").alias("scope"), "gold_id")))
     return evaluation.evidence_coverage(scoped, gold_memories(c), c.questions)
 
 
@@ -205,11 +206,8 @@ k as (select query_id, coalesce(list_sort(list(distinct id)), []) cov from (sele
 select g.query_id, gold = coalesce(cov, []) equal, len(list_filter(gold, lambda x: not list_contains(coalesce(cov, []), x))) = 0 subset
 from g left join k on k.query_id = g.query_id""")
 def _(c):
-    from memstrata.operators.audits import frozen_set_equality
-    gold = gold_memories(c).groupBy("query_id").agg(F.collect_set("memory_id").alias("gold"))
-    covered = (matches(c).select("query_id", F.explode("gold_ids").alias("m")).groupBy("query_id").agg(F.collect_set("m").alias("covered")))
-    pairs = gold.join(covered, "query_id", "left").withColumn("covered", F.coalesce("covered", F.array().cast("array<string>")))
-    return frozen_set_equality(pairs, "gold", "covered").select("query_id", "equal", "subset")
+    covered = matches(c).select("query_id", F.col("gold_id").alias("memory_id"))
+    return set_equality(gold_memories(c), covered, "query_id", "memory_id")
 
 
 @query("graph_overlay", """

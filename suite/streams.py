@@ -99,7 +99,10 @@ def _(c):
     settle = c.api_calls.filter("completed_at is not null").select(
         "run_id", "id", "ordinal", F.col("completed_at").alias("at"), F.lit(0).alias("step"), S.usd_sub(F.col("actual_usd"), F.col("reserved_usd")).alias("amount"))
     log = reserve.unionByName(settle).filter("run_id is not null")
-    return drain(c, jobs.budget_alert(stream_of(c, "budget_log", log), "0.25")).select("run_id", "id", "exposure_before", "violates")
+    path = f"{c.space.root}/budget_{uuid.uuid4().hex[:8]}"
+    drain(c, stream_of(c, "budget_log", log), write=jobs.budget_alert(path, "0.25"))
+    alerts = c.spark.read.schema(jobs.ALERT_SCHEMA).option("recursiveFileLookup", "true").parquet(f"{path}/alerts")
+    return alerts.select("run_id", "id", "exposure_before", "violates")
 
 
 @query("stream_weekly_changes", """

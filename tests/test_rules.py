@@ -120,8 +120,8 @@ def test_thresholds_are_inclusive(spark):
 
 
 def test_micro_verdicts(spark):
-    none = spark.createDataFrame([], "query_id string, depth int, gold_ids array<string>")
-    above = spark.createDataFrame([("q0", 1, ["g"])], "query_id string, depth int, gold_ids array<string>")
+    none = spark.createDataFrame([], "query_id string, depth int, gold_id string")
+    above = spark.createDataFrame([("q0", 1, "g")], "query_id string, depth int, gold_id string")
     win, loss = paired(spark, [("q0", "t", False, True), ("q1", "t", True, True)]), paired(spark, [("q0", "t", True, False), ("q1", "t", True, True)])
     verdict = lambda m, x, n: evaluation.micro_verdict(m, x, n).first().verdict
     assert verdict(win, above, 2) == "PROMISING" and verdict(win, none, 2) == "INCONCLUSIVE"
