@@ -357,10 +357,10 @@ class Corpus:
             n = vectors.count()
             vectors = vectors.select("vec_id", F.col("embedding").cast("array<float>").alias("vector"))
             owners = self.memory_ids.select(
-                F.col("id").alias("memory_id"), "depth",
+                F.col("id").alias("memory_id"), "seq", "depth",
                 F.when(F.col("depth") == 0, F.col("seq") - 1).otherwise(F.col("seq") % n).alias("vec_id"))
             return owners.join(vectors, "vec_id").select(
-                "memory_id", F.lit(SPACE).alias("space"), F.size("vector").alias("dimensions"), "vector", "depth", "vec_id")
+                "memory_id", F.lit(SPACE).alias("space"), F.size("vector").alias("dimensions"), "vector", "seq", "depth", "vec_id")
         return self.space.table("embeddings", build)
 
     @property
@@ -402,8 +402,7 @@ class Corpus:
 
     def _search(self, depth: int | None) -> tuple[DataFrame, DataFrame]:
         return retrieval.hybrid_search(
-            self.questions, self.query_vectors, self.memories.select("id", "depth"),
-            self.embeddings.select("memory_id", "vector"), self.postings, self.collection, 30, depth=depth,
+            self.questions, self.query_vectors, self.embeddings, self.postings, self.collection, 30, depth=depth,
             frequencies=self.frequencies)
 
     @property

@@ -12,8 +12,7 @@ from .registry import query
 @query("hybrid_search", "select query_id, rank, memory_id, round(score, 6) score from c_fuseb")
 def _(c):
     fused, _lists = retrieval.hybrid_search(
-        c.questions, c.query_vectors, c.memories.select("id", "depth"), c.embeddings.select("memory_id", "vector"),
-        c.postings, c.collection, 30, frequencies=c.frequencies)
+        c.questions, c.query_vectors, c.embeddings, c.postings, c.collection, 30, frequencies=c.frequencies)
     return fused.select("query_id", "rank", "memory_id", F.round("score", 6).alias("score"))
 
 
