@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..schemas import USAGE, USD
-from ..session import prefix_sums
+from ..session import prefix_sums, side_by_side
 
 
 def _sum(value: Column) -> Column:
@@ -113,9 +113,7 @@ def corpus_morphology(memories: DataFrame, relations: DataFrame, runs: DataFrame
         F.count_if(F.col("run_kind") == "dream").alias("dream_memories"),
         F.count_if(F.col("run_kind") == "meditation").alias("meditation_memories"))
     n = sources.agg(F.count("*").alias("sources"))
-    # four one-row aggregates side by side
-    tag = lambda df: df.withColumn("one", F.lit(1))
-    return tag(n).join(tag(shape), "one").join(tag(rel), "one").join(tag(made), "one").drop("one")
+    return side_by_side(n, shape, rel, made)
 
 
 def observations_per_source(memories: DataFrame, mapped: DataFrame) -> DataFrame:
@@ -164,8 +162,7 @@ def pruning_summary(run_work: DataFrame, runs: DataFrame, calls: DataFrame, memo
         F.count_if(F.size(proposal["abstractions"]) == 0).alias("empty_responses")))
     spent = calls.filter(F.substring_index("operation", "/", -1) == "consolidation").agg(F.count("*").alias("consolidation_calls"))
     made = memory_run_kind(memories.filter("sealed"), runs).agg(F.count_if(F.col("run_kind") == "dream").alias("created_abstractions"))
-    tag = lambda df: df.withColumn("one", F.lit(1))
-    return tag(work).join(tag(spent), "one").join(tag(made), "one").drop("one")
+    return side_by_side(work, spent, made)
 
 
 # ---- many corpora -----------------------------------------------------------------

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..schemas import USD
-from ..session import broadcast_measured, durable, numbered
+from ..session import broadcast_measured, durable, numbered, side_by_side
 from . import graph
 
 TOP = 5
@@ -279,9 +279,9 @@ def evaluation_cutoff(questions: DataFrame, sessions: DataFrame) -> DataFrame:
 
 
 def dataset_profile(questions: DataFrame, sessions: DataFrame) -> DataFrame:
-    n = questions.agg(F.count("*").alias("questions"), F.lit(1).alias("one"))
-    s = sessions.agg(F.count("*").alias("sessions"), F.max(S.utf16_length(F.col("raw"))).alias("max_raw_utf16"), F.lit(1).alias("one"))
-    return n.join(s, "one").drop("one")
+    n = questions.agg(F.count("*").alias("questions"))
+    s = sessions.agg(F.count("*").alias("sessions"), F.max(S.utf16_length(F.col("raw"))).alias("max_raw_utf16"))
+    return side_by_side(n, s)
 
 
 # ---- containment --------------------------------------------------------------------

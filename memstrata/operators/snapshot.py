@@ -103,11 +103,11 @@ def page_of(df: DataFrame, order: list[Column], page: int, size: int = 25) -> Da
     return df.orderBy(*order).offset((page - 1) * size).limit(size)
 
 
-def page_info(total: DataFrame, page: int, size: int = 25) -> DataFrame:
-    pages = F.greatest(F.lit(1), F.ceil(F.col("total") / size)).cast("long")
-    return (total.withColumn("pages", pages)
-            .withColumn("has_previous", F.lit(page > 1))
-            .withColumn("has_next", F.lit(page) < F.col("pages")))
+def page_info(df: DataFrame, page: int, size: int = 25) -> dict[str, int | bool]:
+    """Total and page numbers of the bounded view the page was taken from."""
+    total = df.count()
+    pages = max(1, -(-total // size))
+    return {"total": total, "pages": pages, "has_previous": page > 1, "has_next": page < pages}
 
 
 def input_bounds(df: DataFrame, text: str, limit: int, required: bool = True) -> DataFrame:

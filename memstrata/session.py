@@ -89,6 +89,14 @@ def broadcast_measured(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> Dat
     return F.broadcast(written) if volume <= limit else written
 
 
+def side_by_side(*rows: DataFrame) -> DataFrame:
+    """One-row frames as one row, without a join."""
+    both = rows[0]
+    for row in rows[1:]:
+        both = both.unionByName(row, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
+
+
 def dense_position(df: DataFrame, order: list[str], buckets: list[Column], name: str) -> DataFrame:
     """A global 1-based row number without a single-task window.
 

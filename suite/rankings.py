@@ -89,8 +89,8 @@ def _(c):
     view = snapshot.browse(c.memories)
     page = snapshot.page_of(view.select("id", "seq", "created_at", F.substring("content", 1, 240).alias("preview")),
                             [F.desc("created_at"), F.desc("seq")], 3)
-    info = snapshot.page_info(view.agg(F.count("*").alias("total")), 3).withColumn("one", F.lit(1))
-    return page.withColumn("one", F.lit(1)).join(info, "one").drop("one", "created_at")
+    info = snapshot.page_info(view, 3)
+    return page.drop("created_at").withColumns({k: F.lit(v).cast("boolean" if isinstance(v, bool) else "long") for k, v in info.items()})
 
 
 @query("run_page", "select id, kind, started_at from c_runs where id <= 65 order by started_at desc, id desc limit 25 offset 25")
