@@ -365,7 +365,7 @@ class Corpus:
 
     @property
     def postings(self) -> DataFrame:
-        return self.space.table("postings", lambda: retrieval.build_postings(self.memories), ["bucket"])
+        return self.space.table("postings", lambda: retrieval.build_postings(self.memories))
 
     @property
     def frequencies(self) -> DataFrame:
@@ -402,7 +402,7 @@ class Corpus:
 
     def _search(self, depth: int | None) -> tuple[DataFrame, DataFrame]:
         return retrieval.hybrid_search(
-            self.questions, self.query_vectors, self.embeddings, self.postings, self.collection, 30, depth=depth,
+            self.questions, self.query_vectors, self.embeddings, self.postings, self.collection, self.memories, 30, depth=depth,
             frequencies=self.frequencies)
 
     @property

@@ -22,7 +22,7 @@ def _(c):
 
 @query("lexical_hit_join", "select query_id, memory_id, round(score, 6) score from c_bm, c_n where depth = 0 and seq <= n0 - 20")
 def _(c):
-    scores = retrieval.bm25_scores(c.questions, c.postings, c.collection, frequencies=c.frequencies)
+    scores = retrieval.bm25_scores(c.questions, c.postings, c.collection, c.memories, frequencies=c.frequencies)
     hits = retrieval.lexical_hits(scores, depth=0, high_water=c.sizes[0] - 20)
     return hits.select("query_id", "memory_id", F.round("score", 6).alias("score"))
 
@@ -43,7 +43,7 @@ def _(c):
 select l.query_id, l.memory_id, row_number() over (partition by l.query_id order by l.rank) rank
 from c_lexb l join c_mem m on m.id = l.memory_id where m.depth = 0""")
 def _(c):
-    ranked = retrieval.bm25_search(c.questions, c.postings, c.collection, 30, frequencies=c.frequencies)
+    ranked = retrieval.bm25_search(c.questions, c.postings, c.collection, c.memories, 30, frequencies=c.frequencies)
     return retrieval.keep_allowed(ranked, c.memories.filter("depth = 0")).select("query_id", "memory_id", "rank")
 
 
