@@ -10,17 +10,26 @@ from ..functions import scalars as S
 
 PROPOSAL_KEY = ["run_id", "work_key", "proposal_index"]
 
-REASONS = {
+# fixed values: reasons as they are recorded for rejected proposals
+BLANK_CONTENT = "Memory content is blank."
+LONG_CONTENT = "Memory content is too long."
+FEW_PARENTS = "Abstraction requires at least B distinct parents."
+PARENT_REASONS = {
     1: "Parent was not provided.",
     2: "Parent does not exist.",
     3: "Parent violates the run generation barrier.",
     4: "Parents must have the same depth.",
 }
+FEW_ROOTS = "Insufficient distinct Source roots for B^depth."
+ONE_PER_DAY = "Daily run allows at most one abstraction per neighbourhood."
+FINISHED_RUN = "Cannot add a memory to a finished run."
+RELATION_RULE = "A relation must uniquely join a supplied candidate to the observation, with no self edge."
+OUTSIDE_SNAPSHOT = "Relation references a memory outside the run snapshot."
 
 
 def _reason(code):
     out = F.lit(None).cast("string")
-    for number, text in REASONS.items():
+    for number, text in PARENT_REASONS.items():
         out = F.when(code == number, text).otherwise(out)
     return out
 
@@ -35,10 +44,10 @@ def validate_abstractions(proposals: DataFrame, memories: DataFrame, roots: Data
     """
     parents_n = F.size("derived_from")
     base = proposals.withColumn(
-        "early", F.when(S.is_blank(F.col("content")), "Memory content is blank.")
-        .when(S.utf16_length(F.col("content")) > config.max_memory_characters, "Memory content is too long.")
+        "early", F.when(S.is_blank(F.col("content")), BLANK_CONTENT)
+        .when(S.utf16_length(F.col("content")) > config.max_memory_characters, LONG_CONTENT)
         .when((parents_n < config.root_base) | (F.size(F.array_distinct("derived_from")) != parents_n),
-              "Abstraction requires at least B distinct parents."))
+              FEW_PARENTS))
     run = runs.select(F.col("id").alias("run_id"), "memory_high_water")
     known = memories.filter("sealed").select(
         F.col("id").alias("parent_id"), "seq", "depth", F.col("dream_revision").alias("revision"))
@@ -63,7 +72,7 @@ def validate_abstractions(proposals: DataFrame, memories: DataFrame, roots: Data
     enough = F.coalesce("n_roots", F.lit(0)) >= S.root_threshold(config.root_base, depth)
     reason = (F.when(F.col("early").isNotNull(), F.col("early"))
               .when(F.col("failed").isNotNull(), _reason(F.col("failed.rule")))
-              .when(~enough, "Insufficient distinct Source roots for B^depth."))
+              .when(~enough, FEW_ROOTS))
     return (base.join(firsts, PROPOSAL_KEY, "left").join(evidence, PROPOSAL_KEY, "left")
             .withColumn("reason", reason)
             .withColumn("depth", F.when(F.col("reason").isNull(), depth))
@@ -83,9 +92,9 @@ def apply_abstractions(verdicts: DataFrame, memories: DataFrame, roots: DataFram
              .withColumn("origin_key", S.run_origin_key(F.col("run_id"), F.col("work_key"), F.col("proposal_index"))))
     todo = keyed.join(memories.select("origin_key"), "origin_key", "left_anti")
     reason = (F.when((F.col("kind") == "dream") & (F.col("proposal_index") >= 1),
-                     "Daily run allows at most one abstraction per neighbourhood.")
+                     ONE_PER_DAY)
               .when(F.col("reason").isNotNull(), F.col("reason"))
-              .when(~F.col("run_status").isin("running", "budget_exhausted"), "Cannot add a memory to a finished run."))
+              .when(~F.col("run_status").isin("running", "budget_exhausted"), FINISHED_RUN))
     judged = todo.withColumn("reason", reason).withColumn(
         "id", F.concat(F.lit("mem_"), F.substring(F.sha2("origin_key", 256), 1, 32)))
     accepted = judged.filter(F.col("reason").isNull())
@@ -100,9 +109,6 @@ def apply_abstractions(verdicts: DataFrame, memories: DataFrame, roots: DataFram
             "rejected": judged.filter(F.col("reason").isNotNull()).select(*PROPOSAL_KEY, "reason")}
 
 
-RELATION_RULE = "A relation must uniquely join a supplied candidate to the observation, with no self edge."
-
-
 def validate_relations(proposals: DataFrame, snapshot: DataFrame) -> DataFrame:
     """``proposals(run_id, work_key, proposal_index, memory_id, related_memory_id, kind, seed_id, allowed)``."""
     visible = snapshot.select(F.col("id").alias("memory_id"), F.lit(True).alias("visible"))
@@ -137,7 +143,7 @@ def apply_relations(verdicts: DataFrame, memories: DataFrame, relations: DataFra
               & (F.col("o_rev") < F.col("run_id")) & (F.col("t_rev") < F.col("run_id")))
     checked = checked.withColumn(
         "reason", F.when(F.col("reason").isNotNull(), F.col("reason"))
-        .when(~F.coalesce(inside, F.lit(False)), "Relation references a memory outside the run snapshot."))
+        .when(~F.coalesce(inside, F.lit(False)), OUTSIDE_SNAPSHOT))
     triple = ["memory_id", "related_memory_id", "kind"]
     first = (checked.filter(F.col("reason").isNull()).groupBy(*triple)
              .agg(F.min(F.struct("run_id", "ordinal", "work_key", "proposal_index")).alias("f"))
