@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality, sharding
+from . import decontaminate, mixing, pii, quality, secrets, sharding, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1,
+    "op3_decontamination": decontaminate.op3,
+    "op4_secrets": secrets.op4,
+    "op7_token_ids": tokens.op7,
+    "op8_pii": pii.op8,
     "op9_quality_rules": quality.op9,
     "op10_sharding": sharding.op10,
 }
