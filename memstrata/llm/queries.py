@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, pii, quality, secrets, sharding, tokens
+from . import decontaminate, mixing, neardup, pii, quality, secrets, sharding, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1,
     "op3_decontamination": decontaminate.op3,
     "op4_secrets": secrets.op4,
+    "op5_near_duplicates": neardup.op5,
     "op7_token_ids": tokens.op7,
     "op8_pii": pii.op8,
     "op9_quality_rules": quality.op9,

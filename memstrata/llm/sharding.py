@@ -13,6 +13,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,7 +67,7 @@ def shuffle_shards(docs: DataFrame, shards: int = SHARDS, text: str = "text", se
     def shuffled(part: pa.Table) -> pa.Table:
         part = part.combine_chunks()
         number = part.column(bucket)[0].as_py()
-        part = part.take(pa.compute.sort_indices(part, sort_keys=[(row, "ascending")]))
+        part = part.take(pc.sort_indices(part, sort_keys=[(row, "ascending")]))
         order = fisher_yates(part.num_rows, np.random.default_rng([seed, number]))
         part = part.take(pa.array(order)).drop_columns([row])
         return (part.drop_columns([bucket]).append_column(bucket, part.column(bucket))
