@@ -19,6 +19,7 @@ import os
 import re
 import struct
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +39,7 @@ TRAILER = struct.Struct("<QQQQ8s")
 HEAD = struct.Struct("<IIII")
 END_ID = 0
 FILE_BYTES = 64 << 20    # of text for one file
-CACHED_PIECES = 300_000
+CACHED_PIECES = 800_000
 CACHED_LENGTH = 48
 FOLLOWED_BY_SPACE = re.compile(r" (?:\s|$)")
 BEFORE_WORD = re.compile(r"(?= \S)")
@@ -184,6 +185,7 @@ class Encoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(file)
         self.known: dict[str, bytes] = {}
+        self.tails = {c: array("I", self.tokenizer.encode(c, add_special_tokens=False).ids).tobytes() for c in ("", ".", ",")}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > CACHED_PIECES:
@@ -199,18 +201,27 @@ class Encoder:
                 head, *pieces = text.split(" ")
             got = list(map(find, pieces))
             if None in got:
-                missing = [(i, pieces[i]) for i, ids in enumerate(got) if ids is None]
-                new.update(dict.fromkeys((p for _, p in missing), b""))
+                missing = []
+                for i in [i for i, ids in enumerate(got) if ids is None]:
+                    piece = pieces[i]
+                    # a full stop or comma behind a letter is a piece of its own for the tokenizer
+                    tail = piece[-1:] if piece[-1:] in (".", ",") and piece[-2:-1].isalpha() else ""
+                    stem = piece[:-1] if tail else piece
+                    if tail and (ids := find(stem)) is not None:
+                        got[i] = ids + self.tails[tail]
+                    else:
+                        new[stem] = b""
+                        missing.append((i, stem, self.tails[tail]))
                 holes.append((got, missing))
             heads.append(head)
             found.append(got)
         spaced = list(new)
         encoded = self.tokenizer.encode_batch_fast([" " + p for p in spaced] + heads, add_special_tokens=False)
         for piece, one in zip(spaced, encoded):
-            new[piece] = np.array(one.ids, "<u4").tobytes()
+            new[piece] = array("I", one.ids).tobytes()
         for got, missing in holes:
-            for i, piece in missing:
-                got[i] = new[piece]
+            for i, stem, tail in missing:
+                got[i] = new[stem] + tail
         self.known.update((p, ids) for p, ids in new.items() if len(p) <= CACHED_LENGTH)
         return [np.concatenate([np.array(head.ids, np.uint32), np.frombuffer(b"".join(got), "<u4")])
                 for head, got in zip(encoded[len(spaced):], found)]
