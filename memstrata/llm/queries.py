@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, neardup, pii, quality, secrets, sharding, tokens
+from . import decontaminate, mixing, neardup, pii, quality, secrets, sharding, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1,
+    "op2_toxicity": toxicity.op2,
     "op3_decontamination": decontaminate.op3,
     "op4_secrets": secrets.op4,
     "op5_near_duplicates": neardup.op5,
