@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memstrata.llm import mixing, quality, sharding
+from memstrata.llm import decontaminate, mixing, neardup, quality, sharding
+from memstrata.llm.common import table
 from memstrata.session import durable
 
 
@@ -12,6 +13,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs)
 
 
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return neardup.drop_near_duplicates(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
@@ -22,11 +31,13 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality rules", quality_rules),
+    ("MinHash near-dedup", drop_copies),
+    ("benchmark decontamination", drop_leaks),
     ("mixing sources to target weights", mix_sources),
     ("sharding", shard),
 ]
 
-#: The estimates of the quality rules and the shuffle are not SQL; a test compares the stages with brute force.
+#: Estimates, signatures, tilings and the shuffle are not SQL; a test compares the stages with brute force.
 ORACLE_SQL = None
 
 

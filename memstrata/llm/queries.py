@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, neardup, pii, quality, secrets, sharding, tokens, toxicity
+from . import decontaminate, mixing, neardup, pii, quality, secrets, sharding, substrings, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": decontaminate.op3,
     "op4_secrets": secrets.op4,
     "op5_near_duplicates": neardup.op5,
+    "op6_suffix_repeats": substrings.op6,
     "op7_token_ids": tokens.op7,
     "op8_pii": pii.op8,
     "op9_quality_rules": quality.op9,
