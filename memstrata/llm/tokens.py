@@ -177,7 +177,7 @@ class Encoder:
     The tokenizer's own rule starts a new piece at each space that a visible
     character follows, and pieces do not influence each other, so a text is
     cut there and each different piece is encoded once by the tokenizer. The
-    store of pieces has a bound and is emptied when it is full.
+    store of pieces has a bound: when it is full its older half goes.
     """
 
     def __init__(self, file: str) -> None:
@@ -185,12 +185,13 @@ class Encoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(file)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.tails = {c: array("I", self.tokenizer.encode(c, add_special_tokens=False).ids).tobytes() for c in ("", ".", ",")}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > CACHED_PIECES:
-            self.known.clear()
-        find = self.known.get
+        if len(self.known) > CACHED_PIECES // 2:
+            self.known, self.older = {}, self.known
+        known, find, find_older = self.known, self.known.get, self.older.get
         heads, found, holes = [], [], []
         new: dict[str, bytes] = {}
         for text in texts:
@@ -204,10 +205,13 @@ class Encoder:
                 missing = []
                 for i in [i for i, ids in enumerate(got) if ids is None]:
                     piece = pieces[i]
+                    if (ids := find_older(piece)) is not None:
+                        known[piece] = got[i] = ids
+                        continue
                     # a full stop or comma behind a letter is a piece of its own for the tokenizer
                     tail = piece[-1:] if piece[-1:] in (".", ",") and piece[-2:-1].isalpha() else ""
                     stem = piece[:-1] if tail else piece
-                    if tail and (ids := find(stem)) is not None:
+                    if tail and (ids := find(stem) or find_older(stem)) is not None:
                         got[i] = ids + self.tails[tail]
                     else:
                         new[stem] = b""
@@ -266,6 +270,9 @@ def write_ids(docs: DataFrame, tokenizer_file: str, path: str | None = None, tex
     ordered = picked.withColumn("tie", tie).repartitionByRange(files, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import gc
+        gc.disable()             # millions of strings, no cycles among them
+        encode = encoder(tokenizer_file).encode
         number = TaskContext.get().partitionId()
         store, place = pyarrow.fs.FileSystem.from_uri(path)
         writer, name, sink = None, f"{place}/part-{number:06d}-{uuid.uuid4().hex}.pfor", None
@@ -275,9 +282,10 @@ def write_ids(docs: DataFrame, tokenizer_file: str, path: str | None = None, tex
                     sink = store.open_output_stream(name)
                     writer = Writer(sink)
                 ends = np.array([end_id], np.uint32)
-                encoded = encoder(tokenizer_file).encode(batch.column("text").to_pylist())
+                encoded = encode(batch.column("text").to_pylist())
                 for i, ids in zip(batch.column("doc_id").to_pylist(), encoded):
                     writer.add(i, np.append(ids, ends))
+        gc.enable()
         if writer is not None:
             total = writer.close()
             sink.close()
