@@ -1,0 +1,129 @@
+"""Secrets and personal data."""
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+
+from memstrata.llm import pii, secrets
+
+from .helpers import FOLDER, awkward, documents, empty
+
+ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+
+
+def plain_secrets(t):
+    out = [(m.start(), 0, m.end(), m[2]) for m in re.finditer(ASSIGN, t, re.I | re.A) if len(m[2]) >= 6]
+    out += [(m.start(), 1, m.end(), m[0]) for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    out += [(m.start(), 2, m.end(), m[0]) for m in re.finditer(r"[0-9a-f]+", t) if len(m[0]) >= 24]
+    return sorted(out, key=lambda s: s[:3])
+
+
+def plain_private(t):
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    out = [(0, m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [(1, m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
+    out += [(2, m.start(), m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 16 <= len(digits(m[0])) <= 19 and pii.luhn(digits(m[0]))]
+    out += [(3, m.start(), m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 8 <= len(digits(m[0])) <= 15]
+    return out
+
+
+def made(parts, n, seed):
+    r = random.Random(seed)
+    return ["".join(r.choice(parts) for _ in range(r.randint(1, 14))) for _ in range(n)]
+
+
+def test_secret_patterns():
+    parts = ["password", "PassWD", "ſecret", "secret", "toKen", "token", "api_key", "apikey", '"', "'", ":", "=", " ", "abc", "Zz9/+", "AKIA", "ABCDEFGH12345678", "0a1b2c3d", "deadbeef", "é", "\n", "."]
+    for t in made(parts, 20_000, 1):
+        assert secrets.base_spans(t) == plain_secrets(t), t
+
+
+def test_private_patterns():
+    parts = ["a.b", "x_y", "@", "mail", ".", "com", "-", "12", "255", "256", "1", "4539578763621486", "+", "(", ")", " ", "555", "0199", "é", "\n", "00", "3"]
+    for t in made(parts, 30_000, 2):
+        assert pii.base_spans(t) == plain_private(t), t
+
+
+def test_long_runs_take_linear_time():
+    for t in ("a" * 300_000, "1" * 300_000, "1." * 150_000, "+1" + " " * 300_000, "a@" * 150_000, "x=" * 150_000, "abc/1" * 60_000):
+        pii.base_spans(t)
+        pii.loose_spans(t, [])
+        secrets.added_spans(t, secrets.base_spans(t))
+
+
+def test_secret_query(spark):
+    want = {r.doc_id: plain_secrets(r.text) for r in documents(spark).collect()}
+    for r in secrets.op4(spark, FOLDER).collect():
+        base = want[r.doc_id]
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == x for _, k, *_ in base) for x in range(3))
+        assert r.base_sha256 == hashlib.sha256(secrets.named(base).encode()).hexdigest()
+        spans = r.spans.split(",") if r.spans else []
+        assert [s for s in spans if not s.startswith("opaque")] == [x for x in secrets.named(base).split(",") if x]
+        assert [int(s.split(":")[1]) for s in spans] == sorted(int(s.split(":")[1]) for s in spans)
+
+
+def test_private_query(spark):
+    want = {r.doc_id: plain_private(r.text) for r in documents(spark).collect()}
+    for r in pii.op8(spark, FOLDER).collect():
+        base = want[r.doc_id]
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == x for k, *_ in base) for x in range(4))
+        assert r.base_sha256 == hashlib.sha256(pii.named(base).encode()).hexdigest()
+        assert [x for x in pii.named(base).split(",") if x] == [s for s in r.spans.split(",") if s.split(":")[0] in pii.BASE]
+
+
+def test_ownership_tells_examples_from_live_secrets(spark):
+    live = "Zx81qLm0Pw7Rt5Yv2Kd9Hs4"
+    rows = [(i, f"see api_key = EXAMPLEKEY123 and {'q8Jf3nX0aVb7Kc2Lm5Pz9' if i % 2 else 'word'}", f"owner{i % 7}") for i in range(300)]
+    rows += [(400, f"key {live} here", "owner1"), (401, f"token={live}x", "owner2"), (402, f"key {live} again", "owner1"), (403, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.spans for r in secrets.find_secrets(docs).collect()}
+    assert [(s.verdict, s.owners, s.repositories) for s in got[0]] == [("example", 7, 300)]
+    assert [s.kind for s in got[1]] == [0]                       # a token of many owners is not added
+    assert [(s.kind, s.verdict, s.owners, s.repositories) for s in got[400]] == [(3, "live", 1, 2)]
+    assert got[401][0].verdict == "live" and got[403] == []
+
+
+def test_expectation_maximisation_finds_good_and_bad_labelers():
+    r = np.random.default_rng(4)
+    truth = r.random(6000) < 0.4
+    rates = [(0.9, 0.1), (0.85, 0.2), (0.7, 0.25), (0.5, 0.5)]
+    patterns = {}
+    for t in truth:
+        p = "".join("+" if r.random() < rates[j][0 if t else 1] else "-" for j in range(4))
+        patterns[p] = patterns.get(p, 0) + 1
+    share, table, post = pii.reliabilities(list(patterns.items()))
+    assert abs(share - 0.4) < 0.06
+    for j, (yes, no) in enumerate(rates):
+        assert abs(table[1, j, 0] - yes) < 0.07 and abs(table[0, j, 0] - no) < 0.07
+    assert post[list(patterns).index("++++")] > 0.9 > 0.1 > post[list(patterns).index("----")]
+
+
+def test_logistic_training_follows_soft_labels():
+    x = np.array([[1.0, 0.0], [1.0, 1.0]])
+    w = pii.train(x, np.array([0.2, 0.9]), np.array([5000.0, 5000.0]))
+    p = 1 / (1 + np.exp(-x @ w))
+    assert p == pytest.approx([0.2, 0.9], abs=0.01)
+
+
+def test_added_spans_follow_the_votes(spark):
+    rows = [(i, f"write to user{i}@site.org or phone +49 30 1234 56{i % 10}{i % 7}") for i in range(200)]
+    rows += [(300 + i, f"please call phone 555-0{100 + i}" if i % 2 else f"please call (212) 555-{1000 + i}") for i in range(40)]
+    rows += [(400, "contact ssn 123-45-6789"), (401, "order 000-00-0000"), (402, "iban DE89 3704 0044 0532 0130 00")]
+    rows += [(500 + i, "order 000-00-0000") for i in range(80)] + [(600 + i, f"invoice 12345678901{10 + i}") for i in range(80)]
+    got = {r.doc_id: {pii.KINDS[s.kind] for s in r.spans} for r in pii.find_private(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == {"email", "phone"} and "national_id" in got[400] and "iban" in got[402] and got[401] == set()
+    assert got[300] == {"local_phone"}
+
+
+def test_awkward_rows(spark):
+    docs = awkward(spark)
+    for found in (secrets.find_secrets(docs), pii.find_private(docs)):
+        rows = found.collect()
+        assert len(rows) == 15 and all(r.spans == [] for r in rows)
+    assert secrets.find_secrets(empty(spark)).count() == 0 and pii.find_private(empty(spark)).count() == 0
+    twice = spark.createDataFrame([(1, "mail a@b.co", "s")] * 3 + [(None, "secret: abcdef", None)] * 2, "doc_id long, text string, source string")
+    assert [len(r.spans) for r in pii.find_private(twice).orderBy("doc_id").collect()] == [0, 0, 1, 1, 1]
+    assert {(s.owners, s.repositories) for r in secrets.find_secrets(twice).collect() for s in r.spans} == {(1, 1)}
