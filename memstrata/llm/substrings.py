@@ -22,8 +22,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from memstrata.session import broadcast_measured
-
 from .common import table
 
 LENGTH = 50
@@ -116,6 +114,21 @@ def order_ids(batch: pa.RecordBatch) -> np.ndarray:
     return np.asarray(batch.column("doc_id").fill_null(int(NO_ID)), np.int64)
 
 
+def lists(flat: np.ndarray, cuts: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    """The parts of ``flat`` that start at ``cuts``."""
+    return pa.ListArray.from_arrays(pa.array(np.append(cuts, len(flat)), pa.int32()), pa.array(flat, kind))
+
+
+def starts_of(*keys: np.ndarray) -> np.ndarray:
+    """Where a new combination of the sorted keys begins."""
+    if not len(keys[0]):
+        return np.zeros(0, int)
+    new = np.zeros(len(keys[0]) - 1, bool)
+    for k in keys:
+        new |= k[1:] != k[:-1]
+    return np.flatnonzero(np.r_[True, new])
+
+
 def least_of(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """For each entry the least id among the entries of its key."""
     if not len(keys):
@@ -154,14 +167,14 @@ def named_anchors(docs: DataFrame, buckets: int) -> DataFrame:
     sent once per task.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         size = 0
         for batch in batches:
             data, offsets = text_buffers(batch, "text")
-            ids = order_ids(batch)
+            ids, joins = order_ids(batch), np.asarray(batch.column("join_key"), np.int64)
             for at, h in anchors(data, offsets):
                 text = np.searchsorted(offsets, at, "right") - 1
-                held.append((h, ids[text], at - offsets[text]))
+                held.append((h, ids[text], joins[text], at - offsets[text]))
                 size += len(at)
                 if size >= HELD_NAMES:
                     yield send(held)
@@ -170,49 +183,45 @@ def named_anchors(docs: DataFrame, buckets: int) -> DataFrame:
             yield send(held)
 
     def send(held) -> pa.RecordBatch:
-        h, ids, at = (np.concatenate(x) for x in zip(*held))
+        h, ids, joins, at = (np.concatenate(x) for x in zip(*held))
         h = h & np.uint64(0xFFFFFFFFFFFF)
         least, most = least_of(h, ids), greatest_of(h, ids)
         shared, mine = least != most, ids == least
         rows = []
         bucket = (h % np.uint64(buckets)).astype(np.int64)
         for kind, chosen in ((0, mine), (1, shared)):
-            order = np.lexsort((at[chosen], ids[chosen], bucket[chosen]))
-            b, i, a, n = bucket[chosen][order], ids[chosen][order], at[chosen][order], h[chosen][order]
-            cuts = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else []
-            for lo, hi in zip(cuts, np.r_[cuts[1:], len(b)].astype(int) if len(b) else []):
-                part = {"id": i[lo:hi], "at": a[lo:hi].astype("<u8")}
+            order = np.lexsort((at[chosen], joins[chosen], bucket[chosen]))
+            b, i, j, a, n = (x[chosen][order] for x in (bucket, ids, joins, at, h))
+            cuts = starts_of(b)
+            for lo, hi in zip(cuts, np.append(cuts[1:], len(b))):
+                part = {"join": j[lo:hi], "more": (i - j)[lo:hi], "at": a[lo:hi].astype("<u8")}
                 rows.append((int(b[lo]), kind, packed(**part, **split_name(n[lo:hi])) if kind == 0 else packed(**part)))
         return rows_of(rows)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SENT)
+    return docs.select("doc_id", "join_key", "text").mapInArrow(run, SENT)
 
 
 def shared_places(part: pa.Table) -> pa.Table:
     """Places of anchors whose name occurs in several documents, by document."""
-    ids, at, sent = [], [], []
+    joins, at, sent = [], [], []
     for kind, data in zip(part.column("kind").to_pylist(), part.column("data").to_pylist()):
         if kind:
-            x = unpacked(data, id="<i8", at="<u8")
-            ids.append(x["id"])
+            x = unpacked(data, join="<i8", more="<i8", at="<u8")
+            joins.append(x["join"])
             at.append(x["at"])
         else:
-            sent.append(unpacked(data, id="<i8", at="<u8", low="V4", high="V2"))
+            sent.append(unpacked(data, join="<i8", more="<i8", at="<u8", low="V4", high="V2"))
     if sent:
         h = np.concatenate([x["low"].view("<u4").astype(np.uint64) | (x["high"].view("<u2").astype(np.uint64) << np.uint64(32)) for x in sent])
-        i, a = np.concatenate([x["id"] for x in sent]), np.concatenate([x["at"] for x in sent])
+        i = np.concatenate([x["join"] + x["more"] for x in sent])
         shared = least_of(h, i) != greatest_of(h, i)
-        ids.append(i[shared])
-        at.append(a[shared])
-    return by_document(np.concatenate(ids), np.concatenate(at))
-
-
-def by_document(ids: np.ndarray, at: np.ndarray) -> pa.Table:
-    order = np.lexsort((at, ids))
-    ids, at = ids[order], at[order]
-    cuts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]]) if len(ids) else np.zeros(0, int)
-    ends = np.r_[cuts[1:], len(ids)].astype(int) if len(ids) else cuts
-    return pa.table({"id": pa.array(ids[cuts], pa.int64()), "places": pa.array([packed(at=at[a:b]) for a, b in zip(cuts, ends)], pa.binary())})
+        joins.append(np.concatenate([x["join"] for x in sent])[shared])
+        at.append(np.concatenate([x["at"] for x in sent])[shared])
+    joins, at = np.concatenate(joins), np.concatenate(at)
+    order = np.lexsort((at, joins))
+    joins, at = joins[order], at[order]
+    cuts = starts_of(joins)
+    return pa.table({"of_key": pa.array(joins[cuts], pa.int64()), "places": lists(at.astype(np.int64), cuts, pa.int64())})
 
 
 CONTEXT = {"id": "<i8", "key": "<i8", "at": "<u8", "left": "<u1", "right": "<u1"}
@@ -237,9 +246,11 @@ def sent_contexts(docs: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             data, offsets = text_buffers(batch, "text")
             ids, keys = order_ids(batch), np.asarray(batch.column("text_key"), np.int64)
-            for row, places in enumerate(batch.column("places").to_pylist()):
+            places = batch.column("places")
+            ends, flat = np.asarray(places.offsets), np.asarray(places.values)
+            for row in range(batch.num_rows):
                 body = data[offsets[row]:offsets[row + 1]]
-                at = np.unique(np.concatenate([unpacked(p, at="<u8")["at"] for p in places])).astype(np.int64)
+                at = np.unique(flat[ends[row]:ends[row + 1]])
                 at = at[at + NAME <= len(body)]
                 for lo in range(0, len(at), HELD_CONTEXTS):
                     part = at[lo:lo + HELD_CONTEXTS]
@@ -258,11 +269,7 @@ def sent_contexts(docs: DataFrame, buckets: int) -> DataFrame:
 
     def send(held) -> pa.RecordBatch:
         around, ids, keys, at, left, right = (np.concatenate(x) for x in zip(*held))
-        whole = around.view("<u8")
-        h = left.astype(np.uint64) * np.uint64(256) + right
-        for k in range(whole.shape[1]):
-            h = mixed(h ^ (whole[:, k] * K[k % 15 + 1]))
-        mine = ids == least_of(h, ids)
+        mine = ids == least_of(whole_name(around, left, right), ids)
         rows = []
         name = name_of(around)
         bucket = (name % np.uint64(buckets)).astype(np.int64)
@@ -271,8 +278,8 @@ def sent_contexts(docs: DataFrame, buckets: int) -> DataFrame:
             places = np.flatnonzero(chosen)
             order = places[np.lexsort((at[places], ids[places], bucket[places]))]
             b = bucket[order]
-            cuts = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else np.zeros(0, int)
-            for lo, hi in zip(cuts, np.r_[cuts[1:], len(b)].astype(int)):
+            cuts = starts_of(b)
+            for lo, hi in zip(cuts, np.append(cuts[1:], len(b))):
                 o = order[lo:hi]
                 own = {"id": ids[o], "key": keys[o], "at": at[o]}
                 own |= {"left": left[o], "right": right[o], "around": np.ascontiguousarray(around[o])} if kind == 0 else {"mask": masks[o]}
@@ -282,6 +289,15 @@ def sent_contexts(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.mapInArrow(run, SENT)
 
 
+def whole_name(around: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A hash of the surroundings, and of where they are cut off."""
+    whole = np.ascontiguousarray(around).view("<u8")
+    h = left.astype(np.uint64) * np.uint64(256) + right
+    for k in range(whole.shape[1]):
+        h = mixed(h ^ (whole[:, k] * K[k % 15 + 1]))
+    return h
+
+
 def name_of(around: np.ndarray) -> np.ndarray:
     words = np.ascontiguousarray(around[:, BACK:BACK + NAME]).view("<u4")
     h = np.zeros(len(around), np.uint64)
@@ -302,40 +318,51 @@ def repeated_runs(part: pa.Table) -> pa.Table:
     if sent:
         ids, keys, at, left, right = (np.concatenate([x[c] for x in sent]) for c in CONTEXT)
         around = np.concatenate([x["around"] for x in sent]).view(np.uint8).reshape(-1, AROUND)
-        name = name_of(around)
-        # running sums: the hash of a run is the difference of two of them
-        sums = np.zeros((len(ids), AROUND + 1), np.uint64)
-        for k in range(AROUND):
-            sums[:, k + 1] = sums[:, k] * K[7] + BYTE[around[:, k]]
-        power = np.uint64(pow(int(K[7]), LENGTH, 1 << 64))
         valid, mask = valid_runs(left, right), np.zeros(len(ids), np.uint32)
-        for o in range(BACK + 1):
-            live = np.flatnonzero(valid >> np.uint32(o) & np.uint32(1))
-            start = BACK - o
-            run = mixed(name[live] ^ mixed(sums[live, start + LENGTH] - sums[live, start] * power))
-            again = least_of(run, ids[live]) < ids[live]
-            mask[live[again]] |= np.uint32(1) << np.uint32(o)
+        # equal surroundings in a smaller document settle all runs of an anchor
+        first = ids == least_of(whole_name(around, left, right), ids)
+        mask[~first] = valid[~first]
+        # single runs matter where surroundings of one name still differ
+        name = name_of(around)
+        rest = np.flatnonzero(first)
+        rest = rest[least_of(name[rest], ids[rest]) != greatest_of(name[rest], ids[rest])]
+        parts = -(-len(rest) // HELD_CONTEXTS)
+        for k in range(parts):
+            some = rest[name[rest] // np.uint64(7) % np.uint64(parts) == k]
+            mask[some] |= single_runs(around[some], name[some], ids[some], valid[some])
         hit = mask != 0
         out.append((ids[hit], keys[hit], at[hit], mask[hit]))
     ids, keys, at, mask = (np.concatenate(x) for x in zip(*out))
     order = np.lexsort((at, keys, ids))
     ids, keys, at, mask = ids[order], keys[order], at[order], mask[order]
-    cuts = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])]) if len(ids) else np.zeros(0, int)
-    ends = np.r_[cuts[1:], len(ids)].astype(int) if len(ids) else cuts
-    return pa.table({"id": pa.array(ids[cuts], pa.int64()), "key": pa.array(keys[cuts], pa.int64()),
-                     "runs": pa.array([packed(at=at[a:b], mask=mask[a:b]) for a, b in zip(cuts, ends)], pa.binary())})
-
-
-def covered(n: int, runs: list[bytes]) -> np.ndarray:
-    """Which of ``n`` bytes lie in a repeated run."""
-    edge = np.zeros(n + 1, np.int64)
-    for data in runs:
-        x = unpacked(data, at="<u8", mask="<u4")
-        at = x["at"].astype(np.int64)
-        for o in range(BACK + 1):
-            start = at[(x["mask"] >> np.uint32(o) & np.uint32(1)).astype(bool)] - o
-            np.add.at(edge, start, 1)
-            np.add.at(edge, start + LENGTH, -1)
+    cuts = starts_of(ids, keys)
+    runs = (at.astype(np.int64) << np.int64(BACK + 1)) | mask.astype(np.int64)
+    return pa.table({"of": pa.array(ids[cuts], pa.int64()), "of_key": pa.array(keys[cuts], pa.int64()), "runs": lists(runs, cuts, pa.int64())})
+
+
+def single_runs(around: np.ndarray, name: np.ndarray, ids: np.ndarray, valid: np.ndarray) -> np.ndarray:
+    """The bits of the runs that also start in a smaller document. Running sums give the hash of each run as a difference."""
+    sums = np.zeros((AROUND + 1, len(ids)), np.uint64)
+    for k in range(AROUND):
+        sums[k + 1] = sums[k] * K[7] + BYTE[around[:, k]]
+    power = np.uint64(pow(int(K[7]), LENGTH, 1 << 64))
+    mask = np.zeros(len(ids), np.uint32)
+    for o in range(BACK + 1):
+        live = np.flatnonzero(valid >> np.uint32(o) & np.uint32(1))
+        start = BACK - o
+        run = mixed(name[live] ^ mixed(sums[start + LENGTH][live] - sums[start][live] * power))
+        mask[live[least_of(run, ids[live]) < ids[live]]] |= np.uint32(1) << np.uint32(o)
+    return mask
+
+
+def covered(n: int, runs: np.ndarray) -> np.ndarray:
+    """Which of ``n`` bytes lie in a repeated run. A value of ``runs`` is an anchor and the bits of its runs."""
+    at, mask = runs >> (BACK + 1), runs & ((1 << (BACK + 1)) - 1)
+    full = mask == (1 << (BACK + 1)) - 1
+    edge = np.bincount(at[full] - BACK, minlength=n + 1) - np.bincount(at[full] + LENGTH, minlength=n + 1)
+    entry, bit = np.nonzero((mask[~full][:, None] >> np.arange(BACK + 1)) & 1)
+    start = at[~full][entry] - bit
+    edge = edge + np.bincount(start, minlength=n + 1) - np.bincount(start + LENGTH, minlength=n + 1)
     return np.cumsum(edge)[:n] > 0
 
 
@@ -353,15 +380,17 @@ def find_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     columns of ``docs`` are not read. Whole texts are read, of any length.
     """
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    keyed = rows.withColumn("text_key", F.xxhash64("text")).withColumn("of", F.coalesce("doc_id", F.lit(int(NO_ID))))
+    keyed = (rows.withColumn("text_key", F.xxhash64("text")).withColumn("of", F.coalesce("doc_id", F.lit(int(NO_ID))))
+             .withColumn("join_key", F.coalesce("doc_id", "text_key")))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(max(48, -(-total // BUCKET_BYTES)))
-    found = named_anchors(rows, buckets).groupBy("bucket").applyInArrow(shared_places, "id long, places binary")
-    places = broadcast_measured(found.groupBy("id").agg(F.collect_list("places").alias("places")))
-    at_places = keyed.join(places, F.col("of") == F.col("id")).select("doc_id", "text_key", "text", "places")
-    runs = sent_contexts(at_places, buckets).groupBy("bucket").applyInArrow(repeated_runs, "id long, key long, runs binary")
-    runs = broadcast_measured(runs.groupBy("id", "key").agg(F.collect_list("runs").alias("runs")))
-    cut = keyed.join(runs, (F.col("of") == F.col("id")) & (F.col("text_key") == F.col("key")), "left").select("doc_id", "text", "runs")
+    found = named_anchors(keyed, buckets).groupBy("bucket").applyInArrow(shared_places, "of_key long, places array<long>")
+    places = found.groupBy("of_key").agg(F.flatten(F.collect_list("places")).alias("places"))
+    at_places = keyed.join(places, F.col("join_key") == F.col("of_key")).select("doc_id", "text_key", "text", "places")
+    runs = sent_contexts(at_places, buckets).groupBy("bucket").applyInArrow(repeated_runs, "of long, of_key long, runs array<long>")
+    runs = runs.groupBy("of", "of_key").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    cut = (keyed.join(runs.withColumnRenamed("of", "of_id"), (F.col("of") == F.col("of_id")) & (F.col("text_key") == F.col("of_key")), "left")
+           .select("doc_id", "text", "runs"))
     schema = T.StructType([rows.schema["doc_id"], T.StructField("n_bytes", T.LongType()), T.StructField("removed", T.ArrayType(REMOVED)), T.StructField("kept", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -370,13 +399,14 @@ def find_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
         for batch in batches:
             data, offsets = text_buffers(batch, "text")
             spans, kept = [], []
-            for row, found in enumerate(batch.column("runs").to_pylist()):
+            ends, flat = np.asarray(batch.column("runs").offsets), np.asarray(batch.column("runs").values)
+            for row in range(batch.num_rows):
                 body = data[offsets[row]:offsets[row + 1]]
-                if not found:
+                if ends[row] == ends[row + 1]:
                     spans.append([])
                     kept.append(body.tobytes())
                     continue
-                gone = covered(len(body), found)
+                gone = covered(len(body), flat[ends[row]:ends[row + 1]])
                 edges = np.flatnonzero(np.diff(np.r_[False, gone, False].astype(np.int8)))
                 spans.append([{"start": int(a), "end": int(b)} for a, b in zip(edges[::2], edges[1::2])])
                 kept.append(body[~gone].tobytes())
