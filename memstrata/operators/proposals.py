@@ -10,21 +10,21 @@ from ..functions import scalars as S
 
 PROPOSAL_KEY = ["run_id", "work_key", "proposal_index"]
 
-# fixed values: reasons as they are recorded for rejected proposals
-BLANK_CONTENT = "Memory content is blank."
-LONG_CONTENT = "Memory content is too long."
-FEW_PARENTS = "Abstraction requires at least B distinct parents."
+# rule codes of rejected proposals
+BLANK_CONTENT = "content_blank"
+LONG_CONTENT = "content_too_long"
+FEW_PARENTS = "parents_below_base"
 PARENT_REASONS = {
-    1: "Parent was not provided.",
-    2: "Parent does not exist.",
-    3: "Parent violates the run generation barrier.",
-    4: "Parents must have the same depth.",
+    1: "parent_not_offered",
+    2: "parent_unknown",
+    3: "parent_not_before_run",
+    4: "parent_depths_differ",
 }
-FEW_ROOTS = "Insufficient distinct Source roots for B^depth."
-ONE_PER_DAY = "Daily run allows at most one abstraction per neighbourhood."
-FINISHED_RUN = "Cannot add a memory to a finished run."
-RELATION_RULE = "A relation must uniquely join a supplied candidate to the observation, with no self edge."
-OUTSIDE_SNAPSHOT = "Relation references a memory outside the run snapshot."
+FEW_ROOTS = "roots_below_power"
+ONE_PER_DAY = "second_of_neighbourhood"
+FINISHED_RUN = "run_finished"
+RELATION_RULE = "relation_not_sound"
+OUTSIDE_SNAPSHOT = "relation_outside_snapshot"
 
 
 def _reason(code):

@@ -93,8 +93,13 @@ def seed_union(memories: DataFrame, recalls: DataFrame, runs: DataFrame) -> Data
 
 
 def number_work(work: DataFrame) -> DataFrame:
-    """0-based ordinals inside each run in key order, split by the head of the key."""
-    out = prefix_sums(work, ["run_id"], F.substring("work_key", 1, 18), [F.col("work_key")], F.lit(1).cast("long"), "ordinal")
+    """0-based ordinals inside each run in key order, split by the head of the key.
+
+    The head reaches four characters into the memory's id, behind the words
+    that all keys of a kind share; carried work has more of those.
+    """
+    head = F.regexp_extract("work_key", r"^(?:carry:\d+:)?[a-z]+:(?:mem_)?.{0,4}", 0)
+    out = prefix_sums(work, ["run_id"], F.when(head == "", F.substring("work_key", 1, 18)).otherwise(head), [F.col("work_key")], F.lit(1).cast("long"), "ordinal")
     return out.withColumn("ordinal", F.col("ordinal").cast("int"))
 
 

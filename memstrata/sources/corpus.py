@@ -7,6 +7,7 @@ pushed filters, as a stored corpus would be.
 
 from __future__ import annotations
 
+import hashlib
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,6 +25,8 @@ DAILY_RUNS, WEEKLY_RUNS = 60, 8
 QUESTION_TYPES = ("knowledge-update", "multi-session", "single-session-assistant",
                   "single-session-preference", "single-session-user", "temporal-reasoning")
 SESSIONS_PER_QUESTION = 16
+PIECE = 4000           # characters of a content at most
+CARRY_RUN = 65         # the weekly run that ends with pending work
 
 
 def after_start(days: Column | int = 0, minutes: Column | int = 0, seconds: Column | int = 0) -> Column:
@@ -36,7 +39,8 @@ class Corpus:
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
-        self.space = Workspace.of(spark, self.folder.rsplit("/", 1)[-1])
+        # the whole path names the workspace: folders of one last name are different corpora
+        self.space = Workspace.of(spark, f"{self.folder.rsplit('/', 1)[-1]}-{hashlib.sha256(self.folder.encode()).hexdigest()[:12]}")
 
     @classmethod
     def of(cls, spark: SparkSession, folder: str) -> "Corpus":
@@ -83,12 +87,15 @@ class Corpus:
     @property
     def observations(self) -> DataFrame:
         def build() -> DataFrame:
+            # every line that is not blank; a line above the limit of a content gives consecutive pieces
             lines = F.filter(F.split("raw", "\n"), lambda x: F.trim(x) != "")
+            pieces = F.flatten(F.transform(lines, lambda x: F.transform(
+                F.sequence(F.lit(0), F.floor((F.length(x) - 1) / PIECE).cast("int")), lambda k: F.substring(x, k * PIECE + 1, F.lit(PIECE)))))
             rows = (self.source_texts.filter("status = 'complete'")
-                    .select("id", "content_hash", "created_at", F.posexplode(F.slice(lines, 1, 3)).alias("idx", "line")))
+                    .select("id", "content_hash", "created_at", F.posexplode(pieces).alias("idx", "line")))
             timed = rows.select(
                 F.concat(F.lit("mem_"), F.substring("content_hash", 1, 24), F.lit("_"), F.col("idx")).alias("id"),
-                F.substring("line", 1, 4000).alias("content"), F.col("id").alias("source_ref"),
+                F.col("line").alias("content"), F.col("id").alias("source_ref"),
                 (F.col("created_at") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("idx"))).alias("created_at"),
                 "content_hash", "idx",
                 S.source_origin_key(F.col("id"), F.col("idx")).alias("origin_key"))
@@ -208,7 +215,7 @@ class Corpus:
                                       ("recall_high_water", self.recall_events, "recalled_at")):
                 marks = work.with_high_water(marks, frame, at, column)
             budget = F.when(F.col("kind") == "meditation", F.lit("1.00")).cast("decimal(38,12)")
-            status = F.when((F.col("kind") == "meditation") & (F.col("id") % 7 == 0), "budget_exhausted").otherwise("complete")
+            status = F.when((F.col("kind") == "meditation") & (F.col("id") == CARRY_RUN), "budget_exhausted").otherwise("complete")
             hours = lambda n: F.make_dt_interval(F.lit(0), F.lit(n))
             return (marks.withColumn("started_at", F.col("period_end") + hours(1))
                     .withColumn("finished_at", F.col("period_end") + hours(2))
@@ -226,7 +233,7 @@ class Corpus:
             model = (F.when(F.col("phase") == "assimilation", "fixture-relate")
                      .when(kept == 0, "consolidation-ineligible")
                      .when(kept == 1, "dream-neighborhood-deduplicated").otherwise("fixture-abstract"))
-            pending = (F.col("run_id") == 63) & (F.col("ordinal") % 2 == 1)
+            pending = (F.col("run_id") == CARRY_RUN) & (F.col("ordinal") % 2 == 1)
             one = F.array(F.struct(F.concat(F.lit("about "), F.col("memory_id")).alias("content"),
                                    F.array("memory_id").alias("derived_from")))
             made = (F.col("phase") == "consolidation") & (kept == 2) & (F.col("ordinal") % 2 == 0)
@@ -357,8 +364,7 @@ class Corpus:
             n = vectors.count()
             vectors = vectors.select("vec_id", F.col("embedding").cast("array<float>").alias("vector"))
             owners = self.memory_ids.select(
-                F.col("id").alias("memory_id"), "seq", "depth",
-                F.when(F.col("depth") == 0, F.col("seq") - 1).otherwise(F.col("seq") % n).alias("vec_id"))
+                F.col("id").alias("memory_id"), "seq", "depth", (F.col("seq") % n).alias("vec_id"))
             return owners.join(vectors, "vec_id").select(
                 "memory_id", F.lit(SPACE).alias("space"), F.size("vector").alias("dimensions"), "vector", "seq", "depth", "vec_id")
         return self.space.table("embeddings", build)

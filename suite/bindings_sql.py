@@ -32,10 +32,11 @@ CTES: dict[str, tuple[str, str]] = {
         call_id first_call_id, raw
         from (select *, row_number() over (partition by h order by "at", call_id) rn from c_calls) where rn = 1"""),
     "c_obs": ("", """select row_number() over (order by created_at, content_hash, idx) seq, * from (
-        select 'mem_' || substr(content_hash, 1, 24) || '_' || i id, substr(ls[i + 1], 1, 4000) content, id source_ref,
+        select 'mem_' || substr(content_hash, 1, 24) || '_' || i id, ls[i + 1] content, id source_ref,
                created_at + to_minutes(i) created_at, content_hash, i idx, ls[i + 1] line, 'source:' || id || ':' || i origin_key
         from (select *, unnest(range(len(ls))) i from (
-            select *, list_slice(list_filter(string_split(raw, chr(10)), lambda x: trim(x) <> ''), 1, 3) ls
+            select *, flatten(list_transform(list_filter(string_split(raw, chr(10)), lambda x: trim(x) <> ''),
+                lambda x: list_transform(range(0, length(x), 4000), lambda k: substr(x, k + 1, 4000)))) ls
             from c_reg where status = 'complete')))"""),
     "c_n": ("", "select n0, n0 // 5 k1, (n0 // 5) // 4 k2, n0 + n0 // 5 + (n0 // 5) // 4 total from (select count(*) n0 from c_obs)"),
     "c_one": ("", f"""select n0 + 1 + seq % k1 seq, 'mem_d1_' || (seq % k1) id, 1::bigint depth, 'Pattern ' || (seq % k1) || ' ' || content as content,
@@ -68,7 +69,7 @@ CTES: dict[str, tuple[str, str]] = {
             coalesce((select max(seq) from c_rel where related_at < period_end), 0) relation_high_water,
             coalesce((select max(seq) from c_recalls where recalled_at < period_end), 0) recall_high_water,
             period_end + to_hours(1) started_at,
-            case when kind = 'meditation' and id % 7 = 0 then 'budget_exhausted' else 'complete' end status,
+            case when id = 65 then 'budget_exhausted' else 'complete' end status,
             case when kind = 'meditation' then 1.00::decimal(38, 12) end budget_usd
         from (select i id, case when i <= 60 then 'dream' else 'meditation' end kind,
                 {after('case when i <= 60 then i - 1 else (i - 61) * 7 end')} period_start,
@@ -90,11 +91,11 @@ CTES: dict[str, tuple[str, str]] = {
               and t.id = e.related_memory_id and t.seq <= r.memory_high_water"""),
     "c_weekly": ("", """select run_id, 'abstract:' || memory_id work_key, 'consolidation' phase, memory_id from c_changed
         where run_id in (select id from c_runs where kind = 'meditation')"""),
-    "c_work": ("", """select *, case when run_id = 63 and ordinal % 2 = 1 then 'pending' else 'complete' end status,
-            case when run_id = 63 and ordinal % 2 = 1 then null when phase = 'assimilation' then 'fixture-relate'
+    "c_work": ("", """select *, case when run_id = 65 and ordinal % 2 = 1 then 'pending' else 'complete' end status,
+            case when run_id = 65 and ordinal % 2 = 1 then null when phase = 'assimilation' then 'fixture-relate'
                  when ordinal % 3 = 0 then 'consolidation-ineligible' when ordinal % 3 = 1 then 'dream-neighborhood-deduplicated'
                  else 'fixture-abstract' end model,
-            case when run_id = 63 and ordinal % 2 = 1 then null when phase = 'consolidation' and ordinal % 6 = 2 then 1 else 0 end n_abstractions
+            case when run_id = 65 and ordinal % 2 = 1 then null when phase = 'consolidation' and ordinal % 6 = 2 then 1 else 0 end n_abstractions
         from (select run_id, work_key, phase, memory_id, ordinal from c_dream
               union all select run_id, work_key, phase, memory_id, row_number() over (partition by run_id order by work_key) - 1 from c_weekly)"""),
     "c_api": ("", f"""select 'call_' || event_id id, event_id ordinal, case when event_type <> 'signup' then 1 + user_id % 30 end run_id,
@@ -140,7 +141,9 @@ CTES: dict[str, tuple[str, str]] = {
             case when o.event_id % 2 = 0 then 'positive' else 'negative' end kind, case when o.event_id % 3 = 2 then 'outside the run snapshot' end reason, o.event_id
         from c_ops o, c_n, c_base m where o.kind = 'assimilation' and m.seq = 1 + (o.event_id * 23) % total"""),
     "c_emb": ("", """select b.id memory_id, v.embedding vector, b.depth, v.vec_id from c_base b, embeddings v, (select count(*) n from embeddings)
-        where v.vec_id = case when b.depth = 0 then b.seq - 1 else b.seq % n end"""),
+        where v.vec_id = b.seq % n"""),
+    # the seeds of one daily and one weekly run
+    "c_hseed": ("", "select memory_id from c_seeds where run_id = 30 union select memory_id from c_changed where run_id = 67"),
     "c_q": ("", """select 'q' || item_id || case when item_id % 13 = 0 then '_abs' else '' end query_id, item_id,
         ['knowledge-update', 'multi-session', 'single-session-assistant', 'single-session-preference', 'single-session-user', 'temporal-reasoning'][item_id % 6 + 1] question_type,
         text from benchmark"""),

@@ -8,7 +8,7 @@ from memstrata.plans import daily_report as report
 from memstrata.plans import work
 
 from .aggregates import ZONE, attributed, day_runs, linked_operations
-from .joins import NEAREST, nearest_same_depth
+from .joins import NEAREST, nearest_same_depth, run_seeds
 from .registry import query
 
 CONFIG = EngineConfig()
@@ -67,7 +67,7 @@ def _(c):
 
 ASSEMBLE = f"""{NEAREST},
 o as (select memory_id seed_id, related_memory_id memory_id, min(seq) place, bool_or(target_depth = owner_depth) same from c_edges group by 1, 2),
-sd as (select memory_id seed_id from c_emb),
+sd as (select memory_id seed_id from c_hseed),
 fresh as (select n.seed_id, n.memory_id, n.rank, row_number() over (partition by n.seed_id order by n.rank) k from near n
     left join o on o.seed_id = n.seed_id and o.memory_id = n.memory_id and o.same where o.seed_id is null),
 listed as (select seed_id, seed_id memory_id, 0 stage, 0 place from sd union all select o.seed_id, o.memory_id, 1, place from o join sd using (seed_id) where same
@@ -78,7 +78,7 @@ hood as (select seed_id, memory_id, row_number() over (partition by seed_id orde
 
 
 def seeds(c):
-    return c.embeddings.select(F.col("memory_id").alias("seed_id"), "depth")
+    return c.embeddings.join(run_seeds(c), "memory_id").select(F.col("memory_id").alias("seed_id"), "depth")
 
 
 def hoods(c):
@@ -111,7 +111,7 @@ def _(c):
 
 
 @query("assimilation_candidates", f"""
-with {NEAREST}, listed as (select memory_id seed_id, related_memory_id memory_id, 0 stage, seq place from c_edges where memory_id in (select memory_id from c_emb)
+with {NEAREST}, listed as (select memory_id seed_id, related_memory_id memory_id, 0 stage, seq place from c_edges where memory_id in (select memory_id from c_hseed)
     union all select seed_id, memory_id, 1, rank from near),
 f as (select seed_id, memory_id, min((stage, place)) p from listed where memory_id <> seed_id group by 1, 2)
 select seed_id, memory_id, row_number() over (partition by seed_id order by p) as position from f qualify row_number() over (partition by seed_id order by p) <= 30""")

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from memstrata.operators import accounting, audits, evaluation, neighbourhoods, retrieval, snapshot
 from memstrata.plans import daily_report
 
+from memstrata.plans import work
+
 from .registry import query
 
 ZONE = "Asia/Seoul"
@@ -57,11 +59,19 @@ def _(c):
 NEAREST = """
 near as (select s.memory_id seed_id, e.memory_id, row_number() over (partition by s.memory_id order by
         list_dot_product(s.vector::double[], e.vector::double[]) / sqrt(list_dot_product(s.vector::double[], s.vector::double[]) * list_dot_product(e.vector::double[], e.vector::double[])) desc, e.memory_id) rank
-    from c_emb s join c_emb e on e.depth = s.depth and e.memory_id <> s.memory_id qualify rank <= 20)"""
+    from (select * from c_emb where memory_id in (select memory_id from c_hseed)) s join c_emb e on e.depth = s.depth and e.memory_id <> s.memory_id qualify rank <= 20)"""
+
+
+def run_seeds(c):
+    """What one daily and one weekly run look around: new and recalled memories, changed abstractions."""
+    def build():
+        daily = work.seed_union(c.memories, c.recall_events, c.runs.filter("id = 30")).select("memory_id")
+        return daily.unionByName(work.changed_memories(c.memories, c.relations, c.runs.filter("id = 67")).select("memory_id")).distinct()
+    return c.space.table("run_seeds", build)
 
 
 def seeds_with_vectors(c):
-    return c.embeddings.select(F.col("memory_id").alias("query_id"), F.col("memory_id").alias("self_id"), "vector", "depth")
+    return c.embeddings.join(run_seeds(c), "memory_id").select(F.col("memory_id").alias("query_id"), F.col("memory_id").alias("self_id"), "vector", "depth")
 
 
 def nearest_same_depth(c):

@@ -19,7 +19,7 @@ def _(c):
 
 
 CANDIDATES = """cw as (select run_id, work_key, phase, memory_id from c_weekly
-    union all select r.id, 'carry:63:' || w.work_key, 'carry', w.memory_id from c_work w, c_runs r where w.run_id = 63 and w.status <> 'complete' and r.id > 63)"""
+    union all select r.id, 'carry:65:' || w.work_key, 'carry', w.memory_id from c_work w, c_runs r where w.run_id = 65 and w.status <> 'complete' and r.id > 65)"""
 
 
 def weekly_candidates(c):
@@ -49,7 +49,7 @@ def _(c):
 
 
 @query("carry_plan", """
-select r.id run_id, 'carry:63:' || w.work_key work_key, 'carry' phase, w.memory_id from c_work w, c_runs r where w.run_id = 63 and w.status <> 'complete' and r.id > 63""")
+select r.id run_id, 'carry:65:' || w.work_key work_key, 'carry' phase, w.memory_id from c_work w, c_runs r where w.run_id = 65 and w.status <> 'complete' and r.id > 65""")
 def _(c):
     return work.carry_work(c.run_work, c.runs, c.memories, WEEKLY)
 
@@ -65,11 +65,11 @@ def _(c):
 
 
 @query("resolve_carry_status", """
-select 68 charged_run_id, 'carry:63:' || work_key work_key, 63 evidence_run_id, work_key original_key, memory_id, status original_status, model original_model,
-    case when status = 'complete' then 'complete' else 'pending' end resolved_status, false broken from c_work where run_id = 63""")
+select 68 charged_run_id, 'carry:65:' || work_key work_key, 65 evidence_run_id, work_key original_key, memory_id, status original_status, model original_model,
+    case when status = 'complete' then 'complete' else 'pending' end resolved_status, false broken from c_work where run_id = 65""")
 def _(c):
-    carried = c.run_work.filter("run_id = 63").select(
-        F.lit(68).cast("long").alias("run_id"), F.concat(F.lit("carry:63:"), "work_key").alias("work_key"), F.lit("carry").alias("phase"),
+    carried = c.run_work.filter("run_id = 65").select(
+        F.lit(68).cast("long").alias("run_id"), F.concat(F.lit("carry:65:"), "work_key").alias("work_key"), F.lit("carry").alias("phase"),
         "memory_id", "ordinal", F.lit("pending").alias("status"), "model", "proposal_json")
     return work.resolve_carry(c.run_work.unionByName(carried))
 

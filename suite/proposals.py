@@ -21,13 +21,13 @@ def abstraction_proposals(c):
         derived = (F.when(k == 3, F.slice(p, 1, 2)).when(k == 4, F.concat(p, F.slice(p, 1, 1)))
                    .when(k == 6, F.concat(p, F.array(F.lit("mem_missing")))).when(k == 7, F.concat(p, F.array(F.lit("mem_d2_0"))))
                    .when(k == 8, F.concat(p, other)).otherwise(p))
-        allowed = (F.when(k == 5, F.slice(p, 2, 100)).otherwise(F.concat(p, other, F.array(F.lit("mem_missing"), F.lit("mem_d2_0")))))
+        allowed = (F.when(k == 5, F.slice(p, F.lit(2), F.size(p))).otherwise(F.concat(p, other, F.array(F.lit("mem_missing"), F.lit("mem_d2_0")))))
         group = members.select(
             (F.lit(45) + F.col("g") % 15).alias("run_id"), F.concat(F.lit("abstract:"), F.col("p")[0]).alias("work_key"),
             F.when(k == 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))).alias("i"),
             F.when(k == 2, "  ").otherwise("insight").alias("content"), derived.alias("derived_from"), allowed.alias("allowed"))
         # three observations of one source are three parents with one root
-        same = (c.memories.filter("depth = 0").groupBy("source_ref").agg(F.array_sort(F.collect_list("id")).alias("p")).filter("size(p) = 3")
+        same = (c.memories.filter("depth = 0").groupBy("source_ref").agg(F.array_sort(F.collect_list("id")).alias("p")).filter("size(p) >= 3")
                 .select(F.lit(50).cast("long").alias("run_id"), F.concat(F.lit("abstract:same:"), "source_ref").alias("work_key"), F.array(F.lit(0)).alias("i"),
                         F.lit("insight").alias("content"), F.col("p").alias("derived_from"), F.col("p").alias("allowed")))
         return (group.unionByName(same).withColumn("proposal_index", F.explode("i")).drop("i"))
@@ -36,12 +36,12 @@ def abstraction_proposals(c):
 
 PROPOSED = """
 grp as (select g, child_id, p from (select child_id, list_sort(list(parent_id)) p, cast(regexp_extract(child_id, '(\\d+)$', 1) as bigint) g from c_df where starts_with(child_id, 'mem_d1_') group by 1)),
-prop as (select 45 + g % 15 run_id, 'abstract:' || p[1] work_key, i proposal_index, case g % 10 when 2 then 'Memory content is blank.'
-        when 3 then 'Abstraction requires at least B distinct parents.' when 4 then 'Abstraction requires at least B distinct parents.'
-        when 5 then 'Parent was not provided.' when 6 then 'Parent does not exist.' when 7 then 'Parent violates the run generation barrier.'
-        when 8 then case when 1 + g % 30 < 45 + g % 15 and m.seq <= r.memory_high_water then 'Parents must have the same depth.' else 'Parent violates the run generation barrier.' end end reason, p
+prop as (select 45 + g % 15 run_id, 'abstract:' || p[1] work_key, i proposal_index, case g % 10 when 2 then 'content_blank'
+        when 3 then 'parents_below_base' when 4 then 'parents_below_base'
+        when 5 then 'parent_not_offered' when 6 then 'parent_unknown' when 7 then 'parent_not_before_run'
+        when 8 then case when 1 + g % 30 < 45 + g % 15 and m.seq <= r.memory_high_water then 'parent_depths_differ' else 'parent_not_before_run' end end reason, p
     from grp, (select unnest(range(2)) i), c_mem m, c_runs r where (i = 0 or g % 10 = 1) and m.id = child_id and r.id = 45 + g % 15
-    union all select 50, 'abstract:same:' || source_ref, 0, 'Insufficient distinct Source roots for B^depth.', list_sort(list(id)) from c_mem where depth = 0 group by source_ref having count(*) = 3),
+    union all select 50, 'abstract:same:' || source_ref, 0, 'roots_below_power', list_sort(list(id)) from c_mem where depth = 0 group by source_ref having count(*) >= 3),
 ver as (select run_id, work_key, proposal_index, reason, p, case when reason is null then 1 end depth,
     case when reason is null then (select count(distinct source_ref) from c_mem where list_contains(p, id)) end n_roots from prop)"""
 
@@ -61,8 +61,8 @@ def applied(c):
 
 
 APPLIED = PROPOSED + """,
-ap as (select *, case when proposal_index >= 1 then 'Daily run allows at most one abstraction per neighbourhood.' when reason is not null then reason
-    when run_id % 5 = 0 then 'Cannot add a memory to a finished run.' end why from ver)"""
+ap as (select *, case when proposal_index >= 1 then 'second_of_neighbourhood' when reason is not null then reason
+    when run_id % 5 = 0 then 'run_finished' end why from ver)"""
 
 
 @query("apply_abstractions", f"""
@@ -102,7 +102,7 @@ rp0 as (select run_id, work_key || '#' || event_id work_key, i proposal_index, "
     related_memory_id seed_id, event_id % 8 <> 4 or memory_id = related_memory_id offered from c_results, (select unnest(range(3)) i)),
 rp as (select *, (offered or memory_id = seed_id) and related_memory_id = seed_id and memory_id <> seed_id and kind in ('positive', 'negative') sound from rp0),
 rv as (select *, case when not sound or row_number() over (partition by run_id, work_key, memory_id, related_memory_id, kind, sound order by proposal_index) > 1
-    then 'A relation must uniquely join a supplied candidate to the observation, with no self edge.' end reason from rp)"""
+    then 'relation_not_sound' end reason from rp)"""
 
 
 def relation_verdicts(c):
@@ -116,7 +116,7 @@ def _(c):
 
 @query("apply_relations", f"""
 with {RELATED}, ck as (select v.*, case when v.reason is not null then v.reason when o.seq <= r.memory_high_water and t.seq <= r.memory_high_water and o.dream_revision < r.id and t.dream_revision < r.id then null
-        else 'Relation references a memory outside the run snapshot.' end why
+        else 'relation_outside_snapshot' end why
     from rv v join c_runs r on r.id = v.run_id left join c_mem o on o.id = v.memory_id left join c_mem t on t.id = v.related_memory_id),
 ou as (select *, case when why is not null then 'rejected' when exists (select 1 from c_rel x where x.memory_id = ck.memory_id and x.related_memory_id = ck.related_memory_id and x.kind = ck.kind)
     or row_number() over (partition by memory_id, related_memory_id, kind, why is null order by run_id, e, proposal_index) > 1 then 'already_exists' else 'appended' end outcome from ck)
@@ -129,13 +129,12 @@ def _(c):
 
 @query("validate_observations", """
 with n as (select id source_id, first_call_id f, i, ls from (select *, unnest(range(len(ls))) i from (
-    select *, list_filter(string_split(raw, chr(10)), lambda x: trim(x) <> '') ls from c_reg)) where i < 4 or first_call_id % 2 = 0)
+    select *, list_filter(string_split(raw, chr(10)), lambda x: trim(x) <> '') ls from c_reg)) )
 select source_id, count(*) n, case when count(*) > 3 then 'too_many' when bool_or(length(ls[i + 1]) > 4000) then 'content' when any_value(f) % 7 = 3 then 'vector'
     when any_value(f) % 7 = 4 then 'blank_id' when any_value(f) % 7 = 5 and count(*) > 1 then 'repeated_id' end reason from n group by 1""")
 def _(c):
     k = F.col("first_call_id") % 7
-    lines = (c.source_texts.select("id", "first_call_id", F.posexplode(F.filter(F.split("raw", "\n"), lambda x: F.trim(x) != "")).alias("position", "content"))
-             .filter("position < 4 or first_call_id % 2 = 0"))
+    lines = (c.source_texts.select("id", "first_call_id", F.posexplode(F.filter(F.split("raw", "\n"), lambda x: F.trim(x) != "")).alias("position", "content")))
     obs = lines.select(
         F.col("id").alias("source_id"), "position", "content", F.lit("m").alias("model"),
         F.when(k == 4, F.lit(" ")).when(k == 5, F.lit("same")).otherwise(F.concat(F.lit("o"), "position")).alias("id"),

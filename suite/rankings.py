@@ -99,9 +99,9 @@ def _(c):
 
 
 @query("work_page", """
-select work_key, ordinal, status, n_abstractions is not null has_proposal from c_work where run_id = 63 order by ordinal, work_key limit 25 offset 25""")
+select work_key, ordinal, status, n_abstractions is not null has_proposal from c_work where run_id = 65 order by ordinal, work_key limit 25 offset 25""")
 def _(c):
-    rows = c.run_work.filter("run_id = 63").select("work_key", "ordinal", "status", F.col("proposal_json").isNotNull().alias("has_proposal"))
+    rows = c.run_work.filter("run_id = 65").select("work_key", "ordinal", "status", F.col("proposal_json").isNotNull().alias("has_proposal"))
     return snapshot.page_of(rows, [F.col("ordinal"), F.col("work_key")], 2)
 
 
@@ -129,7 +129,7 @@ def _(c):
 
 
 @query("changed_plus_carry", """
-select 65 run_id, 'abstract:' || memory_id work_key, 'consolidation' phase, memory_id from c_changed where run_id = 65
-union all select 65, 'carry:63:' || work_key, 'carry', memory_id from c_work where run_id = 63 and status <> 'complete'""")
+select 66 run_id, 'abstract:' || memory_id work_key, 'consolidation' phase, memory_id from c_changed where run_id = 66
+union all select 66, 'carry:65:' || work_key, 'carry', memory_id from c_work where run_id = 65 and status <> 'complete'""")
 def _(c):
-    return work.meditation_candidates(c.memories, c.relations, c.runs, c.run_work, [65]).select("run_id", "work_key", "phase", "memory_id")
+    return work.meditation_candidates(c.memories, c.relations, c.runs, c.run_work, [66]).select("run_id", "work_key", "phase", "memory_id")

@@ -104,11 +104,11 @@ def _(c):
 
 
 @query("origin_key", """
-select id, case when depth = 0 then 'source:' || source_ref || ':' || substr(id, -1) else origin_key end origin_key from c_mem""")
+select id, case when depth = 0 then 'source:' || source_ref || ':' || regexp_extract(id, '_(\\d+)$', 1) else origin_key end origin_key from c_mem""")
 def _(c):
     kept = F.regexp_extract("origin_key", r"^run:\d+:(.*):\d+$", 1)
     return c.memories.select("id", F.when(
-        F.col("depth") == 0, S.source_origin_key(F.col("source_ref"), F.substring("id", -1, 1))).otherwise(
+        F.col("depth") == 0, S.source_origin_key(F.col("source_ref"), F.regexp_extract("id", r"_(\d+)$", 1))).otherwise(
         S.run_origin_key(F.col("dream_revision"), kept, F.lit(0))).alias("origin_key"))
 
 

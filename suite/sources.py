@@ -18,7 +18,7 @@ def archive_folder(c) -> str:
         texts = c.source_texts.withColumn("raw", F.when(kind == 0, F.concat("raw", F.lit("x"))).otherwise(F.col("raw")))
         files = (archive.archive_text(texts).join(c.registered.select("id", "relative_path", "first_call_id"), "id")
                  .filter(kind != 2)
-                 .withColumn("text", F.when(kind == 1, F.substring("text", 2, 1_000_000)).otherwise(F.col("text"))))
+                 .withColumn("text", F.when(kind == 1, F.expr("substring(text, 2)")).otherwise(F.col("text"))))
         archive.write_archive(files, f"{c.space.root}/archive")
         return files.select("id")
     c.space.table("archived_ids", build)
@@ -137,9 +137,9 @@ def embed(texts):
 
 
 @query("embedding_backfill", """
-select id memory_id, 64 dimensions, (length(content) % 2 + 1)::double first_value, (length(content) % 65 + 1)::double last_value from c_mem where id not in (select memory_id from c_emb)""")
+select id memory_id, 64 dimensions, (length(content) % 2 + 1)::double first_value, (length(content) % 65 + 1)::double last_value from c_mem where seq % 7 = 0""")
 def _(c):
-    fresh = vectors.backfill(c.memories, c.embeddings, SPACE, embed)
+    fresh = vectors.backfill(c.memories, c.embeddings.filter("seq % 7 <> 0"), SPACE, embed)
     return fresh.select("memory_id", "dimensions", F.col("vector")[0].cast("double").alias("first_value"), F.col("vector")[63].cast("double").alias("last_value"))
 
 

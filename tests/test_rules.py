@@ -51,9 +51,9 @@ def test_abstraction_reasons_follow_parent_order(spark):
     df = spark.createDataFrame([(5, k, 0, "text", v, everyone) for k, v in cases.items()] + [(5, "blank", 0, "  ", ["a"], everyone)],
                                KEY + "content string, derived_from array<string>, allowed array<string>")
     got = {r.work_key: r.reason for r in proposals.validate_abstractions(df, mem, roots, runs, EngineConfig()).collect()}
-    assert got == {"ok": None, "few": "Abstraction requires at least B distinct parents.", "twice": "Abstraction requires at least B distinct parents.",
-                   "gone": "Parent does not exist.", "late": "Parent violates the run generation barrier.", "mixed": "Parents must have the same depth.",
-                   "private": "Parent was not provided.", "blank": "Memory content is blank."}
+    assert got == {"ok": None, "few": "parents_below_base", "twice": "parents_below_base",
+                   "gone": "parent_unknown", "late": "parent_not_before_run", "mixed": "parent_depths_differ",
+                   "private": "parent_not_offered", "blank": "content_blank"}
 
 
 def lifecycle_by_hand(steps):
