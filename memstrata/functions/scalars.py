@@ -127,9 +127,12 @@ def local_day_start(day: Column, zone: str) -> Column:
 
 
 def dataset_timestamp(text: Column) -> Column:
-    """``yyyy/MM/dd (ddd) HH:mm`` in UTC; anything else is an error."""
-    bare = F.regexp_replace(text, r" \([A-Za-z]{3}\)", "")
-    return F.to_timestamp(bare, "yyyy/MM/dd HH:mm")
+    """``yyyy/MM/dd (ddd) HH:mm`` in UTC; anything else, a missing or wrong weekday too, is an error."""
+    form = r"^(\d{4}/\d{2}/\d{2}) \(([A-Z][a-z]{2})\) (\d{2}:\d{2})$"
+    at = F.try_to_timestamp(F.regexp_replace(text, form, "$1 $3"), F.lit("yyyy/MM/dd HH:mm"))
+    fine = text.rlike(form) & at.isNotNull() & (F.date_format(at, "E") == F.regexp_extract(text, form, 2))
+    bad = F.raise_error(F.concat(F.lit("not a dataset time: "), text)).cast("timestamp")
+    return F.when(text.isNull(), F.lit(None).cast("timestamp")).when(fine, at).otherwise(bad)
 
 
 def iso_utc(at: Column) -> Column:
@@ -169,11 +172,11 @@ def percentage_points(ratio: Column) -> Column:
 
 
 def root_threshold(base: int, depth: Column) -> Column:
-    """base ** depth, exact inside decimal(38,0) for the depths that occur."""
+    """base ** depth, exact up to 10 ** 30; above that a number that no count of roots reaches."""
     return F.aggregate(
         F.transform(F.sequence(F.lit(0), depth.cast("int")), lambda i: i),
         F.lit(1).cast("decimal(38,0)"),
-        lambda acc, i: F.when(i == 0, acc).otherwise((acc * F.lit(base)).cast("decimal(38,0)")),
+        lambda acc, i: F.when(i == 0, acc).otherwise((F.least(acc, F.lit("1" + "0" * 30).cast("decimal(38,0)")) * F.lit(base)).cast("decimal(38,0)")),
     )
 
 

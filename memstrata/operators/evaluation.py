@@ -162,17 +162,19 @@ def condition_summary(metrics: DataFrame) -> DataFrame:
 
 
 def benchmark_summary(metrics: DataFrame, gold: DataFrame, expected: int, full: int = 500) -> DataFrame:
-    """The overall row. Shared cost counts once; a subset never gets the threshold verdict."""
+    """The overall row. A question with two results of one condition is an error. Shared cost counts once; a subset never gets the threshold verdict."""
     has_gold = gold.select("query_id").distinct().withColumn("has_gold", F.lit(True))
     per_question = metrics.groupBy("query_id").agg(
         F.max(F.when(F.col("condition") == "A", F.col("hit"))).alias("a"),
         F.max(F.when(F.col("condition") == "B", F.col("hit"))).alias("b"),
         F.max("shared_usd").alias("shared_usd"), F.max("shared_reserved").alias("shared_reserved"),
-        F.sum("condition_usd").alias("both_usd"), F.sum("condition_reserved").alias("both_reserved"))
+        F.sum("condition_usd").alias("both_usd"), F.sum("condition_reserved").alias("both_reserved"),
+        F.greatest(F.count_if(F.col("condition") == "A"), F.count_if(F.col("condition") == "B")).alias("results"))
     joined = per_question.join(has_gold, "query_id", "left")
     n = F.count("*")
     out = joined.agg(
-        n.alias("completed_questions"), S.rate(F.count_if("a"), n).alias("ra"), S.rate(F.count_if("b"), n).alias("rb"),
+        F.when(F.max("results") > 1, F.raise_error(F.lit("duplicate question")).cast("long")).otherwise(n).alias("completed_questions"),
+        S.rate(F.count_if("a"), n).alias("ra"), S.rate(F.count_if("b"), n).alias("rb"),
         F.count_if(F.col("has_gold").isNull()).alias("no_gold"),
         F.count_if(S.abstention_flag(F.col("query_id"))).alias("abstentions"),
         F.count_if(~F.col("a") & F.col("b")).alias("gains"), F.count_if(F.col("a") & ~F.col("b")).alias("regressions"),
@@ -186,10 +188,6 @@ def benchmark_summary(metrics: DataFrame, gold: DataFrame, expected: int, full:
             .withColumn("meets_threshold", F.when(complete, F.col("difference_pp") >= 3)).drop("ra", "rb"))
 
 
-def duplicate_questions(results: DataFrame) -> DataFrame:
-    return results.groupBy("condition", "query_id").agg(F.count("*").alias("n")).filter("n > 1")
-
-
 def category_metrics(metrics: DataFrame) -> DataFrame:
     """Per question type; both bounds of the alarm are inclusive."""
     a, b = F.count_if((F.col("condition") == "A") & F.col("hit")), F.count_if((F.col("condition") == "B") & F.col("hit"))
@@ -200,9 +198,10 @@ def category_metrics(metrics: DataFrame) -> DataFrame:
     return out.withColumn("investigate", F.col("difference_pp") <= -5)
 
 
-def micro_verdict(metrics: DataFrame, matches: DataFrame, expected: int) -> DataFrame:
+def micro_verdict(metrics: DataFrame, matches: DataFrame, expected: int, status: str = "complete") -> DataFrame:
     """Wins, losses, ties and the verdict. An abstraction win needs a selected
-    memory above depth 0 that reaches gold.
+    memory above depth 0 that reaches gold. Only a complete run of exactly the
+    expected questions is judged.
 
     ``matches(query_id, depth, gold_id)`` are the selected memories of condition B.
     """
@@ -213,7 +212,7 @@ def micro_verdict(metrics: DataFrame, matches: DataFrame, expected: int) -> Data
                    F.count_if(F.col("first_hit") & F.col("second_hit")).alias("tie_success"),
                    F.count_if(~F.col("first_hit") & ~F.col("second_hit")).alias("tie_failure"),
                    F.count_if(F.col("gain") & F.col("by_abstraction")).alias("abstraction_wins"))
-    verdict = (F.when(F.col("completed") < expected, "INCONCLUSIVE").when(F.col("losses") > F.col("wins"), "REGRESSION")
+    verdict = (F.when((F.col("completed") != expected) | (F.lit(status) != "complete"), "INCONCLUSIVE").when(F.col("losses") > F.col("wins"), "REGRESSION")
                .when((F.col("wins") > F.col("losses")) & (F.col("abstraction_wins") > 0), "PROMISING").otherwise("INCONCLUSIVE"))
     return out.withColumn("verdict", verdict)
 
@@ -231,22 +230,29 @@ def first_examples(flags: DataFrame, n: int = 3) -> DataFrame:
 def round_robin_sample(questions: DataFrame, excluded: list[str], n: int = 8) -> DataFrame:
     """One question per type and round, types in order, hashed order inside a type.
 
-    Fewer than ``n`` eligible questions is an error. Only the first n of each
+    Fewer than ``n`` eligible questions and a repeated id are errors. Only the first n of each
     type can be chosen, so the rank limit comes first.
     """
+    repeated = questions.groupBy("query_id").agg(F.count("*").alias("n")).filter("n > 1").select("query_id").first()
+    if repeated:
+        raise ValueError(f"duplicate question {repeated.query_id}")
     digest = F.upper(F.sha2("query_id", 256))
     order = Window.partitionBy("question_type").orderBy(digest, "query_id")
     ranked = (questions.filter(~F.col("query_id").isin(excluded))
               .withColumn("round", F.row_number().over(order)).filter(F.col("round") <= n))
-    chosen = ranked.orderBy("round", "question_type").limit(n)
+    chosen = durable(ranked.orderBy("round", "question_type").limit(n))
+    if chosen.count() < n:
+        raise ValueError(f"fewer than {n} eligible questions")
     position = Window.orderBy("round", "question_type")
     return chosen.withColumn("position", F.row_number().over(position))
 
 
-def even_chronological_sample(sessions: DataFrame, cap: int = 10) -> tuple[DataFrame, DataFrame]:
+def even_chronological_sample(sessions: DataFrame, cap: int = 10, gold: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(kept sessions, errors): all gold plus evenly spaced others in time order.
 
-    ``sessions(question_id, session_id, ts, ordinal, is_gold)``.
+    ``sessions(question_id, session_id, ts, ordinal, is_gold)``. With
+    ``gold(question_id, session_id)``, the list as it was given, a repeated
+    entry and one without a session are errors as well.
     """
     numbers = sessions.groupBy("question_id").agg(
         F.count_if("is_gold").alias("n_gold"), F.count_if(~F.col("is_gold")).alias("n_other"))
@@ -254,6 +260,12 @@ def even_chronological_sample(sessions: DataFrame, cap: int = 10) -> tuple[DataF
                 .select("question_id", F.lit("duplicate session").alias("problem")).distinct())
     many = numbers.filter(F.col("n_gold") > cap).select("question_id", F.lit("too many gold sessions").alias("problem"))
     errors = repeated.unionByName(many)
+    if gold is not None:
+        twice = (gold.groupBy("question_id", "session_id").agg(F.count("*").alias("n")).filter("n > 1")
+                 .select("question_id", F.lit("duplicate gold session").alias("problem")).distinct())
+        gone = (gold.join(sessions.select("question_id", "session_id").distinct(), ["question_id", "session_id"], "left_anti")
+                .select("question_id", F.lit("missing gold session").alias("problem")).distinct())
+        errors = errors.unionByName(twice).unionByName(gone)
     k = F.least(F.lit(cap) - F.col("n_gold"), F.col("n_other")).cast("int")
     places = numbers.withColumn("k", k).filter("k > 0").select("question_id", F.explode(
         F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda i: F.when(
@@ -264,7 +276,7 @@ def even_chronological_sample(sessions: DataFrame, cap: int = 10) -> tuple[DataF
               .withColumn("place", F.col("place") - 1)
               .join(places.distinct(), ["question_id", "place"], "left_semi").drop("place"))
     kept = (sessions.filter("is_gold").unionByName(others.select(*sessions.columns))
-            .join(errors.select("question_id"), "question_id", "left_anti"))
+            .join(errors.select("question_id").distinct(), "question_id", "left_anti"))
     return numbered(kept, ["question_id"], F.to_date("ts"), order), errors
 
 

@@ -57,12 +57,26 @@ def archive_text(sources_with_raw: DataFrame) -> DataFrame:
     ).alias("text"))
 
 
+def resolved(spark, folder: str) -> str:
+    """A path without a scheme as the session's default file system has it; a local one only under a local master."""
+    if "://" in folder or folder.startswith("file:"):
+        return folder
+    default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+    if not default.startswith("file:"):
+        return default.rstrip("/") + folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("name the scheme of a file system that all executors share")
+    return folder
+
+
 def write_archive(archived: DataFrame, folder: str) -> None:
     """One Markdown file per source below the shared folder.
 
     ``archived(relative_path, text)``. The path holds the content digest, so a
     repeated task writes the same bytes to the same place.
     """
+    folder = resolved(archived.sparkSession, folder)
+
     def write(rows) -> None:
         import posixpath
 

@@ -44,7 +44,7 @@ def late_content(ids: DataFrame, memories: DataFrame) -> DataFrame:
 
 def export_calls(api_calls: DataFrame, path: str) -> None:
     """All calls as JSON lines with explicit nulls, in insertion order."""
-    (api_calls.orderBy("created_at", "id").write.mode("overwrite")
+    (api_calls.orderBy("ordinal").write.mode("overwrite")
      .option("ignoreNullFields", False).json(path))
 
 

@@ -337,11 +337,11 @@ def _(c):
 with {GOLDMEM}, {MATCH}, ab as (select distinct query_id from mt join c_mem m on m.id = mt.memory_id where m.depth > 0 and rank <= 5 and len(ids) > 0),
 x as (select count(*) completed, count(*) filter (not a and b) wins, count(*) filter (a and not b) losses, count(*) filter (a and b) tie_success,
     count(*) filter (not a and not b) tie_failure, count(*) filter (not a and b and query_id in (select query_id from ab)) abstraction_wins from c_pair)
-select *, case when completed < 8 then 'INCONCLUSIVE' when losses > wins then 'REGRESSION' when wins > losses and abstraction_wins > 0 then 'PROMISING' else 'INCONCLUSIVE' end verdict from x""")
+select *, case when completed <> (select count(*) from c_q) then 'INCONCLUSIVE' when losses > wins then 'REGRESSION' when wins > losses and abstraction_wins > 0 then 'PROMISING' else 'INCONCLUSIVE' end verdict from x""")
 def _(c):
     top = (c.candidates.filter("condition = 'B' and rank <= 5").join(matches(c), ["query_id", "memory_id"])
            .join(c.memories.select(F.col("id").alias("memory_id"), "depth"), "memory_id"))
-    return evaluation.micro_verdict(metrics(c), top, 8)
+    return evaluation.micro_verdict(metrics(c), top, c.questions.count())
 
 
 @query("calendar_anchor", """

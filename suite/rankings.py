@@ -25,7 +25,8 @@ kept as (select question_id, session_id, ts, ordinal from ds where is_gold union
 select question_id, session_id, row_number() over (partition by question_id order by ts, ordinal) as position from kept""")
 def _(c):
     _q, s = dataset(c)
-    kept, _errors = evaluation.even_chronological_sample(s.select("question_id", "session_id", "ts", "ordinal", "is_gold"))
+    given = s.filter("is_gold").select("question_id", "session_id")
+    kept, _errors = evaluation.even_chronological_sample(s.select("question_id", "session_id", "ts", "ordinal", "is_gold"), gold=given)
     return kept.select("question_id", "session_id", "position")
 
 

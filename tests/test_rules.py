@@ -4,6 +4,8 @@ import itertools
 import random
 from decimal import Decimal
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from memstrata.config import EngineConfig
@@ -126,6 +128,30 @@ def test_micro_verdicts(spark):
     verdict = lambda m, x, n: evaluation.micro_verdict(m, x, n).first().verdict
     assert verdict(win, above, 2) == "PROMISING" and verdict(win, none, 2) == "INCONCLUSIVE"
     assert verdict(loss, above, 2) == "REGRESSION" and verdict(loss, above, 8) == "INCONCLUSIVE"
+    assert verdict(win, above, 1) == "INCONCLUSIVE"
+    assert evaluation.micro_verdict(win, above, 2, status="stopped").first().verdict == "INCONCLUSIVE"
+
+
+def test_samples_refuse_bad_input(spark):
+    few = spark.createDataFrame([(f"q{i}", "t") for i in range(7)], "query_id string, question_type string")
+    with pytest.raises(ValueError):
+        evaluation.round_robin_sample(few, [])
+    with pytest.raises(ValueError):
+        evaluation.round_robin_sample(few.unionByName(few), [])
+    sessions = spark.createDataFrame([("q", f"s{i}", i, i, i == 1) for i in range(5)] + [("p", "s1", 1, 1, True)],
+                                     "question_id string, session_id string, ts long, ordinal int, is_gold boolean").withColumn("ts", F.timestamp_seconds("ts"))
+    gold = spark.createDataFrame([("q", "s1"), ("q", "s1"), ("p", "s9")], "question_id string, session_id string")
+    kept, errors = evaluation.even_chronological_sample(sessions, gold=gold)
+    assert {tuple(r) for r in errors.collect()} == {("q", "duplicate gold session"), ("p", "missing gold session")} and kept.count() == 0
+
+
+def test_a_new_space_takes_its_first_dimension(spark):
+    from memstrata.sources import vectors
+    stored = spark.createDataFrame([("m0", "old", 1, [1.0])], "memory_id string, space string, dimensions int, vector array<float>")
+    new = spark.createDataFrame([("m1", "new", 2, [1.0, 2.0], 0), ("m2", "new", 1, [1.0], 1), ("m3", "old", 2, [1.0, 1.0], 2), ("m4", "old", 1, [3.0], 3)],
+                                "memory_id string, space string, dimensions int, vector array<float>, ordinal int")
+    merged, rejected = vectors.upsert(stored, new)
+    assert {r.memory_id for r in merged.collect()} == {"m0", "m1", "m4"} and {r.memory_id for r in rejected.collect()} == {"m2", "m3"}
 
 
 def test_even_sample_positions(spark):

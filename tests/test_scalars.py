@@ -50,8 +50,9 @@ def test_day_start_skips_a_missing_midnight(spark):
 
 def test_dataset_timestamp(spark):
     assert one(spark, S.dataset_timestamp(F.lit("2023/05/20 (Sat) 02:21"))) == dt.datetime(2023, 5, 20, 2, 21)
-    with pytest.raises(PySparkException):
-        one(spark, S.dataset_timestamp(F.lit("tomorrow")))
+    for wrong in ("tomorrow", "2023/05/20 02:21", "2023/05/20 (Sun) 02:21", "2023/13/20 (Sat) 02:21"):
+        with pytest.raises(PySparkException):
+            one(spark, S.dataset_timestamp(F.lit(wrong)))
 
 
 def test_long_context_price_covers_the_whole_request(spark):
@@ -75,6 +76,7 @@ def test_rate_is_null_without_denominator(spark):
 
 def test_root_threshold(spark):
     assert [one(spark, S.root_threshold(3, F.lit(d))) for d in (0, 1, 5)] == [1, 3, 243]
+    assert one(spark, S.root_threshold(3, F.lit(500))) >= 10 ** 30
 
 
 def test_json_merge_replaces_whole_values(spark):
