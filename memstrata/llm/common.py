@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memstrata.session import durable
+from memstrata.session import durable, shared_folder
 
 SPACES = r"\x20\x09-\x0D"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -48,6 +49,15 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = PIECE_BYTES) -> Iter
         start = stop
 
 
+def text_buffers(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes and offsets of a text column."""
+    texts = batch.column(column).cast(pa.large_binary())
+    texts = pa.array(texts.fill_null(b""), pa.large_binary()) if texts.null_count else texts
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), offsets
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that the frame does not have, in any case."""
     taken = {c.lower() for c in df.columns}
@@ -56,6 +66,14 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def stored_texts(df: DataFrame) -> DataFrame:
+    """Like ``durable``, for frames that carry whole texts: packed more closely."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/memstrata/{spark.sparkContext.applicationId}/texts-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected edge list: (id, component), the component being its smallest id.
 

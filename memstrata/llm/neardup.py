@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from memstrata.session import broadcast_measured, durable
 
-from .common import components, fresh, slices, table
+from .common import components, fresh, slices, stored_texts, table
 
 COORDINATES = 64
 MISS = 1e-6               # chance that a linked pair collides in fewer coordinates than the threshold
@@ -260,7 +260,7 @@ def near_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, tex
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` without those of a group except its first, with their columns."""
     number = fresh(docs, "place_in_scan")
-    numbered = durable(docs.withColumn(number, F.monotonically_increasing_id()))
+    numbered = stored_texts(docs.withColumn(number, F.monotonically_increasing_id()))
     dropped = near_groups(numbered, row=number, **options).where("not first").select(F.col("row").alias(number))
     return numbered.join(broadcast_measured(dropped), number, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 

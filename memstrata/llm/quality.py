@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from memstrata.session import durable
 
-from .common import SPACES, table, words_of
+from .common import SPACES, stored_texts, table, words_of
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -170,7 +170,7 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     """
     counted = text_counts(docs, text).withColumn("__base_failed", base_failed())
     marked = counted.withColumns({f"__{k}": v for k, v in statistics().items()})
-    marked = durable(marked)
+    marked = stored_texts(marked)
     place = F.to_json(F.struct(F.col(f"`{lang}`").alias("l"), F.col(f"`{source}`").alias("s")))
     wide = F.to_json(F.struct(F.col(f"`{lang}`").alias("w")))
     keys = [F.concat(F.lit("0"), place), F.concat(F.lit("1"), wide), F.lit("2")]

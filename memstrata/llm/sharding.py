@@ -76,7 +76,7 @@ def shuffle_shards(docs: DataFrame, shards: int = SHARDS, text: str = "text", se
     scattered = numbered.withColumn(bucket, key).select(*[f"`{c}`" for c in names], F.col(f"`{bucket}`"))
     mixed = scattered.groupBy(bucket).applyInArrow(shuffled, out_schema)
     path = path or f"{shared_folder(spark).rstrip('/')}/memstrata/{spark.sparkContext.applicationId}/shuffled-{uuid.uuid4().hex}"
-    mixed.write.parquet(path)
+    mixed.write.option("compression", "zstd").parquet(path)
     mixed = spark.read.schema(mixed.schema).parquet(path)
     # the start of each bucket in the whole order, from the written rows: 24 bytes for each ``bucket_bytes`` of input
     starts = (mixed.groupBy(bucket).agg(F.count("*").alias("rows_here"))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import table, text_buffers
 
 LENGTH = 50
 NAME = 20
@@ -101,15 +101,6 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray,
             yield at + start, h[at]
 
 
-def text_buffers(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes and offsets of a text column."""
-    texts = batch.column(column).cast(pa.large_binary())
-    texts = pa.array(texts.fill_null(b""), pa.large_binary()) if texts.null_count else texts
-    _, offsets, data = texts.buffers()
-    offsets = np.frombuffer(offsets, np.int64)[texts.offset:texts.offset + len(texts) + 1]
-    return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), offsets
-
-
 def order_ids(batch: pa.RecordBatch) -> np.ndarray:
     return np.asarray(batch.column("doc_id").fill_null(int(NO_ID)), np.int64)
 

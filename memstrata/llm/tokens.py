@@ -16,11 +16,10 @@ Trailer: index start u64, blocks u64, documents u64, values u64, magic.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import uuid
-from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +29,7 @@ from pyspark.sql import functions as F
 
 from memstrata.session import shared_folder
 
-from .common import slices, table
+from .common import slices, table, text_buffers
 
 MAGIC = b"PFORIDS1"
 BLOCK = 8192
@@ -39,10 +38,20 @@ TRAILER = struct.Struct("<QQQQ8s")
 HEAD = struct.Struct("<IIII")
 END_ID = 0
 FILE_BYTES = 64 << 20    # of text for one file
-CACHED_PIECES = 800_000
-CACHED_LENGTH = 48
-FOLLOWED_BY_SPACE = re.compile(r" (?:\s|$)")
-BEFORE_WORD = re.compile(r"(?= \S)")
+STORED_PIECES = 2_000_000
+STORED_LENGTH = 64       # bytes of a piece that is stored
+#: What a byte may be: visible ASCII, an ASCII letter, an ASCII blank, or visible for sure (lead bytes that may begin a wide blank are not).
+SEEN_ASCII, LETTER, BLANK, SEEN = 1, 2, 4, 8
+BYTE_KIND = np.zeros(256, np.uint8)
+BYTE_KIND[0x21:0x7F] = SEEN_ASCII | SEEN
+BYTE_KIND[0xC3:0xF5] = SEEN
+BYTE_KIND[[0xE1, 0xE2, 0xE3]] = 0
+for _c in (*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)):
+    BYTE_KIND[_c] |= LETTER
+BYTE_KIND[[9, 10, 11, 12, 13, 32]] = BLANK
+ODD = np.uint64(0x9E3779B97F4A7C15)
+BYTE_HASH = np.random.default_rng(21).integers(1, 1 << 63, 256, np.uint64)
+POWERS = np.random.default_rng(22).integers(1, 1 << 63, STORED_LENGTH + 1, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 # packing
@@ -174,61 +183,172 @@ def read_file(source, size: int) -> Iterator[tuple[int | None, int, np.ndarray]]
 class Encoder:
     """Ids of whole texts, piece by piece.
 
-    The tokenizer's own rule starts a new piece at each space that a visible
-    character follows, and pieces do not influence each other, so a text is
-    cut there and each different piece is encoded once by the tokenizer. The
-    store of pieces has a bound: when it is full its older half goes.
+    The tokenizer's own rule starts a new pre-token at each space that a
+    visible character follows, at a full stop or comma between a letter and
+    white space, and on both sides of a line feed between a visible character
+    and a letter. What stands between such places does not influence each
+    other, so texts are cut there (leaving out a place is always safe), and
+    each different piece is given to the tokenizer once. Pieces are kept in an
+    open-addressed table of arrays, found by a hash and confirmed byte by
+    byte; the table has a bound and is emptied when it is full.
     """
 
-    def __init__(self, file: str) -> None:
+    def __init__(self, file: str, most: int = STORED_PIECES) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(file)
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.tails = {c: array("I", self.tokenizer.encode(c, add_special_tokens=False).ids).tobytes() for c in ("", ".", ",")}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > CACHED_PIECES // 2:
-            self.known, self.older = {}, self.known
-        known, find, find_older = self.known, self.known.get, self.older.get
-        heads, found, holes = [], [], []
-        new: dict[str, bytes] = {}
-        for text in texts:
-            if FOLLOWED_BY_SPACE.search(text):
-                head, *pieces = BEFORE_WORD.split(text)
-                pieces = [p[1:] for p in pieces]
-            else:
-                head, *pieces = text.split(" ")
-            got = list(map(find, pieces))
-            if None in got:
-                missing = []
-                for i in [i for i, ids in enumerate(got) if ids is None]:
-                    piece = pieces[i]
-                    if (ids := find_older(piece)) is not None:
-                        known[piece] = got[i] = ids
-                        continue
-                    # a full stop or comma behind a letter is a piece of its own for the tokenizer
-                    tail = piece[-1:] if piece[-1:] in (".", ",") and piece[-2:-1].isalpha() else ""
-                    stem = piece[:-1] if tail else piece
-                    if tail and (ids := find(stem) or find_older(stem)) is not None:
-                        got[i] = ids + self.tails[tail]
-                    else:
-                        new[stem] = b""
-                        missing.append((i, stem, self.tails[tail]))
-                holes.append((got, missing))
-            heads.append(head)
-            found.append(got)
-        spaced = list(new)
-        encoded = self.tokenizer.encode_batch_fast([" " + p for p in spaced] + heads, add_special_tokens=False)
-        for piece, one in zip(spaced, encoded):
-            new[piece] = array("I", one.ids).tobytes()
-        for got, missing in holes:
-            for i, stem, tail in missing:
-                got[i] = new[stem] + tail
-        self.known.update((p, ids) for p, ids in new.items() if len(p) <= CACHED_LENGTH)
-        return [np.concatenate([np.array(head.ids, np.uint32), np.frombuffer(b"".join(got), "<u4")])
-                for head, got in zip(encoded[len(spaced):], found)]
+        self.most, self.mask = most, np.uint64((1 << (2 * most - 1).bit_length()) - 1)
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.slots = np.zeros(int(self.mask) + 1, np.uint64), np.zeros(int(self.mask) + 1, np.int32)
+        #: of each stored piece: where its ids and its bytes start (with the end after the last)
+        self.id_starts, self.byte_starts = Grown(np.int64, 0), Grown(np.int64, 0)
+        self.ids, self.bytes, self.used = Grown(np.uint32), Grown(np.uint8), 0
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The stored piece of each hash, or -1."""
+        out, slot, open_ = np.full(len(h), -1, np.int32), h & self.mask, np.arange(len(h))
+        while len(open_):
+            key = self.keys[slot]
+            hit = key == h[open_]
+            out[open_[hit]] = self.slots[slot[hit]]
+            go = ~hit & (key != 0)
+            open_, slot = open_[go], (slot[go] + np.uint64(1)) & self.mask
+        return out
+
+    def put(self, h: np.ndarray, numbers: np.ndarray) -> None:
+        """Store new, different hashes."""
+        slot, open_ = h & self.mask, np.arange(len(h))
+        while len(open_):
+            free = self.keys[slot] == 0
+            _, first = np.unique(slot[free], return_index=True)
+            won = np.flatnonzero(free)[first]
+            self.keys[slot[won]], self.slots[slot[won]] = h[open_[won]], numbers[open_[won]]
+            go = np.ones(len(open_), bool)
+            go[won] = False
+            open_, slot = open_[go], (slot[go] + np.uint64(1)) & self.mask
+
+    def learn(self, pieces: list[bytes]) -> None:
+        """Append pieces with their ids."""
+        encoded = self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)
+        lists = [e.ids for e in encoded]
+        self.id_starts.add(self.id_starts.last() + np.cumsum([len(x) for x in lists]))
+        self.byte_starts.add(self.byte_starts.last() + np.cumsum([len(x) for x in pieces]))
+        self.ids.add(np.fromiter(chain.from_iterable(lists), np.uint32))
+        self.bytes.add(np.frombuffer(b"".join(pieces), np.uint8))
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, how many each text has) of texts in one buffer of bytes."""
+        if len(self.id_starts) > self.most:
+            self.clear()
+        starts, lengths, h = pieces_of(data, offsets)
+        if not len(starts):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
+        kept = len(self.id_starts) - 1
+        short = lengths <= STORED_LENGTH
+        which = np.full(len(starts), -1, np.int32)
+        which[short] = self.find(h[short])
+        self.confirm(data, starts, lengths, which)
+        new = np.flatnonzero(which < 0)
+        if len(new):
+            # short pieces once each, long ones each time; none of the long ones is kept
+            once, back = np.unique(np.where(short[new], h[new], np.uint64(0)), return_inverse=True)
+            first = np.full(len(once), -1)
+            first[back[::-1]] = new[::-1]
+            lead = new == first[back]
+            alone = ~short[new] | ~self.equal(data, starts, lengths, new, first[back])
+            chosen = np.r_[new[lead & ~alone], new[alone]]
+            self.learn([data[starts[i]:starts[i] + lengths[i]].tobytes() for i in chosen])
+            number = np.arange(kept, kept + len(chosen), dtype=np.int32)
+            which[chosen] = number
+            rest = ~lead & ~alone
+            which[new[rest]] = which[first[back[rest]]]
+            stored = new[lead & ~alone]
+            stored = stored[self.find(h[stored]) < 0][:self.most - self.used]
+            self.put(h[stored], which[stored])
+            self.used += len(stored)
+        begin = self.id_starts.view()
+        count = begin[which + 1] - begin[which]
+        ends = np.cumsum(count)
+        ids = self.ids.view()[np.repeat(begin[which] - (ends - count), count) + np.arange(ends[-1])]
+        upto = np.r_[0, ends][np.searchsorted(starts, offsets)]
+        return ids, np.diff(upto)
+
+    def equal(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether pieces a and b have the same bytes."""
+        same = lengths[a] == lengths[b]
+        n = np.where(same, lengths[a], 0)
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        wrong = data[np.repeat(starts[a], n) + step] != data[np.repeat(starts[b], n) + step]
+        same[np.repeat(np.arange(len(a)), n)[wrong]] = False
+        return same
+
+    def confirm(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, which: np.ndarray) -> None:
+        """Take back what was found by its hash but has other bytes."""
+        found = np.flatnonzero(which >= 0)
+        begin, held = self.byte_starts.view(), self.bytes.view()
+        a, n = begin[which[found]], lengths[found]
+        fits = begin[which[found] + 1] - a == n
+        which[found[~fits]] = -1
+        found, a, n = found[fits], a[fits], n[fits]
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        wrong = data[np.repeat(starts[found], n) + step] != held[np.repeat(a, n) + step]
+        if wrong.any():
+            which[found[np.repeat(np.arange(len(found)), n)[wrong]]] = -1
+
+
+class Grown:
+    """An array that grows at its end."""
+
+    def __init__(self, kind, *first) -> None:
+        self.held, self.size = np.zeros(1024, kind), 0
+        self.add(np.array(first, kind))
+
+    def __len__(self) -> int:
+        return self.size
+
+    def add(self, more: np.ndarray) -> None:
+        if self.size + len(more) > len(self.held):
+            self.held = np.concatenate([self.held[:self.size], np.zeros(max(self.size, 2 * len(more)), self.held.dtype)])
+        self.held[self.size:self.size + len(more)] = more
+        self.size += len(more)
+
+    def view(self) -> np.ndarray:
+        return self.held[:self.size]
+
+    def last(self) -> int:
+        return int(self.held[self.size - 1])
+
+
+def pieces_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, lengths, hashes) of the pieces of texts ``data[offsets[i]:offsets[i + 1]]``; hashes are those of short pieces."""
+    first, last = int(offsets[0]), int(offsets[-1])
+    b = data[first:last]
+    if not len(b):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    kind = BYTE_KIND[b]
+    # the byte after and before, none at the borders of a text
+    at = offsets - first
+    after, before = np.r_[kind[1:], np.uint8(0)], np.r_[np.uint8(0), kind[:-1]]
+    inner = at[(at > 0) & (at < len(b))]
+    after[inner - 1], before[inner] = 0, 0
+    end = np.zeros(len(b), bool)
+    end[at[at > 0] - 1] = True
+    space, feed = b == 32, b == 10
+    cut = space & (after & SEEN > 0)
+    stop = ((b == 44) | (b == 46)) & (before & LETTER > 0) & (end | (after & BLANK > 0))
+    line = feed & (before & SEEN_ASCII > 0) & (after & LETTER > 0)
+    cut |= stop | line
+    cut[1:] |= line[:-1]
+    cut[at[:-1][at[:-1] < at[1:]]] = True
+    starts = np.flatnonzero(cut)
+    lengths = np.diff(np.r_[starts, len(b)])
+    place = np.arange(len(b)) - np.repeat(starts, lengths)
+    h = np.add.reduceat(BYTE_HASH[b] * POWERS[np.minimum(place, STORED_LENGTH)], starts)
+    h = (h ^ (h >> np.uint64(32))) * ODD
+    h ^= h >> np.uint64(29)
+    return starts + first, lengths, np.where(h == 0, np.uint64(1), h)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -270,8 +390,6 @@ def write_ids(docs: DataFrame, tokenizer_file: str, path: str | None = None, tex
     ordered = picked.withColumn("tie", tie).repartitionByRange(files, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import gc
-        gc.disable()             # millions of strings, no cycles among them
         encode = encoder(tokenizer_file).encode
         number = TaskContext.get().partitionId()
         store, place = pyarrow.fs.FileSystem.from_uri(path)
@@ -281,11 +399,11 @@ def write_ids(docs: DataFrame, tokenizer_file: str, path: str | None = None, tex
                 if writer is None:
                     sink = store.open_output_stream(name)
                     writer = Writer(sink)
-                ends = np.array([end_id], np.uint32)
-                encoded = encode(batch.column("text").to_pylist())
-                for i, ids in zip(batch.column("doc_id").to_pylist(), encoded):
-                    writer.add(i, np.append(ids, ends))
-        gc.enable()
+                ids, counts = encode(*text_buffers(batch, "text"))
+                ids = np.insert(ids, np.cumsum(counts), end_id)
+                cuts = np.cumsum(counts + 1)
+                for i, a, b in zip(batch.column("doc_id").to_pylist(), cuts - counts - 1, cuts):
+                    writer.add(i, ids[a:b])
         if writer is not None:
             total = writer.close()
             sink.close()

@@ -59,12 +59,31 @@ def test_a_broken_file_is_refused():
 def test_encoder_equals_the_library(spark):
     r = random.Random(1)
     texts = [x.text for x in documents(spark).collect()]
-    parts = [" ", "  ", "\n", "\t", "ab", "é.", "x,", "1.", "..", "'s", "<|endoftext|>", "\x85", "\x1c", " ", "　", "😀", "don't.", "²", "Ⅷ,"]
+    parts = [" ", "  ", "\n", "\t", "ab", "é.", "x,", "1.", "..", "'s", "<|endoftext|>", "\x85", "\x1c", " ", "　", "😀", "don't.", "²", "Ⅷ,", "\nab", "ab.\ncd", "x,\ny", "\n\nz", "a.b", "word. ", "é,", "\r\nq", "A" * 70, "\u2003", "\u00a0"]
     texts += ["".join(r.choice(parts) for _ in range(r.randint(0, 30))) for _ in range(2000)] + ["", " ", "a  b "]
+    for most in (1 << 20, 50):                       # a store that is emptied again and again, too
+        encoder = tokens.Encoder(FILE, most)
+        for _ in range(2):                           # the second time from the store
+            for text, ids in zip(texts, encoded(encoder, texts)):
+                assert ids == encoder.tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
+def encoded(encoder, texts):
+    parts = [t.encode() for t in texts]
+    offsets = np.r_[0, np.cumsum([len(p) for p in parts])]
+    ids, counts = encoder.encode(np.frombuffer(b"".join(parts), np.uint8), offsets)
+    ends = np.cumsum(counts)
+    assert len(counts) == len(texts) and ends[-1] == len(ids)
+    return [ids[a:b].tolist() for a, b in zip(ends - counts, ends)]
+
+
+def test_pieces_of_equal_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(tokens, "BYTE_HASH", np.ones(256, np.uint64))
     encoder = tokens.Encoder(FILE)
-    for _ in range(2):                               # the second time from the store
-        for text, ids in zip(texts, encoder.encode(texts)):
-            assert ids.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids, text
+    texts = ["aa bb cc", "bb aa dd ee", "cc x" * 3, "y" * 100 + " " + "z" * 100] * 2
+    for _ in range(2):
+        for text, ids in zip(texts, encoded(encoder, texts)):
+            assert ids == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
 def plain(rows):
