@@ -37,6 +37,9 @@ K = np.random.default_rng(5).integers(1, 1 << 63, 16, np.uint64) * np.uint64(2)
 BYTE = np.random.default_rng(6).integers(0, 1 << 63, 256, np.uint64)
 
 
+CLOSE = pa.Codec("zstd", compression_level=5)
+
+
 def packed(**arrays: np.ndarray) -> bytes:
     """Arrays of one length in one compressed value; ascending ones as differences."""
     n = len(next(iter(arrays.values())))
@@ -45,11 +48,11 @@ def packed(**arrays: np.ndarray) -> bytes:
         a = np.ascontiguousarray(a)
         parts.append((np.diff(a, prepend=a.dtype.type(0)) if a.dtype.kind in "iu" and a.ndim == 1 else a).tobytes())
     raw = b"".join(parts)
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+    return len(raw).to_bytes(8, "little") + CLOSE.compress(raw, asbytes=True)
 
 
 def unpacked(data: bytes, **kinds: str) -> dict[str, np.ndarray]:
-    raw = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+    raw = CLOSE.decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
     n, at, out = int(np.frombuffer(raw, np.int64, 1)[0]), 8, {}
     for name, kind in kinds.items():
         kind = np.dtype(kind)
@@ -366,22 +369,25 @@ def find_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     A byte is removed where a run of ``LENGTH`` bytes that covers it also
     starts in a document with a smaller id. Runs do not cross documents, may
     overlap, and are judged on the input. Null and empty texts have no bytes;
-    rows without an id come after all others, and rows of equal id do not
+    rows without an id (or with 2 ** 63 - 1) come after all others, and rows of equal id do not
     remove each other's bytes; an empty table gives an empty result; further
     columns of ``docs`` are not read. Whole texts are read, of any length.
     """
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    keyed = (rows.withColumn("text_key", F.xxhash64("text")).withColumn("of", F.coalesce("doc_id", F.lit(int(NO_ID))))
-             .withColumn("join_key", F.coalesce("doc_id", "text_key")))
+    # the texts are shuffled once: both joins deal them out by join_key, and Spark reads that exchange twice
+    keyed = rows.withColumn("text_key", F.xxhash64("text"))
+    keyed = keyed.withColumn("join_key", F.coalesce(F.nullif("doc_id", F.lit(int(NO_ID))), "text_key"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(max(48, -(-total // BUCKET_BYTES)))
     found = named_anchors(keyed, buckets).groupBy("bucket").applyInArrow(shared_places, "of_key long, places array<long>")
     places = found.groupBy("of_key").agg(F.flatten(F.collect_list("places")).alias("places"))
     at_places = keyed.join(places, F.col("join_key") == F.col("of_key")).select("doc_id", "text_key", "text", "places")
     runs = sent_contexts(at_places, buckets).groupBy("bucket").applyInArrow(repeated_runs, "of long, of_key long, runs array<long>")
-    runs = runs.groupBy("of", "of_key").agg(F.flatten(F.collect_list("runs")).alias("runs"))
-    cut = (keyed.join(runs.withColumnRenamed("of", "of_id"), (F.col("of") == F.col("of_id")) & (F.col("text_key") == F.col("of_key")), "left")
-           .select("doc_id", "text", "runs"))
+    runs = (runs.groupBy("of", "of_key").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+            .withColumn("of_join", F.when(F.col("of") == int(NO_ID), F.col("of_key")).otherwise(F.col("of"))))
+    # of rows that share an id, each text takes its own runs; as no equality of keys, so that the exchange serves
+    own = (F.col("text_key").bitwiseXOR(F.col("of_key")) == 0) & (F.coalesce("doc_id", F.lit(int(NO_ID))).bitwiseXOR(F.col("of")) == 0)
+    cut = keyed.join(runs, (F.col("join_key") == F.col("of_join")) & own, "left").select("doc_id", "text", "runs")
     schema = T.StructType([rows.schema["doc_id"], T.StructField("n_bytes", T.LongType()), T.StructField("removed", T.ArrayType(REMOVED)), T.StructField("kept", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
