@@ -76,6 +76,28 @@ def frequency_map(values: DataFrame, group: list[str], value: str) -> DataFrame:
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "n")))).alias("counts"))
 
 
+def counts_text(values: DataFrame, value: Column, name: str) -> DataFrame:
+    """(date, name): how often each value of a small domain occurs, as ``value:n`` joined by commas in text order."""
+    counted = values.groupBy("date", F.coalesce(value.cast("string"), F.lit("unknown")).alias("v")).agg(F.count("*").alias("n"))
+    return counted.groupBy("date").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "v", "n"))), ",").alias(name))
+
+
+def distribution(values: DataFrame, value: str, name: str) -> DataFrame:
+    """(date, name_n, name_p50, name_p90, name_max)."""
+    return nearest_rank(values, ["date"], value).select(
+        "date", *[F.col(c).cast("long").alias(f"{name}_{c}") for c in ("n", "p50", "p90", "max")])
+
+
+def _side_by_date(parts: list[DataFrame]) -> DataFrame:
+    """One row per date; counts are 0 and texts empty where a part has none, quantiles stay null."""
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.join(part, "date", "full_outer")
+    quantile = ("_p50", "_p90", "_max")
+    texts = [c for c, t in out.dtypes if t == "string"]
+    return out.fillna(0, [c for c, t in out.dtypes if t == "bigint" and not c.endswith(quantile)]).fillna("", texts)
+
+
 # ---- summaries ------------------------------------------------------------------
 
 def _n(condition: Column) -> Column:
@@ -83,7 +105,7 @@ def _n(condition: Column) -> Column:
 
 
 def remember_summary(operations: DataFrame, sources: DataFrame, memories: DataFrame, zone: str) -> DataFrame:
-    """Scalar measures per date. ``sources`` carries raw_characters and raw_bytes, null when unknown."""
+    """Measures per date. ``sources`` carries raw_characters and raw_bytes, null when unknown."""
     d = F.col("details")
     ops = on_date(operations.filter(F.col("kind").isin("remember", "extraction")), "started_at", zone)
     said = (F.col("kind") == "remember") & (F.col("origin") == "agent")
@@ -105,8 +127,14 @@ def remember_summary(operations: DataFrame, sources: DataFrame, memories: DataFr
         F.coalesce(F.sum("raw_characters"), F.lit(0)).alias("new_stored_raw_characters_known"),
         _n(F.col("raw_bytes").isNull()).alias("new_source_size_unknown"))
     made = on_date(memories.filter("depth = 0"), "created_at", zone).groupBy("date").agg(F.count("*").alias("created_d0"))
-    out = activity.join(stored, "date", "full_outer").join(made, "date", "full_outer")
-    return out.fillna(0, [c for c in out.columns if c != "date"])
+    told = ops.filter(said).select("date", "status", d["raw_characters"].alias("raw_characters"), d["raw_bytes"].alias("raw_bytes"))
+    cohort = on_date(source_cohort(sources, memories), "created_at", zone)
+    return _side_by_date([
+        activity, stored, made, counts_text(told, F.col("status"), "states"),
+        distribution(told, "raw_characters", "raw_characters"), distribution(told, "raw_bytes", "raw_bytes"),
+        distribution(cohort, "n_observations", "created_d0_per_new_source"),
+        counts_text(on_date(sources, "created_at", zone), F.col("status"), "new_source_current_states"),
+        counts_text(ops.filter(read), F.col("status"), "extraction_states")])
 
 
 def recall_summary(operations: DataFrame, memories: DataFrame, zone: str) -> DataFrame:
@@ -119,9 +147,12 @@ def recall_summary(operations: DataFrame, memories: DataFrame, zone: str) -> Dat
         _n(done & empty("returned_ids")).alias("empty_completed_results"),
         _n(done & empty("candidate_ids")).alias("zero_candidate_completed_calls"),
         _n(done & ~empty("candidate_ids") & empty("returned_ids")).alias("candidates_but_zero_returned"))
-    d0 = (returned_memories(operations, memories, zone).filter(F.col("depth") == "0").groupBy("date")
+    returned = returned_memories(operations, memories, zone)
+    d0 = (returned.filter(F.col("depth") == "0").groupBy("date")
           .agg(F.sum("n").alias("returned_d0_total"), F.count("*").alias("returned_d0_distinct")))
-    return calls.join(d0, "date", "left").fillna(0, ["returned_d0_total", "returned_d0_distinct"])
+    by_depth = returned.groupBy("date", "depth").agg(F.sum("n").alias("n")).groupBy("date").agg(
+        F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "depth", "n"))), ",").alias("returned_by_depth"))
+    return _side_by_date([calls, d0, by_depth, counts_text(ops, F.col("status"), "states")])
 
 
 def returned_memories(operations: DataFrame, memories: DataFrame, zone: str) -> DataFrame:
@@ -143,8 +174,8 @@ def report_runs(operations: DataFrame, linked: DataFrame, calls: DataFrame, runs
 
 
 def assimilation_summary(operations: DataFrame, attributed: DataFrame, run_work: DataFrame, day_runs: DataFrame,
-                         results: DataFrame, zone: str) -> DataFrame:
-    """Scalar measures per date; work states are those of the runs the day refers to."""
+                         results: DataFrame, memories: DataFrame, zone: str) -> DataFrame:
+    """Measures per date; work states are those of the runs the day refers to."""
     d = F.col("details")
     ops = on_date(operations.filter("kind = 'assimilation'"), "started_at", zone)
     calls = (on_date(attributed.filter("parent_kind = 'assimilation'"), "created_at", zone)
@@ -159,14 +190,16 @@ def assimilation_summary(operations: DataFrame, attributed: DataFrame, run_work:
     per_run = (run_work.filter("phase = 'assimilation'").groupBy("run_id").agg(
         F.count("*").alias("w"), _n(F.col("status") == "complete").alias("c")).join(open_work, "run_id", "left"))
     work = day_runs.join(per_run, "run_id").groupBy("date").agg(
-        F.sum("w").alias("referenced_work"), F.sum("c").alias("referenced_work_complete"),
-        F.coalesce(F.sum("u"), F.lit(0)).alias("referenced_work_unattempted"))
-    outcomes = on_date(results, "at", zone).groupBy("date").agg(
-        F.count("*").alias("relation_results"), _n(F.col("outcome") == "appended").alias("appended"))
-    out = attempts
-    for part in (logical, calls, work, outcomes):
-        out = out.join(part, "date", "full_outer")
-    return out.fillna(0, [c for c in out.columns if c != "date"])
+        F.coalesce(F.sum("u"), F.lit(0)).alias("referenced_run_work_without_recorded_attempt_as_of"))
+    by_state = (run_work.filter("phase = 'assimilation'").groupBy("run_id", F.coalesce("status", F.lit("unknown")).alias("status"))
+                .agg(F.count("*").alias("c")))
+    work_states = (day_runs.join(by_state, "run_id").groupBy("date", "status").agg(F.sum("c").alias("n")).groupBy("date")
+                   .agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "status", "n"))), ",").alias("referenced_run_work_states_as_of")))
+    ended = on_date(results, "at", zone)
+    outcomes = ended.groupBy("date").agg(F.count("*").alias("relation_results_at_execution_date"))
+    appended = relation_category(ended.filter("outcome = 'appended'"), memories)
+    return _side_by_date([attempts, logical, calls, work, work_states, outcomes, counts_text(ops, F.col("status"), "states"),
+                          counts_text(ended, F.col("outcome"), "outcomes"), counts_text(appended, F.col("category"), "appended_categories")])
 
 
 def _usd(value: Column) -> Column:
@@ -211,21 +244,21 @@ def coverage_status(dates: DataFrame, started: Column, today: Column) -> DataFra
     return dates.withColumn("coverage", status).withColumn("provisional", F.col("date") >= today)
 
 
-LEGACY_NULLS = {
-    "remember": ("submitted_raw_characters", "submitted_raw_bytes", "unknown_raw_size_calls", "new_source_calls",
-                 "reused_source_calls", "extraction_attempts", "zero_observation_extractions", "recovery_extraction_attempts"),
-    "recall": ("empty_completed_results", "zero_candidate_completed_calls", "candidates_but_zero_returned",
-               "returned_d0_total", "returned_d0_distinct"),
-    "assimilation": ("attempts", "logical_work_count", "model_invoked_attempts", "linked_api_reservations",
-                     "proposal_reused_attempts", "completed_zero_proposal_attempts", "referenced_work",
-                     "referenced_work_complete", "referenced_work_unattempted", "relation_results", "appended"),
+#: What a section knows without recorded activity; its other measures are null before that.
+KNOWN_BEFORE = {
+    "remember": ("observed_calls", "new_unique_sources", "new_stored_raw_bytes_known", "new_stored_raw_characters_known", "new_source_size_unknown",
+                 "created_d0", "created_d0_per_new_source_n", "created_d0_per_new_source_p50", "created_d0_per_new_source_p90",
+                 "created_d0_per_new_source_max", "new_source_current_states"),
+    "recall": ("observed_calls",),
+    "assimilation": (),
 }
 
 
 def mask_legacy(summary: DataFrame, section: str) -> DataFrame:
     """Null out what cannot be known before instrumentation; corpus and cost values stay."""
     legacy = F.col("coverage") == "unknown_legacy"
-    return summary.withColumns({c: F.when(~legacy, F.col(c)) for c in LEGACY_NULLS[section] if c in summary.columns})
+    kept = ("date", "coverage", "provisional", *KNOWN_BEFORE[section])
+    return summary.withColumns({c: F.when(~legacy, F.col(c)) for c in summary.columns if c not in kept})
 
 
 # ---- closures ------------------------------------------------------------------
@@ -290,3 +323,25 @@ def report_frame(dates: DataFrame, **sections: DataFrame) -> DataFrame:
         renamed = frame.select("date", *[F.col(c).alias(f"{name}_{c}") for c in frame.columns if c != "date"])
         out = out.join(renamed, "date", "left")
     return out
+
+
+def daily_report(operations: DataFrame, sources: DataFrame, memories: DataFrame, attributed: DataFrame, run_work: DataFrame,
+                 day_runs: DataFrame, results: DataFrame, zone: str, started: Column, today: Column) -> DataFrame:
+    """The whole report: one row per date that any section knows, with coverage and masked activity measures."""
+    sections = {
+        "remember": remember_summary(operations, sources, memories, zone),
+        "recall": recall_summary(operations, memories, zone),
+        "assimilation": assimilation_summary(operations, attributed, run_work, day_runs, results, memories, zone),
+        "costs": cost_summary(attributed, operations, sources, zone),
+    }
+    dates = None
+    for frame in sections.values():
+        dates = frame.select("date") if dates is None else dates.unionByName(frame.select("date"))
+    dates = coverage_status(dates.distinct(), started, today)
+    masked = {}
+    for name, frame in sections.items():
+        with_coverage = frame.join(dates, "date")
+        if name in KNOWN_BEFORE:
+            with_coverage = mask_legacy(with_coverage, name)
+        masked[name] = with_coverage.drop("coverage", "provisional")
+    return report_frame(dates, **masked)

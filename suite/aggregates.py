@@ -178,13 +178,27 @@ a as (select date, count(*) filter (kind = 'remember' and origin = 'agent') obse
         count(*) filter (kind = 'extraction') extraction_attempts,
         count(*) filter (kind = 'extraction' and status = 'complete' and n_created = 0) zero_observation_extractions,
         count(*) filter (kind = 'extraction' and origin = 'recovery') recovery_extraction_attempts from c_opsd where kind in ('remember', 'extraction') group by 1),
+told as (select * from c_opsd where kind = 'remember' and origin = 'agent'),
+cohort as (select date, (select count(*) from c_mem where depth = 0 and source_ref = c_srcd.id) n from c_srcd),
+rs as (select date, string_agg(status || ':' || n, ',' order by status || ':' || n) states from (select date, status, count(*) n from told group by 1, 2) group by 1),
+es as (select date, string_agg(status || ':' || n, ',' order by status || ':' || n) extraction_states from (select date, status, count(*) n from c_opsd where kind = 'extraction' group by 1, 2) group by 1),
+ns as (select date, string_agg(status || ':' || n, ',' order by status || ':' || n) new_source_current_states from (select date, status, count(*) n from c_srcd group by 1, 2) group by 1),
+rd as (select date, count(raw_characters) raw_characters_n, quantile_disc(raw_characters, 0.5)::bigint raw_characters_p50, quantile_disc(raw_characters, 0.9)::bigint raw_characters_p90, max(raw_characters)::bigint raw_characters_max from told where raw_characters is not null group by 1),
+rb as (select date, count(raw_bytes) raw_bytes_n, quantile_disc(raw_bytes, 0.5)::bigint raw_bytes_p50, quantile_disc(raw_bytes, 0.9)::bigint raw_bytes_p90, max(raw_bytes)::bigint raw_bytes_max from told where raw_bytes is not null group by 1),
+cd as (select date, count(*) created_d0_per_new_source_n, quantile_disc(n, 0.5)::bigint created_d0_per_new_source_p50, quantile_disc(n, 0.9)::bigint created_d0_per_new_source_p90, max(n)::bigint created_d0_per_new_source_max from cohort group by 1),
 s as (select date, count(*) new_unique_sources, coalesce(sum(raw_bytes), 0)::bigint new_stored_raw_bytes_known,
         coalesce(sum(raw_characters), 0)::bigint new_stored_raw_characters_known, count(*) filter (raw_bytes is null) new_source_size_unknown from c_srcd group by 1),
 m as (select cast(timezone('Asia/Seoul', timezone('UTC', created_at)) as date) date, count(*) created_d0 from c_mem where depth = 0 group by 1)"""
 
 
+REMEMBERED = """select cast(date as varchar) date, coalesce(columns(lambda x: x similar to '.*(calls|submitted_raw.*|attempts|extractions|sources|_known|_unknown|created_d0|_n)'), 0),
+    coalesce(columns(lambda x: x similar to '.*states'), ''), columns(lambda x: x similar to '.*(_p50|_p90|_max)')
+from a full join s using (date) full join m using (date) full join rs using (date) full join es using (date) full join ns using (date)
+    full join rd using (date) full join rb using (date) full join cd using (date)"""
+
+
 @query("daily_remember_summary", f"""
-with {REMEMBER} select cast(date as varchar) date, coalesce(columns(* exclude (date)), 0) from a full join s using (date) full join m using (date)""")
+with {REMEMBER} {REMEMBERED}""")
 def _(c):
     return report.remember_summary(c.activity, source_details(c), c.memories, ZONE)
 
@@ -194,12 +208,17 @@ ret as (select o.date, r.id memory_id, coalesce(m.depth::varchar, 'unknown') dep
     left join c_mem m on m.id = r.id group by 1, 2, 3)"""
 
 
-@query("daily_recall_summary", f"""
-with {RETURNED} select cast(o.date as varchar) date, count(*) observed_calls, count(*) filter (status = 'complete' and n_returned = 0) empty_completed_results,
+RECALLED = """select cast(o.date as varchar) date, count(*) observed_calls, count(*) filter (status = 'complete' and n_returned = 0) empty_completed_results,
     count(*) filter (status = 'complete' and n_candidates = 0) zero_candidate_completed_calls,
     count(*) filter (status = 'complete' and n_candidates > 0 and n_returned = 0) candidates_but_zero_returned,
-    coalesce(any_value(r.t), 0)::bigint returned_d0_total, coalesce(any_value(r.d), 0)::bigint returned_d0_distinct
-from c_opsd o left join (select date, sum(n) t, count(*) d from ret where depth = '0' group by 1) r on r.date = o.date where kind = 'recall' group by o.date""")
+    coalesce(any_value(r.t), 0)::bigint returned_d0_total, coalesce(any_value(r.d), 0)::bigint returned_d0_distinct,
+    coalesce(any_value(b.returned_by_depth), '') returned_by_depth, any_value(z.states) states
+from c_opsd o left join (select date, string_agg(depth || ':' || n, ',' order by depth || ':' || n) returned_by_depth from (select date, depth, sum(n)::bigint n from ret group by 1, 2) group by 1) b on b.date = o.date
+left join (select date, string_agg(status || ':' || n, ',' order by status || ':' || n) states from (select date, status, count(*) n from c_opsd where kind = 'recall' group by 1, 2) group by 1) z on z.date = o.date
+left join (select date, sum(n) t, count(*) d from ret where depth = '0' group by 1) r on r.date = o.date where kind = 'recall' group by o.date"""
+
+
+@query("daily_recall_summary", f"""with {RETURNED} {RECALLED}""")
 def _(c):
     return report.recall_summary(c.activity, c.memories, ZONE)
 
@@ -215,17 +234,27 @@ a as (select date, count(*) attempts, count(*) filter (model_invoked) model_invo
       from c_opsd where kind = 'assimilation' group by 1),
 k as (select date, count(*) linked_api_reservations from c_attr where parent_kind = 'assimilation' group by 1),
 att as (select distinct run_id, work_key from c_ops where kind = 'assimilation'),
-w as (select d.date, count(*) referenced_work, count(*) filter (w.status = 'complete') referenced_work_complete,
-        count(*) filter (att.run_id is null) referenced_work_unattempted from c_dayruns d join c_work w on w.run_id = d.run_id and w.phase = 'assimilation'
+w as (select d.date, count(*) filter (att.run_id is null) referenced_run_work_without_recorded_attempt_as_of from c_dayruns d join c_work w on w.run_id = d.run_id and w.phase = 'assimilation'
         left join att on att.run_id = w.run_id and att.work_key = w.work_key group by 1),
-x as (select cast(timezone('Asia/Seoul', timezone('UTC', "at")) as date) date, count(*) relation_results, count(*) filter (outcome = 'appended') appended from c_results group by 1)"""
+x as (select cast(timezone('Asia/Seoul', timezone('UTC', "at")) as date) date, count(*) relation_results_at_execution_date from c_results group by 1),
+ws as (select date, string_agg(status || ':' || n, ',' order by status || ':' || n) referenced_run_work_states_as_of from (
+    select d.date, w.status, count(*) n from c_dayruns d join c_work w on w.run_id = d.run_id and w.phase = 'assimilation' group by 1, 2) group by 1),
+st as (select date, string_agg(status || ':' || n, ',' order by status || ':' || n) states from (select date, status, count(*) n from c_opsd where kind = 'assimilation' group by 1, 2) group by 1),
+rx as (select r.*, cast(timezone('Asia/Seoul', timezone('UTC', "at")) as date) date, case when o.id is null or t.id is null then 'unknown' when o.depth > 0 and t.depth = 0 then 'abstraction_to_d0'
+    when o.depth = 0 and t.depth = 0 then case when o.source_ref = t.source_ref then 'same_source_d0' else 'cross_source_d0' end else 'other_depths' end category
+    from c_results r left join c_mem o on o.id = r.memory_id left join c_mem t on t.id = r.related_memory_id),
+oc as (select date, string_agg(outcome || ':' || n, ',' order by outcome || ':' || n) outcomes from (select date, outcome, count(*) n from rx group by 1, 2) group by 1),
+ac as (select date, string_agg(category || ':' || n, ',' order by category || ':' || n) appended_categories from (select date, category, count(*) n from rx where outcome = 'appended' group by 1, 2) group by 1)"""
+
+ASSIMILATED = """select cast(date as varchar) date, coalesce(columns(* exclude (date, states, outcomes, appended_categories, referenced_run_work_states_as_of)), 0),
+    coalesce(states, '') states, coalesce(outcomes, '') outcomes, coalesce(appended_categories, '') appended_categories, coalesce(referenced_run_work_states_as_of, '') referenced_run_work_states_as_of
+from a full join k using (date) full join w using (date) full join x using (date) full join ws using (date) full join st using (date) full join oc using (date) full join ac using (date)"""
 
 
 @query("daily_assimilation_summary", f"""
-with {ASSIM} select cast(date as varchar) date, coalesce(columns(* exclude (date)), 0)
-from a full join k using (date) full join w using (date) full join x using (date)""")
+with {ASSIM} {ASSIMILATED}""")
 def _(c):
-    return report.assimilation_summary(c.activity, attributed(c), c.run_work, day_runs(c), c.relation_results, ZONE)
+    return report.assimilation_summary(c.activity, attributed(c), c.run_work, day_runs(c), c.relation_results, c.memories, ZONE)
 
 
 COST = f"""
@@ -237,16 +266,50 @@ s as (select date, count(*) new_sources from c_srcd group by 1),
 w as (select date, count(distinct (run_id, work_key)) works from c_opsd where kind = 'assimilation' group by 1)"""
 
 
-@query("daily_cost_summary", f"""
-with {COST} select cast(date as varchar) date, api_calls, {usd('actual_usd')} actual_usd, {usd('unsettled_reserved_usd')} unsettled_reserved_usd, unsettled_calls, unattributed_calls,
+COSTS = f"""select cast(date as varchar) date, api_calls, {usd('actual_usd')} actual_usd, {usd('unsettled_reserved_usd')} unsettled_reserved_usd, unsettled_calls, unattributed_calls,
     {usd('unattributed_actual_usd')} unattributed_actual_usd, {usd('assimilation_actual_usd')} assimilation_actual_usd, coalesce(new_sources, 0) new_sources, coalesce(works, 0) works,
     case when coalesce(new_sources, 0) > 0 then round(cast(actual_usd as double) / new_sources, 9) end actual_usd_per_new_source,
     case when coalesce(works, 0) > 0 then round(cast(assimilation_actual_usd as double) / works, 9) end actual_usd_per_assimilation_work
-from k left join s using (date) left join w using (date)""")
+from k left join s using (date) left join w using (date)"""
+
+
+@query("daily_cost_summary", f"""with {COST} {COSTS}""")
 def _(c):
     return report.cost_summary(attributed(c), c.operations, source_details(c), ZONE)
 
 
+BEFORE = "date < '2024-01-10'"
+KNOWN_BEFORE = "date|observed_calls|new_unique_sources|new_stored_.*|new_source_size_unknown|created_d0.*|new_source_current_states"
+REPORT = f"""
+re as (with {REMEMBER} {REMEMBERED}), rc as (with {RETURNED} {RECALLED}), am as (with {ASSIM} {ASSIMILATED}), ct as (with {COST} {COSTS}),
+dd as (select date from re union select date from rc union select date from am union select date from ct),
+re1 as (select date, columns(lambda x: x similar to '{KNOWN_BEFORE}' and x <> 'date'), case when not {BEFORE} then columns(lambda x: not x similar to '{KNOWN_BEFORE}') end from re),
+rc1 as (select date, observed_calls, case when not {BEFORE} then columns(* exclude (date, observed_calls)) end from rc),
+am1 as (select date, case when not {BEFORE} then columns(* exclude (date)) end from am),
+rep as (select dd.date, case when {BEFORE} then 'unknown_legacy' when dd.date = '2024-01-10' then 'partial_from_instrumentation_start' else 'instrumented' end coverage,
+        dd.date >= '2024-01-28' provisional, a.* exclude (date), b.* exclude (date), c.* exclude (date), d.* exclude (date) from dd
+    left join (select date, columns('^(?:[^d]|d[^a]|da[^t]|dat[^e]).*$') as 'remember_\\0' from re1) a using (date)
+    left join (select date, columns('^(?:[^d]|d[^a]|da[^t]|dat[^e]).*$') as 'recall_\\0' from rc1) b using (date)
+    left join (select date, columns('^(?:[^d]|d[^a]|da[^t]|dat[^e]).*$') as 'assimilation_\\0' from am1) c using (date)
+    left join (select date, columns('^(?:[^d]|d[^a]|da[^t]|dat[^e]).*$') as 'costs_\\0' from ct) d using (date))""".replace("{BEFORE}", BEFORE).replace("case when date <", "case when dd.date <")
+
+
+def whole_report(c, calls=None):
+    joined = attributed(c) if calls is None else report.attribute_calls(calls, c.api_links, c.operations)
+    day = lambda t: F.lit(t).cast("date")
+    return report.daily_report(c.activity, source_details(c), c.memories, joined, c.run_work, day_runs(c), c.relation_results, ZONE,
+                               day("2024-01-10"), day("2024-01-28"))
+
+
+def stored_report(c):
+    return c.space.table("daily_report", lambda: whole_report(c))
+
+
+@query("daily_report", f"with {REPORT} select * from rep")
+def _(c):
+    return stored_report(c)
+
+
 @query("daily_stage_costs", f"""
 select cast(date as varchar) date, coalesce(parent_kind, 'unattributed') parent, operation, count(*) api_calls, {usd('coalesce(sum(actual_usd), 0)')} actual_usd,
     {usd('coalesce(sum(reserved_usd) filter (actual_usd is null), 0)')} unsettled_reserved_usd, coalesce(sum(input_tokens), 0)::bigint input_tokens,

@@ -6,7 +6,7 @@ from memstrata.plans import daily_report as report
 from memstrata.sources import archive, dataset as stored, ledger, vectors
 from memstrata.sources.corpus import SPACE
 
-from .aggregates import ZONE, attributed, dataset, source_details
+from .aggregates import REPORT, dataset, stored_report, whole_report
 from .registry import query, usd
 from .retrieval import gold_sessions, metrics
 
@@ -161,20 +161,14 @@ def _(c):
     return back.select("id", "run_id", "operation", "reserved_usd", "actual_usd", F.col("usage.input_tokens").alias("input_tokens"))
 
 
-def daily_costs(c, calls=None):
-    joined = attributed(c) if calls is None else report.attribute_calls(calls, c.api_links, c.operations)
-    return report.cost_summary(joined, c.operations, source_details(c), ZONE).select("date", "api_calls", "actual_usd", "unsettled_calls")
-
-
-@query("report_export", f"""
-select cast(date as varchar) date, count(*) api_calls, {usd('coalesce(sum(actual_usd), 0)')} actual_usd from c_attr where date between DATE '2024-01-05' and DATE '2024-01-20' group by 1""")
+@query("report_export", f"with {REPORT} select * from rep where date between '2024-01-05' and '2024-01-20'")
 def _(c):
     path = f"{c.space.root}/reports"
-    whole = daily_costs(c)
+    whole = stored_report(c)
     days = lambda a, b: whole.join(report.date_range(c.spark, a, b), "date", "left_semi")
-    ledger.replace_dates(days("2024-01-05", "2024-01-15").withColumn("api_calls", F.lit(0).cast("long")), path)
+    ledger.replace_dates(days("2024-01-05", "2024-01-15").withColumn("costs_api_calls", F.lit(0).cast("long")), path)
     ledger.replace_dates(days("2024-01-05", "2024-01-20"), path)
-    return c.spark.read.schema("date date, api_calls long, actual_usd decimal(38,12)").parquet(path).select("date", "api_calls", "actual_usd")
+    return c.spark.read.schema(whole.schema).parquet(path)
 
 
 @query("report_refresh_diff", """
@@ -183,9 +177,9 @@ def _(c):
     # the earlier report did not know the settlements after the cut
     late = F.col("completed_at") >= F.lit("2024-01-20").cast("timestamp")
     before = c.api_calls.withColumns({"actual_usd": F.when(~F.coalesce(late, F.lit(False)), F.col("actual_usd"))})
-    prior = report.fingerprints(daily_costs(c, before))
+    prior = report.fingerprints(whole_report(c, before))
     day = lambda t: F.lit(t).cast("date")
-    return report.changed_days(daily_costs(c), prior, day("2024-01-03"), day("2024-01-28")).select("date")
+    return report.changed_days(stored_report(c), prior, day("2024-01-03"), day("2024-01-28")).select("date")
 
 
 @query("result_artifact_load", f"""
