@@ -28,7 +28,7 @@ LENGTH = 50
 NAME = 20
 BACK = LENGTH - NAME             # a run starts at most so many bytes before its anchor
 AROUND = BACK + LENGTH
-SEGMENT = 1 << 21                # windows that are hashed at once
+SEGMENT = 1 << 19                # windows that are hashed at once
 HELD_NAMES = 3_000_000           # anchors that a task holds before it sends them
 HELD_CONTEXTS = 200_000
 BUCKET_BYTES = 12 << 20

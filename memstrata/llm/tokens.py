@@ -38,7 +38,8 @@ TRAILER = struct.Struct("<QQQQ8s")
 HEAD = struct.Struct("<IIII")
 END_ID = 0
 FILE_BYTES = 64 << 20    # of text for one file
-STORED_PIECES = 2_000_000
+STORED_PIECES = 1_500_000
+SLICE_BYTES = 2 << 20    # of text that is encoded at once
 STORED_LENGTH = 64       # bytes of a piece that is stored
 #: What a byte may be: visible ASCII, an ASCII letter, an ASCII blank, or visible for sure (lead bytes that may begin a wide blank are not).
 SEEN_ASCII, LETTER, BLANK, SEEN = 1, 2, 4, 8
@@ -395,7 +396,7 @@ def write_ids(docs: DataFrame, tokenizer_file: str, path: str | None = None, tex
         store, place = pyarrow.fs.FileSystem.from_uri(path)
         writer, name, sink = None, f"{place}/part-{number:06d}-{uuid.uuid4().hex}.pfor", None
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SLICE_BYTES):
                 if writer is None:
                     sink = store.open_output_stream(name)
                     writer = Writer(sink)
