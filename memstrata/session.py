@@ -100,16 +100,21 @@ def side_by_side(*rows: DataFrame) -> DataFrame:
 def dense_position(df: DataFrame, order: list[str], buckets: list[Column], name: str) -> DataFrame:
     """A global 1-based row number without a single-task window.
 
-    ``buckets`` must be leading parts of the sort order, so that sorting by
-    bucket and then by ``order`` is the whole order. Rows are numbered inside
-    their bucket; the bucket offsets come from a small table of counts.
+    ``buckets`` must be leading parts of the sort order, from coarse to fine,
+    so that sorting by bucket and then by ``order`` is the whole order. Rows are
+    numbered inside their bucket. Offsets have two levels: of the coarse
+    buckets, which are few (days), and of the fine ones inside each.
     """
     from pyspark.sql import Window
     keys = [f"__b{i}" for i in range(len(buckets))]
     tagged = df.select("*", *[b.alias(k) for b, k in zip(buckets, keys)])
     counts = tagged.groupBy(*keys).agg(F.count("*").alias("__n"))
-    before = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
+    earlier = lambda w: F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    coarse = counts.groupBy(keys[0]).agg(F.sum("__n").alias("__n"))
+    offsets = coarse.select(keys[0], earlier(Window.orderBy(keys[0])).alias("__offset"))
+    if len(keys) > 1:
+        fine = counts.select(*keys, earlier(Window.partitionBy(keys[0]).orderBy(*keys[1:])).alias("__inside"))
+        offsets = fine.join(offsets, keys[0]).select(*keys, (F.col("__offset") + F.col("__inside")).alias("__offset"))
     inside = Window.partitionBy(*keys).orderBy(*order)
     return (tagged.withColumn("__r", F.row_number().over(inside))
             .join(offsets, keys)

@@ -100,7 +100,7 @@ class Corpus:
                 "content_hash", "idx",
                 S.source_origin_key(F.col("id"), F.col("idx")).alias("origin_key"))
             return dense_position(timed, ["created_at", "content_hash", "idx"],
-                                  [F.col("created_at"), F.substring("content_hash", 1, 2)], "seq").drop("content_hash", "idx")
+                                  [F.to_date("created_at"), F.col("created_at"), F.substring("content_hash", 1, 2)], "seq").drop("content_hash", "idx")
         return self.space.table("observations", build)
 
     @cached_property
