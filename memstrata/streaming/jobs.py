@@ -65,12 +65,17 @@ def daily_cost_upsert(path: str, zone: str) -> Callable[[DataFrame, int], None]:
     """Recompute the days touched by new or newly settled calls from the call table.
 
     A late settlement belongs to the day its call was made, so the whole day is
-    read again; the batch only names the days.
+    read again; the batch only names the days. The instants around them are
+    literals of the scan, which skips the files and pages of all other days.
     """
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         days = batch.select(S.local_date(F.col("created_at"), zone).alias("date")).distinct()
-        calls = spark.read.parquet(f"{path}/calls").withColumn("date", S.local_date(F.col("created_at"), zone))
+        ends = days.agg(F.date_sub(F.min("date"), 1).cast("timestamp").alias("first"), F.date_add(F.max("date"), 2).cast("timestamp").alias("last")).first()
+        if ends["first"] is None:
+            return
+        calls = (spark.read.parquet(f"{path}/calls").filter(F.col("created_at").between(F.lit(ends["first"]), F.lit(ends["last"])))
+                 .withColumn("date", S.local_date(F.col("created_at"), zone)))
         fresh = (calls.join(days, "date", "left_semi").groupBy("date")
                  .agg(F.count("*").alias("api_calls"), F.sum("actual_usd").cast(USD).alias("actual_usd")))
         (fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
@@ -79,7 +84,11 @@ def daily_cost_upsert(path: str, zone: str) -> Callable[[DataFrame, int], None]:
 
 
 class SourceStatus(StatefulProcessor):
-    """Lifecycle state of one source; rejected transitions are emitted as such."""
+    """Lifecycle state of one source; rejected transitions are emitted as such.
+
+    A source's events of one batch are ordered together, however many Arrow
+    chunks they come in: a source has a handful of transitions.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("status", "status string")
@@ -87,15 +96,14 @@ class SourceStatus(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         current = self.state.get()[0] if self.state.exists() else "pending"
         out = []
-        for frame in rows:
-            for row in frame.sort_values("seq").itertuples():
-                allowed = {"processing": ("pending", "failed"), "failed": ("processing",),
-                           "complete": ("processing", "complete"), "pending": ()}[row.status]
-                valid = current in allowed
-                if valid:
-                    current = row.status
-                if row.status != "pending":
-                    out.append((key[0], row.seq, row.status, current, valid))
+        for row in pd.concat(list(rows)).sort_values("seq", kind="stable").itertuples():
+            allowed = {"processing": ("pending", "failed"), "failed": ("processing",),
+                       "complete": ("processing", "complete"), "pending": ()}[row.status]
+            valid = current in allowed
+            if valid:
+                current = row.status
+            if row.status != "pending":
+                out.append((key[0], row.seq, row.status, current, valid))
         self.state.update((current,))
         yield pd.DataFrame(out, columns=["source_id", "seq", "requested", "status", "valid"])
 
@@ -120,11 +128,13 @@ def budget_alert(path: str, budget: str) -> Callable[[DataFrame, int], None]:
 
     ``log(run_id, id, ordinal, at, step, amount)``: +reserved at step 1,
     actual-reserved at step 0. Exposure inside a batch is a split running sum,
-    so one run may fill a batch; between batches only one number per run is
-    kept. Outputs are stored per batch number, so a repeated batch replaces its
+    so one run may fill a batch; between batches only the exposure and the last
+    instant of a run are kept. A call that is older than an earlier batch's last
+    instant is judged after what has been counted already and marked ``late``:
+    its exposure holds amounts that came after it in time. Outputs are stored per batch number, so a repeated batch replaces its
     own output and starts from the same state.
     """
-    exposure_schema = f"run_id long, exposure {USD}"
+    exposure_schema = f"run_id long, exposure {USD}, last timestamp"
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
@@ -136,17 +146,18 @@ def budget_alert(path: str, budget: str) -> Callable[[DataFrame, int], None]:
         start = F.coalesce("exposure", F.lit(0).cast(USD))
         calls = (running.filter("step = 1").join(before, "run_id", "left")
                  .withColumn("exposure_before", S.usd_add(start, F.col("inside")))
-                 .withColumn("violates", S.usd_add(F.col("exposure_before"), F.col("amount")) > F.lit(budget).cast(USD)))
-        (calls.select("run_id", "id", "at", "exposure_before", "violates")
+                 .withColumn("violates", S.usd_add(F.col("exposure_before"), F.col("amount")) > F.lit(budget).cast(USD))
+                 .withColumn("late", F.coalesce(F.col("at") < F.col("last"), F.lit(False))))
+        (calls.select("run_id", "id", "at", "exposure_before", "violates", "late")
          .write.mode("overwrite").parquet(f"{path}/alerts/{number}"))
-        after = (batch.select("run_id", F.col("amount").alias("exposure")).unionByName(before)
-                 .groupBy("run_id").agg(F.sum("exposure").cast(USD).alias("exposure")))
+        after = (batch.select("run_id", F.col("amount").alias("exposure"), F.col("at").alias("last")).unionByName(before)
+                 .groupBy("run_id").agg(F.sum("exposure").cast(USD).alias("exposure"), F.max("last").alias("last")))
         after.write.mode("overwrite").parquet(f"{path}/exposure/{number}")
         batch.unpersist()
     return write
 
 
-ALERT_SCHEMA = f"run_id long, id string, at timestamp, exposure_before {USD}, violates boolean"
+ALERT_SCHEMA = f"run_id long, id string, at timestamp, exposure_before {USD}, violates boolean, late boolean"
 
 
 def weekly_changes(changes: DataFrame, anchor_offset: str, lateness: str = "1 day") -> DataFrame:
@@ -160,7 +171,11 @@ def weekly_changes(changes: DataFrame, anchor_offset: str, lateness: str = "1 da
 
 
 def call_settlement(reservations: DataFrame, settlements: DataFrame, bound: str = "2 hours") -> DataFrame:
-    """Reservations with their settlement; unmatched ones come out once the bound has passed."""
+    """Reservations with their settlement; unmatched ones come out once the bound has passed.
+
+    A settlement after the bound is in no row of this job: ``late_settlements``
+    takes those up, whenever they come.
+    """
     r = reservations.withWatermark("created_at", bound).alias("r")
     s = (settlements.select(F.col("id").alias("call_id"), "actual_usd", "completed_at")
          .withWatermark("completed_at", bound).alias("s"))
@@ -169,5 +184,20 @@ def call_settlement(reservations: DataFrame, settlements: DataFrame, bound: str
     return r.join(s, on, "left_outer").select("id", "run_id", "reserved_usd", "created_at", "actual_usd", "completed_at")
 
 
+def late_settlements(calls_path: str, out: str, bound: str = "2 hours") -> Callable[[DataFrame, int], None]:
+    """A foreachBatch writer over settlements(id, actual_usd, completed_at): rows of calls settled after the bound.
+
+    The calls are a table of all reservations; only those that the batch names
+    are read. Rows are stored per batch number, so a repeated batch replaces its
+    own, and they replace the unsettled rows of ``call_settlement``.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        calls = batch.sparkSession.read.parquet(calls_path).select("id", "run_id", "reserved_usd", "created_at")
+        late = (calls.join(batch.select("id", "actual_usd", "completed_at"), "id")
+                .filter(F.col("completed_at") > F.col("created_at") + F.expr(f"interval {bound}")))
+        late.write.mode("overwrite").parquet(f"{out}/{number}")
+    return write
+
+
 def first_outcome(results: DataFrame, lateness: str = "1 day") -> DataFrame:
     return results.withWatermark("at", lateness).dropDuplicatesWithinWatermark(["run_id", "work_key", "proposal_index"])
