@@ -38,8 +38,9 @@ TRAILER = struct.Struct("<QQQQ8s")
 HEAD = struct.Struct("<IIII")
 END_ID = 0
 FILE_BYTES = 64 << 20    # of text for one file
-STORED_PIECES = 1_500_000
-SLICE_BYTES = 2 << 20    # of text that is encoded at once
+STORED_PIECES = 1_000_000
+SLICE_BYTES = 1 << 20    # of text that is encoded at once
+BATCH_ROWS = 1000        # that a task gets at once
 STORED_LENGTH = 64       # bytes of a piece that is stored
 #: What a byte may be: visible ASCII, an ASCII letter, an ASCII blank, or visible for sure (lead bytes that may begin a wide blank are not).
 SEEN_ASCII, LETTER, BLANK, SEEN = 1, 2, 4, 8
@@ -410,7 +411,13 @@ def write_ids(docs: DataFrame, tokenizer_file: str, path: str | None = None, tex
             sink.close()
             yield pa.RecordBatch.from_pydict({"number": [number], "file": [name.rsplit("/", 1)[1]], "documents": [len(writer.ids)], "ids": [total]})
 
-    rows = ordered.select("doc_id", "text").mapInArrow(write, "number long, file string, documents long, ids long").collect()
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS)
+    try:
+        rows = ordered.select("doc_id", "text").mapInArrow(write, "number long, file string, documents long, ids long").collect()
+    finally:
+        spark.conf.set(setting, before)
     return sorted((r["number"], f"{path}/{r['file']}", r["documents"], r["ids"]) for r in rows)
 
 
