@@ -29,7 +29,7 @@ NAME = 20
 BACK = LENGTH - NAME             # a run starts at most so many bytes before its anchor
 AROUND = BACK + LENGTH
 SEGMENT = 1 << 19                # windows that are hashed at once
-HELD_NAMES = 3_000_000           # anchors that a task holds before it sends them
+HELD_NAMES = 900_000             # anchors that a task holds before it sends them
 HELD_CONTEXTS = 200_000
 BUCKET_BYTES = 12 << 20
 NO_ID = np.iinfo(np.int64).max   # rows without an id come after all others
@@ -146,10 +146,10 @@ def rows_of(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
                                        pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "kind", "data"])
 
 
-def split_name(h: np.ndarray) -> dict[str, np.ndarray]:
-    """48 bits of a name; one that is shared by chance is told apart in the next round."""
-    low = (h & np.uint64(0xFFFFFFFF)).astype("<u4")
-    return {"low": low.view("V4"), "high": ((h >> np.uint64(32)) & np.uint64(0xFFFF)).astype("<u2").view("V2")}
+def split_name(h: np.ndarray, buckets: int) -> dict[str, np.ndarray]:
+    """40 bits of a name beside those that its bucket tells; one that is shared by chance is told apart in the next round."""
+    rest = h // np.uint64(buckets)
+    return {"low": (rest & np.uint64(0xFFFFFFFF)).astype("<u4").view("V4"), "high": ((rest >> np.uint64(32)) & np.uint64(0xFF)).astype("u1").view("V1")}
 
 
 def named_anchors(docs: DataFrame, buckets: int) -> DataFrame:
@@ -178,7 +178,6 @@ def named_anchors(docs: DataFrame, buckets: int) -> DataFrame:
 
     def send(held) -> pa.RecordBatch:
         h, ids, joins, at = (np.concatenate(x) for x in zip(*held))
-        h = h & np.uint64(0xFFFFFFFFFFFF)
         least, most = least_of(h, ids), greatest_of(h, ids)
         shared, mine = least != most, ids == least
         rows = []
@@ -189,7 +188,7 @@ def named_anchors(docs: DataFrame, buckets: int) -> DataFrame:
             cuts = starts_of(b)
             for lo, hi in zip(cuts, np.append(cuts[1:], len(b))):
                 part = {"join": j[lo:hi], "more": (i - j)[lo:hi], "at": a[lo:hi].astype("<u8")}
-                rows.append((int(b[lo]), kind, packed(**part, **split_name(n[lo:hi])) if kind == 0 else packed(**part)))
+                rows.append((int(b[lo]), kind, packed(**part, **split_name(n[lo:hi], buckets)) if kind == 0 else packed(**part)))
         return rows_of(rows)
 
     return docs.select("doc_id", "join_key", "text").mapInArrow(run, SENT)
@@ -204,9 +203,9 @@ def shared_places(part: pa.Table) -> pa.Table:
             joins.append(x["join"])
             at.append(x["at"])
         else:
-            sent.append(unpacked(data, join="<i8", more="<i8", at="<u8", low="V4", high="V2"))
+            sent.append(unpacked(data, join="<i8", more="<i8", at="<u8", low="V4", high="V1"))
     if sent:
-        h = np.concatenate([x["low"].view("<u4").astype(np.uint64) | (x["high"].view("<u2").astype(np.uint64) << np.uint64(32)) for x in sent])
+        h = np.concatenate([x["low"].view("<u4").astype(np.uint64) | (x["high"].view("u1").astype(np.uint64) << np.uint64(32)) for x in sent])
         i = np.concatenate([x["join"] + x["more"] for x in sent])
         shared = least_of(h, i) != greatest_of(h, i)
         joins.append(np.concatenate([x["join"] for x in sent])[shared])
@@ -215,7 +214,7 @@ def shared_places(part: pa.Table) -> pa.Table:
     order = np.lexsort((at, joins))
     joins, at = joins[order], at[order]
     cuts = starts_of(joins)
-    return pa.table({"of_key": pa.array(joins[cuts], pa.int64()), "places": lists(at.astype(np.int64), cuts, pa.int64())})
+    return pa.table({"of_key": pa.array(joins[cuts], pa.int64()), "places": lists(at.astype(np.int32), cuts, pa.int32())})
 
 
 CONTEXT = {"id": "<i8", "key": "<i8", "at": "<u8", "left": "<u1", "right": "<u1"}
@@ -244,7 +243,7 @@ def sent_contexts(docs: DataFrame, buckets: int) -> DataFrame:
             ends, flat = np.asarray(places.offsets), np.asarray(places.values)
             for row in range(batch.num_rows):
                 body = data[offsets[row]:offsets[row + 1]]
-                at = np.unique(flat[ends[row]:ends[row + 1]])
+                at = np.unique(flat[ends[row]:ends[row + 1]]).astype(np.int64)
                 at = at[at + NAME <= len(body)]
                 for lo in range(0, len(at), HELD_CONTEXTS):
                     part = at[lo:lo + HELD_CONTEXTS]
@@ -379,7 +378,7 @@ def find_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     keyed = keyed.withColumn("join_key", F.coalesce(F.nullif("doc_id", F.lit(int(NO_ID))), "text_key"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(max(48, -(-total // BUCKET_BYTES)))
-    found = named_anchors(keyed, buckets).groupBy("bucket").applyInArrow(shared_places, "of_key long, places array<long>")
+    found = named_anchors(keyed, buckets).groupBy("bucket").applyInArrow(shared_places, "of_key long, places array<int>")
     places = found.groupBy("of_key").agg(F.flatten(F.collect_list("places")).alias("places"))
     at_places = keyed.join(places, F.col("join_key") == F.col("of_key")).select("doc_id", "text_key", "text", "places")
     runs = sent_contexts(at_places, buckets).groupBy("bucket").applyInArrow(repeated_runs, "of long, of_key long, runs array<long>")
