@@ -22,11 +22,11 @@ def _(c):
     return snapshot.parent_lists(c.derived_from, c.memories)
 
 
-@query("lexical_hit_join", "select query_id, memory_id, round(score, 6) score from c_bm, c_n where depth = 0 and seq <= n0 - 20")
+@query("lexical_hit_join", "select query_id, memory_id, score from c_bm, c_n where depth = 0 and seq <= n0 - 20")
 def _(c):
     scores = retrieval.bm25_scores(c.questions, c.postings, c.collection, c.memories, frequencies=c.frequencies)
     hits = retrieval.lexical_hits(scores, depth=0, high_water=c.sizes[0] - 20)
-    return hits.select("query_id", "memory_id", F.round("score", 6).alias("score"))
+    return hits.select("query_id", "memory_id", "score")
 
 
 @query("call_activity_attribution", "select id, activity_id, parent_kind, parent_work_key, parent_run_id from c_attr")
