@@ -29,8 +29,9 @@ KINDS = ("assign", "access", "hex", "opaque")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-#: Beyond the base kinds: long runs of token characters with letters and digits.
-OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,64}[0-9])(?=[0-9+/_=-]{0,64}[A-Za-z])[A-Za-z0-9+/_=-]{20,512}(?![A-Za-z0-9+/_=-])")
+#: Beyond the base kinds: runs of token characters, of any length, that have a letter and a digit anywhere. Possessive, so linear.
+OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+")
+DIGIT, LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
 MIN_ASSIGN, MIN_ACCESS, MIN_BITS = 6, 20, 3.0
 EXAMPLE_OWNERS = 4       # so many owners make a value a copied example
 
@@ -57,7 +58,7 @@ def added_spans(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[
     """Opaque tokens that no base span touches."""
     out = []
     for m in OPAQUE.finditer(text):
-        if not any(s < m.end() and m.start() < e for s, _, e, _ in base):
+        if DIGIT.search(m[0]) and LETTER.search(m[0]) and not any(s < m.end() and m.start() < e for s, _, e, _ in base):
             out.append((m.start(), 3, m.end(), m[0]))
     return out
 

@@ -86,6 +86,25 @@ def test_ownership_tells_examples_from_live_secrets(spark):
     assert got[401][0].verdict == "live" and got[403] == []
 
 
+def test_opaque_tokens_of_any_length():
+    r = random.Random(8)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    made_of = lambda n, chars=letters + "0123456789+/": "".join(r.choice(chars) for _ in range(n))
+    for token in ("g7" + made_of(18), "g7" + made_of(511), made_of(512) + "7", "g7" + made_of(7000),
+                  made_of(70, "ghijkGHIJK") + "1", made_of(700, "ghijkGHIJK") + "1", "0" + made_of(90, "123+/") + "g"):
+        text = f"see {token}, é"
+        assert secrets.added_spans(text, []) == [(4, 3, 4 + len(token), token)]
+    for token in ("g7" + made_of(17), made_of(600, letters), made_of(600, "0123456789+/")):
+        assert secrets.added_spans(f"see {token}.", []) == []
+
+
+def test_long_single_owner_keys_are_live(spark):
+    key = "".join(random.Random(9).choices("GHIJKLMNOPQRSTUVWXYZghijklmnopqrstuvwxyz23456789+/", k=1600))
+    docs = spark.createDataFrame([(1, f"key {key}", "a"), (2, "none", "b")], "doc_id long, text string, source string")
+    got = {r.doc_id: [(s.kind, s.start, s.end, s.verdict) for s in r.spans] for r in secrets.find_secrets(docs).collect()}
+    assert got == {1: [(3, 4, 1604, "live")], 2: []}
+
+
 def test_expectation_maximisation_finds_good_and_bad_labelers():
     r = np.random.default_rng(4)
     truth = r.random(6000) < 0.4
