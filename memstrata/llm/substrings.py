@@ -157,8 +157,8 @@ def named_anchors(docs: DataFrame, buckets: int) -> DataFrame:
 
     A task sends a name once, for its smallest document; other documents of
     the task that have it are known to share it, and their places are passed
-    on as shared. A string that stands in a third of all documents is thus
-    sent once per task.
+    on as shared, in buckets by document. A string that stands in a third of
+    all documents is thus sent to its own bucket once per task.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -181,8 +181,9 @@ def named_anchors(docs: DataFrame, buckets: int) -> DataFrame:
         least, most = least_of(h, ids), greatest_of(h, ids)
         shared, mine = least != most, ids == least
         rows = []
-        bucket = (h % np.uint64(buckets)).astype(np.int64)
-        for kind, chosen in ((0, mine), (1, shared)):
+        by_name = (h % np.uint64(buckets)).astype(np.int64)
+        by_text = (mixed(joins.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)    # what is settled needs no other place of its name
+        for kind, chosen, bucket in ((0, mine, by_name), (1, shared, by_text)):
             order = np.lexsort((at[chosen], joins[chosen], bucket[chosen]))
             b, i, j, a, n = (x[chosen][order] for x in (bucket, ids, joins, at, h))
             cuts = starts_of(b)
@@ -232,7 +233,8 @@ def sent_contexts(docs: DataFrame, buckets: int) -> DataFrame:
     """Round two in the tasks of the scan: surroundings of shared anchors, by bucket of the anchor's name.
 
     Of equal surroundings in a task only those of its smallest document are
-    sent; the runs of the others are repeated for sure (kind 1).
+    sent; the runs of the others are repeated for sure (kind 1) and go to
+    buckets by document.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -265,9 +267,10 @@ def sent_contexts(docs: DataFrame, buckets: int) -> DataFrame:
         mine = ids == least_of(whole_name(around, left, right), ids)
         rows = []
         name = name_of(around)
-        bucket = (name % np.uint64(buckets)).astype(np.int64)
+        by_name = (name % np.uint64(buckets)).astype(np.int64)
+        by_text = (mixed(ids.view(np.uint64) ^ keys.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
         masks = valid_runs(left, right)
-        for kind, chosen in ((0, mine), (1, ~mine)):
+        for kind, chosen, bucket in ((0, mine, by_name), (1, ~mine, by_text)):
             places = np.flatnonzero(chosen)
             order = places[np.lexsort((at[places], ids[places], bucket[places]))]
             b = bucket[order]

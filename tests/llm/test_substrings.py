@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from memstrata.llm import substrings
 
@@ -103,3 +104,25 @@ def test_packed_round_trip():
     at, raw = np.array([0, 5, 5, 1 << 40], "<u8"), np.arange(320, dtype=np.uint8).reshape(4, 80)
     back = substrings.unpacked(substrings.packed(at=at, around=raw), at="<u8", around="V80")
     assert back["at"].tolist() == at.tolist() and (back["around"].view(np.uint8).reshape(4, 80) == raw).all()
+
+
+def test_places_of_a_common_line_are_spread(spark):
+    r = random.Random(12)
+    word = lambda n: "".join(r.choice("abcdefghijklmnop") for _ in range(n))
+    line, buckets = word(70), 16
+    rows = [(i, f"{word(60)} {line} {word(60)}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    keyed = docs.withColumns({"join_key": F.col("doc_id"), "text_key": F.xxhash64("text")})
+
+    def spread(sent, **kinds):
+        n = np.zeros(buckets, int)
+        for x in sent.where("kind = 1").collect():
+            n[x.bucket] += len(substrings.unpacked(bytes(x.data), **kinds)["at"])
+        return n
+
+    named = spread(substrings.named_anchors(keyed, buckets), join="<i8", more="<i8", at="<u8")
+    assert named.sum() >= 600 and named.max() <= 3 * named.mean()
+    same_around = docs.withColumns({"text": F.lit(line), "text_key": F.xxhash64(F.lit(line)), "places": F.array(F.lit(20))})
+    around = spread(substrings.sent_contexts(same_around, buckets), id="<i8", key="<i8", at="<u8", mask="<u4")
+    assert around.sum() >= 500 and around.max() <= 3 * around.mean()
+    same(rows, {x.doc_id: x for x in substrings.find_repeats(docs).collect()})
