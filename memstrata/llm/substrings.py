@@ -1,15 +1,14 @@
-"""Removal of repeated substrings by prefix doubling over content-chosen positions.
-
-Ranking every byte position takes 16 bytes and more per byte of text in each
-round, so the doubling runs on a sparse set of positions that the content
-itself chooses: in every run of ``LENGTH`` bytes the ``NAME``-byte string
-with the least hash, its anchor. Equal runs have equal anchors at equal
-places. Round one names the strings at anchors and drops the anchors whose
-name is unique. Round two names the survivors' surroundings, up to
-``LENGTH`` bytes on either side together; equal surroundings settle all runs
-inside them at once. The last round names single runs of ``LENGTH`` bytes
-where surroundings differ. In each round Spark shuffles names by range and
-tasks sort them.
+"""Removal of repeated substrings by content-chosen anchors and hash grouping.
+
+This stands in place of prefix doubling: there are no ranks, no sort by Spark
+at growing offsets and no reranking loop. In every run of ``LENGTH`` bytes the
+content itself chooses the ``NAME``-byte string with the least hash, its
+anchor. Equal runs have equal anchors at equal places. Three groupings by hash
+bucket, at fixed widths: the strings at anchors, where names that are unique
+are dropped; the survivors' surroundings, up to ``LENGTH`` bytes on either
+side together, where equal surroundings settle all runs inside them at once;
+single runs of ``LENGTH`` bytes where surroundings differ. Spark deals names
+out by ``hash % buckets`` and each task groups its buckets in memory.
 """
 
 from __future__ import annotations
