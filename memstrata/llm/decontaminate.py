@@ -1,7 +1,7 @@
 """Benchmark decontamination by greedy string tiling.
 
 A document and a benchmark item that share a seed, a run of ``MIN_MATCH``
-tokens, are tiled: the longest match of unmarked tokens is marked again and
+tokens (all tokens of a shorter item), are tiled: the longest match of unmarked tokens is marked again and
 again, until none of ``MIN_MATCH`` tokens is left. Tiles do not overlap and
 may lie in any order, so moved passages count. A document is contaminated
 where tiles cover the given share of an item's tokens.
@@ -71,53 +71,63 @@ class Items:
     """A block of benchmark items as token numbers with their seeds."""
 
     def __init__(self, rows: list[tuple[object, str | None]], width: int = MIN_MATCH) -> None:
-        self.width, self.ids, self.numbers = width, [i for i, _ in rows], {}
-        item, place, hashes = [], [], []
-        self.lengths, self.tokens = [], []
+        self.ids, self.numbers = [i for i, _ in rows], {}
+        self.lengths, self.tokens, self.widths = [], [], []
+        by_width: dict[int, list[tuple[np.ndarray, ...]]] = {}
         for k, (_, text) in enumerate(rows):
             found = np.array([self.numbers.setdefault(w, len(self.numbers) + 1) for w in tokens_of(text or "")], np.int64)
+            own = min(width, len(found))
             self.lengths.append(len(found))
             self.tokens.append(found)
-            h = rolling(found, width)
-            hashes.append(h)
-            item.append(np.full(len(h), k))
-            place.append(np.arange(len(h)))
-        join = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
-        hashes, item, place = join(hashes, np.uint64), join(item, np.int64), join(place, np.int64)
-        order = np.argsort(hashes, kind="stable")
-        self.hashes, self.item, self.place = hashes[order], item[order], place[order]
+            self.widths.append(own)
+            if own:
+                h = rolling(found, own)
+                by_width.setdefault(own, []).append((h, np.full(len(h), k, np.int64), np.arange(len(h), dtype=np.int64)))
+        #: By width of the seed: its hashes in order, the items and the places in them.
+        self.seeds = {}
+        for own, parts in by_width.items():
+            hashes, item, place = (np.concatenate(x) for x in zip(*parts))
+            order = np.argsort(hashes, kind="stable")
+            self.seeds[own] = hashes[order], item[order], place[order]
+
+    def found(self, numbers: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(text positions, items, item positions) of equal seeds, for each width."""
+        for width, (hashes, items, places) in self.seeds.items():
+            if len(numbers) < width:
+                continue
+            at = np.flatnonzero(np.convolve(numbers != 0, np.ones(width, int), "valid") == width)
+            if not len(at):
+                continue
+            h = rolling(numbers, width)[at]
+            first, last = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
+            hit = last > first
+            if not hit.any():
+                continue
+            at, first, count = at[hit], first[hit], (last - first)[hit]
+            which = np.repeat(first - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
+            yield np.repeat(at, count), items[which], places[which]
 
     def matches(self, text: str | None, coverage: float) -> list[tuple[int, list[tuple[int, int, int]]]]:
-        """(item number, tiles) of the items that are covered enough. Items too short for a seed match when equal runs hold them whole."""
+        """(item number, tiles) of the items that are covered enough. An item too short for a seed is a seed itself, and matches where it stands whole."""
         find = self.numbers.get
         numbers = np.array([find(w, 0) for w in tokens_of(text or "")], np.int64)
-        if len(numbers) < self.width or not len(self.hashes):
+        parts = list(self.found(numbers))
+        if not parts:
             return []
-        known = np.convolve(numbers != 0, np.ones(self.width, int), "valid") == self.width
-        at = np.flatnonzero(known)
-        if not len(at):
-            return []
-        h = rolling(numbers, self.width)[at]
-        first, last = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
-        hit = last > first
-        if not hit.any():
-            return []
-        at, first, count = at[hit], first[hit], (last - first)[hit]
-        which = np.repeat(first - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
-        text_at, item, item_at = np.repeat(at, count), self.item[which], self.place[which]
+        text_at, item, item_at = (np.concatenate(x) for x in zip(*parts))
         out = []
         for k in np.unique(item):
-            mine = item == k
+            mine, width = item == k, self.widths[k]
             t, i = text_at[mine], item_at[mine]
             bound = np.zeros(self.lengths[k] + 1, int)
             np.add.at(bound, i, 1)
-            np.add.at(bound, np.minimum(i + self.width, self.lengths[k]), -1)
+            np.add.at(bound, np.minimum(i + width, self.lengths[k]), -1)
             if (np.cumsum(bound)[:-1] > 0).sum() < coverage * self.lengths[k]:
                 continue            # no tiling covers more than the seeds do
             same = np.ones(len(t), bool)
-            for step in range(self.width):
+            for step in range(width):
                 same &= numbers[t + step] == self.tokens[k][i + step]
-            tiles = tile(t[same], i[same], self.width)
+            tiles = tile(t[same], i[same], width)
             if sum(n for *_, n in tiles) >= coverage * self.lengths[k]:
                 out.append((int(k), tiles))
         return out
@@ -144,11 +154,11 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = C
     """(doc_id, item_id, coverage, tiles) of each row of ``docs`` and each item that its tiles cover enough.
 
     Whole texts are compared with every item; a benchmark beyond
-    ``BLOCK_TOKENS`` takes one scan for each block. Items of fewer than
-    ``MIN_MATCH`` tokens have no seed and match nothing. Null and empty texts
-    on either side match nothing; null ids are returned as null; repeated rows
-    give repeated results; an empty table on either side gives an empty
-    result; further columns are not read.
+    ``BLOCK_TOKENS`` takes one scan for each block. An item of fewer
+    than ``MIN_MATCH`` tokens matches where it stands whole, as one tile. Null
+    and empty texts on either side match nothing; null ids are returned as
+    null; repeated rows give repeated results; an empty table on either side
+    gives an empty result; further columns are not read.
     """
     spark = docs.sparkSession
     picked = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))

@@ -87,3 +87,12 @@ def test_awkward_rows(spark):
 def test_rolling_hash_depends_on_order():
     a, b = np.array([1, 2, 3, 4, 5]), np.array([5, 4, 3, 2, 1])
     assert d.rolling(a, 5)[0] != d.rolling(b, 5)[0] and len(d.rolling(a, 6)) == 0
+
+
+def test_items_shorter_than_a_seed(spark):
+    rows = [(1, "he said: Born in May 1911, then left"), (2, "born in"), (3, "Paris!"), (4, "may in born 1911"), (5, "1911 " + "x " * 300 + "paris paris"), (6, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "born in May 1911"), (2, "Paris"), (3, "said born in"), (4, "Born in"), (5, "?!"), (6, "one two three four five six")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.coverage, [t.length for t in r.tiles]) for r in d.find_contaminated(docs, bench).collect()}
+    assert got == {(1, 1): (1.0, [4]), (1, 3): (1.0, [3]), (1, 4): (1.0, [2]), (2, 4): (1.0, [2]), (3, 2): (1.0, [1]), (5, 2): (1.0, [1])}
+    assert sorted(r.doc_id for r in d.drop_contaminated(docs, bench).collect()) == [4, 6]
