@@ -5,7 +5,7 @@ examples tie to the label; document frequencies are counted over the whole
 corpus. The nearest examples by exact cosine come from an inverted index that
 keeps the largest weight of each block of postings: blocks are visited by
 their bound, until no other can reach the k-th similarity. The votes of the
-neighbours, weighted by distance, are calibrated on the examples themselves,
+neighbours (all that are as near as the k-th), weighted by distance, are calibrated on the examples themselves,
 each left out in turn.
 """
 
@@ -26,7 +26,6 @@ from memstrata.session import durable
 from .common import slices, table
 
 MAX_EXAMPLES = 20_000     # labelled rows that the model is fitted on, the first by a hash of their id
-MAX_TERMS = 2_000
 MIN_SUPPORT = 4           # examples that a term needs
 MIN_CHI = 20.0            # chi-square of term and label
 NEIGHBOURS = 15
@@ -91,7 +90,7 @@ def chosen_terms(rows: DataFrame) -> list[tuple[str, int]]:
     a, b, n = F.col("a").cast("double"), F.col("b").cast("double"), n1 + n0
     chi = n * (a * (n0 - b) - b * (n1 - a)) ** 2 / ((a + b) * (n - a - b + 0.5) * n1 * n0)
     best = (counted.where((F.col("a") + F.col("b") >= MIN_SUPPORT) & (F.col("a") * n0 > F.col("b") * n1 * 4)).withColumn("chi", chi)
-            .where(F.col("chi") >= MIN_CHI).orderBy(F.desc("chi"), "term", "least").limit(MAX_TERMS))
+            .where(F.col("chi") >= MIN_CHI).orderBy(F.desc("chi"), "term", "least"))
     return [(r["term"], r["least"]) for r in best.select("term", "least").collect()]
 
 
@@ -157,8 +156,8 @@ class Index:
         size = np.sqrt((w * w).sum())
         return w / size if size else w
 
-    def nearest(self, terms: list[int], counts: list[int], skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the k nearest with a positive cosine; equal ones by their place."""
+    def nearest(self, terms: list[int], counts: list[int], skip: int = -1, ties: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(examples, cosines) of the k nearest with a positive cosine; equal ones by their place. ``ties``: and of all as near as the k-th."""
         q = self.weights(terms, counts)
         bounds = q @ self.largest[terms]
         order = np.argsort(-bounds, kind="stable")
@@ -182,8 +181,9 @@ class Index:
             flat = scores.ravel()
             live = (flat > 0) & (place != skip)
             got_at, got = np.r_[got_at, place[live]], np.r_[got, flat[live]]
-            best = np.lexsort((got_at, -got))[:self.k]
-            got_at, got = got_at[best], got[best]
+            best = np.lexsort((got_at, -got))
+            upto = np.searchsorted(-got[best], 1e-13 - got[best[self.k - 1]], "right") if ties and len(best) > self.k else self.k
+            got_at, got = got_at[best[:upto]], got[best[:upto]]
             start, step = start + step, step * 2
         return got_at, np.minimum(got, 1.0)
 
@@ -225,7 +225,7 @@ class Scorer:
         by_id = {i: n for n, i in enumerate(index.ids)}
         votes = []
         for doc_id, _, terms, counts in rows:
-            at, near = index.nearest(terms, counts, skip=by_id[doc_id])
+            at, near = index.nearest(terms, counts, skip=by_id[doc_id], ties=True)
             votes.append(index.vote(at, near))
         self.ends, self.means = rising(np.array(votes), np.array([r[1] for r in rows], float))
 
@@ -236,7 +236,7 @@ class Scorer:
         if key not in self.known:
             if len(self.known) > 50_000:
                 self.known.clear()
-            at, near = self.index.nearest(terms, counts)
+            at, near = self.index.nearest(terms, counts, ties=True)
             vote = self.index.vote(at, near)
             step = min(int(np.searchsorted(self.ends, vote, "left")), len(self.means) - 1)
             self.known[key] = (float(self.means[step]) if len(at) else self.base, at[:3].tolist(), near[:3].tolist())
@@ -260,7 +260,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", doc_i
     terms = chosen_terms(own)
     rows = durable(vectors(docs, terms, text, doc_id))
     total = rows.count()
-    counted = rows.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("df")).collect()   # at most MAX_TERMS
+    counted = rows.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("df")).collect()   # terms of at most ``limit`` examples
     idf = np.full(len(terms), np.log(1 + total))
     for r in counted:
         idf[r["t"]] = np.log(1 + total / r["df"])

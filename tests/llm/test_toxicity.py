@@ -81,3 +81,23 @@ def test_awkward_rows(spark):
     none = labels.limit(0)
     assert {r.score for r in toxicity.score_toxicity(docs, none).collect()} == {0.5}
     assert toxicity.score_toxicity(empty(spark), labels).count() == 0
+
+
+def test_all_tied_terms_are_kept(spark):
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)) for _ in range(1500)]
+    bad, good = " ".join(words), " ".join(w[::-1] for w in words)
+    rows = spark.createDataFrame([(i, i % 2, bad if i % 2 else good) for i in range(80)], "doc_id long, y int, text string")
+    found = {t for t, _ in toxicity.chosen_terms(rows)}
+    assert len(found) > 2000 and {f"={w}" for w in words} <= found
+
+
+def test_all_as_near_as_the_last_vote():
+    index = toxicity.Index([(i, int(i < 90), [0], [1]) for i in range(150)] + [(200, 1, [0, 1], [1, 1])], np.array([1.0, 2.0]), neighbours=15)
+    at, near = index.nearest([0], [1], ties=True)
+    assert len(at) == 150 and near == pytest.approx(np.ones(150)) and index.vote(at, near) == pytest.approx(0.6)
+    at, _ = index.nearest([0], [1], skip=int(at[0]), ties=True)
+    assert len(at) == 149
+    assert len(index.nearest([0], [1])[0]) == 15
+    few, near = index.nearest([1], [1], ties=True)
+    assert len(few) == 1
