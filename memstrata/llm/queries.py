@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, neardup, pii, quality, secrets, sharding, substrings, tokens, toxicity
+from . import decontaminate, mixing, neardup, pii, quality, secrets, sharding, substrings, tokens, toxicity, trie, turns, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1,
@@ -19,6 +19,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": pii.op8,
     "op9_quality_rules": quality.op9,
     "op10_sharding": sharding.op10,
+    "op11_warc_archive": warc.op11,
+    "op12_turn_repair": turns.op12,
+    "op13_prefix_trie": trie.op13,
 }
 
-ORACLES: dict[str, str] = {"op1_mixing": mixing.OP1_SQL}
+ORACLES: dict[str, str] = {
+    "op1_mixing": mixing.OP1_SQL,
+    "op11_warc_archive": warc.OP11_SQL,
+    "op12_turn_repair": turns.OP12_SQL,
+    "op13_prefix_trie": trie.OP13_SQL,
+}
