@@ -38,22 +38,26 @@ TRAILER = struct.Struct("<QQQQ8s")
 HEAD = struct.Struct("<IIII")
 END_ID = 0
 FILE_BYTES = 64 << 20    # of text for one file
-STORED_PIECES = 1_000_000
+STORED_PIECES = 2_000_000
 SLICE_BYTES = 1 << 20    # of text that is encoded at once
 BATCH_ROWS = 1000        # that a task gets at once
 STORED_LENGTH = 64       # bytes of a piece that is stored
-#: What a byte may be: visible ASCII, an ASCII letter, an ASCII blank, or visible for sure (lead bytes that may begin a wide blank are not).
-SEEN_ASCII, LETTER, BLANK, SEEN = 1, 2, 4, 8
+TOGETHER = 2000          # plain pieces that the tokenizer gets as one text
+#: What a byte may be: visible ASCII, an ASCII letter, an ASCII sign (no letter, no digit), or visible for sure (lead bytes that may begin a wide blank are not).
+SEEN_ASCII, LETTER, SIGN, SEEN = 1, 2, 4, 8
 BYTE_KIND = np.zeros(256, np.uint8)
-BYTE_KIND[0x21:0x7F] = SEEN_ASCII | SEEN
+BYTE_KIND[0x21:0x7F] = SEEN_ASCII | SEEN | SIGN
+BYTE_KIND[ord("0"):ord("9") + 1] = SEEN_ASCII | SEEN
+BYTE_KIND[ord("|")] = SEEN_ASCII | SEEN    # follows a letter inside the names of special tokens
 BYTE_KIND[0xC3:0xF5] = SEEN
 BYTE_KIND[[0xE1, 0xE2, 0xE3]] = 0
 for _c in (*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)):
-    BYTE_KIND[_c] |= LETTER
-BYTE_KIND[[9, 10, 11, 12, 13, 32]] = BLANK
+    BYTE_KIND[_c] = SEEN_ASCII | SEEN | LETTER
 ODD = np.uint64(0x9E3779B97F4A7C15)
-BYTE_HASH = np.random.default_rng(21).integers(1, 1 << 63, 256, np.uint64)
-POWERS = np.random.default_rng(22).integers(1, 1 << 63, STORED_LENGTH + 1, np.uint64) * np.uint64(2) + np.uint64(1)
+#: Pieces are hashed over their bytes through this substitution; one that maps all bytes alike makes hashes collide.
+BYTE_HASH = np.random.default_rng(21).permutation(256).astype(np.uint8)
+#: What to keep of 8 bytes when a piece has only the first 0 to 8 of them.
+FIRST_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
 # packing
@@ -64,15 +68,14 @@ def pack(values: np.ndarray, width: int) -> bytes:
         return b""
     rows = np.zeros((-(-len(values) // 8), 8), np.uint64)
     rows.ravel()[:len(values)] = values
-    out = np.zeros((len(rows), width), np.uint8)
-    for byte in range(width):
-        first, last = 8 * byte // width, min(7, (8 * byte + 7) // width)
-        word = np.zeros(len(rows), np.uint64)
-        for i in range(first, last + 1):
-            shift = i * width - 8 * byte
-            word |= rows[:, i] << np.uint64(shift) if shift >= 0 else rows[:, i] >> np.uint64(-shift)
-        out[:, byte] = word & np.uint64(255)
-    return out.tobytes()
+    # 8 values are a number of 8 * width bits, held in words of 64
+    words = np.zeros((len(rows), -(-width // 8)), np.dtype("<u8"))
+    for i in range(8):
+        word, shift = divmod(i * width, 64)
+        words[:, word] |= rows[:, i] << np.uint64(shift)
+        if shift + width > 64:
+            words[:, word + 1] |= rows[:, i] >> np.uint64(64 - shift)
+    return np.ascontiguousarray(words.view(np.uint8)[:, :width]).tobytes()
 
 
 def unpack(data: bytes | memoryview, n: int, width: int) -> np.ndarray:
@@ -186,9 +189,8 @@ class Encoder:
     """Ids of whole texts, piece by piece.
 
     The tokenizer's own rule starts a new pre-token at each space that a
-    visible character follows, at a full stop or comma between a letter and
-    white space, and on both sides of a line feed between a visible character
-    and a letter. What stands between such places does not influence each
+    visible character follows, at a sign after a letter, and on both sides of
+    a line feed between a visible character and a letter. What stands between such places does not influence each
     other, so texts are cut there (leaving out a place is always safe), and
     each different piece is given to the tokenizer once. Pieces are kept in an
     open-addressed table of arrays, found by a hash and confirmed byte by
@@ -199,6 +201,10 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(file)
+        #: a token's characters stand for one byte each
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.bytes_of_id = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.bytes_of_id[list(vocabulary.values())] = [len(t) for t in vocabulary]
         self.most, self.mask = most, np.uint64((1 << (2 * most - 1).bit_length()) - 1)
         self.clear()
 
@@ -231,23 +237,52 @@ class Encoder:
             go[won] = False
             open_, slot = open_[go], (slot[go] + np.uint64(1)) & self.mask
 
-    def learn(self, pieces: list[bytes]) -> None:
-        """Append pieces with their ids."""
-        encoded = self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)
-        lists = [e.ids for e in encoded]
-        self.id_starts.add(self.id_starts.last() + np.cumsum([len(x) for x in lists]))
-        self.byte_starts.add(self.byte_starts.last() + np.cumsum([len(x) for x in pieces]))
-        self.ids.add(np.fromiter(chain.from_iterable(lists), np.uint32))
-        self.bytes.add(np.frombuffer(b"".join(pieces), np.uint8))
+    def learn(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Append pieces with their ids; gives the number of each.
+
+        A space and letters is a pre-token wherever it stands, so such pieces
+        are encoded many in one text. Ids stand for bytes, whose number tells
+        where the next piece begins.
+        """
+        kept = len(self.id_starts) - 1
+        held, ends = gathered(data, starts, lengths), np.cumsum(lengths)
+        begins = ends - lengths
+        fits = letters(held)
+        fits[begins] = held[begins] == 32
+        simple = np.logical_and.reduceat(fits, begins) & (lengths > 1) & (lengths <= STORED_LENGTH)
+        order = np.r_[np.flatnonzero(simple), np.flatnonzero(~simple)]
+        number = np.empty(len(starts), np.int32)
+        number[order] = np.arange(kept, kept + len(order))
+        plain = int(simple.sum())
+        held, ends = gathered(held, begins[order], lengths[order]), np.cumsum(lengths[order])
+        cuts = [*range(0, plain, TOGETHER), plain] if plain else []
+        at = [0, *ends.tolist()]
+        raw = held.tobytes()
+        texts = [raw[at[i]:at[j]].decode() for i, j in zip(cuts, cuts[1:])]
+        texts += [raw[i:j].decode() for i, j in zip(at[plain:], at[plain + 1:])]
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        together = max(0, len(cuts) - 1)
+        ids = np.fromiter(chain.from_iterable(lists), np.uint32)
+        alone = np.array([len(x) for x in lists[together:]], np.int64)
+        first = ids[:len(ids) - int(alone.sum())]
+        spent = np.cumsum(self.bytes_of_id[first])
+        stop = np.searchsorted(spent, ends[:plain]) + 1
+        if plain and not (len(spent) == stop[-1] and np.array_equal(spent[stop - 1], ends[:plain])):
+            raise ValueError("the tokenizer does not start a pre-token at a space before letters")
+        self.id_starts.add(self.id_starts.last() + np.r_[stop, len(first) + np.cumsum(alone)])
+        self.byte_starts.add(self.byte_starts.last() + ends)
+        self.ids.add(ids)
+        self.bytes.add(held)
+        return number
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, how many each text has) of texts in one buffer of bytes."""
         if len(self.id_starts) > self.most:
             self.clear()
+        data, offsets = np.append(data[offsets[0]:offsets[-1]], np.zeros(8, np.uint8)), offsets - offsets[0]
         starts, lengths, h = pieces_of(data, offsets)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
-        kept = len(self.id_starts) - 1
         short = lengths <= STORED_LENGTH
         which = np.full(len(starts), -1, np.int32)
         which[short] = self.find(h[short])
@@ -261,48 +296,72 @@ class Encoder:
             lead = new == first[back]
             alone = ~short[new] | ~self.equal(data, starts, lengths, new, first[back])
             chosen = np.r_[new[lead & ~alone], new[alone]]
-            self.learn([data[starts[i]:starts[i] + lengths[i]].tobytes() for i in chosen])
-            number = np.arange(kept, kept + len(chosen), dtype=np.int32)
-            which[chosen] = number
+            which[chosen] = self.learn(data, starts[chosen], lengths[chosen])
             rest = ~lead & ~alone
             which[new[rest]] = which[first[back[rest]]]
             stored = new[lead & ~alone]
             stored = stored[self.find(h[stored]) < 0][:self.most - self.used]
             self.put(h[stored], which[stored])
             self.used += len(stored)
-        begin = self.id_starts.view()
-        count = begin[which + 1] - begin[which]
+        begin = self.id_starts.view()[which]
+        count = self.id_starts.view()[which + 1] - begin
         ends = np.cumsum(count)
-        ids = self.ids.view()[np.repeat(begin[which] - (ends - count), count) + np.arange(ends[-1])]
+        ids = self.ids.view()[np.repeat((begin - (ends - count)).astype(np.int32), count) + np.arange(ends[-1], dtype=np.int32)]
         upto = np.r_[0, ends][np.searchsorted(starts, offsets)]
         return ids, np.diff(upto)
 
     def equal(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether pieces a and b have the same bytes."""
-        same = lengths[a] == lengths[b]
-        n = np.where(same, lengths[a], 0)
-        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        wrong = data[np.repeat(starts[a], n) + step] != data[np.repeat(starts[b], n) + step]
-        same[np.repeat(np.arange(len(a)), n)[wrong]] = False
-        return same
+        return same_bytes(data, starts[a], data, starts[b], lengths[a], lengths[b])
 
     def confirm(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, which: np.ndarray) -> None:
         """Take back what was found by its hash but has other bytes."""
         found = np.flatnonzero(which >= 0)
-        begin, held = self.byte_starts.view(), self.bytes.view()
-        a, n = begin[which[found]], lengths[found]
-        fits = begin[which[found] + 1] - a == n
-        which[found[~fits]] = -1
-        found, a, n = found[fits], a[fits], n[fits]
-        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        wrong = data[np.repeat(starts[found], n) + step] != held[np.repeat(a, n) + step]
-        if wrong.any():
-            which[found[np.repeat(np.arange(len(found)), n)[wrong]]] = -1
+        begin = self.byte_starts.view()
+        piece = which[found]
+        stored = begin[piece]
+        same = same_bytes(data, starts[found], self.bytes.held, stored, lengths[found], begin[piece + 1] - stored)
+        which[found[~same]] = -1
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on as a number."""
+    return np.ndarray(len(data) - 7, np.dtype("<u8"), data, strides=(1,))
+
+
+def same_bytes(one: np.ndarray, a: np.ndarray, other: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether ``n`` bytes from ``a`` on in one buffer are the ``m`` from ``b`` on in another; both have 8 to spare."""
+    same = n == m
+    x, y = eights(one), eights(other)
+    open_ = np.flatnonzero(same & (n > 0))
+    at = 0
+    while len(open_):
+        equal = (x[a[open_] + at] ^ y[b[open_] + at]) & FIRST_BYTES[np.minimum(n[open_] - at, 8)] == 0
+        same[open_[~equal]] = False
+        at += 8
+        open_ = open_[equal & (n[open_] > at)]
+    return same
+
+
+def gathered(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The bytes of pieces, one after the other."""
+    return data[np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))]
+
+
+def letters(b: np.ndarray) -> np.ndarray:
+    """Which bytes belong to an ASCII or Latin-1 letter."""
+    wide = (b[:-1] == 0xC3) & (b[1:] != 0x97) & (b[1:] != 0xB7)
+    out = BYTE_KIND[b] & LETTER > 0
+    out[:-1] |= wide
+    out[1:] |= wide
+    return out
 
 
 class Grown:
     """An array that grows at its end."""
 
+    SPARE = 8
+
     def __init__(self, kind, *first) -> None:
         self.held, self.size = np.zeros(1024, kind), 0
         self.add(np.array(first, kind))
@@ -311,8 +370,8 @@ class Grown:
         return self.size
 
     def add(self, more: np.ndarray) -> None:
-        if self.size + len(more) > len(self.held):
-            self.held = np.concatenate([self.held[:self.size], np.zeros(max(self.size, 2 * len(more)), self.held.dtype)])
+        if self.size + len(more) + self.SPARE > len(self.held):
+            self.held = np.concatenate([self.held[:self.size], np.zeros(max(self.size, 2 * len(more)) + self.SPARE, self.held.dtype)])
         self.held[self.size:self.size + len(more)] = more
         self.size += len(more)
 
@@ -324,33 +383,36 @@ class Grown:
 
 
 def pieces_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, lengths, hashes) of the pieces of texts ``data[offsets[i]:offsets[i + 1]]``; hashes are those of short pieces."""
-    first, last = int(offsets[0]), int(offsets[-1])
-    b = data[first:last]
+    """(starts, lengths, hashes) of the pieces of texts ``data[offsets[i]:offsets[i + 1]]``; hashes are those of short pieces.
+
+    The texts lie from 0 on, and 8 more bytes follow them.
+    """
+    b = data[:int(offsets[-1])]
     if not len(b):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    kind = BYTE_KIND[b]
-    # the byte after and before, none at the borders of a text
-    at = offsets - first
-    after, before = np.r_[kind[1:], np.uint8(0)], np.r_[np.uint8(0), kind[:-1]]
-    inner = at[(at > 0) & (at < len(b))]
-    after[inner - 1], before[inner] = 0, 0
-    end = np.zeros(len(b), bool)
-    end[at[at > 0] - 1] = True
-    space, feed = b == 32, b == 10
-    cut = space & (after & SEEN > 0)
-    stop = ((b == 44) | (b == 46)) & (before & LETTER > 0) & (end | (after & BLANK > 0))
-    line = feed & (before & SEEN_ASCII > 0) & (after & LETTER > 0)
-    cut |= stop | line
+    kind, letter = BYTE_KIND[b], letters(b)
+    first, last = letter & ((b < 128) | (b == 0xC3)), letter & (b != 0xC3)
+    # what stands after and before, nothing at the borders of a text
+    inner = offsets[(offsets > 0) & (offsets < len(b))]
+    after, then, before, prior = np.r_[kind[1:], np.uint8(0)], np.r_[first[1:], False], np.r_[np.uint8(0), kind[:-1]], np.r_[False, last[:-1]]
+    after[inner - 1], then[inner - 1], before[inner], prior[inner] = 0, False, 0, False
+    line = (b == 10) & ((before & SEEN_ASCII > 0) | prior) & then
+    cut = ((b == 32) & (after & SEEN > 0)) | ((kind & SIGN > 0) & prior) | line
     cut[1:] |= line[:-1]
-    cut[at[:-1][at[:-1] < at[1:]]] = True
+    cut[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
     starts = np.flatnonzero(cut)
     lengths = np.diff(np.r_[starts, len(b)])
-    place = np.arange(len(b)) - np.repeat(starts, lengths)
-    h = np.add.reduceat(BYTE_HASH[b] * POWERS[np.minimum(place, STORED_LENGTH)], starts)
+    numbers = eights(BYTE_HASH.astype(np.uint8)[data])
+    h = (lengths.astype(np.uint64) ^ (numbers[starts] & FIRST_BYTES[np.minimum(lengths, 8)]) * ODD)
+    for at in range(8, STORED_LENGTH, 8):
+        more = np.flatnonzero(lengths > at)
+        if not len(more):
+            break
+        x = h[more]
+        h[more] = ((x ^ (x >> np.uint64(31))) * ODD) ^ (numbers[starts[more] + at] & FIRST_BYTES[np.minimum(lengths[more] - at, 8)])
     h = (h ^ (h >> np.uint64(32))) * ODD
     h ^= h >> np.uint64(29)
-    return starts + first, lengths, np.where(h == 0, np.uint64(1), h)
+    return starts, lengths, np.where(h == 0, np.uint64(1), h)
 
 
 _encoders: dict[str, Encoder] = {}
