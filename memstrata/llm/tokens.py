@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memstrata.session import shared_folder
+from memstrata.session import durable, prefix_sums, shared_folder
 
 from .common import slices, table, text_buffers
 
@@ -427,9 +427,9 @@ def encoder(file: str) -> Encoder:
 
 # Spark
 
-def write_ids(docs: DataFrame, tokenizer_file: str, path: str | None = None, text: str = "text", doc_id: str = "doc_id",
-              end_id: int = END_ID, file_bytes: int = FILE_BYTES) -> list[tuple[int, str, int, int]]:
-    """Tokenize and write; gives the manifest: (number, file, documents, ids), in the order of the files.
+def write_files(docs: DataFrame, tokenizer_file: str, path: str | None = None, text: str = "text", doc_id: str = "doc_id",
+                end_id: int = END_ID, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """Tokenize and write; gives the manifest as a written table: (number, file, documents, ids), ``number`` being the order of the files.
 
     Documents are dealt by ranges of (id, hash of the text) and sorted in each
     range, so the files in order hold ascending ids, null first; equal ids are
@@ -437,8 +437,7 @@ def write_ids(docs: DataFrame, tokenizer_file: str, path: str | None = None, tex
     and every document ends with ``end_id``. An empty table gives no file.
     Each attempt of a task writes a file of its own into the shared folder,
     and the manifest names those of the attempts that succeeded: a lost
-    executor leaves a file that nobody reads. The manifest has one row per
-    file, and reaches the driver.
+    executor leaves a file that nobody reads.
     """
     import pyarrow.fs
     spark = docs.sparkSession
@@ -471,26 +470,28 @@ def write_ids(docs: DataFrame, tokenizer_file: str, path: str | None = None, tex
         if writer is not None:
             total = writer.close()
             sink.close()
-            yield pa.RecordBatch.from_pydict({"number": [number], "file": [name.rsplit("/", 1)[1]], "documents": [len(writer.ids)], "ids": [total]})
+            yield pa.RecordBatch.from_pydict({"number": [number], "file": [f"{path}/{name.rsplit('/', 1)[1]}"], "documents": [len(writer.ids)], "ids": [total]})
 
     setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(setting)
     spark.conf.set(setting, min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS)
     try:
-        rows = ordered.select("doc_id", "text").mapInArrow(write, "number long, file string, documents long, ids long").collect()
+        return durable(ordered.select("doc_id", "text").mapInArrow(write, "number long, file string, documents long, ids long"))
     finally:
         spark.conf.set(setting, before)
-    return sorted((r["number"], f"{path}/{r['file']}", r["documents"], r["ids"]) for r in rows)
 
 
-def read_ids(spark: SparkSession, manifest: list[tuple[int, str, int, int]]) -> DataFrame:
+def write_ids(*args, **kwargs) -> list[tuple[int, str, int, int]]:
+    """Like ``write_files``, with the manifest as a list, for a few files."""
+    return sorted(tuple(r) for r in write_files(*args, **kwargs).collect())
+
+
+def read_ids(spark: SparkSession, manifest: DataFrame | list[tuple[int, str, int, int]]) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of all documents; ids are little-endian unsigned 32-bit numbers."""
-    rows, before = [], 0
-    for number, file, _, ids in manifest:
-        rows.append((number, file, before))
-        before += ids
-    files = spark.createDataFrame(rows, "number int, file string, before long")
-    files = files.repartitionByRange(max(1, len(rows)), "number")
+    if not isinstance(manifest, DataFrame):
+        manifest = spark.createDataFrame(manifest, "number long, file string, documents long, ids long")
+    placed = prefix_sums(manifest, [], F.floor(F.col("number") / 1024), [F.col("number")], F.col("ids"), "before")
+    files = placed.select("number", "file", "before").repartitionByRange(max(1, manifest.count()), "number")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.fs
@@ -520,6 +521,6 @@ def _rows(held: list[tuple]) -> pa.RecordBatch:
 
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
-    manifest = write_ids(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    manifest = write_files(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     read = read_ids(spark, manifest)
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
