@@ -82,9 +82,10 @@ def plan_mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id
     size, total, target, copies = (fresh(docs, x) for x in ("size", "source_size", "target", "copies"))
     chance = hex_unit(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit(""))))
     liked = F.lit(1.0) if preference is None else F.coalesce(F.when(preference > 0, preference.cast("double")), F.lit(1.0))
-    sized = docs.withColumn(size, word_count(F.col(f"`{text}`"))).withColumn("__u", chance).withColumn("__like", liked)
-    facts = durable(sized.select(F.col(f"`{source}`").alias("source"), F.col(size).alias("words"),
-                                 F.col("__u").alias("u"), F.col("__like").alias("liked")))
+    # the given row is carried as one value, so that no name of its own meets a name of ours
+    sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("given"), F.col(f"`{source}`").alias("source"),
+                        word_count(F.col(f"`{text}`")).alias("words"), chance.alias("u"), liked.alias("liked"))
+    facts = durable(sized.drop("given"))
     totals = facts.groupBy("source").agg(F.sum("words").alias("source_size"), F.sum(F.col("words") * F.col("liked")).alias("liked_size"))
     liked_size = totals.select(F.col("source").alias("__of"), "liked_size")
     goal = targets(totals.select("source", "source_size"), weights, max_times)
@@ -117,21 +118,26 @@ def plan_mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id
                    .otherwise(F.coalesce("last", F.col("edge_step") / steps)).alias("__cut"),
                    (F.col("edge_step").isNotNull() & F.col("last").isNull()).alias("__open")))
     cut = durable(cut)
-    with_cut = sized.join(cut, F.col(f"`{source}`").eqNullSafe(F.col("__of")))
-    times = _times(F.col("__goal"), F.col("__liked_size"), F.col("__like"), max_times)
-    rank = _rank(F.col("__times"), F.col("__u"))
+    with_cut = sized.join(cut, F.col("source").eqNullSafe(F.col("__of")))
+    times = _times(F.col("__goal"), F.col("__liked_size"), F.col("liked"), max_times)
+    rank = _rank(F.col("__times"), F.col("u"))
     taken = F.when(F.col("__open"), rank < F.col("__cut")).otherwise(rank <= F.col("__cut"))
     return (with_cut.withColumn("__times", times)
-            .withColumn(copies, F.floor("__times").cast("long") + F.when(taken, 1).otherwise(0).cast("long"))
-            .select(*[F.col(f"`{c}`") for c in docs.columns], F.col(size), F.col("__total").alias(total),
-                    F.col("__goal").alias(target), F.col(copies)))
+            .withColumn("__copies", F.floor("__times").cast("long") + F.when(taken, 1).otherwise(0).cast("long"))
+            .select(*[F.col(f"given.`{c}`") for c in docs.columns], F.col("words").alias(size), F.col("__total").alias(total),
+                    F.col("__goal").alias(target), F.col("__copies").alias(copies)))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus: the columns of ``docs``, each row as often as the mix takes it."""
+    """The mixed corpus: the columns of ``docs``, each row as often as the mix takes it.
+
+    Nulls, empty texts, ties, repeated rows and clashing names are as in
+    ``plan_mix``; an empty table gives an empty mix.
+    """
     planned = plan_mix(docs, **options)
     copies = planned.columns[-1]
-    return (planned.where(F.col(copies) > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))))
+    copy = fresh(planned, "copy")
+    return (planned.where(F.col(copies) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))))
             .select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 

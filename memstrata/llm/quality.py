@@ -9,12 +9,12 @@ DataFrame functions only; the fits are sums by group, never gathered rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memstrata.session import durable
 
-from .common import SPACES, stored_texts, table, words_of
+from .common import SPACES, fresh, stored_texts, table, words_of
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -29,6 +29,7 @@ CHI_SHARE = 5.385     # the SHARE quantile of a chi-square of 4 dimensions
 FLOORS = {"length": 0.08, "symbols": 0.35, "lines": 0.30, "repeats": 0.30}
 UNIT = 1000           # statistics are kept as whole thousandths, so that sums do not depend on their order
 GRID = 64             # distances are ranked in steps of a 64th
+COARSE = 4096         # steps in a bin of the counted distances
 
 
 def text_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -126,14 +127,28 @@ def _distance(prefix: str = "") -> Column:
     return total
 
 
+def _bound(counted: DataFrame) -> DataFrame:
+    """(g, bound): the least step up to which a group has its share, from (g, step, count)."""
+    bins = counted.groupBy("g", F.floor(F.col("step") / COARSE).alias("bin")).agg(F.sum("count").alias("inside"))
+    run = Window.partitionBy("g").orderBy("bin")
+    bins = bins.withColumns({"upto": F.sum("inside").over(run), "all": F.sum("inside").over(Window.partitionBy("g"))})
+    held = (bins.where((F.col("upto") >= SHARE * F.col("all")) & (F.col("upto") - F.col("inside") < SHARE * F.col("all")))
+            .select(F.col("g").alias("of"), F.col("bin").alias("of_bin"), (F.col("upto") - F.col("inside")).alias("before"), "all"))
+    steps = counted.join(held, (F.col("g") == F.col("of")) & (F.floor(F.col("step") / COARSE) == F.col("of_bin")))
+    steps = steps.withColumn("upto", F.col("before") + F.sum("count").over(Window.partitionBy("g").orderBy("step")))
+    return steps.where(F.col("upto") >= SHARE * F.col("all")).groupBy("g").agg(F.min("step").alias("bound"))
+
+
 def fit(rows: DataFrame) -> DataFrame:
     """MCD estimates of the rows (g and the statistics): one row per group.
 
     Concentration starts from the rows nearest to the group's medians in units
     of the floors, and then repeats ``STEPS`` times: mean and covariance of
     the kept share, distances of all rows, the share of nearest rows. The
-    bound of the share is read from counts by distance step, so a group with a
-    third of all rows is a few thousand counted steps, not one task's rows.
+    bound of the share is read from counts by distance step in two levels:
+    which coarse bin holds it, then which step of that bin, so a group with a
+    third of all rows is never more than ``COARSE`` steps, or as many bins as
+    the largest distance has, in one window.
     The last covariance is scaled so that the share's distance agrees with a
     chi-square's.
     """
@@ -141,12 +156,9 @@ def fit(rows: DataFrame) -> DataFrame:
     start = centre.select("g", *[f"m{i}" for i in range(len(NAMES))],
                           *[F.lit(FLOORS[NAMES[i]] * UNIT if i == j else 0.0).alias(f"l{i}{j}") for i, j in PAIRS])
     estimate = durable(start)
-    from pyspark.sql import Window
-    run = Window.partitionBy("g").orderBy("step")
     for turn in range(STEPS + 1):
         far = rows.join(estimate, "g").select("g", *NAMES, F.floor(F.least(_distance(), F.lit(1e6)) * GRID).alias("step"))
-        counted = far.groupBy("g", "step").count().withColumn("upto", F.sum("count").over(run)).withColumn("all", F.sum("count").over(Window.partitionBy("g")))
-        bound = durable(counted.where(F.col("upto") >= SHARE * F.col("all")).groupBy("g").agg(F.min("step").alias("bound")))
+        bound = durable(_bound(durable(far.groupBy("g", "step").count())))
         if turn == STEPS:
             scale = F.greatest((F.col("bound") + 1) / (GRID * CHI_SHARE), F.lit(1.0))
             scaled = estimate.join(bound, "g").withColumn("scale", F.sqrt(scale))
@@ -165,24 +177,23 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     rows as well, by the one of all rows; a table with too few rows altogether
     is judged by the base rules alone. Null and empty texts have no words and
     fail the base rules. Ties and repeated rows are judged alike. An empty
-    table gives an empty result. Names that start with two underscores are
-    this operator's own; all other columns are kept as they are.
+    table gives an empty result. All columns of ``docs`` are kept as they are;
+    the new ones get underscores in front while there is such a column.
     """
-    counted = text_counts(docs, text).withColumn("__base_failed", base_failed())
-    marked = counted.withColumns({f"__{k}": v for k, v in statistics().items()})
-    marked = stored_texts(marked)
-    place = F.to_json(F.struct(F.col(f"`{lang}`").alias("l"), F.col(f"`{source}`").alias("s")))
-    wide = F.to_json(F.struct(F.col(f"`{lang}`").alias("w")))
+    # the given row is carried as one value, so that no name of its own meets a name of ours
+    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("given"), F.col(f"`{text}`").alias("text"))
+    counted = text_counts(given, "text").drop("text").withColumn("__base_failed", base_failed())
+    place = F.to_json(F.struct(F.col(f"given.`{lang}`").alias("l"), F.col(f"given.`{source}`").alias("s")))
+    wide = F.to_json(F.struct(F.col(f"given.`{lang}`").alias("w")))
     keys = [F.concat(F.lit("0"), place), F.concat(F.lit("1"), wide), F.lit("2")]
-    sound = marked.where("not __base_failed").select(F.explode(F.array(*keys)).alias("g"), *[F.col(f"__{x}").alias(x) for x in NAMES])
-    sizes = durable(sound.groupBy("g").count().where(F.col("count") >= MIN_GROUP).select("g"))
-    estimates = fit(sound.join(sizes, "g", "left_semi"))
-    far = marked
-    for i, key in enumerate(keys):
-        own = estimates.select(F.col("g").alias(f"__g{i}"), F.struct(*[c for c in estimates.columns if c != "g"]).alias(f"__e{i}"))
-        far = far.join(own, key == F.col(f"__g{i}"), "left").drop(f"__g{i}")
-    best = F.coalesce(*[F.col(f"__e{i}") for i in range(len(keys))])
-    far = far.withColumn("__e", best).drop(*[f"__e{i}" for i in range(len(keys))])
+    marked = stored_texts(counted.withColumns({f"__{k}": v for k, v in statistics().items()} | {f"__g{i}": k for i, k in enumerate(keys)}))
+    used = _estimate_used(marked)
+    levels = sorted(r[0] for r in used.select(F.substring("g", 1, 1)).where("g is not null").distinct().collect())
+    sound = marked.where("not __base_failed").select(F.explode(F.array(*[F.col(f"__g{i}") for i in levels])).alias("g") if levels else F.lit("").alias("g"),
+                                                     *[F.col(f"__{x}").alias(x) for x in NAMES])
+    estimates = fit(sound.join(used.select("g").distinct(), "g", "left_semi"))
+    own = used.join(estimates.select("g", F.struct(*[c for c in estimates.columns if c != "g"]).alias("__e")), "g", "left").select(F.col("g0").alias("__of"), "__e")
+    far = marked.join(own, F.col("__g0") == F.col("__of")).drop("__of", *[f"__g{i}" for i in range(len(keys))])
     z: list[Column] = []
     for i, x in enumerate(NAMES):
         value = F.col(f"__{x}") - F.col(f"__e.m{i}")
@@ -193,12 +204,28 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     distance = z[0] + z[1] + z[2] + z[3]
     far = far.withColumn("__distance", distance)
     kept = ~F.col("__base_failed") & F.coalesce(F.col("__distance") <= CUTOFF, F.lit(True))
-    return far.withColumn("__kept", kept).drop("__e", *[f"__z{i}" for i in range(len(NAMES))], *[f"__{x}" for x in NAMES])
+    own = ("__n_words", "__word_chars", "__n_symbols", "__n_dup_lines", "__n_repeat_words", "__base_failed", "__distance", "__kept")
+    return far.withColumn("__kept", kept).select(*[F.col(f"given.`{c}`") for c in docs.columns], *[F.col(c).alias(fresh(docs, c)) for c in own])
+
+
+def _estimate_used(marked: DataFrame) -> DataFrame:
+    """(g0, g): the estimate that judges each language and source: its own, its language's, the one of all, or none (null)."""
+    groups = durable(marked.groupBy("__g0", "__g1", "__g2").agg(F.count_if(~F.col("__base_failed")).alias("n")))
+    wide = groups.groupBy("__g1").agg(F.sum("n").alias("n1"))
+    everything = groups.groupBy("__g2").agg(F.sum("n").alias("n2"))
+    sized = groups.join(wide, "__g1").join(everything, "__g2")
+    return durable(sized.select(F.col("__g0").alias("g0"), F.when(F.col("n") >= MIN_GROUP, F.col("__g0")).when(F.col("n1") >= MIN_GROUP, F.col("__g1"))
+                                .when(F.col("n2") >= MIN_GROUP, F.col("__g2")).alias("g")))
 
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that pass, with their columns."""
-    return judge(docs, **options).where("__kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` that pass, with their columns.
+
+    Nulls, empty texts, ties, repeated rows and clashing names are as in
+    ``judge``; an empty table gives an empty result.
+    """
+    judged = judge(docs, **options)
+    return judged.where(F.col(judged.columns[-1])).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9(spark: SparkSession, folder: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from memstrata.session import shared_folder
+from memstrata.session import broadcast_measured, durable, prefix_sums, shared_folder
 
 from .common import fresh, table
 
@@ -78,14 +78,17 @@ def shuffle_shards(docs: DataFrame, shards: int = SHARDS, text: str = "text", se
     path = path or f"{shared_folder(spark).rstrip('/')}/memstrata/{spark.sparkContext.applicationId}/shuffled-{uuid.uuid4().hex}"
     mixed.write.option("compression", "zstd").parquet(path)
     mixed = spark.read.schema(mixed.schema).parquet(path)
-    # the start of each bucket in the whole order, from the written rows: 24 bytes for each ``bucket_bytes`` of input
-    starts = (mixed.groupBy(bucket).agg(F.count("*").alias("rows_here"))
-              .select(bucket, F.expr(f"sum(rows_here) over (order by `{bucket}`) - rows_here as start_here"),
-                      F.expr("sum(rows_here) over () as rows_all")))
+    # the start of each bucket in the whole order, from the written rows
+    counts = durable(mixed.groupBy(F.col(f"`{bucket}`").alias("of")).agg(F.count("*").alias("n")))
+    total_rows = counts.agg(F.sum("n")).first()[0] or 0
+    start, of = fresh(docs, "start_of_bucket"), fresh(docs, "number_of_bucket")
+    starts = prefix_sums(counts, [], F.floor(F.col("of") / 1024), [F.col("of")], F.col("n"), "start")
+    starts = starts.select(F.col("of").alias(of), F.col("start").alias(start))
     shard, slot = fresh(docs, "shard"), fresh(docs, "slot")
-    return (mixed.join(F.broadcast(starts), bucket)
-            .withColumn(shard, F.expr(f"cast(({shards} * (start_here + `{place}` + 1) - 1) div rows_all as int)"))
-            .withColumn(slot, F.expr(f"start_here + `{place}` - `{shard}` * rows_all div {shards}"))
+    at = F.col(f"`{start}`") + F.col(f"`{place}`")
+    return (mixed.join(broadcast_measured(starts), F.col(f"`{bucket}`") == F.col(f"`{of}`"))
+            .withColumn(shard, F.expr(f"cast(({shards} * (`{start}` + `{place}` + 1) - 1) div {max(total_rows, 1)} as int)"))
+            .withColumn(slot, at - F.expr(f"cast(`{shard}` as bigint) * {total_rows} div {shards}"))
             .select(*[F.col(f"`{c}`") for c in docs.columns], F.col(shard), F.col(slot)))
 
 

@@ -15,7 +15,9 @@ ROWS = [
 ]
 BASE = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType())])
 #: Names that operators add themselves.
-CLASHING = ("size", "target", "source_size", "copies", "shard", "slot", "row", "bucket", "key", "component_id", "kept", "n", "Size", "place_in_scan", "text_key", "spans")
+CLASHING = ("size", "target", "source_size", "copies", "shard", "slot", "row", "bucket", "key", "component_id", "kept", "n", "Size", "place_in_scan", "text_key", "spans",
+            "__u", "__like", "__times", "__copy", "copy", "__of", "__total", "__cut", "__goal", "__open", "given", "words", "liked",
+            "__words", "__e", "__g0", "__length", "rows_all", "start_here", "start_of_bucket", "of", "g")
 
 
 def awkward(spark: SparkSession, clash: bool = True):

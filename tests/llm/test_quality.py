@@ -119,3 +119,21 @@ def test_null_groups_are_fitted(spark):
 def test_main_path_has_no_python(spark):
     plan = quality.op9(spark, FOLDER)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_clashing_names_stay(spark):
+    own = ["__n_words", "__kept", "__distance", "__base_failed", "__n_repeat_words", "__words", "__e", "__g0", "__length", "given"]
+    docs = documents(spark).select("*", *[F.lit("x").alias(c) for c in own])
+    kept = quality.keep_good(docs)
+    assert kept.columns == docs.columns
+    rows = kept.collect()
+    assert {r[c] for r in rows for c in own} == {"x"}
+    assert {r.doc_id for r in rows} == {r.doc_id for r in quality.keep_good(documents(spark)).collect()}
+
+
+def test_bound_of_counted_steps(spark):
+    r = random.Random(5)
+    steps = {g: [int(10 ** r.uniform(0, 7)) for _ in range(n)] for g, n in (("a", 1), ("b", 4), ("c", 997))}
+    rows = [(g, s, v.count(s)) for g, v in steps.items() for s in set(v)]
+    got = {x.g: x.bound for x in quality._bound(spark.createDataFrame(rows, "g string, step long, count long")).collect()}
+    assert got == {g: sorted(v)[int(np.ceil(quality.SHARE * len(v))) - 1] for g, v in steps.items()}
