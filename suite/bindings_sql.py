@@ -140,10 +140,55 @@ CTES: dict[str, tuple[str, str]] = {
             case o.event_id % 3 when 0 then 'appended' when 1 then 'already_exists' else 'rejected' end outcome, m.id memory_id, o.seed_id related_memory_id,
             case when o.event_id % 2 = 0 then 'positive' else 'negative' end kind, case when o.event_id % 3 = 2 then 'outside the run snapshot' end reason, o.event_id
         from c_ops o, c_n, c_base m where o.kind = 'assimilation' and m.seq = 1 + (o.event_id * 23) % total"""),
-    "c_emb": ("", """select b.id memory_id, v.embedding vector, b.depth, v.vec_id from c_base b, embeddings v, (select count(*) n from embeddings)
+    "c_emb": ("", """select b.id memory_id, v.embedding vector, b.depth, b.seq, v.vec_id from c_base b, embeddings v, (select count(*) n from embeddings)
         where v.vec_id = b.seq % n"""),
-    # the seeds of one daily and one weekly run
-    "c_hseed": ("", "select memory_id from c_seeds where run_id = 30 union select memory_id from c_changed where run_id = 67"),
+    # the seeds of all daily and weekly runs, with what their run sees
+    "c_hseed": ("", """select s.run_id, s.memory_id, r.kind, r.memory_high_water, r.relation_high_water
+        from (select run_id, memory_id from c_seeds union select run_id, memory_id from c_weekly) s join c_runs r on r.id = s.run_id"""),
+    # cosine of each two vectors; memories with one vector share it
+    "c_vsim": ("", """select a.vec_id a, b.vec_id b, list_dot_product(a.v, b.v) / sqrt(a.sq * b.sq) score
+        from (select vec_id, embedding::double[] v, list_dot_product(embedding::double[], embedding::double[]) sq from embeddings) a,
+             (select vec_id, embedding::double[] v, list_dot_product(embedding::double[], embedding::double[]) sq from embeddings) b"""),
+    # of each run, level and vector: the vectors, best first, until 21 memories in view stand before
+    "c_vnear": ("", """select run_id, depth, a, b, score from (
+            select *, min(upto) over (partition by run_id, depth, a, score) before from (
+                select w.run_id, w.depth, w.a, s.b, s.score, sum(v.n) over (partition by w.run_id, w.depth, w.a order by s.score desc rows unbounded preceding) - v.n upto
+                from (select distinct h.run_id, e.depth, e.vec_id a from c_hseed h join c_emb e using (memory_id)) w
+                join c_vsim s on s.a = w.a
+                join (select r.run_id, e.depth, e.vec_id b, count(*) n from (select distinct run_id, memory_high_water from c_hseed) r
+                      join c_emb e on e.seq <= r.memory_high_water group by 1, 2, 3) v on v.run_id = w.run_id and v.depth = w.depth and v.b = s.b)) where before < 21"""),
+    "c_fedge": ("", "select e.*, m.seq target_seq from c_edges e join c_mem m on m.id = e.related_memory_id"),
+    # the daily runs' new memories, each a query of its own content in its run's view
+    "c_aseed": ("", """select w.run_id, w.memory_id seed_id, r.memory_high_water, r.relation_high_water, m.content
+        from c_work w join c_runs r on r.id = w.run_id join c_mem m on m.id = w.memory_id where w.phase = 'assimilation'"""),
+    "c_aphr": ("", f"""select seed_id, term, count(*) weight from (
+            select seed_id, {sql_tokens('t')}[1] term from (
+                select seed_id, unnest(list_slice(u, 1, 64)) t from (
+                    select seed_id, list_transform(list_sort(list_transform(list_distinct(ts), lambda x: {{'p': list_position(ts, x), 't': x}})), lambda s: s.t) u
+                    from (select distinct seed_id, regexp_extract_all(content, '[\\p{{L}}\\p{{N}}_]+') ts from c_aseed))))
+        where term is not null group by 1, 2"""),
+    "c_abm": (" MATERIALIZED", """select a.run_id, a.seed_id, l.memory_id, round(sum(p.weight * d.idf
+                * (t.tf * 2.2) / (t.tf + 1.2 * (1 - 0.75 + 0.75 * l.doc_len / avg_len))), 9) score
+            from c_aseed a join c_aphr p on p.seed_id = a.seed_id join c_post t on t.term = p.term
+            join (select term, case when ln((n_docs - count(*) + 0.5) / (count(*) + 0.5)) <= 0 then 1e-6 else ln((n_docs - count(*) + 0.5) / (count(*) + 0.5)) end idf
+                  from c_post, c_stats group by term, n_docs) d on d.term = p.term
+            join c_len l on l.memory_id = t.memory_id and l.seq <= a.memory_high_water, c_stats group by 1, 2, 3"""),
+    "c_alex": ("", """select b.run_id, b.seed_id, b.memory_id, row_number() over (partition by b.run_id, b.seed_id order by b.score desc, b.memory_id) rank
+        from c_abm b join (select run_id, seed_id, list_min(max(score, 30)) least from c_abm group by 1, 2) k
+        on k.run_id = b.run_id and k.seed_id = b.seed_id and b.score >= k.least qualify rank <= 30"""),
+    "c_avnear": ("", """select run_id, a, b, score from (
+            select *, min(upto) over (partition by run_id, a, score) before from (
+                select w.run_id, w.a, s.b, s.score, sum(v.n) over (partition by w.run_id, w.a order by s.score desc rows unbounded preceding) - v.n upto
+                from (select distinct h.run_id, e.vec_id a from c_aseed h join c_emb e on e.memory_id = h.seed_id) w
+                join c_vsim s on s.a = w.a
+                join (select r.run_id, e.vec_id b, count(*) n from (select distinct run_id, memory_high_water from c_aseed) r
+                      join c_emb e on e.seq <= r.memory_high_water group by 1, 2) v on v.run_id = w.run_id and v.b = s.b)) where before < 30"""),
+    "c_asem": ("", """select h.run_id, h.seed_id, e.memory_id, row_number() over (partition by h.run_id, h.seed_id order by n.score desc, e.memory_id) rank
+        from c_aseed h join c_emb s on s.memory_id = h.seed_id join c_avnear n on n.run_id = h.run_id and n.a = s.vec_id
+        join c_emb e on e.vec_id = n.b and e.seq <= h.memory_high_water qualify rank <= 30"""),
+    "c_ahits": ("", """select *, row_number() over (partition by run_id, seed_id order by score desc, memory_id) rank from (
+            select run_id, seed_id, memory_id, sum(1.0::double / (60 + rank)) score from (select * from c_alex union all select * from c_asem) group by 1, 2, 3)
+        qualify row_number() over (partition by run_id, seed_id order by score desc, memory_id) <= 30"""),
     "c_q": ("", """select 'q' || item_id || case when item_id % 13 = 0 then '_abs' else '' end query_id, item_id,
         ['knowledge-update', 'multi-session', 'single-session-assistant', 'single-session-preference', 'single-session-user', 'temporal-reasoning'][item_id % 6 + 1] question_type,
         text from benchmark"""),

@@ -3,12 +3,12 @@
 from pyspark.sql import functions as F
 
 from memstrata.config import EngineConfig
-from memstrata.operators import audits, graph, neighbourhoods
+from memstrata.operators import audits, blockmax, graph, neighbourhoods, retrieval
 from memstrata.plans import daily_report as report
 from memstrata.plans import work
 
 from .aggregates import ZONE, attributed, day_runs, linked_operations
-from .joins import NEAREST, nearest_same_depth, run_seeds
+from .joins import NEAREST, nearest_same_depth, queries_in_views, run_seeds, run_views
 from .registry import query
 
 CONFIG = EngineConfig()
@@ -66,58 +66,134 @@ def _(c):
 
 
 ASSEMBLE = f"""{NEAREST},
-o as (select memory_id seed_id, related_memory_id memory_id, min(seq) place, bool_or(target_depth = owner_depth) same from c_edges group by 1, 2),
-sd as (select memory_id seed_id from c_hseed),
-fresh as (select n.seed_id, n.memory_id, n.rank, row_number() over (partition by n.seed_id order by n.rank) k from near n
-    left join o on o.seed_id = n.seed_id and o.memory_id = n.memory_id and o.same where o.seed_id is null),
-listed as (select seed_id, seed_id memory_id, 0 stage, 0 place from sd union all select o.seed_id, o.memory_id, 1, place from o join sd using (seed_id) where same
-    union all select seed_id, memory_id, 2, rank from fresh f where k <= 2 - coalesce((select count(*) from o where o.seed_id = f.seed_id and same), 0)
-    union all select o.seed_id, o.memory_id, 3, place from o join sd using (seed_id) union all select seed_id, memory_id, 4, rank from near),
-first_place as (select seed_id, memory_id, min((stage, place)) p from listed group by 1, 2),
-hood as (select seed_id, memory_id, row_number() over (partition by seed_id order by p) as position from first_place qualify row_number() over (partition by seed_id order by p) <= 20)"""
+o as (select h.run_id, h.memory_id seed_id, e.related_memory_id memory_id, min(e.seq) place, bool_or(e.target_depth = e.owner_depth) same
+    from c_hseed h join c_fedge e on e.memory_id = h.memory_id and e.seq <= h.relation_high_water and e.target_seq <= h.memory_high_water group by 1, 2, 3),
+fresh as (select n.run_id, n.seed_id, n.memory_id, n.rank, row_number() over (partition by n.run_id, n.seed_id order by n.rank) k from near n
+    left join o on o.run_id = n.run_id and o.seed_id = n.seed_id and o.memory_id = n.memory_id and o.same where o.seed_id is null),
+n_same as (select run_id, seed_id, count(*) n from o where same group by 1, 2),
+listed as (select run_id, memory_id seed_id, memory_id, 0 stage, 0 place from c_hseed union all select run_id, seed_id, memory_id, 1, place from o where same
+    union all select f.run_id, f.seed_id, f.memory_id, 2, rank from fresh f left join n_same s using (run_id, seed_id) where k <= 2 - coalesce(s.n, 0)
+    union all select run_id, seed_id, memory_id, 3, place from o union all select run_id, seed_id, memory_id, 4, rank from near),
+first_place as (select run_id, seed_id, memory_id, min((stage, place)) p from listed group by 1, 2, 3),
+hood as (select f.run_id, f.seed_id, f.memory_id, row_number() over (partition by f.run_id, f.seed_id order by p) as position
+    from first_place f join c_runs r on r.id = f.run_id
+    qualify row_number() over (partition by f.run_id, f.seed_id order by p) <= case r.kind when 'dream' then 20 else 80 end)"""
 
 
 def seeds(c):
-    return c.embeddings.join(run_seeds(c), "memory_id").select(F.col("memory_id").alias("seed_id"), "depth")
+    """Every run's seeds with their level, what the run sees, and how large its regions may be."""
+    cap = F.when(F.col("kind") == "dream", CONFIG.neighbourhood_size).otherwise(CONFIG.meditation_graph_limit)
+    return (c.embeddings.select("memory_id", "depth").join(run_seeds(c), "memory_id")
+            .select("run_id", F.col("memory_id").alias("seed_id"), "depth", "kind", "memory_high_water", "relation_high_water", cap.alias("cap")))
 
 
-def hoods(c):
-    return c.space.table("hoods", lambda: neighbourhoods.neighbourhoods(
-        seeds(c), c.edges, nearest_same_depth(c).withColumnRenamed("query_id", "seed_id"), CONFIG))
+def dated_edges(c):
+    """Relations with their target's place in the order of memories."""
+    return c.edges.join(c.memories.select(F.col("id").alias("related_memory_id"), F.col("seq").alias("target_seq")), "related_memory_id")
 
 
-@query("neighbourhood_assembly", f"with {ASSEMBLE} select seed_id, memory_id, position from hood")
-def _(c):
-    return hoods(c)
+def run_hoods(c):
+    """The region around every run's seeds, in the run's view."""
+    return c.space.table("run_hoods", lambda: neighbourhoods.neighbourhoods(
+        seeds(c), dated_edges(c), nearest_same_depth(c).withColumnRenamed("query_id", "seed_id"), CONFIG))
+
+
+def hoods(c):
+    """The region that each seed has in its last run."""
+    regions = run_hoods(c)
+    last = regions.groupBy("seed_id").agg(F.max("run_id").alias("run_id"))
+    return regions.join(last, ["run_id", "seed_id"]).drop("run_id")
 
 
-@query("outgoing_expansion")
+@query("neighbourhood_assembly", f"with {ASSEMBLE} select run_id, seed_id, memory_id, position from hood")
 def _(c):
-    return neighbourhoods.expand_outgoing(hoods(c), c.derived_from, c.edges, c.memories, CONFIG.meditation_graph_limit)
+    return run_hoods(c)
+
+
+EXPAND = f"""{ASSEMBLE},
+steps as (select memory_id, next_id, min((class, torder, norder)) edge from (
+    select child_id memory_id, parent_id next_id, 0 class, parent_id torder, 0 norder from c_df
+    union all select memory_id, related_memory_id, 1, '', seq from c_edges) where next_id in (select id from c_mem) group by 1, 2),
+dated as (select s.*, m.seq next_seq from steps s join c_mem m on m.id = s.next_id),
+grow as (
+    select h.run_id, h.seed_id, list(h.memory_id order by h.position) members, list(h.memory_id order by h.position) frontier, 0 before
+    from hood h join c_runs r on r.id = h.run_id where r.kind = 'meditation' group by 1, 2
+    union all
+    select run_id, seed_id, list_concat(any_value(members), list_slice(list(next_id order by place), 1, 80 - len(any_value(members)))),
+           list_slice(list(next_id order by place), 1, 80 - len(any_value(members))), len(any_value(members))
+    from (select f.run_id, f.seed_id, f.members, d.next_id, min((f.pos, d.edge)) place
+          from (select run_id, seed_id, members, unnest(frontier) m, unnest(range(before, before + len(frontier))) pos from grow where len(members) < 80) f
+          join c_runs r on r.id = f.run_id
+          join dated d on d.memory_id = f.m and d.next_seq <= r.memory_high_water and d.edge[3] <= r.relation_high_water
+          where not list_contains(f.members, d.next_id) group by 1, 2, 3, 4)
+    group by 1, 2),
+whole as (select run_id, seed_id, members from grow qualify row_number() over (partition by run_id, seed_id order by len(members) desc) = 1)"""
+
+
+@query("outgoing_expansion", f"""
+with {EXPAND} select run_id, seed_id, unnest(members) memory_id, unnest(range(1, len(members) + 1)) as position from whole""")
+def _(c):
+    weekly = c.runs.filter("kind = 'meditation'").select(F.col("id").alias("run_id"), "memory_high_water", "relation_high_water")
+    regions = run_hoods(c).join(weekly.select("run_id"), "run_id", "left_semi")
+    return neighbourhoods.expand_outgoing(regions, c.derived_from, c.edges, c.memories, CONFIG.meditation_graph_limit, weekly)
 
 
 @query("source_evidence", f"""
 with {ASSEMBLE},
-l1 as (select h.seed_id, d.parent_id memory_id, min((h.position, d.parent_id)) p from hood h join c_df d on d.child_id = h.memory_id group by 1, 2),
-n1 as (select l1.seed_id, l1.memory_id, row_number() over (partition by l1.seed_id order by p) place from l1 left join hood h using (seed_id, memory_id) where h.seed_id is null),
-l2 as (select n1.seed_id, d.parent_id memory_id, min((n1.place, d.parent_id)) p from n1 join c_df d on d.child_id = n1.memory_id group by 1, 2),
-n2 as (select l2.seed_id, l2.memory_id, row_number() over (partition by l2.seed_id order by p) place from l2 left join hood h using (seed_id, memory_id)
-    left join n1 using (seed_id, memory_id) where h.seed_id is null and n1.seed_id is null),
-v as (select seed_id, memory_id, 0 lev, position place from hood union all select seed_id, memory_id, 1, place from n1 union all select seed_id, memory_id, 2, place from n2),
-s as (select v.seed_id, m.source_ref source_id, min((lev, place)) p from v join c_mem m on m.id = v.memory_id where m.source_ref is not null group by 1, 2)
-select seed_id, source_id, row_number() over (partition by seed_id order by p) as position from s qualify row_number() over (partition by seed_id order by p) <= 12""")
-def _(c):
-    return neighbourhoods.source_evidence(hoods(c), c.derived_from, c.memories, CONFIG.meditation_source_limit, 2)
-
-
-@query("assimilation_candidates", f"""
-with {NEAREST}, listed as (select memory_id seed_id, related_memory_id memory_id, 0 stage, seq place from c_edges where memory_id in (select memory_id from c_hseed)
-    union all select seed_id, memory_id, 1, rank from near),
-f as (select seed_id, memory_id, min((stage, place)) p from listed where memory_id <> seed_id group by 1, 2)
-select seed_id, memory_id, row_number() over (partition by seed_id order by p) as position from f qualify row_number() over (partition by seed_id order by p) <= 30""")
-def _(c):
-    found = nearest_same_depth(c).withColumnRenamed("query_id", "seed_id")
-    return neighbourhoods.assimilation_candidates(seeds(c), c.edges, found, CONFIG.search_candidates)
+l1 as (select h.run_id, h.seed_id, d.parent_id memory_id, min((h.position, d.parent_id)) p from hood h join c_df d on d.child_id = h.memory_id group by 1, 2, 3),
+n1 as (select l1.run_id, l1.seed_id, l1.memory_id, row_number() over (partition by l1.run_id, l1.seed_id order by p) place from l1
+    left join hood h using (run_id, seed_id, memory_id) where h.seed_id is null),
+l2 as (select n1.run_id, n1.seed_id, d.parent_id memory_id, min((n1.place, d.parent_id)) p from n1 join c_df d on d.child_id = n1.memory_id group by 1, 2, 3),
+n2 as (select l2.run_id, l2.seed_id, l2.memory_id, row_number() over (partition by l2.run_id, l2.seed_id order by p) place from l2
+    left join hood h using (run_id, seed_id, memory_id) left join n1 using (run_id, seed_id, memory_id) where h.seed_id is null and n1.seed_id is null),
+v as (select run_id, seed_id, memory_id, 0 lev, position place from hood union all select run_id, seed_id, memory_id, 1, place from n1
+    union all select run_id, seed_id, memory_id, 2, place from n2),
+s as (select v.run_id, v.seed_id, m.source_ref source_id, min((lev, place)) p from v join c_mem m on m.id = v.memory_id where m.source_ref is not null group by 1, 2, 3)
+select run_id, seed_id, source_id, row_number() over (partition by run_id, seed_id order by p) as position from s
+qualify row_number() over (partition by run_id, seed_id order by p) <= 12""")
+def _(c):
+    return neighbourhoods.source_evidence(run_hoods(c), c.derived_from, c.memories, CONFIG.meditation_source_limit, 2)
+
+
+def assimilation_seeds(c):
+    """The daily runs' new memories, with what their run sees."""
+    return c.run_work.filter("phase = 'assimilation'").select("run_id", "memory_id").join(run_views(c), "run_id")
+
+
+def lexical_in_views(c):
+    """The best lexical hits of each assimilated memory's content in its run's view."""
+    def build():
+        texts = c.memories.select(F.col("id").alias("memory_id"), F.col("content").alias("text"))
+        queries = (assimilation_seeds(c).join(texts, "memory_id")
+                   .select("run_id", F.col("memory_id").alias("query_id"), "text", F.col("memory_high_water").alias("high_water")))
+        segments = c.space.table("segments", lambda: blockmax.build_segments(c.postings, c.collection))
+        return blockmax.frozen_search(queries, segments, c.frequencies, c.collection, CONFIG.search_candidates, postings=c.postings, memories=c.memories)
+    return c.space.table("lexical_in_views", build)
+
+
+def hybrid_in_views(c):
+    """(run_id, query_id, rank, memory_id): both rankings of each assimilated memory's content, fused."""
+    keys = ["run_id", "query_id", "rank", "memory_id"]
+    semantic = retrieval.nearest_in_views(queries_in_views(c, assimilation_seeds(c), False), c.embeddings, CONFIG.search_candidates)
+    return retrieval.fuse(lexical_in_views(c).select(*keys).unionByName(semantic.select(*keys)), CONFIG.search_candidates, ("run_id", "query_id"))
+
+
+@query("assimilation_candidates", """
+with listed as (select a.run_id, a.seed_id, e.related_memory_id memory_id, 0 stage, e.seq place
+        from c_aseed a join c_fedge e on e.memory_id = a.seed_id and e.seq <= a.relation_high_water and e.target_seq <= a.memory_high_water
+    union all select run_id, seed_id, memory_id, 1, rank from c_ahits),
+f as (select run_id, seed_id, memory_id, min((stage, place)) p from listed where memory_id <> seed_id group by 1, 2, 3)
+select run_id, seed_id, memory_id, row_number() over (partition by run_id, seed_id order by p) as position from f
+qualify row_number() over (partition by run_id, seed_id order by p) <= 30""")
+def _(c):
+    own = assimilation_seeds(c).select("run_id", F.col("memory_id").alias("seed_id"), "memory_high_water", "relation_high_water")
+    found = hybrid_in_views(c).withColumnRenamed("query_id", "seed_id")
+    return neighbourhoods.assimilation_candidates(own, dated_edges(c), found, CONFIG.search_candidates)
+
+
+@query("frozen_lexical_hits", "select run_id, seed_id query_id, memory_id, rank from c_alex")
+def _(c):
+    return lexical_in_views(c).select("run_id", "query_id", "memory_id", "rank")
 
 
 @query("session_ancestry_errors", """

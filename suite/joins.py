@@ -57,31 +57,47 @@ def _(c):
 
 
 NEAREST = """
-near as (select s.memory_id seed_id, e.memory_id, row_number() over (partition by s.memory_id order by
-        list_dot_product(s.vector::double[], e.vector::double[]) / sqrt(list_dot_product(s.vector::double[], s.vector::double[]) * list_dot_product(e.vector::double[], e.vector::double[])) desc, e.memory_id) rank
-    from (select * from c_emb where memory_id in (select memory_id from c_hseed)) s join c_emb e on e.depth = s.depth and e.memory_id <> s.memory_id qualify rank <= 20)"""
+near as (select h.run_id, h.memory_id seed_id, e.memory_id, row_number() over (partition by h.run_id, h.memory_id order by n.score desc, e.memory_id) rank
+    from c_hseed h join c_emb s on s.memory_id = h.memory_id join c_vnear n on n.run_id = h.run_id and n.depth = s.depth and n.a = s.vec_id
+    join c_emb e on e.vec_id = n.b and e.depth = s.depth and e.memory_id <> s.memory_id and e.seq <= h.memory_high_water qualify rank <= 20)"""
+
+
+def run_views(c):
+    """(run_id, kind, memory_high_water, relation_high_water): what each run sees."""
+    return c.runs.select(F.col("id").alias("run_id"), "kind", "memory_high_water", "relation_high_water")
 
 
 def run_seeds(c):
-    """What one daily and one weekly run look around: new and recalled memories, changed abstractions."""
+    """What each daily and weekly run looks around: new and recalled memories, changed abstractions."""
     def build():
-        daily = work.seed_union(c.memories, c.recall_events, c.runs.filter("id = 30")).select("memory_id")
-        return daily.unionByName(work.changed_memories(c.memories, c.relations, c.runs.filter("id = 67")).select("memory_id")).distinct()
+        daily = work.seed_union(c.memories, c.recall_events, c.runs.filter("kind = 'dream'")).select("run_id", "memory_id")
+        weekly = work.changed_memories(c.memories, c.relations, c.runs.filter("kind = 'meditation'")).select("run_id", "memory_id")
+        return daily.unionByName(weekly).distinct().join(run_views(c), "run_id")
     return c.space.table("run_seeds", build)
 
 
-def seeds_with_vectors(c):
-    return c.embeddings.join(run_seeds(c), "memory_id").select(F.col("memory_id").alias("query_id"), F.col("memory_id").alias("self_id"), "vector", "depth")
+def queries_in_views(c, seeds, own: bool):
+    """The seeds' vectors as queries of their run's view; ``own``: the seed itself is left out."""
+    self_id = F.col("memory_id") if own else F.lit(None).cast("string")
+    return (c.embeddings.select("memory_id", "vector", "depth").join(seeds.select("run_id", "memory_id", "memory_high_water"), "memory_id")
+            .select("run_id", F.col("memory_id").alias("query_id"), self_id.alias("self_id"), "vector", "depth", F.col("memory_high_water").alias("high_water")))
 
 
 def nearest_same_depth(c):
-    return c.space.table("nearest", lambda: retrieval.nearest_per_depth(
-        seeds_with_vectors(c), c.embeddings.select("memory_id", "vector", "depth"), 20, [0, 1, 2]))
+    """Per run and seed, in the run's view; the levels of the abstraction are searched one after the other."""
+    def build():
+        queries, out = queries_in_views(c, run_seeds(c), True), None
+        for depth in (0, 1, 2):
+            at = F.col("depth") == depth
+            part = retrieval.nearest_in_views(queries.filter(at), c.embeddings.filter(at), 20)
+            out = part if out is None else out.unionByName(part)
+        return out
+    return c.space.table("nearest", build)
 
 
-@query("nearest_neighbour_join", f"with {NEAREST} select seed_id, memory_id, rank from near")
+@query("nearest_neighbour_join", f"with {NEAREST} select run_id, seed_id, memory_id, rank from near")
 def _(c):
-    return nearest_same_depth(c).select(F.col("query_id").alias("seed_id"), "memory_id", "rank")
+    return nearest_same_depth(c).select("run_id", F.col("query_id").alias("seed_id"), "memory_id", "rank")
 
 
 @query("source_session_map", """

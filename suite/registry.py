@@ -47,7 +47,7 @@ def with_ctes(sql: str) -> str:
     visit(sql, ())
     if not order:
         return sql
-    parts = [f"{name}{CTES[name][0]} AS ({CTES[name][1]})" for name in order]
+    parts = [f"{name}{CTES[name][0]} AS ({CTES[name][1]})" if not CTES[name][0].endswith("MATERIALIZED") else f"{name} AS MATERIALIZED ({CTES[name][1]})" for name in order]
     head = "WITH RECURSIVE " + ",\n".join(parts)
     if sql[:5].lower() == "with ":
         return head + ",\n" + sql[5:]
