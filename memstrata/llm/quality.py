@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from memstrata.session import durable
+from memstrata.session import broadcast_measured, durable
 
 from .common import SPACES, fresh, stored_texts, table, words_of
 
@@ -193,7 +193,8 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
                                                      *[F.col(f"__{x}").alias(x) for x in NAMES])
     estimates = fit(sound.join(used.select("g").distinct(), "g", "left_semi"))
     own = used.join(estimates.select("g", F.struct(*[c for c in estimates.columns if c != "g"]).alias("__e")), "g", "left").select(F.col("g0").alias("__of"), "__e")
-    far = marked.join(own, F.col("__g0") == F.col("__of")).drop("__of", *[f"__g{i}" for i in range(len(keys))])
+    # one row per language and source: texts stay where they are as long as these are few
+    far = marked.join(broadcast_measured(own), F.col("__g0") == F.col("__of")).drop("__of", *[f"__g{i}" for i in range(len(keys))])
     z: list[Column] = []
     for i, x in enumerate(NAMES):
         value = F.col(f"__{x}") - F.col(f"__e.m{i}")
