@@ -1,5 +1,6 @@
 """Scans, sources and sinks. Files are written into the shared folder and read back."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from memstrata.plans import daily_report as report
@@ -63,10 +64,13 @@ def _(c):
     return archive.recover_sources(scanned(c), known).select("id", "status")
 
 
-@query("session_dataset_load", """
+LOADED = """
 with n as (select conv_id, count(*) turns from conversations group by 1)
-select q.query_id question_id, v.ordinal, v.session_id, v.ts, n.turns from c_conv v join c_q q on q.item_id = v.item_id join n on n.conv_id = v.conv_id""")
-def _(c):
+select q.query_id question_id, v.ordinal, v.session_id, v.ts, n.turns from c_conv v join c_q q on q.item_id = v.item_id join n on n.conv_id = v.conv_id"""
+
+
+def dataset_file(c):
+    """The session dataset in its stored form, one row a question."""
     def build():
         q, s = dataset(c)
         day = lambda x: F.date_format(x, "yyyy/MM/dd (E) HH:mm")
@@ -76,13 +80,37 @@ def _(c):
             "question_id", "question_type", F.lit("?").alias("question"), F.lit("!").alias("answer"), day("question_ts").alias("question_date"),
             F.array().cast("array<string>").alias("answer_session_ids"), pick(lambda x: day(x["ts"])).alias("haystack_dates"),
             pick(lambda x: x["session_id"]).alias("haystack_session_ids"), pick(lambda x: x["turns"]).alias("haystack_sessions"))
+    return c.space.table("dataset_file", build)
+
+
+@query("session_dataset_load", LOADED)
+def _(c):
     path = f"{c.space.root}/dataset_json"
-    build().write.mode("overwrite").json(path)
+    dataset_file(c).write.mode("overwrite").json(path)
     _q, sessions = stored.load_dataset(c.spark, path, array=False)
     # stored order is the ordinal inside the question's list
     return sessions.select("question_id", "ordinal", "session_id", "ts", F.size("turns").alias("turns"))
 
 
+@query("session_dataset_array", LOADED)
+def _(c):
+    # one array a file, a thousand questions in each
+    path = f"{c.space.root}/dataset_arrays"
+    rows = dataset_file(c)
+    files = rows.count() // 1000 + 1
+    place = Window.partitionBy("part").orderBy("question_id")
+    last = Window.partitionBy("part").orderBy(F.desc("question_id"))
+    lines = (rows.select("question_id", F.to_json(F.struct(*rows.columns)).alias("item"),
+                         F.pmod(F.xxhash64("question_id"), F.lit(files)).alias("part"))
+             .withColumn("open", F.when(F.row_number().over(place) == 1, "[").otherwise(","))
+             .withColumn("close", F.when(F.row_number().over(last) == 1, "]").otherwise("")))
+    (lines.repartition("part").sortWithinPartitions("part", "question_id")
+     .select("part", F.concat("open", "item", "close").alias("value"))
+     .write.mode("overwrite").partitionBy("part").text(path))
+    _q, sessions = stored.load_dataset(c.spark, path)
+    return sessions.select("question_id", "ordinal", "session_id", "ts", F.size("turns").alias("turns"))
+
+
 @query("ledger_snapshot_scan", """
 select 'activity_operations' as name, count(*) n from c_ops union all select 'api_calls', count(*) from c_api union all select 'memories', count(*) from c_mem
 union all select 'derived_from', count(*) from c_df union all select 'runs', count(*) from c_runs union all select 'run_work', count(*) from c_work
