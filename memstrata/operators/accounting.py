@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..schemas import USAGE, USD
-from ..session import prefix_sums, side_by_side
+from ..session import prefix_sums, running_ranges, side_by_side
 
 
 def _sum(value: Column) -> Column:
@@ -60,27 +60,59 @@ def usage_subtract(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
                 else F.col(f) - F.coalesce(f"b_{f}", F.lit(0))).alias(f) for f in USAGE_FIELDS])
 
 
-def budget_timeline(calls: DataFrame, budget: Column) -> DataFrame:
-    """Exposure before each call of a run, head-room and violation flag.
-
-    A reservation counts in full until its settlement replaces it. Settlements
-    at the same instant come first; equality with the budget is allowed.
-    """
+def exposure_log(calls: DataFrame) -> DataFrame:
+    """Two kinds of rows: a reservation (step 1) and what a settlement changes (step 0)."""
     reserve = calls.select("run_id", "id", "ordinal", F.col("created_at").alias("at"), F.lit(1).alias("step"),
                            F.col("reserved_usd").alias("amount"))
     settle = (calls.filter(F.col("completed_at").isNotNull())
               .select("run_id", "id", "ordinal", F.col("completed_at").alias("at"), F.lit(0).alias("step"),
                       S.usd_sub(F.col("actual_usd"), F.col("reserved_usd")).alias("amount")))
-    log = reserve.unionByName(settle).filter(F.col("run_id").isNotNull())
-    timeline = prefix_sums(log, ["run_id"], F.date_trunc("hour", "at"),
-                           [F.col("at"), F.col("step"), F.col("ordinal")], F.col("amount"), "exposure_before")
+    return reserve.unionByName(settle)
+
+
+def _timeline(events: DataFrame, budget: Column) -> DataFrame:
     after = S.usd_add(F.col("exposure_before"), F.col("amount"))
-    return (timeline.filter("step = 1")
+    return (events.filter("step = 1")
             .select("run_id", "id", "at", F.col("amount").alias("reserved_usd"),
                     F.col("exposure_before").cast(USD).alias("exposure_before"),
                     S.usd_sub(budget, after).alias("headroom"), (after > budget).alias("violates")))
 
 
+def budget_timeline(calls: DataFrame, budget: Column) -> DataFrame:
+    """Exposure before each call of a run, head-room and violation flag.
+
+    A reservation counts in full until its settlement replaces it. Settlements
+    at the same instant come first; equality with the budget is allowed.
+    """
+    log = exposure_log(calls).filter(F.col("run_id").isNotNull())
+    return _timeline(prefix_sums(log, ["run_id"], F.date_trunc("hour", "at"),
+                                 [F.col("at"), F.col("step"), F.col("ordinal")], F.col("amount"), "exposure_before"), budget)
+
+
+def global_budget_timeline(calls: DataFrame, cap: Column) -> DataFrame:
+    """The same for one cap over all calls, those without a run included.
+
+    The log has no key to split by: it is cut into runs of its order, each
+    summed on its own and shifted by the sums of the runs before it.
+    """
+    rows, ranges = running_ranges(exposure_log(calls), ["at", "step", "ordinal"], "amount")
+    return _timeline(rows.join(ranges, "__range").withColumn(
+        "exposure_before", S.usd_add(F.col("__shift"), F.col("__inside"))), cap)
+
+
+def global_budget_breaches(calls: DataFrame, cap: Column) -> DataFrame:
+    """The violating calls of ``global_budget_timeline`` alone, with the exposure after them.
+
+    A run of the log whose highest exposure stays within the cap is left out
+    before any of its rows is compared.
+    """
+    rows, ranges = running_ranges(exposure_log(calls), ["at", "step", "ordinal"], "amount")
+    high = ranges.filter(S.usd_add(F.col("__shift"), F.col("__peak")) > cap)
+    return _timeline(rows.join(high, "__range").withColumn(
+        "exposure_before", S.usd_add(F.col("__shift"), F.col("__inside"))), cap).filter("violates").select(
+        "run_id", "id", "at", S.usd_add(F.col("exposure_before"), F.col("reserved_usd")).alias("exposure"))
+
+
 # ---- corpus counters ------------------------------------------------------------
 
 def corpus_overview(memories: DataFrame, sources: DataFrame, relations: DataFrame) -> DataFrame:

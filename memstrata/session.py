@@ -146,3 +146,34 @@ def numbered(df: DataFrame, keys: list[str], slot: Column, order: list[Column],
     """1-based position inside each key, for keys of any size; ``slot`` leads the order."""
     out = prefix_sums(df, keys, slot, order, F.lit(1).cast("long"), name)
     return out.withColumn(name, F.col(name) + 1)
+
+
+def ordered_ranges(df: DataFrame, order: list[str]) -> DataFrame:
+    """The rows cut into runs of the whole order, ``__range`` numbering the runs.
+
+    Spark samples the order for the cuts, so equal volumes come together
+    whatever the values are; written, because the cuts must stay.
+    """
+    return durable(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+
+
+def running_ranges(df: DataFrame, order: list[str], value: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, ranges) for a running sum of money over a whole table, without a key.
+
+    ``rows`` carry ``__inside``, the sum over earlier rows of their own range,
+    the row excluded. ``ranges`` hold one row per range, as many as shuffle
+    partitions: ``__shift``, the sum over all earlier ranges, and ``__peak``,
+    the largest sum reached after a row of the range, counted from its start.
+    The sum before a row is ``__shift + __inside``; a range whose
+    ``__shift + __peak`` stays below a limit passes it nowhere. The order must
+    tell all rows apart; null amounts count nothing.
+    """
+    from pyspark.sql import Window
+    inside = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    amount = F.coalesce(F.col(value), F.lit(0).cast("decimal(38,12)"))
+    rows = durable(ordered_ranges(df, order).withColumn(
+        "__inside", F.coalesce(F.sum(amount).over(inside), F.lit(0).cast("decimal(38,12)"))))
+    totals = rows.groupBy("__range").agg(F.sum(amount).alias("__sum"), F.max(usd_add(F.col("__inside"), amount)).alias("__peak"))
+    earlier = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = totals.select("__range", "__peak", F.coalesce(F.sum("__sum").over(earlier), F.lit(0).cast("decimal(38,12)")).alias("__shift"))
+    return rows, durable(ranges)

@@ -1,5 +1,7 @@
 """Window, ordering and paging operators, and set operations."""
 
+from decimal import Decimal
+
 from pyspark.sql import functions as F
 
 from memstrata.operators import accounting, audits, evaluation, proposals, snapshot
@@ -49,6 +51,28 @@ def _(c):
     return accounting.budget_timeline(c.api_calls, F.lit("0.25").cast("decimal(38,12)"))
 
 
+GLOBAL_LOG = """log as (select run_id, id, ordinal, created_at t, 1 step, reserved_usd amount from c_api
+    union all select run_id, id, ordinal, completed_at, 0, actual_usd - reserved_usd from c_api where completed_at is not null),
+x as (select *, coalesce(sum(amount) over (order by t, step, ordinal rows between unbounded preceding and 1 preceding), 0) exposure from log)"""
+
+
+@query("budget_exposure_global", f"""
+with {GLOBAL_LOG}
+select run_id, id, t as "at", {usd('amount')} reserved_usd, {usd('exposure')} exposure_before, {usd('5 - exposure - amount')} headroom, exposure + amount > 5 violates from x where step = 1""")
+def _(c):
+    return accounting.global_budget_timeline(c.api_calls, F.lit("5").cast("decimal(38,12)"))
+
+
+@query("budget_breaches_global", f"""
+with {GLOBAL_LOG}, cap as (select 0.9 * max(exposure + amount) most from x)
+select run_id, id, t as "at", {usd('exposure + amount')} exposure from x, cap where step = 1 and exposure + amount > most""")
+def _(c):
+    # nine tenths of the highest exposure ever reached
+    most = accounting.global_budget_timeline(c.api_calls, F.lit(0).cast("decimal(38,12)")).agg(
+        F.max(-F.col("headroom")).alias("most")).first().most
+    return accounting.global_budget_breaches(c.api_calls, F.lit(most * Decimal("0.9")).cast("decimal(38,12)"))
+
+
 @query("work_ordinals", "select run_id, work_key, ordinal from c_dream")
 def _(c):
     phase = F.when(F.col("phase") == "assimilation", 0).otherwise(1)
