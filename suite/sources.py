@@ -1,10 +1,12 @@
 """Scans, sources and sinks. Files are written into the shared folder and read back."""
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from memstrata.plans import daily_report as report
-from memstrata.sources import archive, dataset as stored, ledger, vectors
+from memstrata.sources import archive, dataset as stored, ledger, vectors, versions
 from memstrata.sources.corpus import SPACE
 
 from .aggregates import REPORT, dataset, stored_report, whole_report
@@ -130,6 +132,45 @@ def _(c):
     return out
 
 
+CUT = "2024-01-15"
+
+
+@query("ledger_versions", f"""
+with api as (select count(*) n, count(*) filter (created_at < TIMESTAMP '{CUT}') early, count(actual_usd) settled,
+        count(actual_usd) filter (completed_at < TIMESTAMP '{CUT}' and created_at < TIMESTAMP '{CUT}') early_settled from c_api),
+    ops as (select count(*) n, count(*) filter (started_at < TIMESTAMP '{CUT}') early from c_ops), mem as (select count(*) n from c_mem)
+select 1 as version, 'api_calls' as name, early n, early_settled settled from api union all select 2, 'api_calls', n, settled from api
+union all select 3, 'api_calls', n, settled from api
+union all select 1, 'activity_operations', early, null from ops union all select 2, 'activity_operations', n, null from ops
+union all select 3, 'activity_operations', n, null from ops
+union all select 1, 'memories', 0, null union all select 2, 'memories', 0, null union all select 3, 'memories', n, null from mem""")
+def _(c):
+    # a folder of its own for each call, as versions can only grow
+    folder = f"{c.space.root}/ledger_{uuid.uuid4().hex[:8]}"
+    cut = F.lit(CUT).cast("timestamp")
+    known = F.coalesce(F.col("completed_at") < cut, F.lit(False))
+    early_calls = c.api_calls.filter(F.col("created_at") < cut).withColumns(
+        {x: F.when(known, F.col(x)) for x in ("actual_usd", "usage_json", "completed_at")})
+    early = F.col("started_at") < cut
+    first = versions.commit(c.spark, folder, 0, replace={"api_calls": early_calls, "activity_operations": c.operations.filter(early)})
+    # the readers of the first version are made before the next ones and read after them
+    views = {first: versions.read_version(c.spark, folder)}
+    second = versions.commit(c.spark, folder, first, replace={"api_calls": c.api_calls},
+                             append={"activity_operations": c.operations.filter(~early)})
+    views[second] = versions.read_version(c.spark, folder)
+    # a writer that still stands on the first version goes on top of the second
+    third = versions.commit(c.spark, folder, first, append={"memories": c.memories})
+    views[third] = versions.read_version(c.spark, folder)
+    out = None
+    for version, tables in views.items():
+        for name in ("api_calls", "activity_operations", "memories"):
+            settled = F.count("actual_usd") if name == "api_calls" else F.lit(None).cast("long")
+            row = tables[name].agg(F.count("*").alias("n"), settled.alias("settled")).select(
+                F.lit(version).alias("version"), F.lit(name).alias("name"), "n", "settled")
+            out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query("embedding_scan", "select memory_id, len(vector) dims, round(vector[1]::double, 6) first_value, round(list_sum(vector::double[]), 6) total from c_emb")
 def _(c):
     total = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double"))
