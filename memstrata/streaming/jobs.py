@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -199,5 +199,124 @@ def late_settlements(calls_path: str, out: str, bound: str = "2 hours") -> Calla
     return write
 
 
+class CallSettlement(StatefulProcessor):
+    """One call from its reservation to its settlement, however late that is.
+
+    A timer at the bound reports the call as open; a settlement after it is a
+    correction of what was reported. A second timer, ``keep_days`` of event time
+    after the last event taken in, drops the state. Repeated events of a call
+    change nothing until then.
+    """
+
+    def __init__(self, bound_seconds: int, keep_days: int) -> None:
+        self.bound_us = bound_seconds * 1_000_000
+        self.keep_us = max(keep_days * 86_400_000_000, self.bound_us + 1_000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.call = handle.getValueState("call", f"run_id long, reserved_usd {USD}, created_us long, opened boolean")
+        self.settled = handle.getValueState("settled", f"actual_usd {USD}, completed_us long")
+        self.done = handle.getValueState("done", "done boolean")
+        # the event time from which on the state goes
+        self.ends = handle.getValueState("ends", "at_ms long")
+
+    def keep_from(self, at_us: int) -> None:
+        ends = -(-(at_us + self.keep_us) // 1000)
+        if self.ends.exists():
+            held = self.ends.get()[0]
+            if held >= ends:
+                return
+            self.handle.deleteTimer(held)
+        self.ends.update((ends,))
+        self.handle.registerTimer(ends)
+
+    def due(self, call: tuple) -> int:
+        return -(-(call[2] + self.bound_us) // 1000)
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        if self.done.exists():
+            return
+        call = self.call.get() if self.call.exists() else None
+        settled = self.settled.get() if self.settled.exists() else None
+        known, newest = call is not None, 0
+        for row in rows:
+            newest = max(newest, row.at_us)
+            if row.step == 1 and call is None:
+                call = (row.run_id, row.amount, row.at_us, False)
+            elif row.step == 0 and (settled is None or (row.at_us, row.amount) < (settled[1], settled[0])):
+                settled = (row.amount, row.at_us)
+        self.keep_from(newest)
+        if call is not None and settled is not None:
+            late = settled[1] > call[2] + self.bound_us
+            if known and not call[3]:
+                self.handle.deleteTimer(self.due(call))
+            self.call.clear()
+            self.settled.clear()
+            self.done.update((True,))
+            yield Row(id=key[0], run_id=call[0], created_us=call[2], reserved_usd=call[1], actual_usd=settled[0],
+                      completed_us=settled[1], state="late" if late else "settled", was_open=call[3])
+        elif call is not None and not known:
+            self.call.update(call)
+            self.handle.registerTimer(self.due(call))
+        elif settled is not None:
+            self.settled.update(settled)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        if self.call.exists() and not self.call.get()[3]:
+            call = self.call.get()
+            self.call.update((call[0], call[1], call[2], True))
+            yield Row(id=key[0], run_id=call[0], created_us=call[2], reserved_usd=call[1], actual_usd=None,
+                      completed_us=None, state="open", was_open=False)
+        if self.ends.exists() and expiredTimerInfo.getExpiryTimeInMs() >= self.ends.get()[0]:
+            for held in (self.call, self.settled, self.done, self.ends):
+                held.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def settlement_ledger(log: DataFrame, bound_seconds: int = 7200, lateness: str = "1 hour", keep_days: int = 90) -> DataFrame:
+    """``log(id, run_id, step, at, amount)`` to rows of calls that are settled, open or settled late.
+
+    Step 1 is a reservation with its amount, step 0 a settlement with the real
+    cost. A call gives ``settled``, or ``late``, or ``open`` and perhaps ``late``
+    afterwards, which ``was_open`` then says. The calls are read once: a late
+    settlement finds its call in the state. A batch takes its events in before its
+    timers fire, so a call may come out late without having been open. Events
+    without an id or time are left out.
+    """
+    events = log.filter("id is not null and at is not null").withWatermark("at", lateness).withColumn("at_us", F.unix_micros("at"))
+    out = events.groupBy("id").transformWithState(
+        CallSettlement(bound_seconds, keep_days),
+        f"id string, run_id long, created_us long, reserved_usd {USD}, actual_usd {USD}, completed_us long, state string, was_open boolean",
+        "Append", "EventTime")
+    return out.select("id", "run_id", F.timestamp_micros("created_us").alias("created_at"), "reserved_usd", "actual_usd",
+                      F.timestamp_micros("completed_us").alias("completed_at"), "state", "was_open")
+
+
+DAY_SCHEMA = f"date date, settled long, late long, open long, actual_usd {USD}"
+
+
+def corrected_days(path: str, zone: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch writer of cost days over ``settlement_ledger``, corrected by late settlements.
+
+    Each batch adds what it learned to the days before it, which are few; the
+    days stand under the batch's number, so a repeated batch starts from the
+    same days and replaces its own.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        before = (spark.read.schema(DAY_SCHEMA).parquet(f"{path}/{number - 1}") if number
+                  else spark.createDataFrame([], DAY_SCHEMA))
+        is_state = lambda name: (F.col("state") == name).cast("long")
+        learned = batch.select(
+            S.local_date(F.col("created_at"), zone).alias("date"), is_state("settled").alias("settled"), is_state("late").alias("late"),
+            (is_state("open") - F.col("was_open").cast("long")).alias("open"), F.col("actual_usd"))
+        (learned.unionByName(before).groupBy("date")
+         .agg(*[F.sum(n).alias(n) for n in ("settled", "late", "open")], F.sum("actual_usd").cast(USD).alias("actual_usd"))
+         .write.mode("overwrite").parquet(f"{path}/{number}"))
+    return write
+
+
 def first_outcome(results: DataFrame, lateness: str = "1 day") -> DataFrame:
     return results.withWatermark("at", lateness).dropDuplicatesWithinWatermark(["run_id", "work_key", "proposal_index"])

@@ -162,6 +162,43 @@ def _(c):
     return out.filter(F.col("actual_usd").isNotNull() | final).select("id", "run_id", "reserved_usd", "actual_usd", "completed_at")
 
 
+def settlement_events(c) -> Feed:
+    reserve = c.api_calls.select("id", "run_id", F.lit(1).alias("step"), F.col("created_at").alias("at"), F.col("reserved_usd").alias("amount"))
+    settle = c.api_calls.filter("actual_usd is not null").select(
+        "id", "run_id", F.lit(0).alias("step"), F.col("completed_at").alias("at"), F.col("actual_usd").alias("amount"))
+    return Feed(c, "settlement_log", reserve.unionByName(settle), "at")
+
+
+@query("stream_settlement_ledger", f"""
+select id, run_id, case when actual_usd is null then 'open' when completed_at > created_at + to_minutes(30) then 'late' else 'settled' end state, {usd('actual_usd')} actual_usd
+from c_api where actual_usd is not null or created_at + to_minutes(30) < (select greatest(max(created_at), max(completed_at)) from c_api) - to_hours(2)""")
+def _(c):
+    log = settlement_events(c)
+    rows = drain(c, jobs.settlement_ledger(log.frame, 1800), [log])
+    # a correction stands for the open row before it; calls near the end of the data wait for the watermark
+    edge = c.api_calls.agg(F.greatest(F.max("created_at"), F.max("completed_at")).alias("m")).first().m
+    final = F.col("created_at") + F.expr("interval 30 minutes") < F.lit(edge) - F.expr("interval 2 hours")
+    last = rows.groupBy("id").agg(F.max_by(F.struct("run_id", "created_at", "state", "actual_usd"), F.col("state") != "open").alias("r"))
+    return last.select("id", "r.*").filter((F.col("state") != "open") | final).select("id", "run_id", "state", "actual_usd")
+
+
+@query("stream_corrected_days", f"""
+select cast(cast(timezone('Asia/Seoul', timezone('UTC', created_at)) as date) as varchar) date, count(*) filter (completed_at <= created_at + to_minutes(30)) settled,
+    count(*) filter (completed_at > created_at + to_minutes(30)) late, {usd('sum(actual_usd)')} actual_usd from c_api group by 1 having count(actual_usd) > 0""")
+def _(c):
+    log = settlement_events(c)
+    path = f"{c.space.root}/corrected_{uuid.uuid4().hex[:8]}"
+    batches = []
+    days = jobs.corrected_days(path, "Asia/Seoul")
+
+    def write(batch: DataFrame, number: int) -> None:
+        days(batch, number)
+        batches.append(number)
+    drain(c, jobs.settlement_ledger(log.frame, 1800), [log], write=write)
+    return (c.spark.read.schema(jobs.DAY_SCHEMA).parquet(f"{path}/{max(batches)}")
+            .filter("settled + late > 0").select("date", "settled", "late", "actual_usd"))
+
+
 @query("stream_first_outcome", "select distinct run_id, work_key, proposal_index from c_results")
 def _(c):
     twice = c.relation_results.unionByName(c.relation_results)

@@ -77,3 +77,50 @@ def test_cost_days_are_recomputed_from_pruned_scans(spark, tmp_path):
     local = [(c[1] + dt.timedelta(hours=9)).date() for c in calls]
     touched = {local[i] for i in (0, 1, 2, 20, 21)}
     assert got == {d: local.count(d) for d in touched}
+
+
+LOG = "id string, run_id long, step int, at timestamp, amount decimal(38,12)"
+
+
+def settlement_batches():
+    at = lambda h: T0 + dt.timedelta(hours=h)
+    call = lambda i, h: (f"c{i}", 1, 1, at(h), Decimal(1))
+    paid = lambda i, h: (f"c{i}", 1, 0, at(h), Decimal("0.25"))
+    return [[call(1, 0), call(2, 0), call(3, 1), paid(1, 1)], [paid(2, 30), call(4, 30), (None, 1, 1, at(30), Decimal(9))],
+            [paid(2, 60), call(5, 59), paid(6, 59.5)], [call(6, 59.5), paid(1, 61), paid(3, 60.5), call(7, 90)]]
+
+
+SETTLED = {("c1", "settled", False), ("c2", "late", False), ("c3", "open", False), ("c3", "late", True), ("c4", "open", False),
+           ("c5", "open", False), ("c6", "settled", False)}
+
+
+def test_settlements_of_any_lateness_find_their_call(spark, tmp_path):
+    jobs.use_rocksdb(spark)
+    stream = jobs.settlement_ledger(files(spark, tmp_path / "in", LOG, settlement_batches()), 7200)
+    out = str(tmp_path / "out")
+    (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp"))
+     .trigger(availableNow=True).start().awaitTermination())
+    rows = spark.read.parquet(out).collect()
+    got = sorted((r.id, r.state, r.was_open) for r in rows)
+    assert got == sorted(SETTLED)
+    assert {r.actual_usd for r in rows if r.state != "open"} == {Decimal("0.25")}
+
+
+def test_a_batch_that_failed_after_its_write_is_repeated(spark, tmp_path):
+    import pytest
+    jobs.use_rocksdb(spark)
+    stream = jobs.settlement_ledger(files(spark, tmp_path / "in", LOG, settlement_batches()), 7200)
+    days, seen = jobs.corrected_days(str(tmp_path / "days"), "UTC"), []
+
+    def write(batch, number):
+        days(batch, number)
+        seen.append(number)
+        if seen.count(number) == 1 and number in (1, 2):
+            raise RuntimeError("lost after the write")
+    for _ in range(2):
+        with pytest.raises(Exception, match="lost after the write"):
+            run(stream, write, tmp_path / "cp")
+    run(stream, write, tmp_path / "cp")
+    assert seen[:5] == [0, 1, 1, 2, 2]
+    got = {str(r.date): (r.settled, r.late, r.open, r.actual_usd) for r in spark.read.parquet(str(tmp_path / "days" / str(max(seen)))).collect()}
+    assert got == {"2024-01-01": (1, 2, 0, Decimal("0.75")), "2024-01-02": (0, 0, 1, None), "2024-01-03": (1, 0, 1, Decimal("0.25"))}
