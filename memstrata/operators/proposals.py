@@ -109,6 +109,34 @@ def apply_abstractions(verdicts: DataFrame, memories: DataFrame, roots: DataFram
             "rejected": judged.filter(F.col("reason").isNotNull()).select(*PROPOSAL_KEY, "reason")}
 
 
+def with_vectors(applied: dict[str, DataFrame], vectors: DataFrame, space: str, dimensions: int) -> dict[str, DataFrame]:
+    """The rows of ``apply_abstractions`` that may be stored: a memory and its vector come together or not at all.
+
+    ``vectors(id, vector)`` are keyed by the new memory's id. A memory without a
+    vector, or with one of another length, with a number that is not finite, or
+    of zeros alone, is withheld with its edges and roots: it is listed under
+    ``withheld`` with the reason and is neither applied nor rejected, so a later
+    attempt with a vector adds it. Of several vectors of an id one that is sound is taken,
+    the smallest, so a repeated attempt stores the same.
+    """
+    bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    v = F.col("vector")
+    fault = (F.when(v.isNull(), "no vector").when(F.size(v) != dimensions, "wrong dimensions")
+             .when(F.exists(v, bad), "not finite").when(F.forall(v, lambda x: x == 0), "zero vector"))
+    one = (vectors.select("id", fault.alias("fault"), "vector").groupBy("id")
+           .agg(F.min(F.struct(F.col("fault").isNotNull().alias("unsound"), "fault", "vector")).alias("v"))
+           .select("id", "v.fault", "v.vector", F.lit(True).alias("given")))
+    judged = applied["memories"].join(one, "id", "left").withColumn(
+        "fault", F.when(F.col("given").isNull(), "no vector").otherwise(F.col("fault"))).drop("given")
+    sound = judged.filter("fault is null")
+    ids = sound.select("id")
+    return {**applied, "memories": sound.drop("fault", "vector"),
+            "embeddings": sound.select(F.col("id").alias("memory_id"), F.lit(space).alias("space"), F.lit(dimensions).alias("dimensions"), "vector"),
+            "derived_from": applied["derived_from"].join(ids.withColumnRenamed("id", "child_id"), "child_id", "left_semi"),
+            "memory_roots": applied["memory_roots"].join(ids.withColumnRenamed("id", "memory_id"), "memory_id", "left_semi"),
+            "withheld": judged.filter("fault is not null").select("id", "origin_key", F.col("fault").alias("reason"))}
+
+
 def validate_relations(proposals: DataFrame, snapshot: DataFrame) -> DataFrame:
     """``proposals(run_id, work_key, proposal_index, memory_id, related_memory_id, kind, seed_id, allowed)``."""
     visible = snapshot.select(F.col("id").alias("memory_id"), F.lit(True).alias("visible"))

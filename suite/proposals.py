@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from memstrata.config import EngineConfig
 from memstrata.operators import proposals as rules
+from memstrata.sources.corpus import SPACE
 
 from .registry import query
 
@@ -75,6 +76,27 @@ def _(c):
     return new["memories"].select("id", "dream_revision", "depth").join(parents, "id").join(roots, "id")
 
 
+@query("apply_embedded_abstractions", f"""
+with {APPLIED}, ok as (select 'mem_' || substr(sha256('run:' || run_id || ':' || work_key || ':' || proposal_index), 1, 32) id, run_id, len(p) n_parents, n_roots from ap where why is null)
+select id, case run_id % 7 when 1 then 'no vector' when 2 then 'wrong dimensions' when 3 then 'not finite' when 4 then 'zero vector' end reason,
+    case when run_id % 7 not between 1 and 4 then n_parents end n_parents, case when run_id % 7 not between 1 and 4 then n_roots end n_roots,
+    case when run_id % 7 not between 1 and 4 then run_id::double end first_value from ok""")
+def _(c):
+    new = applied(c)
+    kind = F.col("dream_revision") % 7
+    filled = lambda x, n=64: F.array_repeat(x.cast("float"), n)
+    own = F.col("dream_revision")
+    made = new["memories"].filter(kind != 1).select("id", F.when(kind == 2, filled(own, 63)).when(kind == 3, filled(F.lit("NaN")))
+                                                    .when(kind == 4, filled(F.lit(0))).otherwise(filled(own)).alias("vector"))
+    out = rules.with_vectors(new, made, SPACE, 64)
+    parents = out["derived_from"].groupBy(F.col("child_id").alias("id")).agg(F.count("*").alias("n_parents"))
+    roots = out["memory_roots"].groupBy(F.col("memory_id").alias("id")).agg(F.count("*").alias("n_roots"))
+    firsts = out["embeddings"].select(F.col("memory_id").alias("id"), F.col("vector")[0].cast("double").alias("first_value"))
+    stored = out["memories"].select("id").join(parents, "id", "left").join(roots, "id", "left").join(firsts, "id", "left")
+    return stored.unionByName(out["withheld"].select("id", "reason"), allowMissingColumns=True).select(
+        "id", "reason", "n_parents", "n_roots", "first_value")
+
+
 @query("rejected_proposals", f"with {APPLIED} select run_id, work_key, proposal_index, why reason from ap where why is not null")
 def _(c):
     return applied(c)["rejected"]
