@@ -78,15 +78,15 @@ def _(c):
 
 @query("apply_embedded_abstractions", f"""
 with {APPLIED}, ok as (select 'mem_' || substr(sha256('run:' || run_id || ':' || work_key || ':' || proposal_index), 1, 32) id, run_id, len(p) n_parents, n_roots from ap where why is null)
-select id, case run_id % 7 when 1 then 'no vector' when 2 then 'wrong dimensions' when 3 then 'not finite' when 4 then 'zero vector' end reason,
-    case when run_id % 7 not between 1 and 4 then n_parents end n_parents, case when run_id % 7 not between 1 and 4 then n_roots end n_roots,
-    case when run_id % 7 not between 1 and 4 then run_id::double end first_value from ok""")
+select id, case run_id % 7 when 5 then 'no vector' when 2 then 'wrong dimensions' when 3 then 'not finite' when 4 then 'zero vector' end reason,
+    case when run_id % 7 not between 2 and 5 then n_parents end n_parents, case when run_id % 7 not between 2 and 5 then n_roots end n_roots,
+    case when run_id % 7 not between 2 and 5 then run_id::double end first_value from ok""")
 def _(c):
     new = applied(c)
     kind = F.col("dream_revision") % 7
     filled = lambda x, n=64: F.array_repeat(x.cast("float"), n)
     own = F.col("dream_revision")
-    made = new["memories"].filter(kind != 1).select("id", F.when(kind == 2, filled(own, 63)).when(kind == 3, filled(F.lit("NaN")))
+    made = new["memories"].filter(kind != 5).select("id", F.when(kind == 2, filled(own, 63)).when(kind == 3, filled(F.lit("NaN")))
                                                     .when(kind == 4, filled(F.lit(0))).otherwise(filled(own)).alias("vector"))
     out = rules.with_vectors(new, made, SPACE, 64)
     parents = out["derived_from"].groupBy(F.col("child_id").alias("id")).agg(F.count("*").alias("n_parents"))
