@@ -6,6 +6,8 @@ at most ``max(depth)`` rounds and each round is one equi join.
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,32 +129,66 @@ def bounded_ancestry(start: str, memories: DataFrame, derived_from: DataFrame,
     return rows, len(taken) > limit
 
 
-def bounded_ancestry_all(memories: DataFrame, derived_from: DataFrame, limit: int = 200) -> DataFrame:
-    """The same bound for every memory: (start, memory_id, depth, position, truncated).
-
-    A closure that fits the limit is taken whole, whatever the order. Only
-    starts with a larger closure are walked in id order, all of them together:
-    each round takes the smallest open id of every start.
+def merge_walks(walks: list[list[str]] | None, limit: int) -> list[str]:
+    """One walk out of several: always the smallest next id of any, each id once, at most ``limit``."""
+    heads = [(walk[0], n, 0) for n, walk in enumerate(walks or [])]
+    heapq.heapify(heads)
+    out, taken = [], set()
+    while heads and len(out) < limit:
+        node, n, place = heads[0]
+        if node not in taken:
+            taken.add(node)
+            out.append(node)
+        if place + 1 < len(walks[n]):
+            heapq.heapreplace(heads, (walks[n][place + 1], n, place + 1))
+        else:
+            heapq.heappop(heads)
+    return out
+
+
+def bounded_walks(memories: DataFrame, derived_from: DataFrame, limit: int) -> DataFrame:
+    """(memory_id, walk): the first ``limit`` ids of every memory's walk in id order, itself first.
+
+    The walk always takes the smallest id among the parents of what it took. A
+    node's walk is itself and then the merge of its parents' walks by their
+    smallest next ids. Whatever precedes a node in a parent's walk also precedes
+    it in the child's: the child has all that parent's choices open and stops at
+    none of them for a larger id. So the first ``limit`` ids of the parents'
+    walks hold all that can be taken, no closure is built, and there is one round
+    a depth. A parent that is not loaded is a walk of its own id. Only the
+    ``limit`` smallest parents of a node can be taken, so a row holds at most
+    ``limit`` lists of ``limit`` ids.
     """
-    starts = memories.filter("sealed").select(F.col("id").alias("start"), F.col("id").alias("memory_id"))
-    closure = durable(ancestor_closure(starts, derived_from, max_depth(memories)))
-    sizes = closure.groupBy("start").agg(F.count("*").alias("n"))
-    large = durable(sizes.filter(F.col("n") > limit).select("start"))
-    kept = closure.join(large, "start", "left_anti").withColumn("truncated", F.lit(False))
-    if not large.isEmpty():
-        edges = derived_from.select(F.col("child_id").alias("memory_id"), "parent_id")
-        state = large.select("start", F.col("start").alias("memory_id"), F.lit(False).alias("taken"))
-        for _ in range(limit):
-            chosen = (state.filter(~F.col("taken")).groupBy("start")
-                      .agg(F.min("memory_id").alias("memory_id")))
-            grown = (chosen.join(edges, "memory_id")
-                     .select("start", F.col("parent_id").alias("memory_id"), F.lit(False).alias("taken")))
-            state = durable(state.unionByName(chosen.withColumn("taken", F.lit(True))).unionByName(grown)
-                            .groupBy("start", "memory_id").agg(F.max("taken").alias("taken")))
-        kept = kept.unionByName(state.filter("taken").select("start", "memory_id", F.lit(True).alias("truncated")))
+    smallest = Window.partitionBy("child_id").orderBy("parent_id")
+    edges = durable(derived_from.select("child_id", "parent_id").distinct()
+                    .withColumn("n", F.row_number().over(smallest)).filter(F.col("n") <= limit)
+                    .join(memories.select(F.col("id").alias("child_id"), "depth"), "child_id")
+                    .select("child_id", "parent_id", "depth"))
+    merged = F.udf(lambda walks: merge_walks(walks, limit - 1), "array<string>")
+    out = below = None
+    for depth in range(max_depth(memories) + 1):
+        here = memories.filter(F.col("depth") == depth).select(F.col("id").alias("memory_id"))
+        walk = F.array("memory_id")
+        if below is not None:
+            parents = edges.filter(F.col("depth") == depth).select(F.col("child_id").alias("memory_id"), "parent_id")
+            lists = (parents.join(below.withColumnsRenamed({"memory_id": "parent_id"}), "parent_id", "left")
+                     .groupBy("memory_id").agg(F.collect_list(F.coalesce("walk", F.array("parent_id"))).alias("walks")))
+            here = here.join(lists, "memory_id", "left")
+            walk = F.when(F.col("walks").isNull(), walk).otherwise(F.concat(walk, merged("walks")))
+        below = durable(here.select("memory_id", walk.alias("walk")))
+        out = below if out is None else out.unionByName(below)
+    return out
+
+
+def bounded_ancestry_all(memories: DataFrame, derived_from: DataFrame, limit: int = 200) -> DataFrame:
+    """The same bound for every memory: (start, memory_id, depth, position, truncated)."""
+    starts = memories.filter("sealed").select(F.col("id").alias("memory_id"))
+    walks = bounded_walks(memories, derived_from, limit + 1).join(starts, "memory_id", "left_semi")
+    kept = walks.select(F.col("memory_id").alias("start"), (F.size("walk") > limit).alias("truncated"),
+                        F.explode(F.slice("walk", 1, limit)).alias("memory_id"))
     order = Window.partitionBy("start").orderBy(F.desc("depth"), "memory_id")
     return (kept.join(memories.select(F.col("id").alias("memory_id"), "depth"), "memory_id")
-            .withColumn("position", F.row_number().over(order)))
+            .select("start", "memory_id", "truncated", "depth", F.row_number().over(order).alias("position")))
 
 
 def component_roots(operations: DataFrame) -> DataFrame:

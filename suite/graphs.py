@@ -37,6 +37,26 @@ def _(c):
     return graph.bounded_ancestry_all(c.memories, c.derived_from)
 
 
+#: Below the size of the closures of many memories, so that walks are cut.
+SHORT = 5
+
+
+@query("bounded_ancestry_cut", f"""
+with up as (select child_id, list(parent_id) parents from c_df group by 1),
+walk(start, taken, waiting) as (
+    select id, []::varchar[], [id] from c_mem where sealed
+    union all
+    select start, list_append(taken, waiting[1]), list_sort(list_distinct(list_filter(
+        list_concat(waiting[2:], coalesce(parents, [])), lambda x: not list_contains(taken, x) and x <> waiting[1])))
+    from walk left join up on child_id = waiting[1] where len(waiting) > 0 and len(taken) <= {SHORT}),
+ends as (select start, max_by(taken, len(taken)) taken from walk group by 1),
+kept as (select start, len(taken) > {SHORT} truncated, unnest(taken[:{SHORT}]) memory_id from ends)
+select k.start, k.memory_id, m.depth, k.truncated, row_number() over (partition by k.start order by m.depth desc, m.id) as position
+from kept k join c_mem m on m.id = k.memory_id""")
+def _(c):
+    return graph.bounded_ancestry_all(c.memories, c.derived_from, SHORT)
+
+
 @query("source_roots", "select memory_id, source_id from c_roots")
 def _(c):
     return graph.source_roots(c.memories, c.derived_from)

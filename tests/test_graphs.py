@@ -89,6 +89,32 @@ def test_bounded_ancestry_matches_the_id_ordered_walk(spark):
     assert {r.id for r in rows.collect()} == set(want) and truncated == flag
 
 
+def test_merged_walks_are_the_walk_in_id_order():
+    rnd = random.Random(4)
+    for case in range(300):
+        widths = [rnd.randrange(1, 9) for _ in range(rnd.randrange(2, 7))]
+        names = rnd.sample(range(100, 999), sum(widths))
+        layers = [[str(names.pop()) for _ in range(w)] for w in widths]
+        parents = {n: rnd.sample(below, rnd.randrange(0, len(below) + 1))
+                   for below, layer in zip(layers, layers[1:]) for n in layer}
+        limit = rnd.randrange(1, 12)
+        walks = {}
+        for layer in layers:
+            for n in layer:
+                smallest = sorted(parents.get(n, ()))[:limit + 1]
+                walks[n] = [n] + graph.merge_walks([walks[p] for p in smallest], limit)
+                want, truncated = by_smallest_id(n, parents, limit)
+                assert (walks[n][:limit], len(walks[n]) > limit) == (want, truncated), case
+
+
+def test_bounded_ancestry_of_unsealed_and_missing_parents(spark):
+    m = spark.createDataFrame([("a", 0, "s", True), ("b", 1, None, False), ("c", 2, None, True)], MEMORY)
+    d = spark.createDataFrame([("c", "b"), ("c", "gone"), ("b", "a"), ("b", "a")], "child_id string, parent_id string")
+    rows = graph.bounded_ancestry_all(m, d, 3).collect()
+    assert sorted((r.start, r.memory_id, r.position, r.truncated) for r in rows) == [
+        ("a", "a", 1, False), ("c", "a", 3, True), ("c", "b", 2, True), ("c", "c", 1, True)]
+
+
 def test_components_span_chains_and_missing_parents(spark):
     ops = [(f"o{i}", f"o{i - 1}" if i % 37 else None) for i in range(120)] + [("x", "gone"), ("y", "gone")]
     df = spark.createDataFrame(ops, "id string, parent_id string")
