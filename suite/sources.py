@@ -5,11 +5,13 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from memstrata.plans import daily_report as report
+from memstrata.operators import graph
+from memstrata.plans import daily_report as report, report_refresh as refreshing
+from memstrata.session import durable
 from memstrata.sources import archive, dataset as stored, ledger, vectors, versions
 from memstrata.sources.corpus import SPACE
 
-from .aggregates import REPORT, dataset, stored_report, whole_report
+from .aggregates import REPORT, ZONE, dataset, source_details, stored_report, whole_report
 from .registry import query, usd
 from .retrieval import gold_sessions, metrics
 
@@ -251,6 +253,52 @@ def _(c):
     return report.changed_days(stored_report(c), prior, day("2024-01-03"), day("2024-01-28")).select("date")
 
 
+def ledger_now(c):
+    return refreshing.Ledger(c.activity, source_details(c), c.memories, c.api_calls, c.api_links, c.runs, c.run_work, c.relation_results)
+
+
+def unsettled(calls):
+    """The calls before the settlements after the cut."""
+    late = F.coalesce(F.col("completed_at") >= F.lit("2024-01-20").cast("timestamp"), F.lit(False))
+    return calls.withColumn("actual_usd", F.when(~late, F.col("actual_usd")))
+
+
+def refreshed_from(c, before):
+    """The report of an earlier ledger brought up to the present one by the rows that differ."""
+    now = ledger_now(c)
+    day = lambda t: F.lit(t).cast("date")
+    roots = durable(graph.component_roots(before.operations))
+    # the earlier report was made two days before
+    prior = durable(refreshing.build_report(before, roots, ZONE, day("2024-01-10"), day("2024-01-26")))
+    changes = {name: refreshing.changed_rows(getattr(before, name), getattr(now, name))
+               for name in ("operations", "memories", "calls", "run_work", "results")
+               if getattr(before, name) is not getattr(now, name)}
+    return refreshing.refresh(prior, roots, now, changes, ZONE, day("2024-01-10"), day("2024-01-26"), day("2024-01-28"))
+
+
+@query("report_refresh_incremental", f"with {REPORT} select * from rep")
+def _(c):
+    now = ledger_now(c)
+    # operations, memories and results that came late, work that was still open, calls not yet settled
+    before = now.with_tables(
+        operations=now.operations.filter(~((F.col("started_at") >= "2024-01-24") & (F.crc32("id") % 3 == 0))),
+        memories=now.memories.filter(F.crc32("id") % 400 != 0),
+        calls=unsettled(now.calls),
+        run_work=now.run_work.withColumn("status", F.when(F.crc32("work_key") % 500 == 0, "pending").otherwise(F.col("status"))),
+        results=now.results.filter(F.col("at") < "2024-01-27"))
+    report_now, _, _ = refreshed_from(c, before)
+    return report_now
+
+
+@query("report_refresh_days", """
+select cast(date as varchar) date, true changed from c_attr where completed_at >= TIMESTAMP '2024-01-20' group by 1
+union select unnest(['2024-01-26', '2024-01-27']), true""")
+def _(c):
+    now = ledger_now(c)
+    _, _, days = refreshed_from(c, now.with_tables(calls=unsettled(now.calls)))
+    return days
+
+
 @query("result_artifact_load", f"""
 with g as (select query_id, list_sort(list(distinct 'sess_' || s.first_call_id)) g from c_gold join c_reg s on s.id = source_id group by 1)
 select f.query_id question_id, f.condition, coalesce(array_to_string(g.g, ','), '') gold_sessions, f.correct,
