@@ -133,9 +133,10 @@ def find_secrets(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS, **option
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     found = find_secrets(table(spark, folder, "documents"))
     kinds = F.array(*[F.lit(k) for k in KINDS])
-    count = lambda test: F.size(F.filter("spans", test)).cast("long")
+    # a second parameter of a test would be the position in the array
+    count = lambda field, value: F.size(F.filter("spans", lambda s: s[field] == value)).cast("long")
     text = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", F.get(kinds, s["kind"]), s["start"], s["end"])), ",")
     verdicts = F.array_join(F.transform("spans", lambda s: s["verdict"]), ",")
-    return found.select("doc_id", *[count(lambda s, k=k: s["kind"] == k).alias(f"n_{KINDS[k]}") for k in range(3)], "base_sha256",
+    return found.select("doc_id", *[count("kind", k).alias(f"n_{KINDS[k]}") for k in range(3)], "base_sha256",
                         text.alias("spans"), verdicts.alias("verdicts"),
-                        count(lambda s: s["verdict"] == "live").alias("n_live"), count(lambda s: s["verdict"] == "example").alias("n_example"))
+                        count("verdict", "live").alias("n_live"), count("verdict", "example").alias("n_example"))
