@@ -15,7 +15,7 @@ WEEKLY = list(range(61, 69))
 @query("dream_work_plan", "select run_id, work_key, phase, memory_id, ordinal from c_dream where run_id % 10 <> 0")
 def _(c):
     done = c.runs.filter("id % 10 = 0").select(F.col("id").alias("run_id"))
-    return work.dream_plan(c.memories, c.recall_events, c.runs, initialised=done)
+    return work.dream_plan(c.memory_rows, c.recall_events, c.runs, initialised=done)
 
 
 CANDIDATES = """cw as (select run_id, work_key, phase, memory_id from c_weekly
@@ -23,7 +23,7 @@ CANDIDATES = """cw as (select run_id, work_key, phase, memory_id from c_weekly
 
 
 def weekly_candidates(c):
-    return work.meditation_candidates(c.memories, c.relations, c.runs, c.run_work, WEEKLY)
+    return work.meditation_candidates(c.memory_rows, c.relations, c.runs, c.run_work, WEEKLY)
 
 
 def orders(c):

@@ -145,7 +145,7 @@ from c_weekly w join c_runs r on r.id = w.run_id join c_mem m on m.id = w.memory
 left join c_rel e on e.memory_id = w.memory_id left join c_mem t on t.id = e.related_memory_id""")
 def _(c):
     from memstrata.plans import work
-    items = work.changed_work(c.memories, c.relations, c.runs).join(
+    items = work.changed_work(c.memory_rows, c.relations, c.runs).join(
         c.runs.select(F.col("id").alias("run_id"), "period_start", "period_end"), "run_id")
     return snapshot.priority_payload(items, c.memories, c.edges).select(
         "run_id", "work_key", "memory_id", "period_start", "period_end", "related_memory_id", "kind", "related_depth", "related_content")

@@ -18,3 +18,37 @@ def test_contents_are_stored_twice_at_most(spark):
     held = {name for name in os.listdir(c.space.root.removeprefix("file:")) if "content" in spark.read.parquet(f"{c.space.root}/{name}").columns}
     assert held == {"observations", "memories"}
     assert not os.path.exists(f"{c.space.root.removeprefix('file:')}/postings")
+
+
+def test_queries_without_contents_move_none(spark, tmp_path):
+    import __spark_entry__
+    QUERIES = __spark_entry__.queries()
+    for name in os.listdir(FOLDER):
+        os.symlink(f"{FOLDER}/{name}", tmp_path / name)
+    c = Corpus.of(spark, str(tmp_path))
+    for name in ("corpus_overview", "recall_history_apply", "relation_category", "work_identity"):
+        assert QUERIES[name](spark, str(tmp_path)).count()
+    held = {name for name in os.listdir(c.space.root.removeprefix("file:")) if "content" in spark.read.parquet(f"{c.space.root}/{name}").columns}
+    assert not held
+    assert c.memory_rows.exceptAll(c.memories.drop("content")).isEmpty() and c.memories.drop("content").exceptAll(c.memory_rows).isEmpty()
+
+
+def test_a_call_listed_twice_has_each_line_twice(spark, tmp_path):
+    long = "x" * 4000 + "yz"
+    documents = [(2, "a\n\nb"), (2, "a\n\nb"), (3, long), (4, "a\n\nb"), (50, "failed"), (5, None), (7, " ")]
+    spark.createDataFrame(documents, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{FOLDER}/events.parquet").write.parquet(f"{tmp_path}/events.parquet")
+    c = Corpus.of(spark, str(tmp_path))
+    rows = c.memories.orderBy("seq").collect()
+    assert [r.content for r in rows if r.depth == 0] == ["a", "a", "b", "b", "x" * 4000, "yz"]
+    assert [(r.seq, r.id, r.content) for r in rows if r.depth > 0] == [(7, "mem_d1_0", "Pattern 0 a")]
+    assert sorted(r.seq for r in rows) == list(range(1, 8))
+
+
+def test_texts_meet_in_shards_before_they_are_split(spark):
+    from memstrata.operators import shards
+    memories = spark.createDataFrame([("m1", 1, 0, "one two"), ("m2", 2, 0, None), ("m3", 5000, 1, "two")], "id string, seq long, depth int, content string")
+    built = shards.build_shards(memories)
+    plan = built._jdf.queryExecution().optimizedPlan().toString()
+    assert -1 < plan.index("AS tokens") < plan.index("RepartitionByExpression")
+    assert {r.shard: sorted(r.memories) for r in built.collect()} == {0: ["m1"], 1: ["m3"]}
