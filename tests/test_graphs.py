@@ -249,3 +249,26 @@ def test_containment_finds_every_occurrence(spark):
     got = {(r.query_id, r.id) for r in evaluation.containing_texts(
         spark.createDataFrame(items, "query_id string, text string"), spark.createDataFrame(texts, "id string, raw string")).collect()}
     assert got == {(q, t) for q, a in items for t, b in texts if a in b}
+
+
+def test_texts_with_a_question_are_found_where_they_are_read(spark):
+    import re
+
+    items = spark.createDataFrame([("q1", "the quick brown fox jumps over"), ("q2", "ab"), ("q1", "ab")], "query_id string, text string")
+    texts = spark.createDataFrame([(1, "see the quick brown fox jumps over it"), (2, "quick brown fox jumps"), (3, "xaby"), (None, "ab"), (4, None)], "id long, raw string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = evaluation.containing_texts(items, texts)
+        assert not re.search("SortMergeJoin", found._jdf.queryExecution().executedPlan().toString())
+        assert sorted(map(tuple, found.collect())) == [("q1", 1), ("q1", 3), ("q2", 3)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_roots_of_some_memories_are_those_of_all(spark):
+    memories = spark.createDataFrame([("a", "s1"), ("a", "s1"), ("b", "s2"), ("c", None), ("d", None), ("m", "s1")], "id string, source_ref string")
+    edges = spark.createDataFrame([("c", "a"), ("c", "b"), ("d", "c"), ("d", "a"), ("m", "b"), ("x", "a"), (None, "a")], "child_id string, parent_id string")
+    whole = {tuple(r) for r in graph.source_roots(memories, edges, 2).collect()}
+    some = spark.createDataFrame([("d",), ("d",), ("m",), ("x",), ("nowhere",), (None,)], "memory_id string")
+    got = sorted(map(tuple, graph.roots_of(some, memories, edges, 2).collect()))
+    assert got == sorted(r for r in whole if r[0] in ("d", "m", "x")) and len(got) == 5

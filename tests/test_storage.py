@@ -52,3 +52,12 @@ def test_texts_meet_in_shards_before_they_are_split(spark):
     plan = built._jdf.queryExecution().optimizedPlan().toString()
     assert -1 < plan.index("AS tokens") < plan.index("RepartitionByExpression")
     assert {r.shard: sorted(r.memories) for r in built.collect()} == {0: ["m1"], 1: ["m3"]}
+
+
+def test_gold_and_ranked_sessions_shuffle_no_corpus(spark, tmp_path):
+    import __spark_entry__
+    for name in os.listdir(FOLDER):
+        os.symlink(f"{FOLDER}/{name}", tmp_path / name)
+    assert __spark_entry__.queries()["retrieval_metrics"](spark, str(tmp_path)).count()
+    stored = os.listdir(Corpus.of(spark, str(tmp_path)).space.root.removeprefix("file:"))
+    assert "ranked_sessions" in stored and "memory_roots" not in stored
