@@ -193,3 +193,19 @@ def test_high_water_inside_a_day(spark):
     runs = ts(spark.createDataFrame([(1, "2026-01-01 15:30:00"), (2, "2026-01-03 00:00:00"), (3, "2026-01-01 00:00:00"), (4, "2026-02-01 00:00:00")], "id long, period_end string"), "period_end")
     got = {r.id: r.h for r in work.with_high_water(runs, ev, "at", "h").collect()}
     assert got == {1: 2, 2: 3, 3: 0, 4: 4}
+
+
+def test_daily_work_travels_without_its_keys(spark):
+    import datetime
+
+    at = datetime.datetime(2024, 1, 1, 5)
+    memories = spark.createDataFrame([("m1", 1, 0, at, True), ("m2", 2, 0, at, True)], "id string, seq long, depth int, created_at timestamp, sealed boolean")
+    runs = spark.createDataFrame([(1, "dream", datetime.datetime(2024, 1, 1), datetime.datetime(2024, 1, 2), 2, 0, 0)],
+                                 "id long, kind string, period_start timestamp, period_end timestamp, memory_high_water long, relation_high_water long, recall_high_water long")
+    recalls = spark.createDataFrame([], "seq long, memory_id string, recalled_at timestamp")
+    plan = work.dream_plan(memories, recalls, runs)
+    assert [tuple(r) for r in plan.orderBy("ordinal").collect()] == [
+        (1, "assimilate:m1", "assimilation", "m1", 0), (1, "assimilate:m2", "assimilation", "m2", 1),
+        (1, "abstract:m1", "consolidation", "m1", 2), (1, "abstract:m2", "consolidation", "m2", 3)]
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert text.index("assimilate:") < text.index("Join") and text.count("assimilate:") == 1
