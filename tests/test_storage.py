@@ -54,6 +54,14 @@ def test_texts_meet_in_shards_before_they_are_split(spark):
     assert {r.shard: sorted(r.memories) for r in built.collect()} == {0: ["m1"], 1: ["m3"]}
 
 
+def test_places_hold_hashes_as_bytes(spark):
+    c = Corpus.of(spark, FOLDER)
+    assert dict(c.memory_places.dtypes)["hash"] == "binary" and "content_hash" not in c.memory_places.columns
+    named = {r.id for r in c.sources.collect()}
+    rows = c.memory_rows.filter("depth = 0").collect()
+    assert rows and all(r.source_ref in named and r.id.startswith(f"mem_{r.source_ref[4:28]}_") for r in rows)
+
+
 def test_gold_and_ranked_sessions_shuffle_no_corpus(spark, tmp_path):
     import __spark_entry__
     for name in os.listdir(FOLDER):
