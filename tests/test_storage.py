@@ -33,6 +33,27 @@ def test_queries_without_contents_move_none(spark, tmp_path):
     assert c.memory_rows.exceptAll(c.memories.drop("content")).isEmpty() and c.memories.drop("content").exceptAll(c.memory_rows).isEmpty()
 
 
+def test_searches_and_single_readings_store_no_content(spark, tmp_path):
+    import __spark_entry__
+    from memstrata.sources.corpus import memory_id
+    QUERIES = __spark_entry__.queries()
+    for name in os.listdir(FOLDER):
+        os.symlink(f"{FOLDER}/{name}", tmp_path / name)
+    c = Corpus.of(spark, str(tmp_path))
+    for name in ("hybrid_search", "retrieval_metrics", "evidence_coverage", "recall", "allowed_set_semi_join", "late_content_fetch"):
+        assert QUERIES[name](spark, str(tmp_path)).count()
+    held = set(os.listdir(c.space.root.removeprefix("file:")))
+    assert "shards" in held and not held & {"memories", "observations", "embeddings", "frequencies"}
+    texts, vectors = c.memory_texts, c.memory_vectors
+    some = c.base_places.select(memory_id().alias("id")).filter("crc32(id) % 3 = 0").distinct()
+    chosen = c.contents_of(some)
+    stored = c.memories.select(*texts.columns)
+    assert not held & {"memories"} and texts.exceptAll(stored).isEmpty() and stored.exceptAll(texts).isEmpty()
+    assert vectors.exceptAll(c.embeddings).isEmpty() and c.embeddings.exceptAll(vectors).isEmpty()
+    want = stored.select("id", "content").join(some, "id", "left_semi")
+    assert chosen.exceptAll(want).isEmpty() and want.exceptAll(chosen).isEmpty()
+
+
 def test_a_call_listed_twice_has_each_line_twice(spark, tmp_path):
     long = "x" * 4000 + "yz"
     documents = [(2, "a\n\nb"), (2, "a\n\nb"), (3, long), (4, "a\n\nb"), (50, "failed"), (5, None), (7, " ")]
