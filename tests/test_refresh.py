@@ -62,3 +62,36 @@ def test_nothing_changed_rebuilds_only_the_days_closed_since(spark, full):
     prior = durable(refreshing.build_report(now, roots, ZONE, day("2024-01-10"), day("2024-01-20")))
     _, _, days = refreshing.refresh(prior, roots, now, {}, ZONE, day("2024-01-10"), day("2024-01-20"), day("2024-01-22"))
     assert {(str(r.date), r.changed) for r in days.collect()} == {("2024-01-20", True), ("2024-01-21", True)}
+
+
+def test_only_rows_that_may_differ_are_compared_whole(spark, monkeypatch):
+    import datetime
+    from memstrata.plans import report_refresh
+    at = lambda us: datetime.datetime(2024, 1, 1, 0, 0, 0, us)
+    schema = "id string, at timestamp, x double, ids array<string>"
+    same = [(f"s{i}", at(i), float(i), [None, "a"]) for i in range(40)] + [(None, None, None, None)] * 2
+    old = [("us", at(1), 1.0, []), ("twice", at(0), 1.0, None), ("twice", at(0), 1.0, None), ("zero", at(0), 0.0, ["a", None]), ("array", at(0), 1.0, ["a", None]), ("gone", None, None, None)]
+    new = [("us", at(2), 1.0, []), ("twice", at(0), 1.0, None), ("zero", at(0), -0.0, ["a", None]), ("array", at(0), 1.0, [None, "a"]), ("new", None, float("nan"), None)]
+    frames = [spark.createDataFrame(same + rows, schema) for rows in (old, new)]
+    want = frames[0].exceptAll(frames[1]).unionByName(frames[1].exceptAll(frames[0]))
+    seen = []
+    kind = type(frames[0])
+    whole = kind.exceptAll
+    monkeypatch.setattr(kind, "exceptAll", lambda self, other: (seen.append(self.count()), whole(self, other))[1])
+    got = report_refresh.changed_rows(*frames)
+    monkeypatch.undo()
+    key = lambda r: repr(tuple(r))
+    assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
+    assert seen and max(seen) <= len(old)
+
+
+def test_owners_go_to_the_links_of_the_calls(spark):
+    from memstrata.plans import daily_report
+    calls = spark.createDataFrame([("c1", 1), ("c2", 2), ("c2", 3), ("c3", 4), (None, 5)], "id string, n int")
+    links = spark.createDataFrame([("c1", "o1", "x"), ("c2", "o2", "y"), ("c2", None, "z"), (None, "o1", "w"), ("c4", "o1", "v")], "api_call_id string, activity_id string, settings_json string")
+    ops = spark.createDataFrame([("o1", "recall", "k", 1), ("o1", "remember", None, None), ("o3", "recall", "k", 1), (None, "recall", "k", 1)], "id string, kind string, work_key string, run_id int")
+    got = daily_report.attribute_calls(calls, links, ops)
+    owner = ops.toDF("activity_id", "parent_kind", "parent_work_key", "parent_run_id")
+    want = daily_report.linked_calls(calls, links).join(owner, "activity_id", "left")
+    assert got.columns == want.columns == ["activity_id", "id", "n", "settings_json", "parent_kind", "parent_work_key", "parent_run_id"]
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
