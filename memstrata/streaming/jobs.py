@@ -7,11 +7,13 @@ locations belong to the caller.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
+from decimal import Decimal
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -20,6 +22,7 @@ from ..schemas import USD
 from ..session import prefix_sums
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+BUCKETS = 4096             # of the keys of a Python state; a running query keeps its number
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -27,6 +30,11 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
+def bucketed(events: DataFrame, key: str, buckets: int) -> GroupedData:
+    """Events grouped by a hash of their key: a call of Python state costs as much as thousands of rows, so many keys share one."""
+    return events.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets))).groupBy("bucket")
+
+
 def source_dedup(calls: DataFrame) -> DataFrame:
     """New sources by exact content; state is one digest per source, by design unbounded."""
     return (calls.select("call_id", "at", S.content_hash(F.col("raw")).alias("content_hash"))
@@ -84,36 +92,38 @@ def daily_cost_upsert(path: str, zone: str) -> Callable[[DataFrame, int], None]:
 
 
 class SourceStatus(StatefulProcessor):
-    """Lifecycle state of one source; rejected transitions are emitted as such.
+    """Lifecycle states of the sources of one bucket; rejected transitions are emitted as such.
 
     A source's events of one batch are ordered together, however many Arrow
-    chunks they come in: a source has a handful of transitions.
+    chunks they come in: a source has a handful of transitions. The states of a
+    bucket are one value, so that a batch reads and writes it once.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("status", "status string")
+        self.state = handle.getValueState("statuses", "held string")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        current = self.state.get()[0] if self.state.exists() else "pending"
+        kept = self.state.get()
+        current = dict(json.loads(kept[0])) if kept is not None else {}
+        allowed = {"processing": ("pending", "failed"), "failed": ("processing",), "complete": ("processing", "complete"), "pending": ()}
+        events = pd.concat(list(rows)).sort_values("seq", kind="stable")
         out = []
-        for row in pd.concat(list(rows)).sort_values("seq", kind="stable").itertuples():
-            allowed = {"processing": ("pending", "failed"), "failed": ("processing",),
-                       "complete": ("processing", "complete"), "pending": ()}[row.status]
-            valid = current in allowed
-            if valid:
-                current = row.status
-            if row.status != "pending":
-                out.append((key[0], row.seq, row.status, current, valid))
-        self.state.update((current,))
+        for source, seq, status in zip(events["source_id"].tolist(), events["seq"].tolist(), events["status"].tolist(), strict=True):
+            before = current.get(source, "pending")
+            valid = before in allowed[status]
+            current[source] = now = status if valid else before
+            if status != "pending":
+                out.append((source, seq, status, now, valid))
+        self.state.update((json.dumps(list(current.items())),))
         yield pd.DataFrame(out, columns=["source_id", "seq", "requested", "status", "valid"])
 
     def close(self) -> None:
         pass
 
 
-def source_status(events: DataFrame) -> DataFrame:
+def source_status(events: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """``events(source_id, seq, status)`` to one row per requested transition."""
-    return events.groupBy("source_id").transformWithStateInPandas(
+    return bucketed(events.select("source_id", "seq", "status"), "source_id", buckets).transformWithStateInPandas(
         SourceStatus(), "source_id string, seq long, requested string, status string, valid boolean",
         "Append", "None")
 
@@ -200,12 +210,15 @@ def late_settlements(calls_path: str, out: str, bound: str = "2 hours") -> Calla
 
 
 class CallSettlement(StatefulProcessor):
-    """One call from its reservation to its settlement, however late that is.
-
-    A timer at the bound reports the call as open; a settlement after it is a
-    correction of what was reported. A second timer, ``keep_days`` of event time
-    after the last event taken in, drops the state. Repeated events of a call
-    change nothing until then.
+    """The calls of one bucket, each from its reservation to its settlement, however late that is.
+
+    Once its bound has passed a call is reported as open; a settlement after that
+    is a correction of what was reported. ``keep_days`` of event time after the
+    last event taken in, what is known of a call goes. Repeated events of a call
+    change nothing until then. The calls of a bucket are one value and have one
+    timer, at the first time that any of them waits for: a batch reads and writes
+    the state once a bucket, not several times a call. Amounts and run numbers
+    stay the texts that they came as.
     """
 
     def __init__(self, bound_seconds: int, keep_days: int) -> None:
@@ -214,68 +227,77 @@ class CallSettlement(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.call = handle.getValueState("call", f"run_id long, reserved_usd {USD}, created_us long, opened boolean")
-        self.settled = handle.getValueState("settled", f"actual_usd {USD}, completed_us long")
-        self.done = handle.getValueState("done", "done boolean")
-        # the event time from which on the state goes
-        self.ends = handle.getValueState("ends", "at_ms long")
-
-    def keep_from(self, at_us: int) -> None:
-        ends = -(-(at_us + self.keep_us) // 1000)
-        if self.ends.exists():
-            held = self.ends.get()[0]
-            if held >= ends:
-                return
-            self.handle.deleteTimer(held)
-        self.ends.update((ends,))
-        self.handle.registerTimer(ends)
-
-    def due(self, call: tuple) -> int:
-        return -(-(call[2] + self.bound_us) // 1000)
-
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        if self.done.exists():
-            return
-        call = self.call.get() if self.call.exists() else None
-        settled = self.settled.get() if self.settled.exists() else None
-        known, newest = call is not None, 0
-        for row in rows:
-            newest = max(newest, row.at_us)
-            if row.step == 1 and call is None:
-                call = (row.run_id, row.amount, row.at_us, False)
-            elif row.step == 0 and (settled is None or (row.at_us, row.amount) < (settled[1], settled[0])):
-                settled = (row.amount, row.at_us)
-        self.keep_from(newest)
-        if call is not None and settled is not None:
-            late = settled[1] > call[2] + self.bound_us
-            if known and not call[3]:
-                self.handle.deleteTimer(self.due(call))
-            self.call.clear()
-            self.settled.clear()
-            self.done.update((True,))
-            yield Row(id=key[0], run_id=call[0], created_us=call[2], reserved_usd=call[1], actual_usd=settled[0],
-                      completed_us=settled[1], state="late" if late else "settled", was_open=call[3])
-        elif call is not None and not known:
-            self.call.update(call)
-            self.handle.registerTimer(self.due(call))
-        elif settled is not None:
-            self.settled.update(settled)
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        if self.call.exists() and not self.call.get()[3]:
-            call = self.call.get()
-            self.call.update((call[0], call[1], call[2], True))
-            yield Row(id=key[0], run_id=call[0], created_us=call[2], reserved_usd=call[1], actual_usd=None,
-                      completed_us=None, state="open", was_open=False)
-        if self.ends.exists() and expiredTimerInfo.getExpiryTimeInMs() >= self.ends.get()[0]:
-            for held in (self.call, self.settled, self.done, self.ends):
-                held.clear()
+        self.state = handle.getValueState("calls", "timer_ms long, held string")
+
+    def load(self) -> tuple[int | None, dict]:
+        """The timer and what is held of each call: when it goes, and unless it is settled (run, reserved, created, opened, actual, completed)."""
+        kept = self.state.get()
+        return (None, {}) if kept is None else (kept[0], json.loads(kept[1]))
+
+    def store(self, timer: int | None, held: dict) -> None:
+        wake = min((self.due(x) if len(x) > 1 and x[3] is not None and not x[4] else x[0] for x in held.values()), default=None)
+        if wake != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if wake is not None:
+                self.handle.registerTimer(wake)
+        if held:
+            self.state.update((wake, json.dumps(held)))
+        else:
+            self.state.clear()
+
+    def due(self, call: list) -> int:
+        return -(-(call[3] + self.bound_us) // 1000)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        timer, held = self.load()
+        came: dict[str, list] = {}
+        for part in rows:
+            for name, *event in zip(*(part[x].tolist() for x in ("id", "run_id", "step", "at_us", "amount")), strict=True):
+                came.setdefault(name, []).append(event)
+        out = []
+        for name, events in came.items():
+            call = held.get(name) or [0, None, None, None, False, None, None]
+            if len(call) == 1:
+                continue
+            ends, run, reserved, created, opened, actual, completed = call
+            for run_id, step, at, amount in events:
+                if step == 1 and created is None:
+                    run, reserved, created = run_id, amount, at
+                elif step == 0 and (completed is None or at < completed or at == completed and Decimal(amount) < Decimal(actual)):
+                    actual, completed = amount, at
+            ends = max(ends, -(-(max(x[2] for x in events) + self.keep_us) // 1000))
+            if created is not None and completed is not None:
+                held[name] = [ends]
+                out.append((name, run, created, reserved, actual, completed, "late" if completed > created + self.bound_us else "settled", opened))
+            else:
+                held[name] = [ends, run, reserved, created, opened, actual, completed]
+        self.store(timer, held)
+        yield self.frame(out)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        _, held = self.load()
+        out = []
+        for name, call in list(held.items()):
+            if len(call) > 1 and call[3] is not None and not call[4] and self.due(call) < now:
+                call[4] = True
+                out.append((name, call[1], call[3], call[2], None, None, "open", False))
+            if call[0] < now:
+                del held[name]
+        # the timer that came is gone already
+        self.store(None, held)
+        yield self.frame(out)
+
+    def frame(self, rows: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=["id", "run_id", "created_us", "reserved_usd", "actual_usd", "completed_us", "state", "was_open"], dtype=object)
+        return out.astype({"created_us": "int64", "completed_us": "Int64", "was_open": bool})
 
     def close(self) -> None:
         pass
 
 
-def settlement_ledger(log: DataFrame, bound_seconds: int = 7200, lateness: str = "1 hour", keep_days: int = 90) -> DataFrame:
+def settlement_ledger(log: DataFrame, bound_seconds: int = 7200, lateness: str = "1 hour", keep_days: int = 90, buckets: int = BUCKETS) -> DataFrame:
     """``log(id, run_id, step, at, amount)`` to rows of calls that are settled, open or settled late.
 
     Step 1 is a reservation with its amount, step 0 a settlement with the real
@@ -285,12 +307,14 @@ def settlement_ledger(log: DataFrame, bound_seconds: int = 7200, lateness: str =
     timers fire, so a call may come out late without having been open. Events
     without an id or time are left out.
     """
-    events = log.filter("id is not null and at is not null").withWatermark("at", lateness).withColumn("at_us", F.unix_micros("at"))
-    out = events.groupBy("id").transformWithState(
+    events = log.filter("id is not null and at is not null").withWatermark("at", lateness).select(
+        "id", F.col("run_id").cast("string").alias("run_id"), "step", "at", F.unix_micros("at").alias("at_us"), F.col("amount").cast(USD).cast("string").alias("amount"))
+    out = bucketed(events, "id", buckets).transformWithStateInPandas(
         CallSettlement(bound_seconds, keep_days),
-        f"id string, run_id long, created_us long, reserved_usd {USD}, actual_usd {USD}, completed_us long, state string, was_open boolean",
+        "id string, run_id string, created_us long, reserved_usd string, actual_usd string, completed_us long, state string, was_open boolean",
         "Append", "EventTime")
-    return out.select("id", "run_id", F.timestamp_micros("created_us").alias("created_at"), "reserved_usd", "actual_usd",
+    return out.select("id", F.col("run_id").cast("long").alias("run_id"), F.timestamp_micros("created_us").alias("created_at"),
+                      F.col("reserved_usd").cast(USD).alias("reserved_usd"), F.col("actual_usd").cast(USD).alias("actual_usd"),
                       F.timestamp_micros("completed_us").alias("completed_at"), "state", "was_open")
 
 

@@ -124,3 +124,30 @@ def test_a_batch_that_failed_after_its_write_is_repeated(spark, tmp_path):
     assert seen[:5] == [0, 1, 1, 2, 2]
     got = {str(r.date): (r.settled, r.late, r.open, r.actual_usd) for r in spark.read.parquet(str(tmp_path / "days" / str(max(seen)))).collect()}
     assert got == {"2024-01-01": (1, 2, 0, Decimal("0.75")), "2024-01-02": (0, 0, 1, None), "2024-01-03": (1, 0, 1, Decimal("0.25"))}
+
+
+def test_calls_of_one_bucket_do_not_meet(spark, tmp_path):
+    jobs.use_rocksdb(spark)
+    # a run number that a double does not hold, and none
+    run_of = {"c1": 2 ** 60 + 1, "c2": None}
+    batches = [[(i, run_of.get(i, 1), *rest) for i, _, *rest in rows] for rows in settlement_batches()]
+    stream = files(spark, tmp_path / "in", LOG, batches)
+    for buckets in (1, 3):
+        out = str(tmp_path / f"out{buckets}")
+        (jobs.settlement_ledger(stream, 7200, buckets=buckets).writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", str(tmp_path / f"cp{buckets}")).trigger(availableNow=True).start().awaitTermination())
+        rows = spark.read.parquet(out).collect()
+        assert sorted((r.id, r.state, r.was_open) for r in rows) == sorted(SETTLED)
+        assert all(r.run_id == run_of.get(r.id, 1) for r in rows) and {r.reserved_usd for r in rows} == {Decimal(1)}
+
+
+def test_sources_of_one_bucket_do_not_meet(spark, tmp_path):
+    jobs.use_rocksdb(spark)
+    batches = [[("s", 1, "processing"), ("t", 2, "complete"), (None, 3, "processing")], [("s", 4, "complete"), ("t", 5, "processing"), (None, 6, "failed")]]
+    stream = jobs.source_status(files(spark, tmp_path / "in", "source_id string, seq long, status string", batches), buckets=1)
+    out = str(tmp_path / "out")
+    (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp"))
+     .trigger(availableNow=True).start().awaitTermination())
+    got = {(r.source_id, r.seq): (r.status, r.valid) for r in spark.read.parquet(out).collect()}
+    assert got == {("s", 1): ("processing", True), ("t", 2): ("pending", False), (None, 3): ("processing", True),
+                   ("s", 4): ("complete", True), ("t", 5): ("processing", True), (None, 6): ("failed", True)}
