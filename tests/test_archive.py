@@ -14,3 +14,15 @@ def test_small_files_share_tasks(spark, tmp_path):
         assert spark.conf.get("spark.sql.files.openCostInBytes") != str(archive.SMALL_FILE_COST)
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_closure_and_applied_abstractions_store_no_contents(spark, tmp_path):
+    import os
+
+    import __spark_entry__
+    from memstrata.sources.corpus import Corpus
+    for name in os.listdir("/root/testdata/sf0.001"):
+        os.symlink(f"/root/testdata/sf0.001/{name}", tmp_path / name)
+    for name in ("report_memory_closure", "apply_embedded_abstractions"):
+        assert __spark_entry__.queries()[name](spark, str(tmp_path)).count()
+    assert not {"memories", "observations"} & set(os.listdir(Corpus.of(spark, str(tmp_path)).space.root.removeprefix("file:")))
